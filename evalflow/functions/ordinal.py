@@ -5,7 +5,8 @@ group holding a third of the table becomes a single task. ``group_ordinal``
 splits every group into ``buckets`` salted sub-groups by a hash of the
 ordering key, numbers rows inside each sub-group, and adds the exclusive
 prefix count of the earlier sub-groups. The result is a dense 1..n ordinal
-per group, unique and deterministic; it follows ``(salt, order)``, not
+per group, unique and deterministic; it follows ``(salt, order)`` with
+``salt = md5_bucket(order)``, not
 ``order`` alone, so use it where any fixed numbering will do (aligning
 duplicates, paging ids), not for "first by time".
 """
@@ -25,6 +26,13 @@ def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Colu
     return cond
 
 
+def md5_bucket(cols: Sequence[str], buckets: int) -> Column:
+    """Bucket in [0, buckets) from the first 32 bits of an md5 of the columns
+    (md5 rather than xxhash64 so that other engines can reproduce it)."""
+    text = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
 def group_ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,8 +40,7 @@ def group_ordinal(
     name: str = "ordinal",
     buckets: int = 256,
 ) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets))
-    salted = df.withColumn("_salt", salt)
+    salted = df.withColumn("_salt", md5_bucket(order, buckets))
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)
     salted = salted.withColumn("_r", F.row_number().over(within))
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_c"))

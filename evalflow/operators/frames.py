@@ -212,3 +212,26 @@ def with_diffs(df: DataFrame, recipes: Sequence[str], measures: Sequence[str]) -
         return df
     a, b = recipes
     return df.withColumns({f"{m}__diff": F.col(f"{m}_{a}") - F.col(f"{m}_{b}") for m in measures})
+
+
+def compare_page(
+    df: DataFrame,
+    where: Any = None,
+    order_by: Sequence[Any] = (),
+    page: int = 0,
+    size: int = 10,
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """One page of a (filtered, sorted) comparison with its 1-based row
+    position. Add ``tie_break`` columns that make the order total, or pages
+    may overlap. Planned as a top-k (each task keeps its best
+    ``(page + 1) * size`` rows), never a full sort to one task.
+    """
+    from pyspark.sql import Window
+
+    if where is not None:
+        df = df.where(where)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(c).asc_nulls_first() for c in tie_break]
+    start = page * size
+    top = df.orderBy(*order).offset(start).limit(size) if start else df.orderBy(*order).limit(size)
+    return top.withColumn("row_pos", (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))

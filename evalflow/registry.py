@@ -197,3 +197,167 @@ def q_metric_names(spark, sf_dir):
     u = frames.metric_names(fb).withColumn("how", F.lit("union"))
     i = frames.metric_names(fb, how="intersection").withColumn("how", F.lit("intersection"))
     return u.unionByName(i)
+
+
+# ---------------------------------------------------------------- compare
+from evalflow.functions.json import metadata_predicate  # noqa: E402
+from evalflow.operators import options  # noqa: E402
+
+RECIPES = ["click", "error", "purchase", "signup", "view"]
+PAIR = ["click", "view"]
+SALT = "CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 256"
+
+
+def _compare_sql(recipes: list[str], tail: str = "") -> str:
+    per = []
+    for r in recipes:
+        for c in ["record_id", "total_tokens", "latency", "output", *METRICS]:
+            per.append(f"max({c}) FILTER (WHERE recipe = '{r}') AS {c}_{r}")
+    diffs = []
+    if len(recipes) == 2:
+        a, b = recipes
+        diffs = [f"{m}_{a} - {m}_{b} AS {m}__diff" for m in [*METRICS, "total_tokens", "latency"]]
+    outs = [f"w.output_{r}" for r in recipes]
+    rest = ["metadata"] + [f"{c}_{r}" for r in recipes for c in ["record_id", "total_tokens", "latency", *METRICS]]
+    rest += [f"{m}__diff" for m in ([*METRICS, "total_tokens", "latency"] if len(recipes) == 2 else [])]
+
+    def shown(c: str) -> str:
+        numeric = not (c == "metadata" or c.startswith("record_id_") or c.startswith("total_tokens"))
+        return f"round(w.{c}, 6) AS {c}" if numeric else f"w.{c}"
+
+    return (
+        O.with_ctes(*O.FRAMES, O.GOLDEN)
+        + f""", occ AS (
+  SELECT *, row_number() OVER (PARTITION BY recipe, dataset, input ORDER BY {SALT}, record_id) AS _occ
+  FROM run_frame WHERE recipe IN ({", ".join(f"'{r}'" for r in recipes)})
+),
+cwide0 AS (
+  SELECT dataset, input, _occ, max(metadata) FILTER (WHERE recipe = '{recipes[0]}') AS metadata,
+    {", ".join(per)}
+  FROM occ GROUP BY dataset, input, _occ
+),
+cwide AS (SELECT *{", " + ", ".join(diffs) if diffs else ""} FROM cwide0),
+gt AS (SELECT dataset, query, arg_max(ground_truth, pos) AS ground_truth FROM golden GROUP BY dataset, query),
+cmp AS (
+  SELECT w.dataset, w.input, gt.ground_truth, {", ".join(outs)}, {", ".join(shown(c) for c in sorted(rest))}
+  FROM cwide w LEFT JOIN gt ON gt.dataset = w.dataset AND gt.query = w.input
+)
+"""
+        + (tail or "SELECT * FROM cmp")
+    )
+
+
+def _compare(spark, sf_dir, recipes):
+    rec, fb = _store(spark, sf_dir)
+    return frames.compare_runs(rec, fb, recipes, None, golden=fx.golden_items(spark, sf_dir))
+
+
+@register("compare_runs", _compare_sql(RECIPES))
+def q_compare_runs(spark, sf_dir):
+    return _compare(spark, sf_dir, RECIPES)
+
+
+@register("compare_diff", _compare_sql(PAIR))
+def q_compare_diff(spark, sf_dir):
+    return _compare(spark, sf_dir, PAIR)
+
+
+_PAGE_ORDER = "latency__diff DESC NULLS LAST, dataset NULLS FIRST, input NULLS FIRST, record_id_click NULLS FIRST, record_id_view NULLS FIRST"
+
+
+@register(
+    "compare_page",
+    _compare_sql(
+        PAIR,
+        f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY {_PAGE_ORDER}) AS BIGINT) AS row_pos
+        FROM cmp WHERE answer_relevance__diff > 0) WHERE row_pos BETWEEN 11 AND 20""",
+    ),
+)
+def q_compare_page(spark, sf_dir):
+    cmp = _compare(spark, sf_dir, PAIR)
+    return frames.compare_page(
+        cmp,
+        where=F.col("answer_relevance__diff") > 0,
+        order_by=[F.col("latency__diff").desc_nulls_last()],
+        page=1,
+        size=10,
+        tie_break=["dataset", "input", "record_id_click", "record_id_view"],
+    )
+
+
+# ---------------------------------------------------------------- filters / options
+_FILTERS = {
+    "seg_hot": {"seg": "s3", "hot": True},
+    "k_number": {"k": 69},
+    "k_as_text": {"k": "69"},
+}
+_FILTER_SQL = {
+    "seg_hot": "json_type(metadata, '$.seg') = 'VARCHAR' AND json_extract_string(metadata, '$.seg') = 's3' "
+    "AND json_type(metadata, '$.hot') = 'BOOLEAN' AND json_extract_string(metadata, '$.hot') = 'true'",
+    "k_number": "json_type(metadata, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') "
+    "AND CAST(json_extract_string(metadata, '$.k') AS DOUBLE) = 69",
+    "k_as_text": "json_type(metadata, '$.k') = 'VARCHAR' AND json_extract_string(metadata, '$.k') = '69'",
+}
+
+
+@register(
+    "metadata_filter",
+    O.with_ctes(*O.FRAMES)
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS filter, recipe, dataset, record_id, round(latency, 6) AS latency, "
+        f"round(answer_relevance, 6) AS answer_relevance FROM run_frame WHERE {cond}"
+        for name, cond in _FILTER_SQL.items()
+    ),
+)
+def q_metadata_filter(spark, sf_dir):
+    rec, fb = _store(spark, sf_dir)
+    parts = []
+    for name, filt in _FILTERS.items():
+        rf = frames.run_frame(rec, fb, metadata_filter=filt, metrics=METRICS)
+        parts.append(rf.select(F.lit(name).alias("filter"), "recipe", "dataset", "record_id", "latency", "answer_relevance"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(
+    "metadata_options",
+    O.with_ctes(*O.STORE)
+    + """, vals AS (
+  SELECT DISTINCT r.dataset, j.key,
+    CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$'
+         WHEN j.type = 'BOOLEAN' THEN CAST(j.value AS VARCHAR)
+         ELSE CAST(CAST(j.value AS DOUBLE) AS VARCHAR) END AS value,
+    CASE WHEN j.type = 'VARCHAR' THEN 's' WHEN j.type = 'BOOLEAN' THEN 'b' ELSE 'n' END AS kind
+  FROM records r, json_each(r.metadata) j
+  WHERE j.type IN ('VARCHAR', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE')
+)
+SELECT dataset, key, CAST(count(*) AS BIGINT) AS n_values,
+  '<all>|' || array_to_string(list_sort(list(value)), '|') AS "values"
+FROM vals GROUP BY dataset, key HAVING count(*) <= 50""",
+)
+def q_metadata_options(spark, sf_dir):
+    opts = options.metadata_options(fx.records(spark, sf_dir))
+    return opts.select("dataset", "key", "n_values", F.array_join("values", "|").alias("values"))
+
+
+@register(
+    "recipe_catalog",
+    O.with_ctes(*O.STORE)
+    + """, runs AS (SELECT DISTINCT recipe, dataset FROM records),
+cat AS (SELECT dataset, list_sort(list(recipe)) AS recipes FROM runs GROUP BY dataset)
+SELECT r.dataset, r.recipe,
+  'ingredients,llm_provider,method_name,model_name,script_path' AS visible_keys,
+  CAST(length(r.recipe) * 50 AS BIGINT) AS chunk_size,
+  array_to_string(c.recipes, ',') AS recipes
+FROM runs r JOIN cat c USING (dataset)""",
+)
+def q_recipe_catalog(spark, sf_dir):
+    cat = options.recipe_catalog(fx.runs(spark, sf_dir))
+    return cat.select(
+        "dataset", "recipe",
+        F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("visible_keys"),
+        F.try_variant_get(F.col("metadata")["ingredients"], "$.chunk_size", "long").alias("chunk_size"),
+        F.array_join("recipes", ",").alias("recipes"),
+    )
