@@ -16,7 +16,7 @@ records_base AS (
     concat('ds', e.user_id % 3) AS dataset,
     concat('r', e.event_id) AS record_id,
     concat('q', e.event_id // 5) AS input,
-    concat('a', e.event_id) AS output,
+    concat('a-', e.event_id, '.', {K}) AS output,
     concat('{{"k":', {K}, ',"seg":"s', e.event_id % 7, '","hot":',
            CASE WHEN e.event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}}') AS metadata,
     [{{'page_content': b0.text, 'metadata': concat('{{"item":', b0.item_id, '}}')}},

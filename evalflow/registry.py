@@ -361,3 +361,146 @@ def q_recipe_catalog(spark, sf_dir):
         F.try_variant_get(F.col("metadata")["ingredients"], "$.chunk_size", "long").alias("chunk_size"),
         F.array_join("recipes", ",").alias("recipes"),
     )
+
+
+# ---------------------------------------------------------------- drill-down
+from evalflow.functions.text import decode_text, encode_text  # noqa: E402
+from evalflow.operators import details  # noqa: E402
+
+_CALLS_SQL = """
+, calls0 AS (
+  SELECT recipe, dataset, record_id, name, last_ts,
+    generate_subscripts(calls, 1) - 1 AS pos, unnest(calls) AS call
+  FROM feedbacks
+),
+calls AS (
+  SELECT recipe, dataset, record_id, name, last_ts, pos,
+    call.reason AS reason, call.reasons AS reasons, call.context AS context, call.score AS score
+  FROM calls0
+)
+"""
+
+
+def _split_sql(r: str) -> tuple[str, str]:
+    """Criteria / Supporting Evidence split of a reason, in DuckDB SQL."""
+    ws = r"'^\s+|\s+$', '', 'g'"
+    p1 = f"strpos({r}, 'Criteria:')"
+    n1 = f"strpos({r}, 'Supporting Evidence:')"
+    end1 = f"(CASE WHEN {n1} > 0 THEN {n1} - 1 ELSE length({r}) END)"
+    s1 = f"({p1} - 1 + 9)"
+    crit = f"CASE WHEN {p1} > 0 THEN regexp_replace(substr({r}, {s1} + 1, greatest({end1} - {s1}, 0)), {ws}) END"
+    rest = f"(CASE WHEN {p1} > 0 THEN substr({r}, {end1} + 1) ELSE {r} END)"
+    p2 = f"strpos({rest}, 'Supporting Evidence:')"
+    s2 = f"({p2} - 1 + 20)"
+    evid = (
+        f"CASE WHEN {p2} > 0 THEN regexp_replace(substr({rest}, {s2} + 1, "
+        f"greatest(length({rest}) - {s2}, 0)), {ws}) END"
+    )
+    return crit, evid
+
+
+_CRIT, _EVID = _split_sql("reason")
+
+
+@register(
+    "record_details",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + """SELECT recipe, dataset, record_id, name,
+  CAST(row_number() OVER (PARTITION BY recipe, dataset, record_id, name ORDER BY last_ts, pos) AS BIGINT) AS call_idx,
+  reason, reasons, context, round(score, 6) AS score
+FROM calls""",
+)
+def q_record_details(spark, sf_dir):
+    d = details.record_details(fx.feedbacks(spark, sf_dir))
+    ex = d.select(*details.REC_KEYS, "name", F.posexplode("calls").alias("i", "c"))
+    return ex.select(
+        *details.REC_KEYS, "name", (F.col("i") + 1).cast("long").alias("call_idx"),
+        "c.reason", "c.reasons", "c.context", "c.score",
+    )
+
+
+@register(
+    "record_contexts",
+    O.with_ctes(*O.STORE)
+    + """SELECT recipe, dataset, record_id, CAST(chunk AS BIGINT) AS chunk, substr(c.page_content, 1, 200) AS preview,
+  c.page_content AS page_content, c.metadata AS metadata
+FROM (SELECT recipe, dataset, record_id, generate_subscripts(contexts, 1) AS chunk, unnest(contexts) AS c FROM records)""",
+)
+def q_record_contexts(spark, sf_dir):
+    return details.record_contexts(fx.records(spark, sf_dir))
+
+
+@register(
+    "reason_split",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + f"""SELECT recipe, dataset, record_id, name, CAST(pos AS BIGINT) AS pos,
+  {_CRIT} AS criteria, {_EVID} AS supporting_evidence
+FROM calls WHERE reason IS NOT NULL""",
+)
+def q_reason_split(spark, sf_dir):
+    calls = details.record_calls(fx.feedbacks(spark, sf_dir)).where(F.col("reason").isNotNull())
+    out = details.reason_fields(calls)
+    return out.select(*details.REC_KEYS, "name", F.col("pos").cast("long").alias("pos"), "criteria", "supporting_evidence")
+
+
+@register(
+    "context_reasons",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + f""", ctx AS (
+  SELECT recipe, dataset, record_id, generate_subscripts(contexts, 1) - 1 AS pos, unnest(contexts).page_content AS context
+  FROM records
+),
+idx AS (SELECT recipe, dataset, record_id, context, max(pos) AS context_index FROM ctx GROUP BY ALL)
+SELECT c.recipe, c.dataset, c.record_id, CAST(c.pos AS BIGINT) AS pos, CAST(i.context_index AS BIGINT) AS context_index,
+  {_CRIT.replace("reason", "c.reason")} AS criteria, {_EVID.replace("reason", "c.reason")} AS supporting_evidence,
+  round(c.score, 6) AS score
+FROM calls c LEFT JOIN idx i ON i.recipe = c.recipe AND i.dataset = c.dataset AND i.record_id = c.record_id
+  AND i.context = c.context
+WHERE c.name = 'context_relevance'""",
+)
+def q_context_reasons(spark, sf_dir):
+    out = details.context_reasons(fx.records(spark, sf_dir), fx.feedbacks(spark, sf_dir))
+    return out.drop("last_ts").withColumn("pos", F.col("pos").cast("long"))
+
+
+_MEASURES = [*METRICS, "total_tokens", "latency"]
+_REPORT_KEYS = ["dataset", "input", "record_id_click", "record_id_view"]
+
+
+def _report_sql() -> str:
+    esc = r"""replace(regexp_replace(coalesce(output_{r}, ''), '([\\`*_{{}}\[\]()#+,\-.!|])', '\\\1', 'g'), chr(10), ' ')"""
+    keys = ", ".join(_REPORT_KEYS)
+    parts = [f"SELECT {keys}, 'Answer' AS legend, " + ", ".join(f"{esc.format(r=r)} AS {r}" for r in PAIR) + " FROM cmp"]
+    for m in _MEASURES:
+        if m == "total_tokens":
+            cells = ", ".join(f"coalesce(CAST({m}_{r} AS VARCHAR), '') AS {r}" for r in PAIR)
+        else:
+            cells = ", ".join(f"coalesce(printf('%.2f', {m}_{r}), '') AS {r}" for r in PAIR)
+        parts.append(f"SELECT {keys}, '{m}' AS legend, {cells} FROM cmp")
+    return " UNION ALL ".join(parts)
+
+
+def _compare_raw_sql(recipes: list[str], tail: str) -> str:
+    """Comparison without output rounding (report cells format raw values)."""
+    sql = _compare_sql(recipes, tail)
+    for c in ["latency", *METRICS]:
+        for r in recipes:
+            sql = sql.replace(f"round(w.{c}_{r}, 6) AS {c}_{r}", f"w.{c}_{r}")
+    return sql
+
+
+@register("report_cells", _compare_raw_sql(PAIR, _report_sql()))
+def q_report_cells(spark, sf_dir):
+    rec, fb = _store(spark, sf_dir)
+    cmp = frames.compare_runs(rec, fb, PAIR, None, golden=fx.golden_items(spark, sf_dir))
+    return details.report_cells(cmp, PAIR, _MEASURES, keys=_REPORT_KEYS)
+
+
+@register("decode_text", "SELECT conv_id, turn, role, text FROM conversations")
+def q_decode_text(spark, sf_dir):
+    conv = fx.read_table(spark, sf_dir, "conversations")
+    stored = conv.select("conv_id", "turn", "role", encode_text("text").alias("stored"))
+    return stored.select("conv_id", "turn", "role", decode_text("stored").alias("text"))

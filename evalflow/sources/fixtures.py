@@ -68,7 +68,7 @@ def _event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ds"), (F.col("user_id") % 3).cast("string")).alias("dataset"),
         F.concat(F.lit("r"), eid.cast("string")).alias("record_id"),
         F.concat(F.lit("q"), F.floor(eid / 5).cast("string")).alias("input"),
-        F.concat(F.lit("a"), eid.cast("string")).alias("output"),
+        F.concat(F.lit("a-"), eid.cast("string"), F.lit("."), _k()).alias("output"),
         metadata.alias("metadata"),
         F.array(ctx("b0_text", "b0_id"), ctx("b1_text", "b1_id")).alias("contexts"),
         (_k().cast("bigint") * 10).alias("n_tokens"),
