@@ -160,3 +160,21 @@ def with_ctes(*ctes: str) -> str:
 STORE = (RECORDS_BASE, RECORDS, FEEDBACKS)
 FRAMES = (*STORE, WIDE, RUN_FRAME)
 CHARTS = (*FRAMES, CHART)
+
+RECIPES = """
+recipes AS (
+  SELECT t, cs, [{'key': 'source', 'value': t}, {'key': 'chunk_size', 'value': CAST(cs AS VARCHAR)},
+                 {'key': 'k', 'value': CAST(length(t) AS VARCHAR)}] AS ingredients
+  FROM (SELECT DISTINCT event_type AS t FROM events) CROSS JOIN (VALUES (100), (200)) v(cs)
+),
+named AS (
+  SELECT *, array_to_string(list_transform(ingredients, lambda e: e.key || '_' || e.value), '_') AS recipe
+  FROM recipes
+),
+plan AS (
+  SELECT 'ingest' AS step, concat_ws('_', 'ingest', 'pipelines/ingest.py', 'ingest_documents', 'chunk_size_' || cs) AS pipeline_key,
+    recipe FROM named
+  UNION ALL
+  SELECT 'query', concat_ws('_', 'query', 'pipelines/query.py', 'query_pipeline', 'chunk_size_' || cs || '_k_' || length(t)),
+    recipe FROM named
+)"""

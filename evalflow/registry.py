@@ -504,3 +504,122 @@ def q_decode_text(spark, sf_dir):
     conv = fx.read_table(spark, sf_dir, "conversations")
     stored = conv.select("conv_id", "turn", "role", encode_text("text").alias("stored"))
     return stored.select("conv_id", "turn", "role", decode_text("stored").alias("text"))
+
+
+# ---------------------------------------------------------------- planning
+from evalflow.plans import planning  # noqa: E402
+from evalflow.sources import questions as qs  # noqa: E402
+
+_SUBSETS = ["simple", "comparison", "multi-hop"]
+_KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in qs.QUESTION_KINDS) + "]"
+
+
+@register(
+    "questions_load",
+    f"""SELECT concat('conv', u.conv_id % 2) AS dataset, u.conv_id * 100 + u.turn AS pos, u.text AS query,
+  a.text AS ground_truth,
+  to_json({{'conv_id': u.conv_id, 'question_type': {_KINDS_SQL}[((u.conv_id + u.turn) % 8) + 1], 'turn': u.turn}}) AS metadata
+FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user' AND a.text IS NOT NULL AND u.text IS NOT NULL
+  AND {_KINDS_SQL}[((u.conv_id + u.turn) % 8) + 1] IN ({", ".join(f"'{s}'" for s in _SUBSETS)})""",
+)
+def q_questions_load(spark, sf_dir):
+    raw = fx.conversation_questions(spark, sf_dir)
+    ds = F.concat(F.lit("conv"), (F.col("conv_id") % 2).cast("string"))
+    pos = F.col("conv_id") * 100 + F.col("turn")
+    return qs.questions_from_frame(raw, ds, pos, _SUBSETS)
+
+
+_QI = O.with_ctes(O.QUERY_ITEMS)
+
+
+@register(
+    "sample_exact",
+    _QI
+    + """SELECT dataset, pos, query FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset
+      ORDER BY CAST('0x' || substr(md5(concat('42:', pos)), 1, 15) AS BIGINT), pos) AS rn,
+    count(*) OVER (PARTITION BY dataset) AS n
+  FROM query_items) WHERE rn <= floor(CAST(0.5 AS DOUBLE) * n)""",
+)
+def q_sample_exact(spark, sf_dir):
+    qi = fx.query_items(spark, sf_dir)
+    return planning.sample_exact(qi, 0.5, seed=42).select("dataset", "pos", "query")
+
+
+def _plans(spark, sf_dir):
+    rec = fx.recipes(spark, sf_dir)
+    ingest = planning.pipeline_keys(rec, ["chunk_size"], "ingest", "pipelines/ingest.py", "ingest_documents")
+    query = planning.pipeline_keys(rec, ["chunk_size", "k"], "query", "pipelines/query.py", "query_pipeline")
+    return ingest, query
+
+
+@register(
+    "recipe_plan",
+    O.with_ctes(O.RECIPES)
+    + """SELECT step, pipeline_key, count(*) AS n_recipes, string_agg(recipe, ',' ORDER BY recipe) AS recipes
+FROM plan GROUP BY step, pipeline_key""",
+)
+def q_recipe_plan(spark, sf_dir):
+    ingest, query = _plans(spark, sf_dir)
+    both = ingest.unionByName(query)
+    return both.select(
+        "step", "pipeline_key", F.size("recipes").cast("long").alias("n_recipes"),
+        F.array_join("recipes", ",").alias("recipes"),
+    )
+
+
+_WORK_SQL = O.with_ctes(O.QUERY_ITEMS, O.RECIPES) + """,
+work AS (
+  SELECT k.pipeline_key AS recipe, q.dataset, q.pos, q.query
+  FROM query_items q CROSS JOIN (SELECT DISTINCT pipeline_key FROM plan WHERE step = 'query') k
+),
+recorded AS (
+  SELECT w.recipe, w.dataset, w.query FROM work w
+  WHERE w.recipe LIKE '%chunk_size_100%'
+    AND w.pos // 100 IN (SELECT conv_id FROM conversations WHERE role = 'system')
+),
+remaining AS (
+  SELECT * FROM work w WHERE NOT EXISTS (
+    SELECT 1 FROM recorded r WHERE r.recipe = w.recipe AND r.dataset = w.dataset AND r.query = w.query)
+)
+"""
+
+
+def _work(spark, sf_dir):
+    _, query = _plans(spark, sf_dir)
+    qi = fx.query_items(spark, sf_dir).select("dataset", "pos", "query", "conv_id")
+    work = planning.work_plan(qi, query)
+    conv = fx.read_table(spark, sf_dir, "conversations")
+    system = conv.where(F.col("role") == "system").select("conv_id").distinct()
+    recorded = (
+        work.where(F.col("recipe").contains("chunk_size_100"))
+        .join(system, "conv_id", "left_semi")
+        .select("recipe", "dataset", encode_text("query").alias("input"))
+    )
+    return work.drop("conv_id"), recorded
+
+
+@register("work_plan", _WORK_SQL + "SELECT recipe, dataset, pos, query FROM work")
+def q_work_plan(spark, sf_dir):
+    work, _ = _work(spark, sf_dir)
+    return work
+
+
+@register("resume_pending", _WORK_SQL + "SELECT recipe, dataset, pos, query FROM remaining")
+def q_resume_pending(spark, sf_dir):
+    work, recorded = _work(spark, sf_dir)
+    return planning.pending(work, recorded)
+
+
+@register(
+    "run_progress",
+    _WORK_SQL
+    + """SELECT w.recipe, w.dataset, count(*) AS questions,
+  count(*) - (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) AS finished,
+  count(*) * 4 AS feedbacks
+FROM work w GROUP BY w.recipe, w.dataset""",
+)
+def q_run_progress(spark, sf_dir):
+    work, recorded = _work(spark, sf_dir)
+    return planning.progress(work, planning.pending(work, recorded))

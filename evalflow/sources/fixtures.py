@@ -233,16 +233,34 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipe rows (name, ordered ingredients) derived from the event types:
-    two chunk sizes x the type-dependent ``k``."""
+    """Recipe rows with ordered ingredients derived from the event types:
+    source = type, chunk_size in {100, 200}, k = length of the type name."""
     types = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("t")).distinct()
-    sizes = F.explode(F.array(F.lit(100), F.lit(200))).alias("chunk_size")
-    rows = types.select("t", sizes)
+    rows = types.select("t", F.explode(F.array(F.lit(100), F.lit(200))).alias("chunk_size"))
     ingredients = F.array(
+        F.struct(F.lit("source").alias("key"), F.col("t").alias("value")),
         F.struct(F.lit("chunk_size").alias("key"), F.col("chunk_size").cast("string").alias("value")),
         F.struct(F.lit("k").alias("key"), F.length("t").cast("string").alias("value")),
     )
-    return rows.select(
-        F.col("t").alias("source"),
-        ingredients.alias("ingredients"),
+    return rows.select(ingredients.alias("ingredients"))
+
+
+# Question kinds assigned to conversation turns for the loader fixture.
+def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw question rows as a JSON-lines question file would hold them:
+    query, answer (null when the user turn got no reply), question_type and
+    the extra fields conv_id and turn."""
+    from evalflow.sources.questions import QUESTION_KINDS
+
+    conv = read_table(spark, sf_dir, "conversations")
+    u = conv.where(F.col("role") == "user").alias("u")
+    a = conv.where(F.col("role") == "assistant").alias("a")
+    j = u.join(a, (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1), "left")
+    kinds = F.array(*[F.lit(k) for k in QUESTION_KINDS])
+    return j.select(
+        F.col("u.conv_id").alias("conv_id"),
+        F.col("u.text").alias("query"),
+        F.col("a.text").alias("answer"),
+        F.element_at(kinds, ((F.col("u.conv_id") + F.col("u.turn")) % len(QUESTION_KINDS) + 1).cast("int")).alias("question_type"),
+        F.col("u.turn").alias("turn"),
     )
