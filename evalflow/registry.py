@@ -623,3 +623,82 @@ FROM work w GROUP BY w.recipe, w.dataset""",
 def q_run_progress(spark, sf_dir):
     work, recorded = _work(spark, sf_dir)
     return planning.progress(work, planning.pending(work, recorded))
+
+
+# ---------------------------------------------------------------- metrics
+from evalflow.operators import metrics as met  # noqa: E402
+
+
+def _t(x: str) -> str:
+    return rf"coalesce(list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')), [])"
+
+
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len({a}) END"
+
+
+_MET_SQL = {
+    "answer_correctness": (
+        f"CASE WHEN e.ground_truth IS NOT NULL AND len({_t('e.output')}) > 0 AND len({_t('e.ground_truth')}) > 0 "
+        f"THEN CAST(2 AS DOUBLE) * len(list_intersect({_t('e.output')}, {_t('e.ground_truth')})) "
+        f"/ (len({_t('e.output')}) + len({_t('e.ground_truth')})) END",
+        "1",
+    ),
+    "answer_relevance": (_share(_t("e.input"), _t("e.output")), "1"),
+    "context_relevance": (
+        f"CASE WHEN len(e.contexts) > 0 THEN list_reduce(list_transform(e.contexts, lambda c: "
+        f"{_share(_t('e.input'), _t('c.page_content'))}), lambda a, b: a + b) / len(e.contexts) END",
+        "len(e.contexts)",
+    ),
+    "groundedness": (
+        _share(_t("e.output"), f"list_distinct(flatten(list_transform(e.contexts, lambda c: {_t('c.page_content')})))"),
+        "1",
+    ),
+}
+
+_EVAL_BASE = O.with_ctes(O.QUERY_ITEMS, O.EVAL_RECORDS) + """,
+gt AS (SELECT dataset, query, arg_max(ground_truth, pos) AS gt FROM query_items GROUP BY dataset, query),
+e AS (
+  SELECT r.recipe, r.dataset, r.record_id, r.input, r.output, r.contexts, gt.gt AS ground_truth
+  FROM eval_records r LEFT JOIN gt ON gt.dataset = r.dataset AND gt.query = r.input
+)
+"""
+
+
+def _eval_records(spark, sf_dir):
+    return fx.eval_records(spark, sf_dir).drop("ground_truth", "pos")
+
+
+def _metric_query(name: str):
+    expr, ncalls = _MET_SQL[name]
+    sql = _EVAL_BASE + (
+        f"SELECT e.recipe, e.dataset, e.record_id, round({expr}, 6) AS result, CAST({ncalls} AS BIGINT) AS n_calls FROM e"
+    )
+
+    def q(spark, sf_dir):
+        fb = met.evaluate(_eval_records(spark, sf_dir), fx.query_items(spark, sf_dir), metrics=[name])
+        return fb.select(*met.REC_KEYS, "result", F.size("calls").cast("long").alias("n_calls"))
+
+    register(f"metric_{name}", sql)(q)
+
+
+for _m in met.METRIC_NAMES:
+    _metric_query(_m)
+
+_EVAL_ALL_SQL = _EVAL_BASE + " UNION ALL ".join(
+    f"SELECT e.recipe, e.dataset, e.record_id, '{m}' AS name, 'done' AS status, round({expr}, 6) AS result, "
+    f"CAST({ncalls} AS BIGINT) AS n_calls FROM e"
+    for m, (expr, ncalls) in _MET_SQL.items()
+)
+
+
+@register("evaluate", _EVAL_ALL_SQL)
+def q_evaluate(spark, sf_dir):
+    fb = met.evaluate(_eval_records(spark, sf_dir), fx.query_items(spark, sf_dir))
+    return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
+
+
+@register("evaluate_udf", _EVAL_ALL_SQL)
+def q_evaluate_udf(spark, sf_dir):
+    fb = met.evaluate_with_judge(_eval_records(spark, sf_dir), met.LexicalJudge(), fx.query_items(spark, sf_dir))
+    return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
