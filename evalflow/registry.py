@@ -702,3 +702,137 @@ def q_evaluate(spark, sf_dir):
 def q_evaluate_udf(spark, sf_dir):
     fb = met.evaluate_with_judge(_eval_records(spark, sf_dir), met.LexicalJudge(), fx.query_items(spark, sf_dir))
     return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
+
+
+# ---------------------------------------------------------------- ingest / retrieval
+from evalflow.functions.text import build_prompt  # noqa: E402
+from evalflow.operators import ingest, retrieval  # noqa: E402
+
+
+@register(
+    "pages_text",
+    r"""SELECT page_id, url, regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'),
+      '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
+      '(?s)<!--.*?-->', ' ', 'g'),
+      '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+  '[ ' || chr(9) || chr(10) || chr(13) || chr(12) || ']+', ' ', 'g'), '^ | $', '', 'g') AS text
+FROM pages""",
+)
+def q_pages_text(spark, sf_dir):
+    pages = fx.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", ingest.html_to_text("html").alias("text"))
+
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(text, '[ ' || chr(9) || chr(10) || chr(13) || chr(12) || ']+'), lambda w: w <> '')"
+
+
+def _chunks_sql(size: int, where: str = "TRUE") -> str:
+    step = size - ingest.default_overlap(size)
+    return f"""(
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(len(w[i * {step} + 1 : i * {step} + {size}]) AS INTEGER) AS n_words,
+    array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS text
+  FROM (
+    SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {size} THEN 1
+                                    ELSE CAST(ceil((len(w) - {size}) / {step}) AS BIGINT) + 1 END)) AS i
+    FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE {where})
+  )
+)"""
+
+
+@register("chunk_window", f"SELECT * FROM {_chunks_sql(100)}")
+def q_chunk_window(spark, sf_dir):
+    return ingest.chunk_window(fx.read_table(spark, sf_dir, "documents"), 100)
+
+
+@register("chunk_recursive")
+def q_chunk_recursive(spark, sf_dir):
+    return ingest.chunk_recursive(fx.read_table(spark, sf_dir, "documents"), 100)
+
+
+@register("chunk_embed")
+def q_chunk_embed(spark, sf_dir):
+    chunks = ingest.chunk_window(fx.read_table(spark, sf_dir, "documents"), 100)
+    emb = ingest.embed(chunks)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return emb.select("doc_id", "chunk_id", F.size("embedding").cast("long").alias("dim"), norm.alias("norm"))
+
+
+@register(
+    "chunk_upsert",
+    f"""SELECT doc_id, chunk_id, 100 AS size, n_words FROM {_chunks_sql(100)} o
+WHERE o.doc_id NOT IN (SELECT DISTINCT doc_id FROM {_chunks_sql(200, "lang = 'de'")})
+UNION ALL
+SELECT doc_id, chunk_id, 200 AS size, n_words FROM {_chunks_sql(200, "lang = 'de'")}""",
+)
+def q_chunk_upsert(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents")
+    old = ingest.chunk_window(docs, 100).withColumn("size", F.lit(100))
+    new = ingest.chunk_window(docs.where(F.col("lang") == "de"), 200).withColumn("size", F.lit(200))
+    return ingest.upsert_chunks(old, new).select("doc_id", "chunk_id", "size", "n_words")
+
+
+_KNN_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS sim
+  FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id
+),
+ranked AS (
+  SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank
+  FROM pairs
+)
+"""
+
+
+def _knn(spark, sf_dir):
+    emb = fx.read_table(spark, sf_dir, "embeddings")
+    return retrieval.retrieve_topk(emb.withColumnRenamed("vec_id", "query_id"), emb, k=5, exclude_self=True)
+
+
+@register(
+    "retrieve_topk",
+    _KNN_SQL + "SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS similarity FROM ranked WHERE rank <= 5",
+)
+def q_retrieve_topk(spark, sf_dir):
+    return _knn(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(
+    "retrieve_contexts",
+    _KNN_SQL + "SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS context_ids FROM ranked WHERE rank <= 5 GROUP BY query_id",
+)
+def q_retrieve_contexts(spark, sf_dir):
+    ctx = retrieval.contexts_for(_knn(spark, sf_dir))
+    return ctx.select("query_id", F.array_join(F.transform("context_ids", lambda x: x.cast("string")), ",").alias("context_ids"))
+
+
+# --- fixed values that must equal the reference's output -----------------
+# Prompt template of the example query pipeline.
+PROMPT_TEMPLATE = """
+    Answer the question based only on the supplied context. If you don't know the answer, say: "I don't know".
+    Context: {context}
+    Question: {question}
+    Your answer:
+    """
+# --------------------------------------------------------------------------
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@register(
+    "prompt_build",
+    O.with_ctes(O.QUERY_ITEMS, O.EVAL_RECORDS)
+    + f"""SELECT record_id, replace(replace({_sql_str(PROMPT_TEMPLATE)}, '{{context}}',
+    coalesce(array_to_string(list_transform(contexts, lambda c: c.page_content), chr(10) || chr(10)), '')),
+  '{{question}}', coalesce(input, '')) AS prompt
+FROM eval_records""",
+)
+def q_prompt_build(spark, sf_dir):
+    rec = fx.eval_records(spark, sf_dir)
+    return rec.select("record_id", build_prompt("contexts", "input", PROMPT_TEMPLATE).alias("prompt"))
