@@ -836,3 +836,89 @@ FROM eval_records""",
 def q_prompt_build(spark, sf_dir):
     rec = fx.eval_records(spark, sf_dir)
     return rec.select("record_id", build_prompt("contexts", "input", PROMPT_TEMPLATE).alias("prompt"))
+
+
+# ---------------------------------------------------------------- streaming
+from evalflow.session import scratch_path  # noqa: E402
+from evalflow.sources.store import RunStore  # noqa: E402
+from evalflow.streaming import evaluate as streaming  # noqa: E402
+
+
+@register(
+    "retry_pending",
+    O.with_ctes(*O.STORE)
+    + """, n AS (SELECT max(last_ts) AS now FROM feedbacks)
+SELECT recipe, dataset, record_id, name, status FROM feedbacks, n
+WHERE (status = 'failed' AND date_diff('microsecond', last_ts, n.now) / 1e6 > 60)
+   OR (status = 'running' AND date_diff('microsecond', last_ts, n.now) / 1e6 > 30)""",
+)
+def q_retry_pending(spark, sf_dir):
+    fb = fx.feedbacks(spark, sf_dir)
+    now = fb.select(F.max("last_ts")).scalar()
+    return streaming.retry_pending(fb, now)
+
+
+@register("stream_evaluate", _EVAL_ALL_SQL)
+def q_stream_evaluate(spark, sf_dir):
+    root = scratch_path(spark, "stream-evaluate")
+    src = RunStore(spark, f"{root}/source")
+    rec = _eval_records(spark, sf_dir)
+    src.write_records(rec.select("*", *[F.lit(None).alias(c) for c in ("metadata", "n_tokens", "start_time", "end_time", "error")]))
+    store = RunStore(spark, f"{root}/store")
+    q = streaming.evaluate_stream(
+        spark, src.path("records"), store, f"{root}/checkpoint", questions=fx.query_items(spark, sf_dir)
+    )
+    q.awaitTermination()
+    fb = store.feedbacks()
+    return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
+
+
+@register(
+    "stream_status",
+    O.with_ctes(*O.STORE) + "SELECT status, count(*) AS n FROM feedbacks GROUP BY status",
+)
+def q_stream_status(spark, sf_dir):
+    root = scratch_path(spark, "stream-status")
+    store = RunStore(spark, f"{root}/store")
+    store.write_feedbacks(fx.feedbacks(spark, sf_dir))
+    out = f"{root}/counts"
+    q = streaming.status_stream(spark, store.path("feedbacks"), out, f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(out).select("status", F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- pipelines
+from evalflow.plans import pipeline as pipe  # noqa: E402
+
+
+def extractive_pipeline(k: int, chunk_size: int, **_):
+    """Demo query pipeline: answers with the first ``k`` words of the
+    question (deterministic, no external service)."""
+
+    class _P:
+        def invoke(self, question):
+            if question is None:
+                raise ValueError("empty question")
+            return {"answer": " ".join(question.split()[: int(k)]), "contexts": [question[: int(chunk_size)]]}
+
+    return _P()
+
+
+@register("run_pipeline")
+def q_run_pipeline(spark, sf_dir):
+    work, recorded = _work(spark, sf_dir)
+    todo = planning.pending(work, recorded)
+    rec = pipe.run_pipeline(todo, extractive_pipeline, {"k": 5, "chunk_size": 100, "model": "none"})
+    return rec.select("recipe", "dataset", "record_id", "input", "output", "n_tokens", "error")
+
+
+@register("run_experiment")
+def q_run_experiment(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents")
+    recipes = [
+        {"recipe": "size_100_k_2", "chunk_size": 100, "k": 2},
+        {"recipe": "size_100_k_5", "chunk_size": 100, "k": 5},
+        {"recipe": "size_200_k_2", "chunk_size": 200, "k": 2},
+        {"recipe": "size_200_k_5", "chunk_size": 200, "k": 5},
+    ]
+    return pipe.run_experiment(fx.query_items(spark, sf_dir), docs, recipes)
