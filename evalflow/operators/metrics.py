@@ -288,7 +288,7 @@ def evaluate_with_judge(
     """Feedback rows scored by an external ``judge`` (``mapInPandas``).
 
     Judge calls cost money and are not deterministic, so their output is
-    checkpointed (``materialize``) before anything downstream can recompute
+    written once under the checkpoint folder (``materialize``) before anything downstream can recompute
     it. A failed call makes its feedback ``failed`` with a null result.
     Context relevance is the mean over its per-context calls.
     """
@@ -297,10 +297,9 @@ def evaluate_with_judge(
         req = req.repartition(parallelism)
     res = req.mapInPandas(_run_judge(judge), _RES_SCHEMA)
     if materialize:
-        from evalflow.session import checkpoint_dir
+        from evalflow.session import materialize as write_once
 
-        checkpoint_dir(res.sparkSession)
-        res = res.checkpoint(eager=True)
+        res = write_once(res, "judge-calls")
     grouped = res.groupBy(*REC_KEYS, "name").agg(
         F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("result"),
         F.max(F.col("error").isNotNull().cast("int")).alias("_failed"),

@@ -78,22 +78,28 @@ def retrieve_topk(
     table). Ties are broken by the smaller chunk id.
     """
     spark = queries.sparkSession
-    nq = queries.count()
-    nblocks = max(1, math.ceil(nq / block_rows))
     dims = chunks.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    first = queries.select(query_id, vec_col).limit(block_rows + 1).collect()
+    if len(first) <= block_rows:
+        blocks = [first]  # the common case: one block, read once
+    else:
+        nblocks = max(2, math.ceil(queries.count() / block_rows))
+        blocks = []
+        for b in range(nblocks):
+            part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(nblocks)) == b)
+            rows = part.select(query_id, vec_col).limit(2 * block_rows + 1).collect()
+            if len(rows) > 2 * block_rows:
+                raise ValueError("query block larger than its checked bound")
+            blocks.append(rows)
     parts = []
-    for b in range(nblocks):
-        block = queries if nblocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(nblocks)) == b)
-        rows = block.select(query_id, vec_col).limit(2 * block_rows + 1).collect()
-        if len(rows) > 2 * block_rows:
-            raise ValueError("query block larger than its checked bound")
+    src = chunks.select(F.col(chunk_id).cast("long").alias(chunk_id), F.col(vec_col))
+    for rows in blocks:
         if not rows:
             continue
         dim = len(rows[0][1]) if rows[0][1] is not None else (dims[0][0] if dims else 0)
         qids = np.array([r[0] for r in rows], dtype="int64")
         qm = np.array([r[1] if r[1] is not None else [np.nan] * dim for r in rows], dtype="float64")
         bc = spark.sparkContext.broadcast((qids, _unit_rows(qm)))
-        src = chunks.select(F.col(chunk_id).cast("long").alias(chunk_id), F.col(vec_col))
         parts.append(src.mapInArrow(_local_topk(bc, k, exclude_self, chunk_id, vec_col), _HIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], _HIT_SCHEMA + ", rank int")

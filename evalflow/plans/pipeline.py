@@ -3,7 +3,7 @@
 User code runs inside ``mapInPandas``: the pipeline factory is called once
 per task with the ingredients it asks for, each question is invoked with its
 own try/except (an error becomes a record with ``error`` set, never a failed
-job), and the output is checkpointed so that retries and downstream reuse do
+job), and the output is written once under the checkpoint folder so that downstream reuse does
 not call the pipeline again.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.session import checkpoint_dir
+from evalflow.session import materialize
 
 RESERVED = ("kwargs", "_")
 
@@ -70,7 +70,7 @@ def run_pipeline(
     factory: Callable[..., Any],
     ingredients: Mapping[str, Any],
     parallelism: int | None = None,
-    materialize: bool = True,
+    materialized: bool = True,
 ) -> DataFrame:
     """Run every pending question of ``work`` (recipe, dataset, pos, query)
     through the pipeline built by ``factory(**bound ingredients)``.
@@ -112,10 +112,7 @@ def run_pipeline(
     if parallelism:
         src = src.repartition(parallelism)
     out = src.mapInPandas(run, _RECORD_SCHEMA)
-    if materialize:
-        checkpoint_dir(work.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return materialize(out, "records") if materialized else out
 
 
 def ingest_sources(
@@ -170,6 +167,7 @@ def run_experiment(
     """
     from evalflow.operators import frames, ingest, metrics, retrieval, stats
 
+
     qs = questions.withColumn("query_id", F.col("pos").cast("long"))
     q_emb = ingest.embed(qs.select("query_id", F.col("query").alias("text")), dim=dim)
     by_size: dict[int, list[Mapping[str, Any]]] = {}
@@ -179,24 +177,32 @@ def run_experiment(
     for size, rs in sorted(by_size.items()):
         chunks = ingest.chunk_window(documents, size)
         chunks = chunks.withColumn("vec_id", (F.col("doc_id").cast("long") * 1_000_000 + F.col("chunk_id")).cast("long"))
-        emb = ingest.embed(chunks, dim=dim)
+        # ingest writes the chunk store once; retrieval and context texts read it
+        emb = materialize(ingest.embed(chunks, dim=dim), f"chunks-{size}")
         kmax = max(int(r["k"]) for r in rs)
         hits = retrieval.retrieve_topk(q_emb, emb, kmax)
         texts = emb.select("vec_id", "text", F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit("}")).alias("metadata"))
-        for r in rs:
-            ctx = retrieval.contexts_for(hits.where(F.col("rank") <= int(r["k"])), texts)
-            rec = qs.join(ctx, "query_id", "left").select(
-                F.lit(r["recipe"]).alias("recipe"), "dataset",
-                F.concat(F.lit(f"{r['recipe']}:"), F.col("dataset"), F.lit(":"), F.col("pos").cast("string")).alias("record_id"),
-                F.col("query").alias("input"),
-                F.array_join(F.slice(F.split(F.col("contexts")[0]["page_content"], " "), 1, answer_words), " ").alias("output"),
-                F.coalesce("contexts", F.array().cast("array<struct<page_content:string,metadata:string>>")).alias("contexts"),
-                F.lit("{}").alias("metadata"),
-                F.lit(0).cast("long").alias("n_tokens"),
-                F.lit(None).cast("timestamp_ntz").alias("start_time"),
-                F.lit(None).cast("timestamp_ntz").alias("end_time"),
-            )
-            recs = rec if recs is None else recs.unionByName(rec)
+        ctx = retrieval.contexts_for(hits, texts)
+        # one retrieval per chunk size; every recipe of that size takes its
+        # first k contexts, attached with explode (no per-recipe plan)
+        variants = F.array(*[F.struct(F.lit(r["recipe"]).alias("recipe"), F.lit(int(r["k"])).alias("k")) for r in rs])
+        base = qs.join(ctx, "query_id", "left").select("*", F.explode(variants).alias("v"))
+        empty = F.array().cast("array<struct<page_content:string,metadata:string>>")
+        top = F.slice(F.coalesce("contexts", empty), 1, F.col("v.k"))
+        rec = base.select(
+            F.col("v.recipe").alias("recipe"), "dataset",
+            F.concat(F.col("v.recipe"), F.lit(":"), F.col("dataset"), F.lit(":"), F.col("pos").cast("string")).alias("record_id"),
+            F.col("query").alias("input"),
+            F.array_join(F.slice(F.split(top[0]["page_content"], " "), 1, answer_words), " ").alias("output"),
+            top.alias("contexts"),
+            F.lit("{}").alias("metadata"),
+            F.lit(0).cast("long").alias("n_tokens"),
+            F.lit(None).cast("timestamp_ntz").alias("start_time"),
+            F.lit(None).cast("timestamp_ntz").alias("end_time"),
+        )
+        recs = rec if recs is None else recs.unionByName(rec)
+    # records are written before they are scored (both sides of the chart read them)
+    recs = materialize(recs, "records")
     fb = metrics.evaluate(recs.drop("metadata", "n_tokens", "start_time", "end_time"), questions, last_ts=F.localtimestamp())
     chart = frames.chart_data(recs, fb, metrics=list(metrics.METRIC_NAMES))
     return stats.box_stats(chart, list(metrics.METRIC_NAMES))

@@ -15,13 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalflow.functions.text import REASON_KEYS
+from evalflow.session import spread
 
 # Metric names in the order the fixture assigns their formulas.
 METRICS = ("answer_correctness", "answer_relevance", "context_relevance", "groundedness")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A shared test table, spread over the available cores when it arrives
+    as fewer splits (each test file is a single row group)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _k() -> Column:
