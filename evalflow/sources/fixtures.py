@@ -21,10 +21,16 @@ from evalflow.session import spread
 METRICS = ("answer_correctness", "answer_relevance", "context_relevance", "groundedness")
 
 
+# Lookup tables that only feed broadcast joins and scalar counts; spreading
+# them would add a shuffle in front of a broadcast.
+LOOKUPS = ("benchmark",)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared test table, spread over the available cores when it arrives
     as fewer splits (each test file is a single row group)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in LOOKUPS else spread(df)
 
 
 def _k() -> Column:
