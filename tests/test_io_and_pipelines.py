@@ -218,3 +218,46 @@ def test_topk_is_exact_with_ties(spark):
     for q in range(300):
         order = sorted((j for j in range(300) if j != q), key=lambda j: (-round(sims[q, j], 12), j))[:4]
         assert [got[(q, r)] for r in range(1, 5)] == order
+
+
+# ---------------------------------------------------------------- scale properties
+
+
+def test_store_filters_prune_partitions(spark, tmp_dir):
+    from evalflow.operators import frames
+
+    store = RunStore(spark, os.path.join(tmp_dir, "store"))
+    store.write_records(fx.records(spark, SF))
+    store.write_feedbacks(fx.feedbacks(spark, SF))
+    rf = frames.run_frame(store.records(), store.feedbacks(), ["click"], "ds1", metrics=list(metrics.METRIC_NAMES))
+    import re
+
+    plan = rf._jdf.queryExecution().executedPlan().toString()
+    parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    # both scans (records, feedbacks) prune to one recipe and one dataset directory
+    assert len(parts) == 2
+    assert all(re.search(r"recipe#\d+ = click", p) and re.search(r"dataset#\d+ = ds1", p) for p in parts)
+    assert [tuple(r) for r in rf.select("recipe", "dataset").distinct().collect()] == [("click", "ds1")]
+
+
+def test_compare_with_hot_input_is_linear(spark):
+    from evalflow.operators import frames
+
+    rows = []
+    for r in ("x", "y"):
+        for i in range(600):
+            inp = "hot" if i % 3 == 0 else f"q{i}"
+            rows.append((r, "d", f"{r}{i}", inp, "o", "{}", 1, T0, T0))
+    rec = spark.createDataFrame(
+        rows,
+        "recipe string, dataset string, record_id string, input string, output string, metadata string, "
+        "n_tokens long, start_time timestamp_ntz, end_time timestamp_ntz",
+    )
+    fb = spark.createDataFrame(
+        [(r[0], "d", r[2], "m", "done", 0.5, T0) for r in rows],
+        "recipe string, dataset string, record_id string, name string, status string, result double, last_ts timestamp_ntz",
+    )
+    out = frames.compare_runs(rec, fb, ["x", "y"], "d")
+    # 200 copies of the hot question per recipe align one-to-one: 600 rows, not 200 x 200
+    assert out.count() == 600
+    assert out.where(F.col("input") == "hot").count() == 200
