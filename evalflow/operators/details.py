@@ -133,3 +133,19 @@ def report_cells(
             rows.append(cells(m, lambda r, m=m: F.coalesce(format_2f(F.col(f"{m}_{r}").cast("double")), F.lit(""))))
     ex = compare.select(*keys, F.explode(F.array(*rows)).alias("row"))
     return ex.select(*keys, "row.*")
+
+
+def answer_reasons(feedbacks: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """Answer-relevance view: the record's first judge call, its reason
+    split into labels, with the score."""
+    d = record_details(feedbacks.where(F.col("name") == "answer_relevance"), selection)
+    first = d.where(F.size("calls") > 0).select(*REC_KEYS, F.col("calls")[0].alias("c"))
+    out = reason_fields(first.select(*REC_KEYS, F.col("c.reason").alias("reason"), F.col("c.score").alias("score")))
+    return out.select(*REC_KEYS, "criteria", "supporting_evidence", "score")
+
+
+def groundedness_reasons(feedbacks: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """Groundedness view: every call's statement-level ``reasons`` and score
+    (the free-text reason and context are not shown)."""
+    calls = record_calls(feedbacks.where(F.col("name") == "groundedness"), selection)
+    return calls.select(*REC_KEYS, "last_ts", "pos", "reasons", "score")

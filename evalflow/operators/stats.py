@@ -133,3 +133,14 @@ def histogram(chart: DataFrame, metrics: Sequence[str], latency: bool = True) ->
 def status_counts(feedbacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Feedback rows per status (works on batch and streaming frames)."""
     return feedbacks.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare(chart: DataFrame, metrics: Sequence[str], output: str = "box-plots") -> DataFrame:
+    """The comparison report over all recipes and datasets of ``chart``:
+    ``box-plots`` gives the box-plot table, ``histogram-grid`` the score and
+    latency histograms; any other value raises."""
+    if output == "box-plots":
+        return box_plot_table(box_stats(chart, metrics))
+    if output == "histogram-grid":
+        return histogram(chart, metrics, latency=True)
+    raise ValueError(f"Invalid output type: {output}")

@@ -922,3 +922,30 @@ def q_run_experiment(spark, sf_dir):
         {"recipe": "size_200_k_5", "chunk_size": 200, "k": 5},
     ]
     return pipe.run_experiment(fx.query_items(spark, sf_dir), docs, recipes)
+
+
+@register(
+    "answer_reasons",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + f""", firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY recipe, dataset, record_id ORDER BY last_ts, pos) AS rn
+  FROM calls WHERE name = 'answer_relevance'
+)
+SELECT recipe, dataset, record_id, {_CRIT} AS criteria, {_EVID} AS supporting_evidence, round(score, 6) AS score
+FROM firsts WHERE rn = 1""",
+)
+def q_answer_reasons(spark, sf_dir):
+    return details.answer_reasons(fx.feedbacks(spark, sf_dir))
+
+
+@register(
+    "groundedness_reasons",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + "SELECT recipe, dataset, record_id, CAST(pos AS BIGINT) AS pos, reasons, round(score, 6) AS score "
+    "FROM calls WHERE name = 'groundedness'",
+)
+def q_groundedness_reasons(spark, sf_dir):
+    g = details.groundedness_reasons(fx.feedbacks(spark, sf_dir))
+    return g.select(*details.REC_KEYS, F.col("pos").cast("long").alias("pos"), "reasons", "score")

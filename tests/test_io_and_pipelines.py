@@ -261,3 +261,32 @@ def test_compare_with_hot_input_is_linear(spark):
     # 200 copies of the hot question per recipe align one-to-one: 600 rows, not 200 x 200
     assert out.count() == 600
     assert out.where(F.col("input") == "hot").count() == 200
+
+
+def test_load_documents_excludes_hidden_and_dedupes(spark, tmp_dir):
+    from evalflow.sources.documents import list_sources, load_documents
+
+    a, b = os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "b")
+    os.makedirs(a)
+    os.makedirs(b)
+    for folder, name, text in [(a, "one.txt", "first\nfile"), (a, ".hidden", "x"), (a, "_meta", "y"), (b, "two.md", "second")]:
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+    docs = load_documents(spark, [a, b, a])  # overlapping dataset folders
+    got = sorted((os.path.basename(r["path"]), r["text"]) for r in docs.collect())
+    assert got == [("one.txt", "first\nfile"), ("two.md", "second")]
+    assert sorted(os.path.basename(r[0]) for r in list_sources(spark, [a, b, a]).collect()) == ["one.txt", "two.md"]
+
+
+def test_compare_dispatch_and_metric_selection(spark):
+    from evalflow.operators import stats
+
+    chart = spark.createDataFrame([("r", "d", "1", 0.5, 1.0)], "recipe string, dataset string, record_id string, m double, latency double")
+    assert stats.compare(chart, ["m"], "box-plots").count() == 1
+    assert stats.compare(chart, ["m"], "histogram-grid").count() == 60
+    with pytest.raises(ValueError):
+        stats.compare(chart, ["m"], "pie")
+    assert metrics.select_metrics({"groundedness": {"enabled": True}, "answer_relevance": {"enabled": False}}) == ["groundedness"]
+    assert metrics.select_metrics(["groundedness", "answer_correctness"]) == ["answer_correctness", "groundedness"]
+    with pytest.raises(ValueError):
+        metrics.select_metrics(["faithfulness"])
