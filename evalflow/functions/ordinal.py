@@ -5,10 +5,12 @@ group holding a third of the table becomes a single task. ``group_ordinal``
 splits every group into ``buckets`` salted sub-groups by a hash of the
 ordering key, numbers rows inside each sub-group, and adds the exclusive
 prefix count of the earlier sub-groups. The result is a dense 1..n ordinal
-per group, unique and deterministic; it follows ``(salt, order)`` with
-``salt = md5_bucket(order)``, not
-``order`` alone, so use it where any fixed numbering will do (aligning
-duplicates, paging ids), not for "first by time".
+per group, unique and deterministic. A group of n rows yields at most
+min(n, buckets) salts, so the many buckets cost small groups nothing while a
+hot group is cut into up to 65,536 pieces; the prefix window runs over at
+most that many rows per group. The ordinal follows ``(salt, order)`` with
+``salt = md5_bucket(order)``, not ``order`` alone, so use it where any fixed
+numbering will do (aligning duplicates, paging ids), not for "first by time".
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def group_ordinal(
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "ordinal",
-    buckets: int = 256,
+    buckets: int = 1 << 16,
 ) -> DataFrame:
     salted = df.withColumn("_salt", md5_bucket(order, buckets))
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)

@@ -205,7 +205,7 @@ from evalflow.operators import options  # noqa: E402
 
 RECIPES = ["click", "error", "purchase", "signup", "view"]
 PAIR = ["click", "view"]
-SALT = "CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 256"
+SALT = "CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 65536"
 
 
 def _compare_sql(recipes: list[str], tail: str = "") -> str:
