@@ -236,3 +236,28 @@ def test_box_stats_match_pandas(spark):
     assert row["q3"] == pytest.approx(s.quantile(0.75))
     assert row["mean"] == pytest.approx(s.mean())
     assert (row["low"], row["high"]) == (0.1, 0.9)
+
+
+def test_golden_set_mismatch_gives_null_ground_truth(spark):
+    from evalflow.operators import metrics as met
+
+    golden = spark.createDataFrame(
+        [("test", 0, "Query 1", "Response 1"), ("test", 1, "Query 2", "Response 2")],
+        "dataset string, pos long, query string, ground_truth string",
+    )
+    rec = spark.createDataFrame(
+        [("r", "test", "1", "Quéry 1", "Response 1", []), ("r", "test", "2", "Query 2", "Response 2", [])],
+        "recipe string, dataset string, record_id string, input string, output string, "
+        "contexts array<struct<page_content:string,metadata:string>>",
+    )
+    got = {r["record_id"]: r["result"] for r in met.evaluate(rec, golden, ["answer_correctness"]).collect()}
+    assert got == {"1": None, "2": 1.0}
+
+
+def test_box_stats_approximate_mode(spark):
+    vals = [float(i) for i in range(1001)]
+    chart = spark.createDataFrame([("r", "d", str(i), v) for i, v in enumerate(vals)], "recipe string, dataset string, record_id string, m double")
+    exact = stats.box_stats(chart, ["m"]).first()
+    approx = stats.box_stats(chart, ["m"], approx_accuracy=10000).first()
+    assert (exact["q1"], exact["median"], exact["q3"]) == (250.0, 500.0, 750.0)
+    assert abs(approx["median"] - 500.0) <= 1.0 and abs(approx["q3"] - 750.0) <= 1.0
