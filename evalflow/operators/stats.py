@@ -39,28 +39,37 @@ def exact_mean(value: Column) -> Column:
     return F.avg(value.cast("decimal(38,12)")).cast("double")
 
 
-def box_stats(chart: DataFrame, metrics: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
+def box_stats(
+    chart: DataFrame,
+    metrics: Sequence[str],
+    approx_accuracy: int | None = None,
+    two_pass: bool = False,
+    small_group: int = 1_000_000,
+) -> DataFrame:
     """high, low, median, mean, q1, q3 per recipe x dataset x metric.
 
     Quartiles interpolate linearly between order statistics (pandas'
     default); nulls are ignored; a combination with no values has nulls.
-    The exact aggregate keeps one counter per distinct value of a group --
-    small for judge scores (tenths or hundredths). For a continuous measure
-    over huge groups pass ``approx_accuracy`` to use a bounded-memory sketch
-    (``percentile_approx``; rank error about 1/accuracy) instead.
+    The default exact aggregate keeps one counter per distinct value of a
+    group -- small for judge scores (tenths or hundredths). For a continuous
+    measure over huge groups, ``two_pass=True`` stays exact with bounded
+    memory (``exact_quantiles``), and ``approx_accuracy`` trades exactness
+    for a single pass (``percentile_approx``, rank error about 1/accuracy).
     """
     long = metrics_long(chart, metrics, latency=False)
+    keys = ["recipe", "dataset", "metric"]
     qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if approx_accuracy:
-        q = F.percentile_approx(F.col("value"), qs, approx_accuracy).cast("array<double>")
+    simple = [F.max("value").alias("high"), F.min("value").alias("low"), exact_mean(F.col("value")).alias("mean")]
+    if two_pass:
+        agg = long.groupBy(*keys).agg(*simple)
+        quart = exact_quantiles(long, keys, (0.25, 0.5, 0.75), small_group=small_group)
+        agg = agg.join(quart, keys, "left").select(*keys, "high", "low", "mean", F.array("q0", "q1", "q2").alias("_q"))
     else:
-        q = F.percentile(F.col("value"), qs)
-    agg = long.groupBy("recipe", "dataset", "metric").agg(
-        F.max("value").alias("high"),
-        F.min("value").alias("low"),
-        q.alias("_q"),
-        exact_mean(F.col("value")).alias("mean"),
-    )
+        if approx_accuracy:
+            q = F.percentile_approx(F.col("value"), qs, approx_accuracy).cast("array<double>")
+        else:
+            q = F.percentile(F.col("value"), qs)
+        agg = long.groupBy(*keys).agg(*simple, q.alias("_q"))
     return agg.select(
         "recipe", "dataset", "metric", "high", "low",
         F.col("_q")[1].alias("median"), "mean",
@@ -152,3 +161,86 @@ def compare(chart: DataFrame, metrics: Sequence[str], output: str = "box-plots")
     if output == "histogram-grid":
         return histogram(chart, metrics, latency=True)
     raise ValueError(f"Invalid output type: {output}")
+
+
+def exact_quantiles(
+    long: DataFrame,
+    keys: Sequence[str],
+    probs: Sequence[float] = (0.25, 0.5, 0.75),
+    value: str = "value",
+    small_group: int = 1_000_000,
+    accuracy: int = 100_000,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas/NumPy definition) per
+    group, without ever holding a large group's values in one buffer.
+
+    Groups of at most ``small_group`` values use Spark's exact ``percentile``
+    (its buffer is bounded by the group size). Larger groups -- a hot group
+    may hold a third of the table -- take two passes: a bounded-memory sketch
+    (``percentile_approx`` with ``accuracy``, rank error <= n/accuracy) gives
+    a value band around each target rank, then one pass counts the values
+    below the band and keeps the band's distinct values with their counts
+    (about 6n/accuracy of them), and a running count over that small table
+    finds the exact order statistics. Output: keys + ``q<i>`` columns (one
+    per prob, in order).
+    """
+    keys = list(keys)
+    v = F.col(value)
+    data = long.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out_cols = [f"q{i}" for i in range(len(probs))]
+
+    small_keys = sizes.where(F.col("_n") <= small_group).select(*keys)
+    small = data.join(small_keys, keys, "left_semi").groupBy(*keys).agg(
+        F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs])).alias("_q")
+    )
+    small = small.select(*keys, *[F.col("_q")[i].alias(c) for i, c in enumerate(out_cols)])
+
+    big_sizes = sizes.where(F.col("_n") > small_group)
+    big = data.join(big_sizes.select(*keys), keys, "left_semi")
+    eps = 3.0 / accuracy
+    edges = [max(0.0, q - eps) for q in probs] + [min(1.0, q + eps) for q in probs]
+    sketch = big.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(p) for p in edges]), accuracy).alias("_e"))
+    k = len(probs)
+    bounds = sketch.join(big_sizes, keys).select(
+        *keys, "_n", *[F.col("_e")[i].alias(f"_lo{i}") for i in range(k)], *[F.col("_e")[k + i].alias(f"_hi{i}") for i in range(k)]
+    )
+    # one row per group: small enough to send to every task
+    rows = big.join(F.broadcast(bounds), keys)
+    below = rows.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).cast("long").alias(f"_below{i}") for i in range(k)]
+    )
+    in_band = F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i)) for i in range(k)])
+    band = rows.select(*keys, "_v", F.explode(F.filter(in_band, lambda x: x.isNotNull())).alias("_qi"))
+    band = band.groupBy(*keys, "_qi", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_qi").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    band = band.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    per_q = []
+    for i, q in enumerate(probs):
+        b = band.where(F.col("_qi") == i).join(below.select(*keys, F.col(f"_below{i}").alias("_below")), keys)
+        b = b.join(big_sizes, keys)
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        r_lo, r_hi = F.floor(h), F.ceil(h)
+        start = F.col("_below") + F.col("_before")
+        agg = b.groupBy(*keys).agg(
+            F.max(F.when(start <= r_lo, F.col("_v"))).alias("_a"),
+            F.max(F.when(start <= r_hi, F.col("_v"))).alias("_b"),
+            F.min(F.col("_below")).alias("_first"),
+            F.max(start + F.col("_c")).alias("_end"),
+            F.first(h - F.floor(h)).alias("_t"),
+            F.first(r_lo).alias("_rlo"),
+            F.first(r_hi).alias("_rhi"),
+        )
+        covered = (F.col("_first") <= F.col("_rlo")) & (F.col("_end") > F.col("_rhi"))
+        val = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
+        per_q.append(agg.select(*keys, F.when(covered, val).alias(f"q{i}"), covered.alias(f"_ok{i}")))
+    big_out = per_q[0]
+    for p in per_q[1:]:
+        big_out = big_out.join(p, keys)
+    ok = F.lit(True)
+    for i in range(k):
+        ok = ok & F.col(f"_ok{i}")
+    missed = big_out.where(~ok).limit(1).count()
+    if missed:
+        raise ValueError("quantile band did not cover the target rank; raise accuracy")
+    return small.unionByName(big_out.select(*keys, *out_cols))
