@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalflow import oracle as O
-from evalflow.operators import frames, stats
+from evalflow.functions.text import build_prompt, decode_text, encode_text
+from evalflow.operators import details, frames, ingest, options, retrieval, stats
+from evalflow.operators import metrics as met
+from evalflow.plans import pipeline as pipe
+from evalflow.plans import planning
+from evalflow.session import scratch_path
 from evalflow.sources import fixtures as fx
+from evalflow.sources import questions as qs
+from evalflow.sources.store import RunStore
+from evalflow.streaming import evaluate as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,8 +208,6 @@ def q_metric_names(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- compare
-from evalflow.functions.json import metadata_predicate  # noqa: E402
-from evalflow.operators import options  # noqa: E402
 
 RECIPES = ["click", "error", "purchase", "signup", "view"]
 PAIR = ["click", "view"]
@@ -364,8 +370,6 @@ def q_recipe_catalog(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- drill-down
-from evalflow.functions.text import decode_text, encode_text  # noqa: E402
-from evalflow.operators import details  # noqa: E402
 
 _CALLS_SQL = """
 , calls0 AS (
@@ -507,8 +511,6 @@ def q_decode_text(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- planning
-from evalflow.plans import planning  # noqa: E402
-from evalflow.sources import questions as qs  # noqa: E402
 
 _SUBSETS = ["simple", "comparison", "multi-hop"]
 _KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in qs.QUESTION_KINDS) + "]"
@@ -626,7 +628,6 @@ def q_run_progress(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- metrics
-from evalflow.operators import metrics as met  # noqa: E402
 
 
 def _t(x: str) -> str:
@@ -705,8 +706,6 @@ def q_evaluate_udf(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- ingest / retrieval
-from evalflow.functions.text import build_prompt  # noqa: E402
-from evalflow.operators import ingest, retrieval  # noqa: E402
 
 
 @register(
@@ -839,9 +838,6 @@ def q_prompt_build(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-from evalflow.session import scratch_path  # noqa: E402
-from evalflow.sources.store import RunStore  # noqa: E402
-from evalflow.streaming import evaluate as streaming  # noqa: E402
 
 
 @register(
@@ -888,7 +884,6 @@ def q_stream_status(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- pipelines
-from evalflow.plans import pipeline as pipe  # noqa: E402
 
 
 def extractive_pipeline(k: int, chunk_size: int, **_):
