@@ -2,7 +2,6 @@
 runs the same comparison at sf0.01)."""
 
 import math
-import os
 
 import duckdb
 import pytest
