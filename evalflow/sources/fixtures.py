@@ -33,6 +33,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if name in LOOKUPS else spread(df)
 
 
+def _lookup(bench: DataFrame, prefix: str) -> DataFrame:
+    """``benchmark`` keyed uniquely by item id. Grouping by the key tells the
+    optimizer the right side of the left join is unique, so plans that never
+    read the contexts drop the join altogether."""
+    return bench.groupBy(F.col("item_id").alias(f"{prefix}_id")).agg(F.first("text").alias(f"{prefix}_text"))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k")
 
@@ -49,8 +56,8 @@ def _event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     bench = read_table(spark, sf_dir, "benchmark")
     n_bench = bench.select(F.count(F.lit(1))).scalar()
-    b0 = bench.select(F.col("item_id").alias("b0_id"), F.col("text").alias("b0_text"))
-    b1 = bench.select(F.col("item_id").alias("b1_id"), F.col("text").alias("b1_text"))
+    b0 = _lookup(bench, "b0")
+    b1 = _lookup(bench, "b1")
     ev = ev.withColumns(
         {
             "k0": F.pmod(F.col("event_id") * 3, n_bench),
@@ -219,8 +226,8 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c1": F.pmod(F.col("conv_id") * 7 + F.col("turn") + 1, n_bench),
         }
     )
-    b0 = bench.select(F.col("item_id").alias("b0_id"), F.col("text").alias("b0_text"))
-    b1 = bench.select(F.col("item_id").alias("b1_id"), F.col("text").alias("b1_text"))
+    b0 = _lookup(bench, "b0")
+    b1 = _lookup(bench, "b1")
     q = q.join(b0, q.c0 == b0.b0_id, "left").join(b1, q.c1 == b1.b1_id, "left")
 
     def ctx(text: str, item: str) -> Column:
