@@ -136,10 +136,14 @@ def report_cells(
 
 
 def answer_reasons(feedbacks: DataFrame, selection: DataFrame | None = None) -> DataFrame:
-    """Answer-relevance view: the record's first judge call, its reason
-    split into labels, with the score."""
-    d = record_details(feedbacks.where(F.col("name") == "answer_relevance"), selection)
-    first = d.where(F.size("calls") > 0).select(*REC_KEYS, F.col("calls")[0].alias("c"))
+    """Answer-relevance view: the record's first judge call (by feedback
+    ``last_ts``, then position), its reason split into labels, with the
+    score. ``min_by`` keeps one candidate per task before the shuffle, so no
+    call list is gathered."""
+    calls = record_calls(feedbacks.where(F.col("name") == "answer_relevance"), selection)
+    first = calls.groupBy(*REC_KEYS).agg(
+        F.min_by(F.struct("reason", "score"), F.struct("last_ts", "pos")).alias("c")
+    )
     out = reason_fields(first.select(*REC_KEYS, F.col("c.reason").alias("reason"), F.col("c.score").alias("score")))
     return out.select(*REC_KEYS, "criteria", "supporting_evidence", "score")
 

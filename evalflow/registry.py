@@ -876,7 +876,10 @@ def q_stream_evaluate(spark, sf_dir):
 def q_stream_status(spark, sf_dir):
     root = scratch_path(spark, "stream-status")
     store = RunStore(spark, f"{root}/store")
-    store.write_feedbacks(fx.feedbacks(spark, sf_dir))
+    # stage the feedback rows the status stream reads (Parquet fills the
+    # other store columns with nulls)
+    fb = fx.feedbacks(spark, sf_dir).select("recipe", "dataset", "record_id", "name", "status", "result", "last_ts")
+    store.write_feedbacks(fb.select("*", F.lit(None).cast("array<struct<reason:string,reasons:string,context:string,score:double>>").alias("calls")))
     out = f"{root}/counts"
     q = streaming.status_stream(spark, store.path("feedbacks"), out, f"{root}/checkpoint")
     q.awaitTermination()
