@@ -42,10 +42,13 @@ def retry_pending(
     return feedbacks.where(due).select(*REC_KEYS, "name", "status")
 
 
+MAX_PRUNED_PARTITIONS = 1_000
+
+
 def _new_feedback(batch: DataFrame, store: RunStore, scored: DataFrame) -> DataFrame:
-    parts = batch.select("dataset", "recipe").distinct().collect()
+    parts = batch.select("dataset", "recipe").distinct().limit(MAX_PRUNED_PARTITIONS + 1).collect()
     existing = store.feedbacks()
-    if parts:
+    if 0 < len(parts) <= MAX_PRUNED_PARTITIONS:  # else: the semi join alone restricts the rows
         cond = F.lit(False)
         for p in parts:
             cond = cond | ((F.col("dataset") == p["dataset"]) & (F.col("recipe") == p["recipe"]))
