@@ -77,11 +77,17 @@ def evaluate_stream(
     stream = spark.readStream.schema(RECORDS).option("basePath", records_path).parquet(records_path)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        if scorer is not None:
-            scored = scorer(batch)
-        else:
-            scored = evaluate(batch, questions, metrics, last_ts=F.localtimestamp())
-        store.write_feedbacks(_new_feedback(batch, store, scored))
+        # the batch is read three times below (partitions, keys, scoring);
+        # cached blocks lost with an executor are re-read from the files
+        batch = batch.persist()
+        try:
+            if scorer is not None:
+                scored = scorer(batch)
+            else:
+                scored = evaluate(batch, questions, metrics, last_ts=F.localtimestamp())
+            store.write_feedbacks(_new_feedback(batch, store, scored))
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
