@@ -3,11 +3,13 @@
 The query x chunk product is never materialised. Queries are split into
 blocks whose size is checked (``block_rows`` x dim floats); each block is
 broadcast as a NumPy matrix, every chunk partition streams its Arrow
-batches through one matrix product per batch and emits only candidates
+batches through one matrix product per batch and keeps only candidates
 that can still be in a query's top k (similarity >= the running k-th best,
-so ties are kept and the result is exact). A window over at most
-``k x partitions`` candidates per query then ranks them by (similarity
-desc, chunk id).
+so ties are kept and the result is exact), emitting them when the partition
+ends. A window over at most ``(k + ties) x partitions`` candidates per query
+then ranks them by (similarity desc, chunk id). Query ids are made unique
+first and an over-full block is split again, so a repeated id cannot
+overflow a block.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ def _local_topk(bc, k: int, exclude_self: bool, id_col: str, vec_col: str):
         qids, q = bc.value
         dim = q.shape[1]
         best = np.full((len(qids), k), -np.inf)
+        # candidates still at or above their query's running k-th best
+        cand_r = np.zeros(0, dtype="int64")
+        cand_c = np.zeros(0, dtype="int64")
+        cand_s = np.zeros(0, dtype="float64")
         for b in batches:
             if b.num_rows == 0 or len(qids) == 0:
                 continue
@@ -53,15 +59,49 @@ def _local_topk(bc, k: int, exclude_self: bool, id_col: str, vec_col: str):
             best = -np.partition(-merged, k - 1, axis=1)[:, :k]
             thr = best.min(axis=1)
             r, cc = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
-            if len(r):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[r]), pa.array(cids[cc]), pa.array(s[r, cc])],
-                    names=["query_id", "vec_id", "similarity"],
-                )
+            cand_r = np.concatenate([cand_r, r])
+            cand_c = np.concatenate([cand_c, cids[cc]])
+            cand_s = np.concatenate([cand_s, s[r, cc]])
+            keep = cand_s >= thr[cand_r]
+            cand_r, cand_c, cand_s = cand_r[keep], cand_c[keep], cand_s[keep]
+        if len(cand_r):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[cand_r]), pa.array(cand_c), pa.array(cand_s)],
+                names=["query_id", "vec_id", "similarity"],
+            )
 
     return run
 
 
+def _query_blocks(queries: DataFrame, query_id: str, vec_col: str, block_rows: int) -> list[list]:
+    """The query rows in blocks of at most ``2 * block_rows`` rows.
+
+    Queries are first made unique by id (the result is one top-k list per
+    id, and a repeated id would otherwise pile up in one block). Blocks are
+    hash ranges of the id; a block that still comes out larger than its bound
+    is split in two by an independent hash until every piece fits, so no query
+    is dropped and no block exceeds the bound.
+    """
+    q = queries.select(query_id, vec_col).dropDuplicates([query_id])
+    first = q.limit(block_rows + 1).collect()
+    if len(first) <= block_rows:
+        return [first]  # the common case: one block, read once
+    nblocks = max(2, math.ceil(q.count() / block_rows))
+    h = F.pmod(F.xxhash64(F.col(query_id)), F.lit(nblocks))
+    pending = [h == b for b in range(nblocks)]
+    blocks, seed = [], 0
+    while pending:
+        cond = pending.pop()
+        rows = q.where(cond).limit(2 * block_rows + 1).collect()
+        if len(rows) <= 2 * block_rows:
+            blocks.append(rows)
+            continue
+        seed += 1
+        half = F.pmod(F.xxhash64(F.col(query_id), F.lit(seed)), F.lit(2))
+        pending += [cond & (half == 0), cond & (half == 1)]
+    return blocks
+
+
 def retrieve_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -79,18 +119,7 @@ def retrieve_topk(
     """
     spark = queries.sparkSession
     dims = chunks.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    first = queries.select(query_id, vec_col).limit(block_rows + 1).collect()
-    if len(first) <= block_rows:
-        blocks = [first]  # the common case: one block, read once
-    else:
-        nblocks = max(2, math.ceil(queries.count() / block_rows))
-        blocks = []
-        for b in range(nblocks):
-            part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(nblocks)) == b)
-            rows = part.select(query_id, vec_col).limit(2 * block_rows + 1).collect()
-            if len(rows) > 2 * block_rows:
-                raise ValueError("query block larger than its checked bound")
-            blocks.append(rows)
+    blocks = _query_blocks(queries, query_id, vec_col, block_rows)
     parts = []
     src = chunks.select(F.col(chunk_id).cast("long").alias(chunk_id), F.col(vec_col))
     for rows in blocks:

@@ -220,6 +220,32 @@ def test_topk_is_exact_with_ties(spark):
         assert [got[(q, r)] for r in range(1, 5)] == order
 
 
+def test_topk_hot_query_id_and_block_split(spark):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(120, 6)).round(2)
+    chunks = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>"
+    ).repartition(5)
+    # query 7 holds a third of the query rows; blocks of 10 force hash blocks and re-splits
+    qrows = [(i, [float(x) for x in vecs[i]]) for i in range(60)] + [(7, [float(x) for x in vecs[7]])] * 30
+    queries = spark.createDataFrame(qrows, "query_id long, embedding array<float>").repartition(3)
+    blocks = retrieval._query_blocks(queries, "query_id", "embedding", 10)
+    assert max(len(b) for b in blocks) <= 20
+    assert sorted(r[0] for b in blocks for r in b) == list(range(60))
+    tiny = retrieval._query_blocks(queries, "query_id", "embedding", 2)
+    assert max(len(b) for b in tiny) <= 4
+    assert sorted(r[0] for b in tiny for r in b) == list(range(60))
+    got = retrieval.retrieve_topk(queries, chunks, k=3, block_rows=10)
+    assert got.count() == 60 * 3
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+    f = vecs.astype("float32").astype("float64")
+    u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    sims = u[:60] @ u.T
+    for q in range(60):
+        order = sorted(range(120), key=lambda j: (-round(sims[q, j], 12), j))[:3]
+        assert [got[(q, r)] for r in range(1, 4)] == order
+
+
 # ---------------------------------------------------------------- scale properties
 
 
