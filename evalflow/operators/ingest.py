@@ -64,26 +64,30 @@ def chunk_window(
     the last chunk is the first one that reaches the end. Documents without
     words give no chunk. Output: doc_id, chunk_id, n_words, text.
 
-    Pure expressions plus ``posexplode``: runs where the documents are, no
-    shuffle.
+    Pure expressions plus ``explode``: runs where the documents are, no
+    shuffle. The document is split into words once; the chunks are built
+    from that array and only they are exploded, so an exploded row never
+    carries the whole document (output size is linear in the chunk text).
     """
     overlap = default_overlap(size) if overlap is None else overlap
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than size")
-    w = words(F.col(text_col))
-    n = F.size(w)
+    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_w"))
+    n = F.size("_w")
     count = F.when(n == 0, F.lit(0)).when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    base = docs.select(F.col(id_col).alias("doc_id"), w.alias("_w"), starts.alias("_s"))
-    ex = base.select("doc_id", "_w", F.explode("_s").alias("chunk_id"))
-    piece = F.slice("_w", F.col("chunk_id") * step + 1, F.lit(size))
-    return ex.select(
-        "doc_id",
-        F.col("chunk_id").cast("int").alias("chunk_id"),
-        F.size(piece).cast("int").alias("n_words"),
-        F.array_join(piece, " ").alias("text"),
-    )
+
+    def chunk(i: Column) -> Column:
+        piece = F.slice(F.col("_w"), i * step + 1, F.lit(size))
+        return F.struct(
+            i.cast("int").alias("chunk_id"),
+            F.size(piece).cast("int").alias("n_words"),
+            F.array_join(piece, " ").alias("text"),
+        )
+
+    ex = base.select("doc_id", F.explode(F.transform(starts, chunk)).alias("_c"))
+    return ex.select("doc_id", "_c.chunk_id", "_c.n_words", "_c.text")
 
 
 # ---------------------------------------------------------------- recursive
