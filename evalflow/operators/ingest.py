@@ -191,19 +191,21 @@ def chunk_recursive(
 
 def _bucket_sums(dim: int):
     """Arrow UDF: per row, sum the signs of its tokens per bucket. Input is
-    ``array<int>`` of signed bucket codes (+/-(bucket + 1)); one ``bincount``
-    per Arrow batch does the scatter-add for every row at once."""
+    ``array<bigint>`` of token hashes; the bucket is the hash modulo ``dim``
+    and the sign its bit 32, so one hash per token gives both. One
+    ``bincount`` per Arrow batch does the scatter-add for every row at once."""
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def sums(codes: pa.Array) -> pa.Array:
-        if isinstance(codes, pa.ChunkedArray):
-            codes = codes.combine_chunks()
-        n = len(codes)
-        offsets = codes.offsets.to_numpy()
+    def sums(hashes: pa.Array) -> pa.Array:
+        if isinstance(hashes, pa.ChunkedArray):
+            hashes = hashes.combine_chunks()
+        n = len(hashes)
+        offsets = hashes.offsets.to_numpy()
         start, stop = offsets[0], offsets[-1]
-        vals = codes.values.slice(start, stop - start).to_numpy(zero_copy_only=False).astype("int64")
+        h = hashes.values.slice(start, stop - start).to_numpy(zero_copy_only=False).astype("int64")
         rows = np.repeat(np.arange(n), np.diff(offsets))
-        flat = np.bincount(rows * dim + (np.abs(vals) - 1), weights=np.sign(vals), minlength=n * dim)
+        sign = 1.0 - 2.0 * ((h >> 32) & 1)
+        flat = np.bincount(rows * dim + np.mod(h, dim), weights=sign, minlength=n * dim)
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, n * dim + 1, dim, dtype="int32")), pa.array(flat.astype("float32"))
         )
@@ -214,17 +216,11 @@ def _bucket_sums(dim: int):
 def hashing_embedding(c: str | Column, dim: int = 64) -> Column:
     """Signed feature-hashing embedding of the word tokens (counts per
     bucket; cosine similarity normalises, so no L2 step is stored).
-    Tokenising and hashing stay JVM-side (xxhash64 for the bucket and the
-    sign); only the per-row scatter-add runs in NumPy, vectorised over a
-    whole Arrow batch."""
+    Tokenising and hashing stay JVM-side (one xxhash64 per token); only the
+    per-row scatter-add runs in NumPy, vectorised over a whole Arrow batch."""
     from evalflow.functions.text import tokens
 
-    codes = F.transform(
-        tokens(c),
-        lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)).cast("int") + 1)
-        * F.when(F.pmod(F.xxhash64(F.concat(w, F.lit("#"))), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1)),
-    )
-    return _bucket_sums(dim)(codes)
+    return _bucket_sums(dim)(F.transform(tokens(c), lambda w: F.xxhash64(w)))
 
 
 def embed(

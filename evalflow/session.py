@@ -25,6 +25,45 @@ DEFAULT_CONF = {
 }
 
 
+# Target bytes per scan split and per shuffle partition on a cluster: large
+# enough that per-task overhead is small, small enough to sort and aggregate
+# in executor memory without spilling much.
+PARTITION_BYTES = 256 * 1024 * 1024
+# Largest side that may be broadcast (checked by the planner from sizes).
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+# Most shuffle partitions to start with: past this the map x reduce block
+# count (and the driver's map-status memory) grows faster than it helps.
+MAX_SHUFFLE_PARTITIONS = 65_536
+
+
+def cluster_conf(
+    input_bytes: int, partition_bytes: int = PARTITION_BYTES, shuffle_fraction: float = 0.25
+) -> dict[str, str]:
+    """Settings for a cluster reading ``input_bytes`` of evaluation tables.
+
+    The widest shuffle (records joined with per-record scores) moves keys,
+    scores and a few columns, taken here as ``shuffle_fraction`` of the
+    input; the shuffle starts with one partition per ``partition_bytes`` of
+    that (at least 200, at most ``MAX_SHUFFLE_PARTITIONS``). AQE then
+    coalesces the smaller shuffles down to the advisory size and splits
+    skewed join partitions. Pass the result as ``extra_conf`` to
+    ``get_spark`` or set it on the cluster.
+    """
+    n = -(-int(input_bytes * shuffle_fraction) // partition_bytes)
+    n = min(MAX_SHUFFLE_PARTITIONS, max(200, n))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+
+
 def get_spark(
     master: str | None = None,
     shuffle_partitions: int | None = None,

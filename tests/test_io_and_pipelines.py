@@ -196,6 +196,26 @@ def test_window_chunks_cover_every_word(spark):
     assert chunks.where(F.col("n_words") > 100).count() == 0
 
 
+def test_hashing_embedding_properties(spark):
+    texts = [
+        (0, "Alpha beta gamma delta"),
+        (1, "delta GAMMA beta alpha alpha"),  # same token set, other order and case
+        (2, ""),
+        (3, None),
+        (4, " ".join(f"tok{i}" for i in range(500))),
+    ]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r["id"]: r["embedding"] for r in ingest.embed(df, dim=16).collect()}
+    assert all(len(v) == 16 for v in got.values())
+    assert got[0] == got[1]
+    assert got[2] == [0.0] * 16 and got[3] == [0.0] * 16
+    # every distinct token adds +1 or -1 to one bucket
+    for i, n in ((0, 4), (4, 500)):
+        v = np.array(got[i])
+        assert np.all(v == np.round(v))
+        assert np.abs(v).sum() <= n and (v.sum() - n) % 2 == 0
+
+
 def test_recursive_split_respects_size():
     text = "\n\n".join(" ".join(f"w{i}_{j}" for j in range(37)) for i in range(9))
     parts = ingest.split_recursive(text, 50, 12)
