@@ -4,12 +4,13 @@ The query x chunk product is never materialised. Queries are split into
 blocks whose size is checked (``block_rows`` x dim floats); each block is
 broadcast as a NumPy matrix, every chunk partition streams its Arrow
 batches through one matrix product per batch and keeps only candidates
-that can still be in a query's top k (similarity >= the running k-th best,
-so ties are kept and the result is exact), emitting them when the partition
-ends. A window over at most ``(k + ties) x partitions`` candidates per query
-then ranks them by (similarity desc, chunk id). Query ids are made unique
-first and an over-full block is split again, so a repeated id cannot
-overflow a block.
+that can still be in a query's top k: similarity >= the running k-th best,
+cut to the first k by (similarity desc, chunk id), the final order, so the
+result is exact and ties cannot pile up. They are emitted when the partition
+ends; a window over at most ``k x partitions`` candidates per query then
+ranks them, and the chunk splits are merged to a bounded number first.
+Query ids are made unique first and an over-full block is split again, so
+a repeated id cannot overflow a block.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _HIT_SCHEMA = "query_id long, vec_id long, similarity double"
+# Chunk splits scanned per core at most; more are merged (``coalesce``).
+MAX_SPLITS_PER_CORE = 4
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -37,6 +40,21 @@ def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(arr), dim) if len(arr) else np.zeros((0, dim))
 
 
+def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
+    """Per query ``r``, the first k candidates in the final order (similarity
+    desc, chunk id asc). The global top k is contained in the union of the
+    partitions' top k under the same total order, so ties beyond k need not
+    be kept (a passage copied into many chunks cannot pile up)."""
+    if len(r) == 0:
+        return r, c, s
+    o = np.lexsort((c, -s, r))
+    r, c, s = r[o], c[o], s[o]
+    start = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+    keep = rank < k
+    return r[keep], c[keep], s[keep]
+
+
 def _local_topk(bc, k: int, exclude_self: bool, id_col: str, vec_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = bc.value
@@ -63,7 +81,7 @@ def _local_topk(bc, k: int, exclude_self: bool, id_col: str, vec_col: str):
             cand_c = np.concatenate([cand_c, cids[cc]])
             cand_s = np.concatenate([cand_s, s[r, cc]])
             keep = cand_s >= thr[cand_r]
-            cand_r, cand_c, cand_s = cand_r[keep], cand_c[keep], cand_s[keep]
+            cand_r, cand_c, cand_s = _first_k(cand_r[keep], cand_c[keep], cand_s[keep], k)
         if len(cand_r):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qids[cand_r]), pa.array(cand_c), pa.array(cand_s)],
@@ -122,6 +140,11 @@ def retrieve_topk(
     blocks = _query_blocks(queries, query_id, vec_col, block_rows)
     parts = []
     src = chunks.select(F.col(chunk_id).cast("long").alias(chunk_id), F.col(vec_col))
+    # every chunk partition sends up to k candidates per query to the final
+    # ranking; merging splits (narrow, no shuffle) bounds that to k x cap
+    cap = MAX_SPLITS_PER_CORE * spark.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() > cap:
+        src = src.coalesce(cap)
     for rows in blocks:
         if not rows:
             continue

@@ -240,6 +240,24 @@ def test_topk_is_exact_with_ties(spark):
         assert [got[(q, r)] for r in range(1, 5)] == order
 
 
+def test_topk_with_a_passage_copied_into_a_third_of_chunks(spark):
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(size=(300, 8)).round(1)
+    vecs[::3] = vecs[0]  # 100 identical chunks: every query's ties at one similarity
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    queries = spark.createDataFrame(rows[:40], "query_id long, embedding array<float>")
+    hits = retrieval.retrieve_topk(queries, chunks, k=3)
+    assert hits.groupBy("query_id").count().where("count != 3").count() == 0
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in hits.collect()}
+    f = vecs.astype("float32").astype("float64")
+    u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    sims = u[:40] @ u.T
+    for q in range(40):
+        order = sorted(range(300), key=lambda j: (-round(sims[q, j], 12), j))[:3]
+        assert [got[(q, r)] for r in range(1, 4)] == order
+
+
 def test_topk_hot_query_id_and_block_split(spark):
     rng = np.random.default_rng(5)
     vecs = rng.normal(size=(120, 6)).round(2)
