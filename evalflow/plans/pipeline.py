@@ -168,8 +168,12 @@ def run_experiment(
     from evalflow.operators import frames, ingest, metrics, retrieval, stats
 
 
+    # questions are derived and embedded once and written: the retrieval of
+    # every chunk size, the records and the scoring all read this copy
     qs = questions.withColumn("query_id", F.col("pos").cast("long"))
-    q_emb = ingest.embed(qs.select("query_id", F.col("query").alias("text")), dim=dim)
+    qs = materialize(ingest.embed(qs, dim=dim, text_col="query"), "questions")
+    q_emb = qs.select("query_id", "embedding")
+    qs = qs.drop("embedding")
     by_size: dict[int, list[Mapping[str, Any]]] = {}
     for r in recipes:
         by_size.setdefault(int(r["chunk_size"]), []).append(r)
@@ -203,6 +207,6 @@ def run_experiment(
         recs = rec if recs is None else recs.unionByName(rec)
     # records are written before they are scored (both sides of the chart read them)
     recs = materialize(recs, "records")
-    fb = metrics.evaluate(recs.drop("metadata", "n_tokens", "start_time", "end_time"), questions, last_ts=F.localtimestamp())
+    fb = metrics.evaluate(recs.drop("metadata", "n_tokens", "start_time", "end_time"), qs, last_ts=F.localtimestamp())
     chart = frames.chart_data(recs, fb, metrics=list(metrics.METRIC_NAMES))
     return stats.box_stats(chart, list(metrics.METRIC_NAMES))
