@@ -87,9 +87,11 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered, so that later ``checkpoint()`` calls and stream
-    checkpoints have a place to go.
+    Only when the setting is absent and the master is local (tests) a
+    scratch folder is created and registered, so that later ``checkpoint()``
+    calls and stream checkpoints have a place to go. On a cluster a
+    machine-local folder would not survive the loss of the executor that
+    wrote it, so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -97,6 +99,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, object store)")
     local = tempfile.mkdtemp(prefix="evalflow-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

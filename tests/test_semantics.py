@@ -261,3 +261,13 @@ def test_box_stats_approximate_mode(spark):
     approx = stats.box_stats(chart, ["m"], approx_accuracy=10000).first()
     assert (exact["q1"], exact["median"], exact["q3"]) == (250.0, 500.0, 750.0)
     assert abs(approx["median"] - 500.0) <= 1.0 and abs(approx["q3"] - 750.0) <= 1.0
+
+
+def test_cluster_conf_sizes_shuffles_within_bounds():
+    from evalflow.session import MAX_SHUFFLE_PARTITIONS, PARTITION_BYTES, cluster_conf
+
+    assert cluster_conf(10**6)["spark.sql.shuffle.partitions"] == "200"
+    one_tb = cluster_conf(2**40)
+    assert int(one_tb["spark.sql.shuffle.partitions"]) == 2**40 // 4 // PARTITION_BYTES
+    assert cluster_conf(100 * 2**40)["spark.sql.shuffle.partitions"] == str(MAX_SHUFFLE_PARTITIONS)
+    assert one_tb["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == one_tb["spark.sql.shuffle.partitions"]
