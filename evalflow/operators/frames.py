@@ -89,9 +89,10 @@ def run_frame(
     metadata_filter: dict[str, Any] | None = None,
     include_io: bool = False,
     metrics: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """recipe, dataset, record_id, metadata, total_tokens, latency,
-    [input, output], one column per metric.
+    [input, output], [``keep`` record columns], one column per metric.
 
     Records without any ``done`` feedback stay (left join), their scores null.
     """
@@ -109,6 +110,7 @@ def run_frame(
     ]
     if include_io:
         cols += ["input", "output"]
+    cols += list(keep)
     base = rec.select(*cols)
     scores = wide_scores(fb, metrics)
     return base.join(scores, list(KEYS), "left").select(base.columns + list(metrics))

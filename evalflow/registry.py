@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalflow import oracle as O
+from evalflow.functions.json import metadata_predicate
 from evalflow.functions.text import build_prompt, decode_text, encode_text
 from evalflow.operators import details, frames, ingest, options, retrieval, stats
 from evalflow.operators import metrics as met
@@ -317,14 +318,12 @@ _FILTER_SQL = {
 )
 def q_metadata_filter(spark, sf_dir):
     rec, fb = _store(spark, sf_dir)
-    parts = []
-    for name, filt in _FILTERS.items():
-        rf = frames.run_frame(rec, fb, metadata_filter=filt, metrics=METRICS)
-        parts.append(rf.select(F.lit(name).alias("filter"), "recipe", "dataset", "record_id", "latency", "answer_relevance"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one frame for every filter: each record is tagged with the names of the
+    # filters it passes, so records and scores are read and joined once
+    passed = F.array(*[F.when(metadata_predicate("metadata", filt), F.lit(name)) for name, filt in _FILTERS.items()])
+    tagged = rec.select("*", F.explode(F.filter(passed, lambda n: n.isNotNull())).alias("filter"))
+    rf = frames.run_frame(tagged, fb, metrics=METRICS, keep=["filter"])
+    return rf.select("filter", "recipe", "dataset", "record_id", "latency", "answer_relevance")
 
 
 @register(
