@@ -100,6 +100,8 @@ def _query_blocks(queries: DataFrame, query_id: str, vec_col: str, block_rows: i
     is split in two by an independent hash until every piece fits, so no query
     is dropped and no block exceeds the bound.
     """
+    if block_rows < 1:
+        raise ValueError("block_rows must be at least 1")
     q = queries.select(query_id, vec_col).dropDuplicates([query_id])
     first = q.limit(block_rows + 1).collect()
     if len(first) <= block_rows:
