@@ -42,16 +42,18 @@ def group_ordinal(
     name: str = "ordinal",
     buckets: int = 1 << 16,
 ) -> DataFrame:
-    salted = df.withColumn("_salt", md5_bucket(order, buckets))
-    within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    salted = salted.withColumn("_r", F.row_number().over(within))
-    counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_salt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_salt").alias("_o_salt"), "_off")
-    cond = salted["_salt"] == offsets["_o_salt"]
-    for k in keys:
-        cond = cond & salted[k].eqNullSafe(offsets[f"_o_{k}"])
-    joined = salted.join(offsets, cond, "inner")
+    # The group is one struct column: struct equality treats null fields as
+    # equal, so plain equality is null-safe, and the window's partitioning on
+    # (group, salt) also serves the join back, so the rows shuffle once.
+    salted = df.withColumns({"_g": F.struct(*[F.col(k) for k in keys]), "_salt": md5_bucket(order, buckets)})
+    salted = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_salt").orderBy(*order)))
+    # counted with a partial aggregate: only one count per task and piece is shuffled
+    counts = salted.groupBy("_g", "_salt").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_g").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("_g").alias("_o_g"), F.col("_salt").alias("_o_salt"),
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+    )
+    joined = salted.join(offsets, (salted["_g"] == offsets["_o_g"]) & (salted["_salt"] == offsets["_o_salt"]), "inner")
     out = joined.withColumn(name, (F.col("_off") + F.col("_r")).cast("long"))
-    return out.drop("_salt", "_r", "_off", "_o_salt", *[f"_o_{k}" for k in keys])
+    return out.drop("_g", "_salt", "_r", "_off", "_o_g", "_o_salt")
