@@ -21,13 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def md5_bucket(cols: Sequence[str], buckets: int) -> Column:
     """Bucket in [0, buckets) from the first 32 bits of an md5 of the columns
     (md5 rather than xxhash64 so that other engines can reproduce it)."""
