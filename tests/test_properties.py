@@ -112,3 +112,26 @@ def test_box_stats_two_pass_equals_default(spark):
     for d in ("d", "e"):
         for c in ("high", "low", "median", "mean", "q1", "q3"):
             assert abs(a[d][c] - b[d][c]) < 1e-12
+
+
+@settings(max_examples=50, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.integers(0, 4), st.integers(0, 30), st.sampled_from([0.1, 0.5, 0.5, 0.9, -0.2])),
+        max_size=80,
+    ),
+    st.integers(1, 5),
+)
+def test_first_k_matches_sorting(cands, k):
+    from evalflow.operators.retrieval import _first_k
+
+    r = np.array([x[0] for x in cands], dtype="int64")
+    c = np.array([x[1] for x in cands], dtype="int64")
+    s = np.array([x[2] for x in cands], dtype="float64")
+    gr, gc, gs = _first_k(r, c, s, k)
+    got = sorted(zip(gr.tolist(), gc.tolist(), gs.tolist()))
+    want = []
+    for q in set(r.tolist()):
+        mine = sorted(((sv, cv) for rv, cv, sv in cands if rv == q), key=lambda t: (-t[0], t[1]))[:k]
+        want += [(q, cv, sv) for sv, cv in mine]
+    assert got == sorted(want)
