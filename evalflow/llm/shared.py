@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,31 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+#: Bits of a key filter: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size with a bit set for every long of ``column``.
+
+    A scan that looks keys up in it before its rows are shuffled to the
+    real join sends few in vain while keys are fewer than bits, and loses
+    none ever. Its words, at most FILTER_BITS / 64 rows, go to the driver.
+    """
+    bit = F.pmod(column, F.lit(FILTER_BITS))
+    words = keys.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[row["w"]] = row["b"]
+    return out
+
+
+def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (int64) may be in the filter; those left out are not."""
+    bit = np.mod(keys, FILTER_BITS)
+    return (words[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest
     node reachable.

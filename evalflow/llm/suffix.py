@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalflow.llm.shared import in_filter, key_filter
 from evalflow.llm.textbatch import blocks, prefix_hash, signed, span_hash
 from evalflow.session import materialize
 
@@ -71,16 +72,18 @@ def runs(data: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     return least[first], span_hash(prefix, first, first + size - 1 + window), first, size
 
 
-def distinct_texts(documents: DataFrame, window: int) -> DataFrame:
-    """(k, n, z) of texts that reach the window: hash, bytes, zstd text; equal texts once for each task."""
+def distinct_texts(documents: DataFrame, window: int, wanted: DataFrame) -> DataFrame:
+    """(k, n, z) of texts that reach the window and may be among ``wanted`` (k): hash, bytes, zstd text; equal texts once for each task."""
     long_enough = _keyed(documents).where(F.col("n") >= window).select("k", "n", "text")
+    maybe = documents.sparkSession.sparkContext.broadcast(key_filter(wanted, "k"))
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            new = [i for i, x in enumerate(keys) if x not in seen and not seen.add(x)]
+            listed = in_filter(maybe.value, np.asarray(batch.column(0)))
+            new = [i for i, x in enumerate(keys) if listed[i] and x not in seen and not seen.add(x)]
             part = batch.take(pa.array(new, pa.int64()))
             packed = [pack.compress(x.as_buffer()) for x in part.column(2).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["k", "n", "z"])
@@ -242,7 +245,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
         .agg(F.collect_list(F.struct("first", "size", "need")).alias("runs"), F.sum("size").alias("windows"))
     )
     wanted = found.select("k", "n").distinct().join(twins, ["k", "n"], "left").join(open_runs, ["k", "n"], "left")
-    texts = materialize(distinct_texts(documents, window).join(wanted, ["k", "n"]).dropDuplicates(["k", "n"]), "suffix-texts")
+    texts = materialize(distinct_texts(documents, window, found.select("k").distinct()).join(wanted, ["k", "n"]).dropDuplicates(["k", "n"]), "suffix-texts")
 
     total = texts.agg(F.sum("windows").alias("w")).first()["w"] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
