@@ -16,11 +16,14 @@ signed) and to its most frequent signatures, whose buckets it need not
 search: what it has left still exceeds H.
 
 Buckets give candidates. Small ones give their pairs; of a large one each
-member meets two of the members, after which only documents that cannot
-spare the bucket meet those of other components there. So copies of one
-passage or document are linked through few pairs, no link between
-components is lost, and no bucket is expanded into all its pairs. Every
-candidate is verified on the full shingle sets.
+member meets the member with most company elsewhere, after which only
+documents that cannot spare the bucket meet those of other components
+there, in tiles of bounded size that give out plausible pairs alone. So
+copies of one passage or document are linked through few pairs, and no
+link between components is lost. A pair is plausible if its sizes and its
+parity sketches allow the similarity: every shingle flips one of
+``BITS`` bits, so sketches differ in no more bits than sets in shingles.
+Plausible pairs are verified on the full shingle sets.
 
 Equal sets are one class from the start. Shingles are compared by 64-bit
 hashes. Null and empty texts, and texts without words, have no shingles
@@ -36,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import components
+from evalflow.llm.shared import components, in_filter, key_filter
 from evalflow.llm.textbatch import Words, blocks, mix, shingle_sets, signed
 from evalflow.session import materialize
 
@@ -45,6 +48,10 @@ SHINGLE, PERCENT = 4, 85
 BAND = 1.3
 #: Members up to which a bucket gives all its pairs.
 SMALL = 16
+#: Bits of a parity sketch.
+BITS = 1024
+#: Members of a large bucket's block; a tile has two blocks.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -110,17 +117,71 @@ def keyed_sets(column: pa.Array, k: int):
         yield row, sets, *class_keys(sets)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as int64 words; each shingle flips one."""
+    bit = (mix(shingles ^ _U(0x3C6EF372FE94F82B)) % _U(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def classes(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, a, b): size and keys of every row's set."""
+    """(doc_id, n, a, b, sketch): size, keys and parity sketch of every row's set."""
 
     def run(batches):
+        words = BITS // 64
         for batch in batches:
-            parts = [([len(s) for s in sets], signed(a), signed(b)) for _, sets, a, b in keyed_sets(batch.column(1), k)]
+            parts = [([len(s) for s in sets], signed(a), signed(b), np.array([parity_sketch(s) for s in sets])) for _, sets, a, b in keyed_sets(batch.column(1), k)]
             n, a, b = (np.concatenate([np.asarray(p[j], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for j in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], names=["doc_id", "n", "a", "b"])
+            sketch = np.concatenate([p[3].ravel() for p in parts]) if parts else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * words), pa.array(sketch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b), lists], names=["doc_id", "n", "a", "b", "sketch"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, a long, b long")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, a long, b long, sketch array<long>")
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    one = reps.select("a", F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+    two = reps.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    return pairs.join(one, "a").join(two, "b").where(sizes & (differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent))).select("a", "b")
+
+
+def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs within a bucket, of different components, one of which needs the bucket.
+
+    members: (sig, a, n, sketch, comp, needed). A bucket's members are dealt
+    to blocks, and every two blocks meet in a tile.
+    """
+    blocks_ = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("a"), F.col("blocks"))
+    dealt = (
+        members.join(blocks_, "sig")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own") == F.least("own", "other"), "a", "n", "sketch", "comp", "needed")
+        .toDF("sig", "x", "y", "first", "a", "n", "sketch", "comp", "needed")
+    )
+
+    def tile(group: pa.Table) -> pa.Table:
+        col = lambda c: group.column(c).to_numpy()
+        first, same = col("first"), group.column("x")[0] == group.column("y")[0]
+        _, comp = np.unique(col("comp"), return_inverse=True)
+        key, n, needed = col("a"), col("n"), col("needed").astype(bool)
+        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(len(key), -1)
+        left, right = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in left:
+            j = right[right > i] if same else right
+            j = j[(comp[j] != comp[i]) & (needed[j] | needed[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
+            differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+            j = j[differ * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+            out.append(np.stack((np.minimum(key[i], key[j]), np.maximum(key[i], key[j])), 1))
+        a, b = np.concatenate(out).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return dealt.groupBy("sig", "x", "y").applyInArrow(tile, "a long, b long").distinct()
 
 
 def signature_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,8 +205,9 @@ def signature_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "sig long, a long")
 
 
-def packed_texts(documents: DataFrame, k: int) -> DataFrame:
-    """(a, b, n, z): zstd text of every set, equal sets once for each task."""
+def packed_texts(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(a, b, n, z): zstd text of every set that may be among ``wanted`` (a), equal sets once for each task."""
+    maybe = documents.sparkSession.sparkContext.broadcast(key_filter(wanted, "a"))
 
     def run(batches):
         seen, pack = set(), zstandard.ZstdCompressor(level=1)
@@ -153,7 +215,8 @@ def packed_texts(documents: DataFrame, k: int) -> DataFrame:
             column = batch.column(0)
             for row, sets, a, b in keyed_sets(column, k):
                 out = []
-                for i, (s, x, y) in enumerate(zip(sets, a.tolist(), b.tolist())):
+                for i in np.flatnonzero(in_filter(maybe.value, signed(a))).tolist():
+                    s, x, y = sets[i], int(a[i]), int(b[i])
                     if len(s) and (x, y) not in seen:
                         seen.add((x, y))
                         out.append((i, len(s), pack.compress(column[row + i].as_py().encode())))
@@ -169,11 +232,9 @@ def packed_texts(documents: DataFrame, k: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): ids of the pairs (a, b of set keys) whose sets reach the similarity."""
-    left = texts.select(F.col("a"), F.col("rep").alias("u"), F.col("n").alias("n1"), F.col("z").alias("z1"))
-    sizes = texts.select(F.col("a").alias("b"), F.col("n").alias("n2")).distinct()
-    right = texts.select(F.col("a").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n3"), F.col("z").alias("z2"))
-    near = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    joined = pairs.join(sizes, "b").join(left, "a").where(near).drop("n1", "n2").join(right, "b").select("u", "v", "z1", "z2")
+    left = texts.select("a", F.col("rep").alias("u"), F.col("z").alias("z1"))
+    right = texts.select(F.col("a").alias("b"), F.col("rep").alias("v"), F.col("z").alias("z2"))
+    joined = pairs.join(left, "a").join(right, "b").select("u", "v", "z1", "z2")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -203,7 +264,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``documents``."""
     rows = materialize(classes(documents, k), "join-classes")
-    reps = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"), "join-sets")
 
     # Buckets: of a small one its members, of a large one a row for each.
     same = Window.partitionBy("sig")
@@ -213,7 +274,7 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     buckets = materialize(
         spread.where("low <> high")
         .groupBy("sig", F.when(F.col("cost") > SMALL, F.col("a")).alias("big"))
-        .agg(F.array_sort(F.collect_set("a")).alias("members"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("cost").alias("cost"))
+        .agg(F.array_sort(F.collect_set("a")).alias("members"), F.first("cost").alias("cost"))
         .withColumn("sig", F.when(F.col("big").isNotNull(), F.col("sig"))),
         "join-buckets",
     )
@@ -225,15 +286,18 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
             )
         ).alias("p")
     ).select("p.a", "p.b")
-    large = buckets.where("big is not null").select("sig", F.col("big").alias("a"), "low", "high", "cost")
-    starred = large.select("a", F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(inside.union(starred).distinct(), "join-pairs")
-
-    wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = materialize(
-        packed_texts(documents, k).join(wanted, "a").join(reps.where("rep is not null"), ["a", "b", "n"]).dropDuplicates(["a", "b", "n"]), "join-texts"
-    )
-    edges = materialize(verified(pairs, texts, k, percent), "join-links")
+    large = buckets.where("big is not null").select("sig", F.col("big").alias("a"), "cost")
+    company = large.groupBy("a").agg(F.sum("cost").alias("company"))
+    centre = large.join(company, "a").groupBy("sig").agg(F.max(F.struct("company", "a")).alias("c")).select("sig", F.col("c.a").alias("centre"))
+    starred = large.join(centre, "sig").where("a <> centre").select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
+    pairs = materialize(plausible(inside.union(starred).distinct(), reps, percent).distinct(), "join-pairs")
+
+    def texts_of(found: DataFrame) -> DataFrame:
+        wanted = found.select("a").union(found.select(F.col("b").alias("a"))).distinct()
+        keyed = packed_texts(documents, k, wanted).join(wanted, "a").join(reps.drop("sketch"), ["a", "b", "n"])
+        return keyed.dropDuplicates(["a", "b", "n"])
+
+    edges = materialize(verified(pairs, materialize(texts_of(pairs), "join-texts"), k, percent), "join-links")
     linked = components(edges, "join-components")
 
     # Large buckets: who cannot spare them meets the other components there.
@@ -243,18 +307,16 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
         "needed", F.row_number().over(Window.partitionBy("a", "band").orderBy(F.col("cost").desc(), "sig")) > F.get(spare, F.col("band"))
     )
     tight = ranked.groupBy("a", "band").agg(F.max("needed").alias("tight")).where("tight").select("a", "band")
-    named = texts.select("a", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("a", F.coalesce("component", "rep").alias("comp")).distinct()
-    members = materialize(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "comp", "needed"), "join-tight")
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    open_ = members.join(mixed, "sig")
-    probe = open_.where("needed").select("sig", F.col("a").alias("p"), F.col("comp").alias("pc"))
-    rest = probe.join(open_, "sig").where("pc <> comp").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
-    more = materialize(verified(rest, texts, k, percent), "join-links")
-    if not more.isEmpty():
+    named = reps.select("a", "rep", "n", "sketch").join(linked, F.col("rep") == F.col("node"), "left").select("a", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+    held = materialize(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
+    mixed = held.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    rest = materialize(tile_pairs(held.join(mixed, "sig"), percent), "join-pairs")
+    if not rest.isEmpty():
+        more = materialize(verified(rest, materialize(texts_of(rest), "join-texts"), k, percent), "join-links")
         linked = components(edges.union(more), "join-components")
 
     return (
-        rows.join(reps, ["a", "b", "n"], "left")
+        rows.join(reps.drop("sketch"), ["a", "b", "n"], "left")
         .join(linked, F.col("rep") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     )
