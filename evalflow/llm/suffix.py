@@ -44,7 +44,7 @@ ANCHOR = 200
 #: Windows of a radix bucket, about; bounds a task's memory.
 BUCKET = 1 << 20
 #: Texts merged at a time before the last pass.
-BATCH = 2000
+BATCH = 500
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
