@@ -62,10 +62,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def indicator_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per row its indicators and their scales. Each n-gram writes its position under its number; the positions that stay are one for each."""
-    last = np.zeros(1 << BITS, np.int64)
+    last = np.empty(1 << BITS, np.int32)
     for _, data, offsets in blocks(column):
         for grams in ngrams(data, offsets):
-            at = np.arange(len(grams))
+            at = np.arange(len(grams), dtype=np.int32)
             last[grams] = at
             own = grams[last[grams] == at]
             share = min(SHARES - 1, SHARES * len(own) // max(1, len(grams)))
@@ -78,24 +78,28 @@ def indicator_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Dual coordinate descent on rows scaled by log-count ratios."""
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
-    sets = list(indicator_sets(pa.array(texts, pa.large_string())))
-    if not sets or abs(y.sum()) == len(y):
+    if not len(y) or abs(y.sum()) == len(y):
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, 0.0)
-    rows = [x.astype(np.int32) for x, _ in sets]
+    rows = [x.astype(np.int32) for t in texts for x, _ in indicator_sets(pa.array([t], pa.large_string()))]
     counts = {c: np.full(FEATURES, SMOOTHING) for c in (1.0, -1.0)}
     for x, c in zip(rows, y):
         counts[c][x] += 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     ratio[(counts[1.0] + counts[-1.0]) == 2 * SMOOTHING] = 0.0
-    values = [ratio[x] * scale for x, (_, scale) in zip(rows, sets)]
-    square = np.array([v @ v + 1.0 for v in values])
+
+    def value(x: np.ndarray) -> np.ndarray:
+        v = ratio[x]
+        v[:-1] /= np.sqrt(max(1, len(x) - 1))
+        return v
+
+    square = np.array([v @ v + 1.0 for v in map(value, rows)])
     w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(y))
     cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * COST
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            x, v = rows[i], values[i]
+            x, v = rows[i], value(rows[i])
             gradient = y[i] * (w[x] @ v + bias) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
@@ -106,7 +110,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    margin = np.array([w[x] @ v + bias for x, v in zip(rows, values)])
+    margin = np.array([w[x] @ value(x) + bias for x in rows])
     slope, offset = logistic(margin, (y > 0).astype(float), cost / COST)
     return Model((w * ratio).astype(np.float32), float(bias), slope, offset)
 
