@@ -8,8 +8,7 @@ page of the host. Blank lines are layout: never counted, never dropped.
 Only (host, line hash) pairs are shuffled, pre-aggregated; the boilerplate
 of a host is an array that is bounded by its pages' average number of lines
 over the ratio, and meets the pages in one join on the host, which splits
-under skew. Lines are compared by 64-bit hash and length. DataFrame
-functions only.
+under skew. Lines are compared by 64-bit hash. DataFrame functions only.
 
 Null hosts form one host of their own; null and empty texts have no lines and
 stay as they are; repeated rows are pages of their own. Other columns pass
@@ -25,10 +24,14 @@ MAX_RATIO = 0.1
 MIN_PAGES = 3
 
 
+#: Blanks around a line that do not count.
+BLANKS = " \t\r"
+
+
 def line_key(line: F.Column) -> F.Column:
     """Identity of a line without its surrounding blanks; null for blank lines."""
-    kept = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(kept != "", F.xxhash64(kept, F.octet_length(kept)))
+    kept = F.btrim(line, F.lit(BLANKS))
+    return F.when(kept != "", F.xxhash64(kept))
 
 
 def boilerplate(pages: DataFrame, host: F.Column, text: F.Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -52,16 +55,17 @@ def drop_boilerplate(pages: DataFrame, host: F.Column, text: str = "text", max_r
     found = boilerplate(pages, host, F.col(text), max_ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     rest = pages.drop("n_lines", "n_dropped").withColumn("_of", host)
     joined = rest.join(found, rest["_of"].eqNullSafe(found["_host"]), "left").withColumn("_split", F.split(F.col(text), "\n", -1))
-    bad = lambda line: F.coalesce(F.array_contains("_lines", line_key(line)), F.lit(False))
-    out = joined.withColumn("_bad", F.when(F.col("_lines").isNull(), F.array().cast("array<boolean>")).otherwise(F.transform("_split", bad)))
-    kept = F.array_join(F.filter("_split", lambda line, i: ~F.coalesce(F.get("_bad", i), F.lit(False))), "\n")
-    return out.withColumns(
+    keyed = joined.withColumn("_keys", F.transform("_split", line_key))
+    goes = lambda key: key.isNotNull() & F.array_contains("_lines", key)
+    kept = F.array_join(F.filter("_split", lambda line, i: ~F.coalesce(goes(F.get("_keys", i)), F.lit(False))), "\n")
+    none = F.col("_lines").isNull()
+    return keyed.withColumns(
         {
-            text: F.when(F.col("_lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept),
-            "n_lines": F.coalesce(F.size(F.filter("_split", lambda line: line_key(line).isNotNull())), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size(F.filter("_bad", lambda b: b)), F.lit(0)).cast("long"),
+            text: F.when(none | F.col(text).isNull(), F.col(text)).otherwise(kept),
+            "n_lines": F.coalesce(F.size(F.filter("_keys", lambda key: key.isNotNull())), F.lit(0)).cast("long"),
+            "n_dropped": F.when(none, 0).otherwise(F.coalesce(F.size(F.filter("_keys", goes)), F.lit(0))).cast("long"),
         }
-    ).drop("_of", "_host", "_lines", "_split", "_bad")
+    ).drop("_of", "_host", "_lines", "_split", "_keys")
 
 
 #: Fixed text rules for raw pages: unseen elements go, tags end lines.

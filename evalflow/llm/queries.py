@@ -33,7 +33,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", lines.url_host(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
     found = lines.drop_boilerplate(pages, F.col("host"))
-    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
+    kept = F.array_remove(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(lines.BLANKS))), "")
     return found.select("page_id", "host", "n_lines", "n_dropped", F.array_join(kept, "\n").alias("text"))
 
 
