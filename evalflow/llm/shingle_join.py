@@ -23,7 +23,8 @@ copies of one passage or document are linked through few pairs, and no
 link between components is lost. A pair is plausible if its sizes and its
 parity sketches allow the similarity: every shingle flips one of
 ``BITS`` bits, so sketches differ in no more bits than sets in shingles.
-Plausible pairs are verified on the full shingle sets.
+Plausible pairs are verified on the full shingle sets: one of each set
+first, then those that would still join components.
 
 Equal sets are one class from the start. Shingles are compared by 64-bit
 hashes. Null and empty texts, and texts without words, have no shingles
@@ -181,7 +182,7 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         a, b = np.concatenate(out).T
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return dealt.groupBy("sig", "x", "y").applyInArrow(tile, "a long, b long").distinct()
+    return dealt.groupBy("sig", "x", "y").applyInArrow(tile, "a long, b long")
 
 
 def signature_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -292,12 +293,19 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     starred = large.join(centre, "sig").where("a <> centre").select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
     pairs = materialize(plausible(inside.union(starred).distinct(), reps, percent).distinct(), "join-pairs")
 
+    # First each set meets its plausible partner of most company; then, of the other pairs, those of different components.
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("degree"))
+    best = both.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("degree", "b")).alias("m"))
+    first = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
     def texts_of(found: DataFrame) -> DataFrame:
         wanted = found.select("a").union(found.select(F.col("b").alias("a"))).distinct()
         keyed = packed_texts(documents, k, wanted).join(wanted, "a").join(reps.drop("sketch"), ["a", "b", "n"])
         return keyed.dropDuplicates(["a", "b", "n"])
 
-    edges = materialize(verified(pairs, materialize(texts_of(pairs), "join-texts"), k, percent), "join-links")
+    first = materialize(first, "join-pairs")
+    edges = materialize(verified(first, materialize(texts_of(first), "join-texts"), k, percent), "join-links")
     linked = components(edges, "join-components")
 
     # Large buckets: who cannot spare them meets the other components there.
@@ -308,9 +316,11 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     )
     tight = ranked.groupBy("a", "band").agg(F.max("needed").alias("tight")).where("tight").select("a", "band")
     named = reps.select("a", "rep", "n", "sketch").join(linked, F.col("rep") == F.col("node"), "left").select("a", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+    of = named.select("a", "comp")
+    apart = pairs.join(of, "a").withColumnRenamed("comp", "x").join(of.withColumnRenamed("a", "b"), "b").where("x <> comp").select("a", "b")
     held = materialize(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
     mixed = held.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = materialize(tile_pairs(held.join(mixed, "sig"), percent), "join-pairs")
+    rest = materialize(apart.union(tile_pairs(held.join(mixed, "sig"), percent)).distinct(), "join-pairs")
     if not rest.isEmpty():
         more = materialize(verified(rest, materialize(texts_of(rest), "join-texts"), k, percent), "join-links")
         linked = components(edges.union(more), "join-components")
