@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from evalflow.llm.shared import small_batches
+
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of the word and transition caches before they start anew.
@@ -196,7 +198,7 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
         if digest
         else [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     )
-    rest = documents.drop(*(f.name for f in extra))
+    rest = small_batches(documents).drop(*(f.name for f in extra))
     schema = T.StructType([*rest.schema.fields, *extra])
 
     def run(batches):
@@ -219,7 +221,7 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` from an array column of token ids (null: empty); ids outside the vocabulary emit nothing."""
-    rest = rows.drop("decoded")
+    rest = small_batches(rows).drop("decoded")
     schema = T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalflow.llm.shared import held_out
+from evalflow.llm.shared import held_out, small_batches
 from evalflow.llm.textbatch import blocks
 
 SAMPLE_ROWS = 3000
@@ -152,7 +152,7 @@ def score(documents: DataFrame, model: Model, output: str = "score") -> DataFram
     """``documents`` with a double column ``output``, replacing one of that name."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = documents.drop(output)
+    rest = small_batches(documents).drop(output)
     schema = T.StructType([*rest.schema.fields, T.StructField(output, T.DoubleType())])
 
     def run(batches):

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from evalflow.llm.shared import small_batches
+
 #: The base kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -127,7 +129,7 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 def scan(documents: DataFrame) -> DataFrame:
     """Adds ``found``: array of (kind, start, end); a column of that name is replaced."""
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    rest = documents.drop("found")
+    rest = small_batches(documents).drop("found")
     schema = T.StructType([*rest.schema.fields, T.StructField("found", T.ArrayType(item))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -16,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, after bounding the session's Arrow batches: texts are long, and batches stand in memory on both sides of a worker's pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def held_out() -> F.Column:
     """The rows no classifier may learn from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

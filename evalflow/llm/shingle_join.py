@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import components, in_filter, key_filter
+from evalflow.llm.shared import components, in_filter, key_filter, small_batches
 from evalflow.llm.textbatch import Words, blocks, mix, shingle_sets, signed
 from evalflow.session import materialize
 
@@ -264,7 +264,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``documents``."""
-    rows = materialize(classes(documents, k), "join-classes")
+    rows = materialize(classes(small_batches(documents), k), "join-classes")
     reps = materialize(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"), "join-sets")
 
     # Buckets: of a small one its members, of a large one a row for each.

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import in_filter, key_filter
+from evalflow.llm.shared import in_filter, key_filter, small_batches
 from evalflow.llm.textbatch import blocks, prefix_hash, signed, span_hash
 from evalflow.session import materialize
 
@@ -230,7 +230,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     spans: maximal byte ranges (start, end) covered by windows that also
     start elsewhere; kept_sha256: of the bytes outside them.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     all_runs = anchored_runs(documents, window, anchor)
     often = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = materialize(all_runs.join(often, "anchor"), "suffix-runs")

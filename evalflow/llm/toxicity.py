@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalflow.llm.quality import training_rows
-from evalflow.llm.shared import held_out
+from evalflow.llm.shared import held_out, small_batches
 from evalflow.llm.textbatch import BYTE_VALUE, Words, blocks, mix, word_table
 
 SAMPLE_ROWS = 1500
@@ -253,7 +253,7 @@ def score_column(p: Params | None, column: pa.Array) -> np.ndarray:
 def score(documents: DataFrame, params: Params | None, output: str = "score") -> DataFrame:
     """``documents`` with a double column ``output``, replacing one of that name."""
     shared = documents.sparkSession.sparkContext.broadcast(params)
-    rest = documents.drop(output)
+    rest = small_batches(documents).drop(output)
     schema = T.StructType([*rest.schema.fields, T.StructField(output, T.DoubleType())])
 
     def run(batches):
