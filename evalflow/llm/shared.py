@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalflow.session import materialize
 
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, after which the driver drops what the job leaves behind.
+
+    Spark deletes the shuffle files of a finished job once the driver's
+    garbage collector has found them unused, which may be half an hour
+    later; an operator of many steps would hold them all.
+    """
+    table_ = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table_
+
+
 #: Rounds of ``components``; each at least halves the depth, so 64 outlast any graph.
 MAX_ROUNDS = 64
 

@@ -40,9 +40,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import components, in_filter, key_filter, small_batches
+from evalflow.llm.shared import components, in_filter, key_filter, small_batches, step
 from evalflow.llm.textbatch import Words, blocks, mix, shingle_sets, signed
-from evalflow.session import materialize
 
 SHINGLE, PERCENT = 4, 85
 #: Sizes of a band grow by this factor.
@@ -264,15 +263,15 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``documents``."""
-    rows = materialize(classes(small_batches(documents), k), "join-classes")
-    reps = materialize(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"), "join-sets")
+    rows = step(classes(small_batches(documents), k), "join-classes")
+    reps = step(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"), "join-sets")
 
     # Buckets: of a small one its members, of a large one a row for each.
     same = Window.partitionBy("sig")
     spread = signature_rows(documents, k, percent).select(
         "sig", "a", F.min("a").over(same).alias("low"), F.max("a").over(same).alias("high"), F.count("*").over(same).alias("cost")
     )
-    buckets = materialize(
+    buckets = step(
         spread.where("low <> high")
         .groupBy("sig", F.when(F.col("cost") > SMALL, F.col("a")).alias("big"))
         .agg(F.array_sort(F.collect_set("a")).alias("members"), F.first("cost").alias("cost"))
@@ -291,7 +290,7 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     company = large.groupBy("a").agg(F.sum("cost").alias("company"))
     centre = large.join(company, "a").groupBy("sig").agg(F.max(F.struct("company", "a")).alias("c")).select("sig", F.col("c.a").alias("centre"))
     starred = large.join(centre, "sig").where("a <> centre").select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
-    pairs = materialize(plausible(inside.union(starred).distinct(), reps, percent).distinct(), "join-pairs")
+    pairs = step(plausible(inside.union(starred).distinct(), reps, percent).distinct(), "join-pairs")
 
     # First each set meets its plausible partner of most company; then, of the other pairs, those of different components.
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -304,8 +303,8 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
         keyed = packed_texts(documents, k, wanted).join(wanted, "a").join(reps.drop("sketch"), ["a", "b", "n"])
         return keyed.dropDuplicates(["a", "b", "n"])
 
-    first = materialize(first, "join-pairs")
-    edges = materialize(verified(first, materialize(texts_of(first), "join-texts"), k, percent), "join-links")
+    first = step(first, "join-pairs")
+    edges = step(verified(first, step(texts_of(first), "join-texts"), k, percent), "join-links")
     linked = components(edges, "join-components")
 
     # Large buckets: who cannot spare them meets the other components there.
@@ -318,11 +317,11 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     named = reps.select("a", "rep", "n", "sketch").join(linked, F.col("rep") == F.col("node"), "left").select("a", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
     of = named.select("a", "comp")
     apart = pairs.join(of, "a").withColumnRenamed("comp", "x").join(of.withColumnRenamed("a", "b"), "b").where("x <> comp").select("a", "b")
-    held = materialize(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
+    held = step(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
     mixed = held.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = materialize(apart.union(tile_pairs(held.join(mixed, "sig"), percent)).distinct(), "join-pairs")
+    rest = step(apart.union(tile_pairs(held.join(mixed, "sig"), percent)).distinct(), "join-pairs")
     if not rest.isEmpty():
-        more = materialize(verified(rest, materialize(texts_of(rest), "join-texts"), k, percent), "join-links")
+        more = step(verified(rest, step(texts_of(rest), "join-texts"), k, percent), "join-links")
         linked = components(edges.union(more), "join-components")
 
     return (
