@@ -54,10 +54,8 @@ def list_metrics(feedbacks: DataFrame, recipes: Sequence[str] | None = None, how
 
 
 def recipe_metrics(feedbacks: DataFrame, recipes: Sequence[str]) -> dict[str, list[str]]:
-    rows = (
-        _recipe_filter(feedbacks, recipes, None).select("recipe", "name").distinct()
-        .limit(MAX_METRICS * max(len(recipes), 1) + 1).collect()
-    )
+    # Each name becomes a column of the comparison, so all of them are read.
+    rows = _recipe_filter(feedbacks, recipes, None).select("recipe", "name").distinct().collect()
     out: dict[str, list[str]] = {r: [] for r in recipes}
     for row in rows:
         out[row["recipe"]].append(row["name"])
