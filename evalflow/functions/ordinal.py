@@ -8,9 +8,10 @@ prefix count of the earlier sub-groups. The result is a dense 1..n ordinal
 per group, unique and deterministic. A group of n rows yields at most
 min(n, buckets) salts, so the many buckets cost small groups nothing while a
 hot group is cut into up to 65,536 pieces; the prefix window runs over at
-most that many rows per group. The ordinal follows ``(salt, order)`` with
-``salt = md5_bucket(order)``, not ``order`` alone, so use it where any fixed
-numbering will do (aligning duplicates, paging ids), not for "first by time".
+most that many rows per group. By default ``salt = md5_bucket(order)``, which
+fits where any fixed numbering will do. Given a ``salt`` that never decreases
+along ``order`` (``time_bucket`` of the leading time column), the ordinal
+follows ``order`` itself, so the k-th row is the k-th in time.
 """
 
 from __future__ import annotations
@@ -28,17 +29,26 @@ def md5_bucket(cols: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
+def time_bucket(c: str, seconds: int = 60) -> Column:
+    """Coarse slot of a timestamp that never decreases with it; rows without
+    a time come first, as in an ascending sort."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    return F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)), F.lit(-(1 << 62))).cast("long")
+
+
 def group_ordinal(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "ordinal",
     buckets: int = 1 << 16,
+    salt: Column | None = None,
 ) -> DataFrame:
     # The group is one struct column: struct equality treats null fields as
     # equal, so plain equality is null-safe, and the window's partitioning on
     # (group, salt) also serves the join back, so the rows shuffle once.
-    salted = df.withColumns({"_g": F.struct(*[F.col(k) for k in keys]), "_salt": md5_bucket(order, buckets)})
+    piece = md5_bucket(order, buckets) if salt is None else salt
+    salted = df.withColumns({"_g": F.struct(*[F.col(k) for k in keys]), "_salt": piece})
     salted = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_salt").orderBy(*order)))
     # counted with a partial aggregate: only one count per task and piece is shuffled
     counts = salted.groupBy("_g", "_salt").agg(F.count(F.lit(1)).alias("_c"))

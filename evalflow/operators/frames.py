@@ -3,7 +3,7 @@
 All operators take and return DataFrames and are lazy. The one place a
 driver-side list is needed is the set of metric names, because it decides
 output columns; it comes from a distinct over one column (partial aggregate
-per task) and is bounded by ``MAX_METRICS``.
+per task). Each name becomes a column, so all of them are read.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalflow.functions.json import latency_seconds, metadata_predicate
-from evalflow.functions.ordinal import group_ordinal
+from evalflow.functions.ordinal import group_ordinal, time_bucket
 
 KEYS = ("recipe", "dataset", "record_id")
-MAX_METRICS = 1000
 MEASURES = ("total_tokens", "latency")
 
 
@@ -47,10 +46,7 @@ def metric_names(
 
 
 def list_metrics(feedbacks: DataFrame, recipes: Sequence[str] | None = None, how: str = "union") -> list[str]:
-    rows = metric_names(feedbacks, recipes, how).limit(MAX_METRICS + 1).collect()
-    if len(rows) > MAX_METRICS:
-        raise ValueError(f"more than {MAX_METRICS} metric names")
-    return sorted(r["name"] for r in rows)
+    return sorted(r["name"] for r in metric_names(feedbacks, recipes, how).collect())
 
 
 def recipe_metrics(feedbacks: DataFrame, recipes: Sequence[str]) -> dict[str, list[str]]:
@@ -153,8 +149,9 @@ def compare_runs(
 
     Rows are aligned on ``input`` (null-safe: null inputs align with each
     other). Duplicate inputs within a recipe are aligned by occurrence
-    number, so the k-th run of a question in one recipe meets the k-th run
-    in the others (no pair multiplication). Columns: ``input``,
+    number in order of (start_time, record_id), so the k-th run of a
+    question in one recipe meets the k-th run in the others (no pair
+    multiplication). Columns: ``input``,
     ``ground_truth``, ``output_<r>`` in recipe order, then alphabetically:
     ``metadata`` (first recipe's), ``<col>_<r>`` and, for exactly two
     recipes, ``<m>__diff`` = first minus second over the metrics common to
@@ -168,9 +165,9 @@ def compare_runs(
     per_recipe = recipe_metrics(feedbacks, recipes)
     union = sorted({m for ms in per_recipe.values() for m in ms})
     common = sorted(set.intersection(*(set(ms) for ms in per_recipe.values()))) if recipes else []
-    frame = run_frame(records, feedbacks, recipes, dataset, metadata_filter, True, union)
+    frame = run_frame(records, feedbacks, recipes, dataset, metadata_filter, True, union, keep=["start_time"])
     group = ["dataset", "input"]
-    frame = group_ordinal(frame, ["recipe", *group], ["record_id"], name="_occ")
+    frame = group_ordinal(frame, ["recipe", *group], ["start_time", "record_id"], name="_occ", salt=time_bucket("start_time"))
 
     aggs = []
     first = recipes[0]
@@ -206,14 +203,6 @@ def compare_runs(
     return wide.select(*lead, "input", "ground_truth", *outputs, *sorted(rest))
 
 
-def with_diffs(df: DataFrame, recipes: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """``<m>__diff`` = ``<m>_<first>`` - ``<m>_<second>`` for exactly two recipes."""
-    if len(recipes) != 2:
-        return df
-    a, b = recipes
-    return df.withColumns({f"{m}__diff": F.col(f"{m}_{a}") - F.col(f"{m}_{b}") for m in measures})
-
-
 def compare_page(
     df: DataFrame,
     where: Any = None,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -97,6 +99,32 @@ def word_length(text: str) -> int:
     return len([w for w in text.split() if w])
 
 
+def _pieces(
+    text: str, size: int, length: Callable[[str], int], separators: Sequence[str]
+) -> list[tuple[int, int, int]]:
+    """``text`` as consecutive (start, end, length) pieces. Only pieces longer
+    than ``size`` are cut, by the separators from coarse to fine; a piece
+    keeps the separator it ends with, ``""`` cuts between characters."""
+    pieces = [(0, len(text), length(text))] if text else []
+    for sep in separators:
+        finer = []
+        for start, end, n in pieces:
+            if n <= size:
+                finer.append((start, end, n))
+                continue
+            if sep == "":
+                cuts = range(start + 1, end + 1)
+            else:
+                cuts = [m.end() + start for m in re.finditer(re.escape(sep), text[start:end])]
+                cuts = [*cuts, *([] if cuts and cuts[-1] == end else [end])]
+            a = start
+            for b in cuts:
+                finer.append((a, b, length(text[a:b])))
+                a = b
+        pieces = finer
+    return pieces
+
+
 def split_recursive(
     text: str,
     size: int,
@@ -104,55 +132,26 @@ def split_recursive(
     length: Callable[[str], int] = word_length,
     separators: Sequence[str] = ("\n\n", "\n", " ", ""),
 ) -> list[str]:
-    """Recursive separator splitting: split on the first separator present,
-    merge pieces up to ``size`` (by ``length``) carrying ``overlap`` of the
-    previous chunk, and split any piece still too long with the next
-    separator."""
-    sep = separators[-1]
-    rest: Sequence[str] = ()
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, rest = s, separators[i + 1:]
+    """Chunks of at most ``size`` (by ``length``) that end where a separator
+    does, the coarsest that serves. Each is a slice of the text from one
+    piece's start to another's end, as far as ``size`` allows; the next
+    starts at the earliest piece from which the shared part is at most
+    ``overlap`` and one more piece fits. Only a piece that no separator can
+    cut is longer than ``size``; it is a chunk of its own."""
+    pieces = _pieces(text, size, length, separators)
+    before = [0, *accumulate(n for _, _, n in pieces)]
+    chunks = []
+    first = 0
+    while first < len(pieces):
+        stop = max(first + 1, bisect_right(before, before[first] + size) - 1)
+        chunk = text[pieces[first][0] : pieces[stop - 1][1]].strip()
+        if chunk:
+            chunks.append(chunk)
+        if stop == len(pieces):
             break
-    parts = list(text) if sep == "" else [p for p in text.split(sep) if p != ""]
-    out: list[str] = []
-    good: list[str] = []
-    for p in parts:
-        if length(p) <= size:
-            good.append(p)
-            continue
-        if good:
-            out.extend(_merge(good, sep, size, overlap, length))
-            good = []
-        if rest:
-            out.extend(split_recursive(p, size, overlap, length, rest))
-        else:
-            out.append(p)
-    if good:
-        out.extend(_merge(good, sep, size, overlap, length))
-    return out
-
-
-def _merge(parts: list[str], sep: str, size: int, overlap: int, length: Callable[[str], int]) -> list[str]:
-    sep_len = length(sep) if sep else 0
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    for p in parts:
-        plen = length(p)
-        if cur and total + plen + (sep_len if cur else 0) > size:
-            doc = sep.join(cur).strip()
-            if doc:
-                docs.append(doc)
-            while cur and (total > overlap or (total + plen + (sep_len if cur else 0) > size and total > 0)):
-                total -= length(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                cur.pop(0)
-        cur.append(p)
-        total += plen + (sep_len if len(cur) > 1 else 0)
-    doc = sep.join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
+        room = max(before[stop] - overlap, before[stop + 1] - size)
+        first = min(stop, max(first + 1, bisect_left(before, room)))
+    return chunks
 
 
 def chunk_recursive(
@@ -255,12 +254,3 @@ def upsert_chunks(existing: DataFrame, new: DataFrame, key: str = "doc_id") -> D
     the new chunks is small next to the store; AQE broadcasts it when it is)."""
     keys = new.select(key).distinct()
     return existing.join(keys, key, "left_anti").unionByName(new)
-
-
-def chunk_count(n_words: int, size: int, overlap: int) -> int:
-    """Number of window chunks for a document of ``n_words`` words."""
-    if n_words == 0:
-        return 0
-    if n_words <= size:
-        return 1
-    return math.ceil((n_words - size) / (size - overlap)) + 1

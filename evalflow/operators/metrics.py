@@ -40,11 +40,6 @@ CALL = T.StructType(
 )
 
 
-def _share(a: Column, b: Column) -> Column:
-    """|a & b| / |a|, null for an empty ``a``."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)).cast("double") / F.size(a))
-
-
 def _call(reason: Column, score: Column, context: Column | None = None, reasons: Column | None = None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(
@@ -62,46 +57,48 @@ def _overlap_reason(hit: Column, total: Column, what: str) -> Column:
     )
 
 
-def groundedness(output: Column, contexts: Column) -> tuple[Column, Column]:
-    out_t = tokens(output)
-    ctx_t = F.array_distinct(F.flatten(F.transform(contexts, lambda c: tokens(c["page_content"]))))
-    score = _share(out_t, ctx_t)
-    hit = F.size(F.array_intersect(out_t, ctx_t))
-    call = _call(F.lit(None).cast("string"), score, reasons=_overlap_reason(hit, F.size(out_t), "answer with the contexts"))
-    return score, F.array(call)
-
-
-def answer_relevance(input_: Column, output: Column) -> tuple[Column, Column]:
-    in_t, out_t = tokens(input_), tokens(output)
-    score = _share(in_t, out_t)
-    hit = F.size(F.array_intersect(in_t, out_t))
-    return score, F.array(_call(_overlap_reason(hit, F.size(in_t), "question with the answer"), score))
-
-
-def context_relevance(input_: Column, contexts: Column) -> tuple[Column, Column]:
-    in_t = tokens(input_)
-    per = F.transform(contexts, lambda c: _share(in_t, tokens(c["page_content"])))
-    total = F.aggregate(per, F.lit(0.0), lambda acc, x: acc + x)
-    score = F.when(F.size(contexts) > 0, total / F.size(contexts))
-    calls = F.transform(
-        contexts,
-        lambda c: _call(
-            _overlap_reason(F.size(F.array_intersect(in_t, tokens(c["page_content"]))), F.size(in_t), "question with the context"),
-            _share(in_t, tokens(c["page_content"])),
-            context=c["page_content"],
+#: Working columns of ``scored``: every text is cut into tokens once, and
+#: every overlap counted once; scores and reasons read these.
+_IN, _OUT, _GT, _CTX, _ALL = "__input_t", "__output_t", "__truth_t", "__context_t", "__contexts_t"
+
+
+def _overlap(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(F.col(a), F.col(b)))
+
+
+def _ratio(hits: Column, of: str) -> Column:
+    return F.when(F.size(of) > 0, hits.cast("double") / F.size(of))
+
+
+def _groundedness(hits: Column) -> tuple[Column, Column]:
+    score = _ratio(hits, _OUT)
+    reasons = _overlap_reason(hits, F.size(_OUT), "answer with the contexts")
+    return score, F.array(_call(F.lit(None).cast("string"), score, reasons=reasons))
+
+
+def _answer_relevance(hits: Column) -> tuple[Column, Column]:
+    score = _ratio(hits, _IN)
+    return score, F.array(_call(_overlap_reason(hits, F.size(_IN), "question with the answer"), score))
+
+
+def _context_relevance(hits: Column) -> tuple[Column, Column]:
+    """``hits`` holds one count per context."""
+    total = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + _ratio(h, _IN))
+    score = F.when(F.size(hits) > 0, total / F.size(hits))
+    calls = F.zip_with(
+        "contexts",
+        hits,
+        lambda c, h: _call(
+            _overlap_reason(h, F.size(_IN), "question with the context"), _ratio(h, _IN), context=c["page_content"]
         ),
     )
     return score, calls
 
 
-def answer_correctness(output: Column, ground_truth: Column) -> tuple[Column, Column]:
-    out_t, gt_t = tokens(output), tokens(ground_truth)
-    hit = F.size(F.array_intersect(out_t, gt_t))
-    score = F.when(
-        ground_truth.isNotNull() & (F.size(out_t) > 0) & (F.size(gt_t) > 0),
-        (2.0 * hit) / (F.size(out_t) + F.size(gt_t)),
-    )
-    return score, F.array(_call(_overlap_reason(hit, F.size(gt_t), "answer with the ground truth"), score))
+def _answer_correctness(hits: Column) -> tuple[Column, Column]:
+    some = F.col("ground_truth").isNotNull() & (F.size(_OUT) > 0) & (F.size(_GT) > 0)
+    score = F.when(some, (2.0 * hits) / (F.size(_OUT) + F.size(_GT)))
+    return score, F.array(_call(_overlap_reason(hits, F.size(_GT), "answer with the ground truth"), score))
 
 
 def select_metrics(metrics: Sequence[str] | Mapping[str, Any] | None) -> list[str]:
@@ -125,22 +122,44 @@ def with_ground_truth(records: DataFrame, questions: DataFrame | None) -> DataFr
     return records.join(gt, ["dataset", "input"], "left")
 
 
-def scored(records: DataFrame, questions: DataFrame | None = None, metrics=None) -> DataFrame:
-    """Records plus one ``(result, calls)`` struct column per selected metric."""
-    df = with_ground_truth(records, questions)
+def scored(records: DataFrame, questions: DataFrame | None = None, metrics=None) -> tuple[DataFrame, list[str]]:
+    """Records plus one ``(result, calls)`` struct column per selected
+    metric, and the names of those. Null contexts count as none."""
     chosen = select_metrics(metrics)
-    i, o, c, g = F.col("input"), F.col("output"), F.col("contexts"), F.col("ground_truth")
+    df = _no_null_contexts(with_ground_truth(records, questions))
+    df = df.withColumns(
+        {
+            _IN: tokens("input"),
+            _OUT: tokens("output"),
+            _GT: tokens("ground_truth"),
+            _CTX: F.transform("contexts", lambda c: tokens(c["page_content"])),
+        }
+    )
+    df = df.withColumn(_ALL, F.array_distinct(F.flatten(_CTX)))
+    hits = {
+        "answer_correctness": _overlap(_OUT, _GT),
+        "answer_relevance": _overlap(_IN, _OUT),
+        "context_relevance": F.transform(_CTX, lambda t: F.size(F.array_intersect(F.col(_IN), t))),
+        "groundedness": _overlap(_OUT, _ALL),
+    }
     fns = {
-        "answer_correctness": lambda: answer_correctness(o, g),
-        "answer_relevance": lambda: answer_relevance(i, o),
-        "context_relevance": lambda: context_relevance(i, c),
-        "groundedness": lambda: groundedness(o, c),
+        "answer_correctness": _answer_correctness,
+        "answer_relevance": _answer_relevance,
+        "context_relevance": _context_relevance,
+        "groundedness": _groundedness,
     }
+    df = df.withColumns({f"__hits_{m}": hits[m] for m in chosen})
     cols = {}
     for m in chosen:
-        score, calls = fns[m]()
+        score, calls = fns[m](F.col(f"__hits_{m}"))
         cols[m] = F.struct(score.alias("result"), calls.alias("calls"))
-    return df.withColumns(cols), chosen
+    work = [_IN, _OUT, _GT, _CTX, _ALL, *[f"__hits_{m}" for m in chosen]]
+    return df.withColumns(cols).drop(*work), chosen
+
+
+def _no_null_contexts(records: DataFrame) -> DataFrame:
+    none = F.array().cast(records.schema["contexts"].dataType)
+    return records.withColumn("contexts", F.coalesce("contexts", none))
 
 
 def evaluate(
@@ -151,8 +170,9 @@ def evaluate(
 ) -> DataFrame:
     """Feedback rows (recipe, dataset, record_id, name, status, result,
     calls, last_ts) for every record and selected metric, with the lexical
-    judge. Narrow plan: one optional join for ground truth, then per-row
-    array expressions and an ``explode``; no shuffle on the records."""
+    judge: an optional join for the ground truth (the records are shuffled by
+    question only if the golden set is too large to broadcast), then per-row
+    array expressions and an ``explode``."""
     df, chosen = scored(records, questions, metrics)
     entries = F.array(*[F.struct(F.lit(m).alias("name"), F.col(m)["result"].alias("result"), F.col(m)["calls"].alias("calls")) for m in chosen])
     ts = last_ts if last_ts is not None else F.current_timestamp()
@@ -173,8 +193,9 @@ def evaluate(
 class Judge:
     """Batch judge: ``score_batch`` receives a pandas frame with columns
     name, input, output, context, ground_truth and returns one with score
-    (float) and reason (str), same length and order. Raise to fail a batch;
-    return NaN to fail a row."""
+    and reason (str), same length and order. In ``score`` (object type) NaN
+    fails the row and None means "no score". When it raises, the rows of the
+    batch are scored one at a time and only those that raise again fail."""
 
     def score_batch(self, batch: pd.DataFrame) -> pd.DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
@@ -210,9 +231,9 @@ class LexicalJudge(Judge):
             elif name == "answer_correctness":
                 a, b = self._t(out), self._t(gt)
                 s = 2.0 * len(a & b) / (len(a) + len(b)) if gt is not None and a and b else None
-            scores.append(float("nan") if s is None else s)
+            scores.append(s)
             reasons.append("lexical overlap")
-        return pd.DataFrame({"score": scores, "reason": reasons})
+        return pd.DataFrame({"score": pd.Series(scores, dtype=object), "reason": reasons})
 
 
 _REQ_SCHEMA = (
@@ -228,8 +249,9 @@ _RES_SCHEMA = (
 def judge_requests(records: DataFrame, questions: DataFrame | None = None, metrics=None) -> DataFrame:
     """One row per judge call: a record's answer/question pair, or one row
     per context for context relevance; groundedness sees all contexts
-    joined."""
-    df = with_ground_truth(records, questions)
+    joined. A record without contexts has one context-relevance row with a
+    null ``call_pos``: nothing to ask, but the metric is accounted for."""
+    df = _no_null_contexts(with_ground_truth(records, questions))
     chosen = select_metrics(metrics)
     all_ctx = F.array_join(F.transform("contexts", lambda c: c["page_content"]), "\n")
     null = F.lit(None).cast("string")
@@ -243,36 +265,50 @@ def judge_requests(records: DataFrame, questions: DataFrame | None = None, metri
             ctx = F.array(F.struct(F.lit(0).alias("pos"), null.alias("text")))
         reqs.append(F.struct(F.lit(m).alias("name"), ctx.alias("ctx")))
     ex = df.select(*REC_KEYS, "input", "output", "ground_truth", F.explode(F.array(*reqs)).alias("r"))
-    ex = ex.select(*REC_KEYS, "input", "output", "ground_truth", F.col("r.name").alias("name"), F.explode("r.ctx").alias("c"))
+    ex = ex.select(*REC_KEYS, "input", "output", "ground_truth", F.col("r.name").alias("name"), F.explode_outer("r.ctx").alias("c"))
     return ex.select(
         *REC_KEYS, "name", F.col("c.pos").cast("int").alias("call_pos"),
         "input", "output", F.col("c.text").alias("context"), "ground_truth",
     )
 
 
+_JUDGED = ["name", "input", "output", "context", "ground_truth"]
+
+
+def _verdicts(judge: Judge, rows: pd.DataFrame) -> list[tuple[float | None, str | None, str | None]]:
+    """(score, reason, error) per row; after an exception row by row."""
+    rows = rows.reset_index(drop=True)
+    try:
+        res = judge.score_batch(rows)
+        out = []
+        for score, reason in zip(res["score"].astype(object), res["reason"], strict=True):
+            if score is None:
+                out.append((None, reason, None))
+            elif pd.isna(score):
+                out.append((None, reason, "the judge gave no number"))
+            else:
+                out.append((float(score), reason, None))
+        if len(out) != len(rows):
+            raise ValueError(f"{len(out)} scores for {len(rows)} rows")
+        return out
+    except Exception as exc:  # noqa: BLE001 - a failing row becomes failed feedback
+        if len(rows) == 1:
+            return [(None, None, f"{type(exc).__name__}: {exc}")]
+    return [v for i in range(len(rows)) for v in _verdicts(judge, rows.iloc[i : i + 1])]
+
+
 def _run_judge(judge: Judge):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             t0 = time.perf_counter()
-            try:
-                res = judge.score_batch(batch[["name", "input", "output", "context", "ground_truth"]].reset_index(drop=True))
-                score = pd.to_numeric(res["score"], errors="coerce").astype("float64")
-                reason = res["reason"].astype(object)
-                error = pd.Series([None] * len(batch), dtype=object)
-            except Exception as exc:  # noqa: BLE001 - a failing batch becomes failed feedback
-                score = pd.Series([float("nan")] * len(batch))
-                reason = pd.Series([None] * len(batch), dtype=object)
-                error = pd.Series([f"{type(exc).__name__}: {exc}"] * len(batch), dtype=object)
-            secs = (time.perf_counter() - t0) / max(len(batch), 1)
-            yield pd.DataFrame(
-                {
-                    "recipe": batch["recipe"].values, "dataset": batch["dataset"].values,
-                    "record_id": batch["record_id"].values, "name": batch["name"].values,
-                    "call_pos": batch["call_pos"].values, "context": batch["context"].values,
-                    "score": score.values, "reason": reason.values, "error": error.values,
-                    "seconds": [secs] * len(batch),
-                }
-            )
+            asked = batch["call_pos"].notna().to_numpy()
+            given = iter(_verdicts(judge, batch.loc[asked, _JUDGED]) if asked.any() else [])
+            rows = [next(given) if a else (None, None, None) for a in asked]
+            out = batch[["recipe", "dataset", "record_id", "name", "call_pos", "context"]].copy()
+            for n, col in enumerate(("score", "reason", "error")):
+                out[col] = pd.Series([r[n] for r in rows], index=out.index, dtype="float64" if col == "score" else object)
+            out["seconds"] = (time.perf_counter() - t0) / max(len(batch), 1)
+            yield out
 
     return run
 
@@ -290,7 +326,8 @@ def evaluate_with_judge(
     Judge calls cost money and are not deterministic, so their output is
     written once under the checkpoint folder (``materialize``) before anything downstream can recompute
     it. A failed call makes its feedback ``failed`` with a null result.
-    Context relevance is the mean over its per-context calls.
+    Context relevance is the mean over its per-context calls; without
+    contexts it is ``done`` with a null result and no calls.
     """
     req = judge_requests(records, questions, metrics)
     if parallelism:
@@ -304,7 +341,9 @@ def evaluate_with_judge(
         F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("result"),
         F.max(F.col("error").isNotNull().cast("int")).alias("_failed"),
         F.array_sort(
-            F.collect_list(F.struct(F.col("call_pos").alias("pos"), "reason", "context", "score"))
+            F.collect_list(
+                F.when(F.col("call_pos").isNotNull(), F.struct(F.col("call_pos").alias("pos"), "reason", "context", "score"))
+            )
         ).alias("_calls"),
     )
     failed = F.col("_failed") == 1

@@ -43,9 +43,11 @@ def metadata_options(
     cap: int = OPTION_CAP,
     by: Sequence[str] = ("dataset",),
 ) -> DataFrame:
-    """Filter choices per key over the records of the given recipes:
-    ``<all>`` followed by the sorted distinct scalar values; keys with more
-    than ``cap`` values are left out.
+    """Filter choices per key and value type over the records of the given
+    recipes: ``<all>`` followed by the sorted distinct values of that type as
+    text. ``value_type`` (string, number, boolean) tells 1 from "1" and true
+    from "true", as the typed filter does. Keys with more than ``cap`` values
+    over all types are left out.
 
     The value lists are only collected for keys that passed the cap, so no
     group ever gathers an unbounded list.
@@ -55,14 +57,12 @@ def metadata_options(
         rec = rec.where(F.col("recipe").isin(list(recipes)))
     if dataset is not None:
         rec = rec.where(F.col("dataset") == dataset)
-    vals = metadata_values(rec, by)
-    counts = vals.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n_values"))
-    kept = counts.where(F.col("n_values") <= cap)
-    small = vals.join(kept, [*by, "key"], "left_semi")
-    lists = small.groupBy(*by, "key").agg(F.array_sort(F.collect_list("value")).alias("_vals"))
-    out = lists.join(kept, [*by, "key"])
-    return out.select(
-        *by, "key", F.col("n_values").cast("long").alias("n_values"),
+    vals = metadata_values(rec, by).withColumn("_k", F.struct(*by, "key"))
+    kept = vals.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap)
+    small = vals.join(kept, "_k", "left_semi")
+    lists = small.groupBy("_k", F.col("kind").alias("value_type")).agg(F.array_sort(F.collect_list("value")).alias("_vals"))
+    return lists.select(
+        "_k.*", "value_type", F.size("_vals").cast("long").alias("n_values"),
         F.concat(F.array(F.lit(ALL_OPTION)), F.col("_vals")).alias("values"),
     )
 

@@ -1,31 +1,33 @@
 """Exact top-k retrieval by cosine similarity, and context lists.
 
-The query x chunk product is never materialised. Queries are split into
-blocks whose size is checked (``block_rows`` x dim floats); each block is
-broadcast as a NumPy matrix, every chunk partition streams its Arrow
-batches through one matrix product per batch and keeps only candidates
-that can still be in a query's top k: similarity >= the running k-th best,
-cut to the first k by (similarity desc, chunk id), the final order, so the
-result is exact and ties cannot pile up. They are emitted when the partition
-ends; a window over at most ``k x partitions`` candidates per query then
-ranks them, and the chunk splits are merged to a bounded number first.
-Query ids are made unique first and an over-full block is split again, so
-a repeated id cannot overflow a block.
+Both sides stay distributed. Queries and chunks are cut into hash blocks of
+bounded size; every (query block, chunk block) pair meets in one cogroup,
+where NumPy multiplies tiles of bounded size and keeps each query's first k
+of that chunk block in the final order (similarity desc, chunk id asc). The
+global top k lies in the union of the blocks' top k under that order, so the
+result is exact and ties cannot pile up. The final ``row_number() <= k``
+is cut to k rows per query in each task before the shuffle (Spark's window
+group limit). Nothing passes through the driver but two row counts.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-_HIT_SCHEMA = "query_id long, vec_id long, similarity double"
-# Chunk splits scanned per core at most; more are merged (``coalesce``).
-MAX_SPLITS_PER_CORE = 4
+# Bytes of vectors (doubles) in one block, and of similarities in one tile.
+BLOCK_BYTES = 64 << 20
+TILE_BYTES = 64 << 20
+# Rows below which cutting a chunk block further is not worth a task.
+MIN_BLOCK_ROWS = 512
+# Similarities are summed in another order in the tiles than in the exact
+# pass over the candidates; the tiles keep this much more than the k-th best.
+SLACK = 1e-9
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -34,19 +36,14 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return np.where(n > 0, m / n, np.nan)
 
 
-def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+def _vectors(col: pa.ChunkedArray) -> np.ndarray:
+    arr = pa.concat_arrays(col.chunks) if col.num_chunks else col.combine_chunks()
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(len(arr), dim) if len(arr) else np.zeros((0, dim))
+    return _unit_rows(flat.reshape(len(arr), -1))
 
 
 def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
-    """Per query ``r``, the first k candidates in the final order (similarity
-    desc, chunk id asc). The global top k is contained in the union of the
-    partitions' top k under the same total order, so ties beyond k need not
-    be kept (a passage copied into many chunks cannot pile up)."""
-    if len(r) == 0:
-        return r, c, s
+    """Per query row ``r``, the first k candidates by similarity, then column."""
     o = np.lexsort((c, -s, r))
     r, c, s = r[o], c[o], s[o]
     start = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
@@ -55,71 +52,62 @@ def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
     return r[keep], c[keep], s[keep]
 
 
-def _local_topk(bc, k: int, exclude_self: bool, id_col: str, vec_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = bc.value
-        dim = q.shape[1]
-        best = np.full((len(qids), k), -np.inf)
-        # candidates still at or above their query's running k-th best
-        cand_r = np.zeros(0, dtype="int64")
-        cand_c = np.zeros(0, dtype="int64")
-        cand_s = np.zeros(0, dtype="float64")
-        for b in batches:
-            if b.num_rows == 0 or len(qids) == 0:
-                continue
-            cids = b.column(id_col).to_numpy(zero_copy_only=False).astype("int64")
-            c = _unit_rows(_vectors(b.column(vec_col), dim))
-            s = q @ c.T
-            s = np.where(np.isnan(s), -np.inf, s)
-            if exclude_self:
-                s[qids[:, None] == cids[None, :]] = -np.inf
-            merged = np.concatenate([best, s], axis=1)
-            best = -np.partition(-merged, k - 1, axis=1)[:, :k]
-            thr = best.min(axis=1)
-            r, cc = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
-            cand_r = np.concatenate([cand_r, r])
-            cand_c = np.concatenate([cand_c, cids[cc]])
-            cand_s = np.concatenate([cand_s, s[r, cc]])
-            keep = cand_s >= thr[cand_r]
-            cand_r, cand_c, cand_s = _first_k(cand_r[keep], cand_c[keep], cand_s[keep], k)
-        if len(cand_r):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[cand_r]), pa.array(cand_c), pa.array(cand_s)],
-                names=["query_id", "vec_id", "similarity"],
-            )
+def _block_topk(k: int, exclude_self: bool, schema: pa.Schema):
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not queries.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        # in id order, so that a column's number settles ties
+        chunks = chunks.take(pc.sort_indices(chunks["c"]))
+        q, c = _vectors(queries["qv"]), _vectors(chunks["cv"])
+        same = np.full(len(c), -1)
+        if exclude_self:
+            at = pc.index_in(chunks["c"], value_set=queries["q"], skip_nulls=True)
+            same = pc.fill_null(at, -1).to_numpy().astype("int64")
+        step = max(1, TILE_BYTES // (8 * len(c)))
+        found = []
+        for a in range(0, len(q), step):
+            tile = q[a : a + step]
+            s = tile @ c.T
+            s[np.isnan(s)] = -np.inf
+            mine = np.flatnonzero((same >= a) & (same < a + len(tile)))
+            s[same[mine] - a, mine] = -np.inf
+            if len(c) > k:
+                least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+                hit = s >= least[:, None] - SLACK
+            else:
+                hit = np.ones(s.shape, dtype=bool)
+            r, col = np.nonzero(hit & np.isfinite(s))
+            if len(r):
+                exact = np.empty(len(r))
+                for b in range(0, len(r), 1 << 16):
+                    part = slice(b, b + (1 << 16))
+                    exact[part] = np.einsum("ij,ij->i", tile[r[part]], c[col[part]])
+                r, col, exact = _first_k(r, col, exact, k)
+                found.append((r + a, col, exact))
+        if not found:
+            return schema.empty_table()
+        r, col, sims = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_arrays(
+            [
+                queries["q"].take(pa.array(r)).combine_chunks().cast(schema.field("q").type),
+                chunks["c"].take(pa.array(col)).combine_chunks().cast(schema.field("c").type),
+                pa.array(sims),
+            ],
+            schema=schema,
+        )
 
     return run
 
 
-def _query_blocks(queries: DataFrame, query_id: str, vec_col: str, block_rows: int) -> list[list]:
-    """The query rows in blocks of at most ``2 * block_rows`` rows.
+def usable_vector(v: Column) -> Column:
+    """Present, not empty, every component finite."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.isNotNull() & (F.size(v) > 0) & ~bad
 
-    Queries are first made unique by id (the result is one top-k list per
-    id, and a repeated id would otherwise pile up in one block). Blocks are
-    hash ranges of the id; a block that still comes out larger than its bound
-    is split in two by an independent hash until every piece fits, so no query
-    is dropped and no block exceeds the bound.
-    """
-    if block_rows < 1:
-        raise ValueError("block_rows must be at least 1")
-    q = queries.select(query_id, vec_col).dropDuplicates([query_id])
-    first = q.limit(block_rows + 1).collect()
-    if len(first) <= block_rows:
-        return [first]  # the common case: one block, read once
-    nblocks = max(2, math.ceil(q.count() / block_rows))
-    h = F.pmod(F.xxhash64(F.col(query_id)), F.lit(nblocks))
-    pending = [h == b for b in range(nblocks)]
-    blocks, seed = [], 0
-    while pending:
-        cond = pending.pop()
-        rows = q.where(cond).limit(2 * block_rows + 1).collect()
-        if len(rows) <= 2 * block_rows:
-            blocks.append(rows)
-            continue
-        seed += 1
-        half = F.pmod(F.xxhash64(F.col(query_id), F.lit(seed)), F.lit(2))
-        pending += [cond & (half == 0), cond & (half == 1)]
-    return blocks
+
+def _blocks(rows: int, dim: int | None, block_rows: int | None) -> int:
+    size = block_rows or max(1, BLOCK_BYTES // (8 * (dim or 1)))
+    return max(1, -(-rows // size))
 
 
 def retrieve_topk(
@@ -129,44 +117,51 @@ def retrieve_topk(
     query_id: str = "query_id",
     chunk_id: str = "vec_id",
     vec_col: str = "embedding",
-    block_rows: int = 20_000,
+    block_rows: int | None = None,
     exclude_self: bool = False,
 ) -> DataFrame:
     """query_id, vec_id, rank (1..k), similarity (cosine, double).
 
-    ``exclude_self`` drops pairs with equal ids (for a self-search of one
-    table). Ties are broken by the smaller chunk id.
+    Ids may have any type that sorts; one list comes back per query id (of
+    repeated ids one vector counts) and chunk ids are taken as unique. Rows
+    whose vector is null, empty, zero or not finite find nothing and are not
+    found; vectors of different lengths never meet. ``exclude_self`` drops
+    pairs with equal ids (a self-search of one table). Ties go to the smaller
+    chunk id. A block holds at most about ``block_rows`` rows (by default 64
+    MB of vectors).
     """
-    spark = queries.sparkSession
-    dims = chunks.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    blocks = _query_blocks(queries, query_id, vec_col, block_rows)
-    parts = []
-    src = chunks.select(F.col(chunk_id).cast("long").alias(chunk_id), F.col(vec_col))
-    # every chunk partition sends up to k candidates per query to the final
-    # ranking; merging splits (narrow, no shuffle) bounds that to k x cap
-    cap = MAX_SPLITS_PER_CORE * spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() > cap:
-        src = src.coalesce(cap)
-    for rows in blocks:
-        if not rows:
-            continue
-        dim = len(rows[0][1]) if rows[0][1] is not None else (dims[0][0] if dims else 0)
-        qids = np.array([r[0] for r in rows], dtype="int64")
-        qm = np.array([r[1] if r[1] is not None else [np.nan] * dim for r in rows], dtype="float64")
-        bc = spark.sparkContext.broadcast((qids, _unit_rows(qm)))
-        parts.append(src.mapInArrow(_local_topk(bc, k, exclude_self, chunk_id, vec_col), _HIT_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], _HIT_SCHEMA + ", rank int")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(
-        F.col("query_id").alias(query_id) if query_id != "query_id" else "query_id",
-        F.col("vec_id").alias(chunk_id) if chunk_id != "vec_id" else "vec_id",
-        "rank", "similarity",
+    if block_rows is not None and block_rows < 1:
+        raise ValueError("block_rows must be at least 1")
+    vec = F.col(vec_col).cast("array<double>")
+    q = queries.select(F.col(query_id).alias("q"), vec.alias("qv")).where(usable_vector(F.col("qv"))).dropDuplicates(["q"])
+    c = chunks.select(F.col(chunk_id).alias("c"), vec.alias("cv")).where(usable_vector(F.col("cv")))
+    n_q, dim_q = q.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
+    n_c, dim_c = c.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
+    q_blocks = _blocks(n_q, dim_q, block_rows)
+    # small chunk tables are cut further, so that all cores have a block
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    c_blocks = max(_blocks(n_c, dim_c, block_rows), min(cores, -(-n_c // MIN_BLOCK_ROWS)))
+    left = q.select(
+        "q", "qv", F.size("qv").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"),
+    )
+    right = c.select(
+        "c", "cv", F.size("cv").alias("dim"), F.pmod(F.xxhash64("c"), F.lit(c_blocks)).alias("cb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
     )
+    schema = T.StructType(
+        [
+            T.StructField("q", q.schema["q"].dataType),
+            T.StructField("c", c.schema["c"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    keys = ["dim", "qb", "cb"]
+    run = _block_topk(k, exclude_self, to_arrow_schema(schema))
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    w = Window.partitionBy("q").orderBy(F.col("similarity").desc(), F.col("c"))
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "rank", "similarity")
 
 
 def contexts_for(hits: DataFrame, chunks: DataFrame | None = None, query_id: str = "query_id", chunk_id: str = "vec_id") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalflow.operators.frames import metrics_long
+from evalflow.operators.frames import chart_data, list_metrics, metrics_long
+from evalflow.sources.store import RunStore
 
 # --- fixed values that must equal the reference's output -----------------
 # Score histogram: 10 equal bins over [0, 1], last bin closed.
@@ -32,48 +33,80 @@ def latency_edges() -> list[float]:
     return pts + [float("inf")]
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean from an exact decimal sum, so the result does not depend on the
-    order partial sums are combined in (double sums do, by an ulp or two,
-    which is enough to flip a rounding tie)."""
-    return F.avg(value.cast("decimal(38,12)")).cast("double")
+#: Pieces a group's range of values is cut into for the ranks.
+RANGES = 4096
 
 
-def box_stats(
-    chart: DataFrame,
-    metrics: Sequence[str],
-    approx_accuracy: int | None = None,
-    two_pass: bool = False,
-    small_group: int = 1_000_000,
-) -> DataFrame:
+def _all_combinations(seen: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """recipe x dataset x metric, whether or not it has rows. ``seen`` is a
+    small aggregate; the product is the set of facets of the report."""
+    pairs = seen.select("recipe").distinct().crossJoin(seen.select("dataset").distinct())
+    names = F.array(*[F.lit(m) for m in metrics])
+    facets = pairs.select("*", F.explode(names).alias("metric"))
+    return facets.select(F.struct("recipe", "dataset", "metric").alias("_k"))
+
+
+def _quartiles(counts: DataFrame, totals: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles per ``_k`` from (``_k``, ``value``,
+    ``_c``) rows, one per distinct value.
+
+    A value's rank is the count of the smaller ones: the counts of the
+    lower of ``RANGES`` ranges of the group's span plus a running count
+    within its own range, so no window holds a whole group and no buffer
+    holds its values.
+    """
+    span = F.col("high") - F.col("low")
+    piece = F.least(F.floor((F.col("value") - F.col("low")) / span * RANGES), F.lit(RANGES - 1))
+    piece = F.when(span > 0, F.coalesce(piece, F.lit(0))).otherwise(0).cast("long")
+    rows = counts.where(F.col("value").isNotNull()).join(totals.select("_k", "low", "high", "_n"), "_k")
+    rows = rows.withColumn("_p", F.struct("_k", piece.alias("piece")))
+    within = Window.partitionBy("_p").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    below = Window.partitionBy("_p._k").orderBy("_p.piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy("_p").agg(F.sum("_c").alias("_s"))
+    pieces = pieces.select(F.col("_p").alias("_pp"), F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_before"))
+    start = F.col("_before") + F.col("_in")
+    last = start + F.col("_c") - 1
+    ranked = rows.join(pieces, F.col("_p") == F.col("_pp"))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for side, r in (("a", F.floor(h)), ("b", F.ceil(h))):
+            aggs.append(F.max(F.when((start <= r) & (last >= r), F.col("value"))).alias(f"_{side}{i}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"_t{i}"))
+    at = ranked.groupBy("_k").agg(*aggs)
+    return at.select(
+        "_k", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_t{i}")).alias(f"_q{i}") for i in range(len(probs))]
+    )
+
+
+def box_stats(chart: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """high, low, median, mean, q1, q3 per recipe x dataset x metric.
 
-    Quartiles interpolate linearly between order statistics (pandas'
-    default); nulls are ignored; a combination with no values has nulls.
-    The default exact aggregate keeps one counter per distinct value of a
-    group -- small for judge scores (tenths or hundredths). For a continuous
-    measure over huge groups, ``two_pass=True`` stays exact with bounded
-    memory (``exact_quantiles``), and ``approx_accuracy`` trades exactness
-    for a single pass (``percentile_approx``, rank error about 1/accuracy).
+    Every combination of a recipe, a dataset and a metric has a row, with
+    nulls where there are no values. Quartiles interpolate linearly between
+    order statistics (pandas' default); nulls and NaN are ignored. The means
+    come from exact decimal sums, so they do not depend on the order partial
+    sums are combined in.
+
+    The values are counted once (one row per combination and distinct value,
+    partial counts before the shuffle); all the rest reads that table.
     """
     long = metrics_long(chart, metrics, latency=False)
-    keys = ["recipe", "dataset", "metric"]
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    simple = [F.max("value").alias("high"), F.min("value").alias("low"), exact_mean(F.col("value")).alias("mean")]
-    if two_pass:
-        agg = long.groupBy(*keys).agg(*simple)
-        quart = exact_quantiles(long, keys, (0.25, 0.5, 0.75), small_group=small_group)
-        agg = agg.join(quart, keys, "left").select(*keys, "high", "low", "mean", F.array("q0", "q1", "q2").alias("_q"))
-    else:
-        if approx_accuracy:
-            q = F.percentile_approx(F.col("value"), qs, approx_accuracy).cast("array<double>")
-        else:
-            q = F.percentile(F.col("value"), qs)
-        agg = long.groupBy(*keys).agg(*simple, q.alias("_q"))
-    return agg.select(
-        "recipe", "dataset", "metric", "high", "low",
-        F.col("_q")[1].alias("median"), "mean",
-        F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"),
+    value = F.when(~F.isnan("value"), F.col("value"))
+    counts = long.groupBy(F.struct("recipe", "dataset", "metric").alias("_k"), value.alias("value")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(value.cast("decimal(38,12)")).alias("_sum")
+    )
+    totals = counts.where(F.col("value").isNotNull()).groupBy("_k").agg(
+        F.max("value").alias("high"), F.min("value").alias("low"), F.sum("_c").alias("_n"),
+        F.sum("_sum").cast("double").alias("_total"),
+    )
+    quart = _quartiles(counts, totals, (0.25, 0.5, 0.75))
+    grid = _all_combinations(counts.select("_k.recipe", "_k.dataset"), metrics)
+    out = grid.join(totals.join(quart, "_k"), "_k", "left")
+    return out.select(
+        "_k.*", "high", "low", F.col("_q1").alias("median"),
+        (F.col("_total") / F.col("_n")).alias("mean"), F.col("_q0").alias("q1"), F.col("_q2").alias("q3"),
     )
 
 
@@ -96,15 +129,15 @@ def box_plot_table(stats: DataFrame) -> DataFrame:
 def _bin_index(value: Column, edges: Sequence[float]) -> Column:
     """NumPy ``histogram`` binning against explicit edges: bin i holds
     ``edges[i] <= v < edges[i+1]``; the last bin also holds its upper edge;
-    values outside ``[edges[0], edges[-1]]`` get null."""
+    values outside ``[edges[0], edges[-1]]`` get null. The edges are evenly
+    spaced but for the last, so the bin is a quotient, put right by one where
+    rounding missed the literal edge."""
     arr = F.array(*[F.lit(float(e)) for e in edges])
-    below = F.size(F.filter(arr, lambda e: e <= value)) - 1
     last = len(edges) - 2
-    return (
-        F.when(value.isNull() | (value < edges[0]) | (value > edges[-1]), F.lit(None))
-        .when(below > last, F.lit(last))
-        .otherwise(below)
-    )
+    guess = F.least(F.floor(value / F.lit(edges[1] - edges[0])), F.lit(last)).cast("int")
+    low, high = F.get(arr, guess), F.get(arr, guess + 1)
+    exact = F.when(value < low, guess - 1).when((value >= high) & (guess < last), guess + 1).otherwise(guess)
+    return F.when((value >= edges[0]) & (value <= edges[-1]), exact)
 
 
 def valid_measure(value: Column) -> Column:
@@ -115,33 +148,33 @@ def valid_measure(value: Column) -> Column:
 def histogram(chart: DataFrame, metrics: Sequence[str], latency: bool = True) -> DataFrame:
     """Dense histograms per dataset x recipe x metric: 10 score bins over
     [0, 1] for metrics, 50 latency bins; ``percent`` is within the facet.
+    Every combination of a recipe, a dataset and a metric is a facet.
 
-    One aggregation over the long frame; empty bins are produced by
-    exploding the bin numbers per facet (no join against a bin table).
+    One aggregation over the long frame, in which values outside the bins
+    count under a null bin; facets and dense bins derive from its result.
     """
     long = metrics_long(chart, metrics, latency=latency)
     s_edges, l_edges = score_edges(), latency_edges()
     is_lat = F.col("metric") == "latency"
     v = F.col("value")
-    binned = long.where(valid_measure(v)).select(
-        "dataset", "recipe", "metric",
-        F.when(is_lat, _bin_index(v, l_edges)).otherwise(_bin_index(v, s_edges)).alias("bin"),
-    ).where(F.col("bin").isNotNull())
-    counts = binned.groupBy("dataset", "recipe", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
+    slot = F.when(is_lat, _bin_index(v, l_edges)).otherwise(_bin_index(v, s_edges))
+    counts = long.groupBy(
+        F.struct("recipe", "dataset", "metric").alias("_k"), F.when(valid_measure(v), slot).alias("bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
-    facets = long.select("dataset", "recipe", "metric").distinct()
+    facets = _all_combinations(counts.select("_k.recipe", "_k.dataset"), [*metrics, *(["latency"] if latency else [])])
+    is_lat = F.col("_k.metric") == "latency"
     nbins = F.when(is_lat, F.lit(len(l_edges) - 1)).otherwise(F.lit(len(s_edges) - 1))
-    grid = facets.select("dataset", "recipe", "metric", F.explode(F.sequence(F.lit(0), nbins - 1)).alias("bin"))
-    lo_arr = F.when(is_lat, F.array(*[F.lit(e) for e in l_edges])).otherwise(F.array(*[F.lit(e) for e in s_edges]))
-    dense = grid.join(counts, ["dataset", "recipe", "metric", "bin"], "left")
-    facet = Window.partitionBy("dataset", "recipe", "metric")
+    grid = facets.select("_k", F.explode(F.sequence(F.lit(0), nbins - 1)).alias("bin"))
+    dense = grid.join(counts, ["_k", "bin"], "left")
+    edges = F.when(is_lat, F.array(*[F.lit(e) for e in l_edges])).otherwise(F.array(*[F.lit(e) for e in s_edges]))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    total = F.sum(n).over(facet)
+    total = F.sum(n).over(Window.partitionBy("_k"))
     return dense.select(
-        "dataset", "recipe", "metric",
+        "_k.dataset", "_k.recipe", "_k.metric",
         F.col("bin").cast("long").alias("bin"),
-        F.element_at(lo_arr, F.col("bin") + 1).alias("lo"),
-        F.element_at(lo_arr, F.col("bin") + 2).alias("hi"),
+        F.element_at(edges, F.col("bin") + 1).alias("lo"),
+        F.element_at(edges, F.col("bin") + 2).alias("hi"),
         n.alias("n"),
         F.when(total > 0, n * 100.0 / total).alias("percent"),
     )
@@ -152,95 +185,23 @@ def status_counts(feedbacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return feedbacks.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def compare(chart: DataFrame, metrics: Sequence[str], output: str = "box-plots") -> DataFrame:
-    """The comparison report over all recipes and datasets of ``chart``:
-    ``box-plots`` gives the box-plot table, ``histogram-grid`` the score and
-    latency histograms; any other value raises."""
+REPORTS = ("box-plots", "histogram-grid")
+
+
+def compare_chart(chart: DataFrame, metrics: Sequence[str], output: str = "box-plots") -> DataFrame:
+    """A report over all recipes and datasets of ``chart``: ``box-plots``
+    gives the box-plot table, ``histogram-grid`` the score and latency
+    histograms; any other name raises."""
+    if output not in REPORTS:
+        raise ValueError(f"no report is called {output!r}; there are {', '.join(REPORTS)}")
     if output == "box-plots":
         return box_plot_table(box_stats(chart, metrics))
-    if output == "histogram-grid":
-        return histogram(chart, metrics, latency=True)
-    raise ValueError(f"Invalid output type: {output}")
-
-
-def exact_quantiles(
-    long: DataFrame,
-    keys: Sequence[str],
-    probs: Sequence[float] = (0.25, 0.5, 0.75),
-    value: str = "value",
-    small_group: int = 1_000_000,
-    accuracy: int = 100_000,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/NumPy definition) per
-    group, without ever holding a large group's values in one buffer.
-
-    Groups of at most ``small_group`` values use Spark's exact ``percentile``
-    (its buffer is bounded by the group size). Larger groups -- a hot group
-    may hold a third of the table -- take two passes: a bounded-memory sketch
-    (``percentile_approx`` with ``accuracy``, rank error <= n/accuracy) gives
-    a value band around each target rank, then one pass counts the values
-    below the band and keeps the band's distinct values with their counts
-    (about 6n/accuracy of them), and a running count over that small table
-    finds the exact order statistics. Output: keys + ``q<i>`` columns (one
-    per prob, in order).
-    """
-    keys = list(keys)
-    v = F.col(value)
-    data = long.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
-    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out_cols = [f"q{i}" for i in range(len(probs))]
-
-    small_keys = sizes.where(F.col("_n") <= small_group).select(*keys)
-    small = data.join(small_keys, keys, "left_semi").groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs])).alias("_q")
-    )
-    small = small.select(*keys, *[F.col("_q")[i].alias(c) for i, c in enumerate(out_cols)])
-
-    big_sizes = sizes.where(F.col("_n") > small_group)
-    big = data.join(big_sizes.select(*keys), keys, "left_semi")
-    eps = 3.0 / accuracy
-    edges = [max(0.0, q - eps) for q in probs] + [min(1.0, q + eps) for q in probs]
-    sketch = big.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(p) for p in edges]), accuracy).alias("_e"))
-    k = len(probs)
-    bounds = sketch.join(big_sizes, keys).select(
-        *keys, "_n", *[F.col("_e")[i].alias(f"_lo{i}") for i in range(k)], *[F.col("_e")[k + i].alias(f"_hi{i}") for i in range(k)]
-    )
-    # one row per group: small enough to send to every task
-    rows = big.join(F.broadcast(bounds), keys)
-    below = rows.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).cast("long").alias(f"_below{i}") for i in range(k)]
-    )
-    in_band = F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i)) for i in range(k)])
-    band = rows.select(*keys, "_v", F.explode(F.filter(in_band, lambda x: x.isNotNull())).alias("_qi"))
-    band = band.groupBy(*keys, "_qi", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_qi").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    band = band.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    per_q = []
-    for i, q in enumerate(probs):
-        b = band.where(F.col("_qi") == i).join(below.select(*keys, F.col(f"_below{i}").alias("_below")), keys)
-        b = b.join(big_sizes, keys)
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        r_lo, r_hi = F.floor(h), F.ceil(h)
-        start = F.col("_below") + F.col("_before")
-        agg = b.groupBy(*keys).agg(
-            F.max(F.when(start <= r_lo, F.col("_v"))).alias("_a"),
-            F.max(F.when(start <= r_hi, F.col("_v"))).alias("_b"),
-            F.min(F.col("_below")).alias("_first"),
-            F.max(start + F.col("_c")).alias("_end"),
-            F.first(h - F.floor(h)).alias("_t"),
-            F.first(r_lo).alias("_rlo"),
-            F.first(r_hi).alias("_rhi"),
-        )
-        covered = (F.col("_first") <= F.col("_rlo")) & (F.col("_end") > F.col("_rhi"))
-        val = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
-        per_q.append(agg.select(*keys, F.when(covered, val).alias(f"q{i}"), covered.alias(f"_ok{i}")))
-    big_out = per_q[0]
-    for p in per_q[1:]:
-        big_out = big_out.join(p, keys)
-    ok = F.lit(True)
-    for i in range(k):
-        ok = ok & F.col(f"_ok{i}")
-    missed = big_out.where(~ok).limit(1).count()
-    if missed:
-        raise ValueError("quantile band did not cover the target rank; raise accuracy")
-    return small.unionByName(big_out.select(*keys, *out_cols))
+    return histogram(chart, metrics, latency=True)
+
+
+def compare(store: RunStore, recipes: Sequence[str] | None = None, output: str = "box-plots") -> DataFrame:
+    """The report ``output`` over what ``store`` holds of the given recipes
+    (default: all), all datasets and the metrics found there."""
+    feedbacks = store.feedbacks()
+    metrics = list_metrics(feedbacks, recipes)
+    return compare_chart(chart_data(store.records(), feedbacks, recipes, metrics=metrics), metrics, output)

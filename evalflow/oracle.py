@@ -101,7 +101,7 @@ RUN_FRAME = """
 run_frame AS (
   SELECT r.recipe, r.dataset, r.record_id, r.metadata, r.n_tokens AS total_tokens,
     date_diff('microsecond', r.start_time, r.end_time) / 1e6 AS latency,
-    r.input, r.output,
+    r.input, r.output, r.start_time,
     w.answer_correctness, w.answer_relevance, w.context_relevance, w.groundedness
   FROM records r LEFT JOIN wide w USING (recipe, dataset, record_id)
 )"""
@@ -135,7 +135,7 @@ query_items AS (
 GOLDEN = """
 golden AS (
   SELECT concat('ds', item_id % 3) AS dataset, item_id AS pos,
-    concat('q', item_id % 25) AS query, substr(text, 1, 60) AS ground_truth
+    concat('q', item_id // 6) AS query, text AS ground_truth
   FROM benchmark
 )"""
 

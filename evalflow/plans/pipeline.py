@@ -12,37 +12,46 @@ from __future__ import annotations
 import asyncio
 import datetime as dt
 import inspect
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalflow.functions.text import words
+from evalflow.operators import frames, ingest, metrics, stats
+from evalflow.plans import planning
 from evalflow.session import materialize
+from evalflow.sources.store import RunStore
 
 RESERVED = ("kwargs", "_")
 
 
 def bind_ingredients(fn: Callable[..., Any], ingredients: Mapping[str, Any], reserved: Sequence[str] = ()) -> dict[str, Any]:
-    """The ingredients ``fn`` declares as parameters. Reserved names,
-    ``kwargs`` and ``_`` are skipped; a parameter without an ingredient
-    raises before any job starts."""
-    bound = {}
-    for name, p in inspect.signature(fn).parameters.items():
-        if name in reserved or name in RESERVED or p.kind in (p.VAR_KEYWORD, p.VAR_POSITIONAL):
-            continue
-        if name not in ingredients:
-            raise ValueError(f"method param '{name}' doesn't exist in the ingredients")
-        bound[name] = ingredients[name]
-    return bound
+    """The ingredients ``fn`` takes, by parameter name. Reserved names,
+    ``kwargs`` and ``_`` are left to the caller; a parameter that has neither
+    an ingredient nor a default is an error, before any job starts."""
+    signature = inspect.signature(fn)
+    own = [
+        p for p in signature.parameters.values()
+        if p.kind not in (p.VAR_POSITIONAL, p.VAR_KEYWORD) and p.name not in {*reserved, *RESERVED}
+    ]
+    given = {p.name: ingredients[p.name] for p in own if p.name in ingredients}
+    try:
+        return signature.replace(parameters=own).bind(**given).arguments
+    except TypeError as exc:
+        raise ValueError(f"{fn!r} cannot be called with the ingredients {sorted(ingredients)}: {exc}") from exc
 
 
 _RECORD_SCHEMA = (
-    "recipe string, dataset string, record_id string, input string, output string, "
+    "recipe string, dataset string, record_id string, input string, output string, metadata string, "
     "contexts array<struct<page_content:string,metadata:string>>, n_tokens long, "
     "start_time timestamp_ntz, end_time timestamp_ntz, error string"
 )
+_RECORD_COLUMNS = [c.split(" ")[0] for c in _RECORD_SCHEMA.split(", ")]
 
 
 def _invoke(pipeline: Any, question: str) -> Any:
@@ -65,50 +74,68 @@ def _unpack(result: Any) -> tuple[str | None, list[dict[str, str]] | None]:
     return (None if result is None else str(result)), None
 
 
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def run_pipeline(
     work: DataFrame,
     factory: Callable[..., Any],
-    ingredients: Mapping[str, Any],
+    ingredients: Mapping[str, Any] | None = None,
     parallelism: int | None = None,
     materialized: bool = True,
 ) -> DataFrame:
     """Run every pending question of ``work`` (recipe, dataset, pos, query)
     through the pipeline built by ``factory(**bound ingredients)``.
 
-    Output follows the records table; ``record_id`` is derived from
-    (recipe, dataset, pos) so a rerun writes the same ids.
+    The ingredients of a row are its ``ingredients`` (array of key, value;
+    ``work_plan`` passes them on from the pipelines) over the given ones; a
+    task builds each pipeline once. Output is a records table, ready for
+    ``RunStore.write_records``: question ``metadata`` is kept (``{}`` without
+    that column), and ``record_id`` is derived from (recipe, dataset, pos) so
+    a rerun writes the same ids.
     """
-    params = bind_ingredients(factory, ingredients)
+    common = dict(ingredients or {})
+    per_row = "ingredients" in work.columns
+    if not per_row:
+        bind_ingredients(factory, common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pipeline = None
-        build_error = None
+    def build(own) -> tuple[Any, str | None]:
         try:
-            pipeline = factory(**params)
+            return factory(**bind_ingredients(factory, {**common, **dict(own)})), None
         except Exception as exc:  # noqa: BLE001 - reported per record
-            build_error = f"{type(exc).__name__}: {exc}"
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def answer(built, row) -> tuple:
+        pipeline, err = built
+        start, out, ctx = _now(), None, None
+        if pipeline is not None:
+            try:
+                out, ctx = _unpack(_invoke(pipeline, row.query))
+            except Exception as exc:  # noqa: BLE001 - error isolation per question
+                err = f"{type(exc).__name__}: {exc}"
+        n = None if out is None else len(out.split())
+        return (row.recipe, row.dataset, row.record_id, row.query, out, row.metadata, ctx, n, start, _now(), err)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built: dict[tuple, tuple] = {}
         for b in batches:
             rows = []
-            for recipe, dataset, pos, query in zip(b["recipe"], b["dataset"], b["pos"], b["query"]):
-                start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-                answer, ctx, err = None, None, build_error
-                if pipeline is not None:
-                    try:
-                        answer, ctx = _unpack(_invoke(pipeline, query))
-                    except Exception as exc:  # noqa: BLE001 - error isolation per question
-                        err = f"{type(exc).__name__}: {exc}"
-                end = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-                rows.append(
-                    {
-                        "recipe": recipe, "dataset": dataset, "record_id": f"{recipe}:{dataset}:{int(pos)}",
-                        "input": query, "output": answer, "contexts": ctx,
-                        "n_tokens": None if answer is None else len(answer.split()),
-                        "start_time": start, "end_time": end, "error": err,
-                    }
-                )
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _RECORD_SCHEMA.split(", ")])
-
-    src = work.select("recipe", "dataset", "pos", "query")
+            for row in b.itertuples(index=False):
+                own = tuple((e["key"], e["value"]) for e in row.own) if row.own is not None else ()
+                if own not in built:
+                    built[own] = build(own)
+                rows.append(answer(built[own], row))
+            out = pd.DataFrame(rows, columns=_RECORD_COLUMNS)
+            yield out.astype({"n_tokens": "Int64"})
+
+    none = F.lit(None).cast("array<struct<key:string,value:string>>")
+    src = work.select(
+        "recipe", "dataset", "query",
+        F.concat_ws(":", "recipe", "dataset", F.col("pos").cast("string")).alias("record_id"),
+        (F.col("metadata") if "metadata" in work.columns else F.lit("{}")).alias("metadata"),
+        (F.col("ingredients") if per_row else none).alias("own"),
+    )
     if parallelism:
         src = src.repartition(parallelism)
     out = src.mapInPandas(run, _RECORD_SCHEMA)
@@ -148,65 +175,100 @@ def ingest_sources(
 
 # ---------------------------------------------------------------- experiment
 
+EXPERIMENT_RECORD = ["recipe", "dataset", "record_id", "input", "output", "contexts", "metadata", "n_tokens", "start_time", "end_time", "error"]
+
+
+def _retrieved_answers(questions: DataFrame, chunks: DataFrame, recipes: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Records of the built-in pipeline for recipes that share their chunks:
+    retrieval runs once with the largest k, each recipe keeps its first k
+    contexts, and the answer is the whole text of the best one."""
+    from evalflow.operators import retrieval
+
+    number = F.lpad(F.col("chunk_id").cast("string"), 12, "0")
+    keyed = chunks.withColumn("vec_id", F.concat_ws("#", F.col("doc_id").cast("string"), number))
+    hits = retrieval.retrieve_topk(questions, keyed, max(int(r["k"]) for r in recipes))
+    source = F.to_json(F.struct("doc_id", "chunk_id")).alias("metadata")
+    contexts = retrieval.contexts_for(hits, keyed.select("vec_id", "text", source))
+    variants = F.array(*[F.struct(F.lit(r["recipe"]).alias("recipe"), F.lit(int(r["k"])).alias("k")) for r in recipes])
+    base = questions.drop("embedding").join(contexts, "query_id", "left").select("*", F.explode(variants).alias("v"))
+    none = F.array().cast("array<struct<page_content:string,metadata:string>>")
+    base = base.withColumn("contexts", F.slice(F.coalesce("contexts", none), 1, F.col("v.k")))
+    output = F.get("contexts", 0)["page_content"]
+    null_time = F.lit(None).cast("timestamp_ntz")
+    return base.select(
+        F.col("v.recipe").alias("recipe"), "dataset",
+        F.concat_ws(":", "v.recipe", "query_id").alias("record_id"),
+        F.col("query").alias("input"), output.alias("output"), "contexts", "metadata",
+        F.size(words(output)).cast("long").alias("n_tokens"),
+        null_time.alias("start_time"), null_time.alias("end_time"), F.lit(None).cast("string").alias("error"),
+    )
+
 
 def run_experiment(
     questions: DataFrame,
     documents: DataFrame,
     recipes: Sequence[Mapping[str, Any]],
-    answer_words: int = 30,
+    store: RunStore | None = None,
+    ingest_fn: Callable[..., DataFrame] | None = None,
+    query_fn: Callable[..., Any] | None = None,
+    judge: metrics.Judge | None = None,
     dim: int = 64,
 ) -> DataFrame:
-    """ingest -> retrieve -> answer -> evaluate -> box statistics for a list
-    of recipes ``{"recipe": name, "chunk_size": n, "k": k}``.
-
-    Ingest runs once per distinct chunk size (recipes that differ only in
-    ``k`` share it); retrieval runs once per chunk size with the largest k
-    of its recipes, then each recipe keeps its own top k. The built-in
-    answerer returns the first ``answer_words`` words of the best context,
-    so the whole run is Spark jobs with no external service.
-    """
-    from evalflow.operators import frames, ingest, metrics, retrieval, stats
-
+    """ingest -> query -> evaluate -> box statistics for a list of recipes
+    ``{"recipe": name, **ingredients}``.
 
-    # questions are derived and embedded once and written: the retrieval of
-    # every chunk size, the records and the scoring all read this copy
-    qs = questions.withColumn("query_id", F.col("pos").cast("long"))
+    ``ingest_fn(documents, **ingredients)`` returns chunks (doc_id, chunk_id,
+    text); by default windows of ``chunk_size`` words. Recipes with the same
+    ingest ingredients share one chunk table, embedded and written once.
+    ``query_fn(**ingredients)`` builds a pipeline as for ``run_pipeline``;
+    without one the built-in extractive pipeline retrieves ``k`` chunks.
+    ``judge`` replaces the lexical judge. With a ``store``, questions it
+    already holds for a recipe are not asked again, records, feedbacks and
+    runs are written there, and the statistics cover all it holds of the
+    recipes. Questions are told apart by (dataset, pos), chunks by (doc_id,
+    chunk_id); document ids may have any type.
+    """
+    make_chunks = ingest_fn or (lambda docs, chunk_size: ingest.chunk_window(docs, int(chunk_size)))
+    names = [r["recipe"] for r in recipes]
+    if "metadata" not in questions.columns:
+        questions = questions.withColumn("metadata", F.lit("{}"))
+    qs = questions.withColumn("query_id", F.concat_ws(":", "dataset", F.col("pos").cast("string")))
+    # read by the retrieval of every chunk table, the records and the scoring
     qs = materialize(ingest.embed(qs, dim=dim, text_col="query"), "questions")
-    q_emb = qs.select("query_id", "embedding")
-    qs = qs.drop("embedding")
-    by_size: dict[int, list[Mapping[str, Any]]] = {}
-    for r in recipes:
-        by_size.setdefault(int(r["chunk_size"]), []).append(r)
-    recs = None
-    for size, rs in sorted(by_size.items()):
-        chunks = ingest.chunk_window(documents, size)
-        chunks = chunks.withColumn("vec_id", (F.col("doc_id").cast("long") * 1_000_000 + F.col("chunk_id")).cast("long"))
-        # ingest writes the chunk store once; retrieval and context texts read it
-        emb = materialize(ingest.embed(chunks, dim=dim), f"chunks-{size}")
-        kmax = max(int(r["k"]) for r in rs)
-        hits = retrieval.retrieve_topk(q_emb, emb, kmax)
-        texts = emb.select("vec_id", "text", F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit("}")).alias("metadata"))
-        ctx = retrieval.contexts_for(hits, texts)
-        # one retrieval per chunk size; every recipe of that size takes its
-        # first k contexts, attached with explode (no per-recipe plan)
-        variants = F.array(*[F.struct(F.lit(r["recipe"]).alias("recipe"), F.lit(int(r["k"])).alias("k")) for r in rs])
-        base = qs.join(ctx, "query_id", "left").select("*", F.explode(variants).alias("v"))
-        empty = F.array().cast("array<struct<page_content:string,metadata:string>>")
-        top = F.slice(F.coalesce("contexts", empty), 1, F.col("v.k"))
-        rec = base.select(
-            F.col("v.recipe").alias("recipe"), "dataset",
-            F.concat(F.col("v.recipe"), F.lit(":"), F.col("dataset"), F.lit(":"), F.col("pos").cast("string")).alias("record_id"),
-            F.col("query").alias("input"),
-            F.array_join(F.slice(F.split(top[0]["page_content"], " "), 1, answer_words), " ").alias("output"),
-            top.alias("contexts"),
-            F.lit("{}").alias("metadata"),
-            F.lit(0).cast("long").alias("n_tokens"),
-            F.lit(None).cast("timestamp_ntz").alias("start_time"),
-            F.lit(None).cast("timestamp_ntz").alias("end_time"),
-        )
-        recs = rec if recs is None else recs.unionByName(rec)
-    # records are written before they are scored (both sides of the chart read them)
-    recs = materialize(recs, "records")
-    fb = metrics.evaluate(recs.drop("metadata", "n_tokens", "start_time", "end_time"), qs, last_ts=F.localtimestamp())
-    chart = frames.chart_data(recs, fb, metrics=list(metrics.METRIC_NAMES))
+
+    if query_fn is not None:
+        entries = [(r["recipe"], [(str(a), str(v)) for a, v in r.items() if a != "recipe"]) for r in recipes]
+        table = questions.sparkSession.createDataFrame(entries, "pipeline_key string, ingredients array<struct<key:string,value:string>>")
+        work = planning.work_plan(qs.select("dataset", "pos", "query", "metadata"), table)
+        if store is not None:
+            work = planning.pending(work, store.records(), stored_encoded=False)
+        recs = run_pipeline(work, query_fn)
+    else:
+        shared: dict[tuple, list[Mapping[str, Any]]] = {}
+        for r in recipes:
+            shared.setdefault(tuple(sorted(bind_ingredients(make_chunks, r, ("docs", "documents")).items())), []).append(r)
+        parts = []
+        for own, users in shared.items():
+            chunks = materialize(ingest.embed(make_chunks(documents, **dict(own)), dim=dim), "chunks")
+            parts.append(_retrieved_answers(qs, chunks, users))
+        recs = reduce(DataFrame.unionByName, parts)
+        if store is not None:
+            recs = recs.withColumnRenamed("input", "query")
+            recs = planning.pending(recs, store.records(), stored_encoded=False).withColumnRenamed("query", "input")
+        recs = materialize(recs, "records")
+    recs = recs.select(*EXPERIMENT_RECORD)
+    asked = recs.select("recipe", "dataset", "record_id", "input", "output", "contexts")
+    if judge is None:
+        fb = metrics.evaluate(asked, qs, last_ts=F.localtimestamp())
+    else:
+        fb = metrics.evaluate_with_judge(asked, judge, qs)
+    if store is not None:
+        store.write_records(recs)
+        store.write_feedbacks(fb)
+        meta = {r["recipe"]: json.dumps({k: v for k, v in r.items() if k != "recipe"}, sort_keys=True) for r in recipes}
+        runs = recs.select("recipe", "dataset").distinct()
+        lookup = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), F.lit(v))])
+        store.write_runs(runs.select("recipe", "dataset", lookup[F.col("recipe")].alias("metadata")))
+        recs, fb = store.records(), store.feedbacks()
+    chart = frames.chart_data(recs, fb, names, metrics=list(metrics.METRIC_NAMES))
     return stats.box_stats(chart, list(metrics.METRIC_NAMES))

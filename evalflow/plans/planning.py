@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalflow.functions.text import decode_text, recipe_name
+from evalflow.operators.metrics import METRIC_NAMES
 
-# --- fixed values that must equal the reference's output -----------------
-# Feedback rows expected per question (one per metric).
-METRICS_PER_QUESTION = 4
-# --------------------------------------------------------------------------
-
-MAX_PIPELINES = 10_000
 _HASH_BITS = 60
 _BUCKET_BITS = 16
 
@@ -45,23 +40,24 @@ def sample_exact(
     """
     if p <= 0 or p >= 1:
         return df
-    by = list(by)
-    h = sample_hash(seed, id_col)
+    h = F.coalesce(sample_hash(seed, id_col), F.lit(0))  # a row without an id takes part too
     rows = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), _HASH_BITS - _BUCKET_BITS))
-    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_b")
+    # one struct as group key: its equality holds for null fields as well
+    rows = rows.withColumn("_g", F.struct(*[F.col(c) for c in by]))
+    counts = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_g").orderBy("_b")
     buckets = counts.select(
-        *by, "_b", "_c",
+        "_g", "_b", "_c",
         (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
         F.floor(F.lit(float(p)) * F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_k"),
     ).withColumn("_before", F.coalesce("_before", F.lit(0)))
     buckets = buckets.where(F.col("_before") < F.col("_k"))
-    tagged = rows.join(buckets, [*by, "_b"], "inner")
+    tagged = rows.join(buckets, ["_g", "_b"], "inner")
     whole = tagged.where(F.col("_before") + F.col("_c") <= F.col("_k"))
     edge = tagged.where(F.col("_before") + F.col("_c") > F.col("_k"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", order_col))
+    rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", order_col))
     edge = edge.withColumn("_r", rank).where(F.col("_before") + F.col("_r") <= F.col("_k")).drop("_r")
-    return whole.unionByName(edge).drop("_h", "_b", "_c", "_before", "_k")
+    return whole.unionByName(edge).drop("_g", "_h", "_b", "_c", "_before", "_k")
 
 
 def pipeline_keys(
@@ -93,39 +89,75 @@ def pipeline_keys(
 def work_plan(questions: DataFrame, pipelines: DataFrame | Sequence[str], key_col: str = "pipeline_key") -> DataFrame:
     """Every pipeline x every question: the pending work before resume.
 
-    Pipelines are configuration (a handful, checked against
-    ``MAX_PIPELINES``); they are attached with ``explode`` of a literal
-    array, so the question table is scanned once and nothing is joined.
+    The product is the operator's result. Pipelines may be a list of keys or
+    a table; a table that has ``ingredients`` passes them on to each row.
+    The planner broadcasts the pipelines when their size allows it.
     """
-    if isinstance(pipelines, DataFrame):
-        rows = pipelines.select(key_col).distinct().limit(MAX_PIPELINES + 1).collect()
-        if len(rows) > MAX_PIPELINES:
-            raise ValueError(f"more than {MAX_PIPELINES} pipelines")
-        keys = sorted(r[0] for r in rows)
-    else:
-        keys = sorted(set(pipelines))
-    arr = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
-    return questions.select(F.explode(arr).alias("recipe"), *questions.columns)
+    if not isinstance(pipelines, DataFrame):
+        keys = F.array(*[F.lit(k) for k in sorted(set(pipelines))]).cast("array<string>")
+        return questions.select(F.explode(keys).alias("recipe"), *questions.columns)
+    more = ["ingredients"] if "ingredients" in pipelines.columns else []
+    keys = pipelines.select(F.col(key_col).alias("recipe"), *more).dropDuplicates(["recipe"])
+    return questions.crossJoin(keys).select("recipe", *questions.columns, *more)
 
 
-def pending(work: DataFrame, records: DataFrame, stored_encoded: bool = True) -> DataFrame:
-    """Work whose question was not yet recorded for the same recipe and
-    dataset. Stored inputs are JSON string literals when ``stored_encoded``;
-    they are decoded before the exact comparison. The recorded side is
-    de-duplicated first so a repeated question is one key, not many."""
+def _recorded(records: DataFrame, stored_encoded: bool) -> DataFrame:
     inp = decode_text("input") if stored_encoded else F.col("input")
-    done = records.select("recipe", "dataset", inp.alias("query")).where(F.col("query").isNotNull()).distinct()
-    return work.join(done, ["recipe", "dataset", "query"], "left_anti")
+    return records.select(F.struct("recipe", "dataset", inp.alias("query")).alias("_done")).distinct()
 
 
-def progress(work: DataFrame, remaining: DataFrame) -> DataFrame:
-    """Per recipe and dataset: questions planned, finished, feedback rows expected."""
-    total = work.groupBy("recipe", "dataset").agg(F.count(F.lit(1)).alias("questions"))
-    left = remaining.groupBy("recipe", "dataset").agg(F.count(F.lit(1)).alias("_left"))
-    out = total.join(left, ["recipe", "dataset"], "left")
-    q = F.col("questions").cast("long")
+def _work_key() -> Column:
+    return F.struct("recipe", "dataset", "query")
+
+
+def pending(work: DataFrame, records: DataFrame, stored_encoded: bool = True) -> DataFrame:
+    """Work whose question was not yet recorded for the same recipe and
+    dataset, nulls equal to nulls. Stored inputs are JSON string literals
+    when ``stored_encoded``; they are decoded before the exact comparison.
+    The recorded side is de-duplicated first so a repeated question is one
+    key, not many."""
+    done = _recorded(records, stored_encoded)
+    return work.join(done, _work_key() == F.col("_done"), "left_anti")
+
+
+def progress(
+    work: DataFrame,
+    records: DataFrame,
+    feedbacks: DataFrame | None = None,
+    metrics: Sequence[str] = METRIC_NAMES,
+    stored_encoded: bool = True,
+) -> DataFrame:
+    """Per recipe and dataset: questions planned, questions finished (already
+    recorded), feedback rows expected over the chosen ``metrics``, feedback
+    rows done (null without a ``feedbacks`` table) and whether nothing is
+    pending. The work is read once: one left join with the recorded keys and
+    conditional counts.
+    """
+    done = _recorded(records, stored_encoded)
+    out = work.join(done, _work_key() == F.col("_done"), "left").groupBy("recipe", "dataset").agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.count("_done").alias("finished"),
+    )
+    fb_done = F.lit(None).cast("long")
+    if feedbacks is not None:
+        due = feedbacks.where((F.col("status") == "done") & F.col("name").isin(list(metrics)))
+        n = due.groupBy(F.struct("recipe", "dataset").alias("_fk")).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.join(n, F.struct("recipe", "dataset") == F.col("_fk"), "left")
+        fb_done = F.coalesce("_n", F.lit(0)).cast("long")
+    expected = (F.col("questions") * len(metrics)).cast("long")
+    complete = F.col("questions") == F.col("finished")
+    if feedbacks is not None:
+        complete = complete & (fb_done >= expected)
     return out.select(
-        "recipe", "dataset", q.alias("questions"),
-        (q - F.coalesce(F.col("_left"), F.lit(0))).cast("long").alias("finished"),
-        (q * METRICS_PER_QUESTION).alias("feedbacks"),
+        "recipe", "dataset", "questions", "finished",
+        expected.alias("feedbacks"), fb_done.alias("feedbacks_done"), complete.alias("complete"),
     )
+
+
+def fan_out(results: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """Results of shared pipelines (``recipe`` holds the pipeline key) under
+    the name of every recipe that uses them; ``pipelines`` is the output of
+    ``pipeline_keys``."""
+    names = pipelines.select(F.col("pipeline_key").alias("_key"), F.explode("recipes").alias("_name"))
+    out = results.join(names, F.col("recipe") == F.col("_key"))
+    return out.select(*[F.col("_name").alias("recipe") if c == "recipe" else F.col(c) for c in results.columns])

@@ -107,12 +107,17 @@ long AS (
   UNPIVOT INCLUDE NULLS (value FOR metric IN (answer_correctness, answer_relevance,
                                                context_relevance, groundedness))
 ),
-box AS (
+facets AS (
+  SELECT r.recipe, d.dataset, m.metric FROM (SELECT DISTINCT recipe FROM long) r
+  CROSS JOIN (SELECT DISTINCT dataset FROM long) d CROSS JOIN (SELECT DISTINCT metric FROM long) m
+),
+box0 AS (
   SELECT recipe, dataset, metric, max(value) AS high, min(value) AS low,
     quantile_cont(value, 0.5) AS median, CAST(avg(CAST(value AS DECIMAL(38,12))) AS DOUBLE) AS mean,
     quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
   FROM long GROUP BY recipe, dataset, metric
-)"""
+),
+box AS (SELECT * FROM facets LEFT JOIN box0 USING (recipe, dataset, metric))"""
 
 _BOX_COLS = "round(high, 6) AS high, round(low, 6) AS low, round(median, 6) AS median, round(mean, 6) AS mean, round(q1, 6) AS q1, round(q3, 6) AS q3"
 
@@ -155,7 +160,10 @@ binned AS (
     AND value <= e.edges[{nbins + 1}]
 ),
 counts AS (SELECT dataset, recipe, metric, bin, count(*) AS n FROM binned GROUP BY ALL),
-facets AS (SELECT DISTINCT dataset, recipe, metric FROM sel),
+facets AS (
+  SELECT d.dataset, r.recipe, m.metric FROM (SELECT DISTINCT recipe FROM sel) r
+  CROSS JOIN (SELECT DISTINCT dataset FROM sel) d CROSS JOIN (SELECT DISTINCT metric FROM sel) m
+),
 grid AS (SELECT f.*, b.bin FROM facets f CROSS JOIN (SELECT range AS bin FROM range({nbins})) b),
 dense AS (
   SELECT g.dataset, g.recipe, g.metric, g.bin, coalesce(c.n, 0) AS n
@@ -210,9 +218,14 @@ def q_metric_names(spark, sf_dir):
 
 # ---------------------------------------------------------------- compare
 
-RECIPES = ["click", "error", "purchase", "signup", "view"]
 PAIR = ["click", "view"]
-SALT = "CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 65536"
+
+
+def _recipes(spark, sf_dir) -> list[str]:
+    """Every recipe of the store (its output columns), in name order."""
+    types = fx.read_table(spark, sf_dir, "events").select("event_type").distinct().collect()
+    return sorted(r[0] for r in types)
+
 
 
 def _compare_sql(recipes: list[str], tail: str = "") -> str:
@@ -235,7 +248,7 @@ def _compare_sql(recipes: list[str], tail: str = "") -> str:
     return (
         O.with_ctes(*O.FRAMES, O.GOLDEN)
         + f""", occ AS (
-  SELECT *, row_number() OVER (PARTITION BY recipe, dataset, input ORDER BY {SALT}, record_id) AS _occ
+  SELECT *, row_number() OVER (PARTITION BY recipe, dataset, input ORDER BY start_time NULLS FIRST, record_id) AS _occ
   FROM run_frame WHERE recipe IN ({", ".join(f"'{r}'" for r in recipes)})
 ),
 cwide0 AS (
@@ -259,9 +272,10 @@ def _compare(spark, sf_dir, recipes):
     return frames.compare_runs(rec, fb, recipes, None, golden=fx.golden_items(spark, sf_dir))
 
 
-@register("compare_runs", _compare_sql(RECIPES))
+# the SQL text needs the column names written out; the query reads them from the table
+@register("compare_runs", _compare_sql(["click", "error", "purchase", "signup", "view"]))
 def q_compare_runs(spark, sf_dir):
-    return _compare(spark, sf_dir, RECIPES)
+    return _compare(spark, sf_dir, _recipes(spark, sf_dir))
 
 
 @register("compare_diff", _compare_sql(PAIR))
@@ -338,13 +352,14 @@ def q_metadata_filter(spark, sf_dir):
   FROM records r, json_each(r.metadata) j
   WHERE j.type IN ('VARCHAR', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE')
 )
-SELECT dataset, key, CAST(count(*) AS BIGINT) AS n_values,
-  '<all>|' || array_to_string(list_sort(list(value)), '|') AS "values"
-FROM vals GROUP BY dataset, key HAVING count(*) <= 50""",
+SELECT dataset, key, CASE kind WHEN 's' THEN 'string' WHEN 'b' THEN 'boolean' ELSE 'number' END AS value_type,
+  CAST(count(*) AS BIGINT) AS n_values, '<all>|' || array_to_string(list_sort(list(value)), '|') AS "values"
+FROM vals WHERE (dataset, key) IN (SELECT (dataset, key) FROM vals GROUP BY dataset, key HAVING count(*) <= 50)
+GROUP BY dataset, key, kind""",
 )
 def q_metadata_options(spark, sf_dir):
     opts = options.metadata_options(fx.records(spark, sf_dir))
-    return opts.select("dataset", "key", "n_values", F.array_join("values", "|").alias("values"))
+    return opts.select("dataset", "key", "value_type", "n_values", F.array_join("values", "|").alias("values"))
 
 
 @register(
@@ -572,7 +587,7 @@ def q_recipe_plan(spark, sf_dir):
 
 _WORK_SQL = O.with_ctes(O.QUERY_ITEMS, O.RECIPES) + """,
 work AS (
-  SELECT k.pipeline_key AS recipe, q.dataset, q.pos, q.query
+  SELECT k.pipeline_key AS recipe, q.dataset, q.pos, q.query, q.conv_id, q.turn
   FROM query_items q CROSS JOIN (SELECT DISTINCT pipeline_key FROM plan WHERE step = 'query') k
 ),
 recorded AS (
@@ -582,14 +597,15 @@ recorded AS (
 ),
 remaining AS (
   SELECT * FROM work w WHERE NOT EXISTS (
-    SELECT 1 FROM recorded r WHERE r.recipe = w.recipe AND r.dataset = w.dataset AND r.query = w.query)
+    SELECT 1 FROM recorded r WHERE r.recipe = w.recipe AND r.dataset = w.dataset AND r.query IS NOT DISTINCT FROM w.query)
 )
 """
 
 
 def _work(spark, sf_dir):
     _, query = _plans(spark, sf_dir)
-    qi = fx.query_items(spark, sf_dir).select("dataset", "pos", "query", "conv_id")
+    meta = F.to_json(F.struct("conv_id", "turn")).alias("metadata")
+    qi = fx.query_items(spark, sf_dir).select("dataset", "pos", "query", "conv_id", meta)
     work = planning.work_plan(qi, query)
     conv = fx.read_table(spark, sf_dir, "conversations")
     system = conv.where(F.col("role") == "system").select("conv_id").distinct()
@@ -604,13 +620,13 @@ def _work(spark, sf_dir):
 @register("work_plan", _WORK_SQL + "SELECT recipe, dataset, pos, query FROM work")
 def q_work_plan(spark, sf_dir):
     work, _ = _work(spark, sf_dir)
-    return work
+    return work.select("recipe", "dataset", "pos", "query")
 
 
 @register("resume_pending", _WORK_SQL + "SELECT recipe, dataset, pos, query FROM remaining")
 def q_resume_pending(spark, sf_dir):
     work, recorded = _work(spark, sf_dir)
-    return planning.pending(work, recorded)
+    return planning.pending(work, recorded).select("recipe", "dataset", "pos", "query")
 
 
 @register(
@@ -618,12 +634,13 @@ def q_resume_pending(spark, sf_dir):
     _WORK_SQL
     + """SELECT w.recipe, w.dataset, count(*) AS questions,
   count(*) - (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) AS finished,
-  count(*) * 4 AS feedbacks
+ count(*) * 4 AS feedbacks,
+  (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) = 0 AS complete
 FROM work w GROUP BY w.recipe, w.dataset""",
 )
 def q_run_progress(spark, sf_dir):
     work, recorded = _work(spark, sf_dir)
-    return planning.progress(work, planning.pending(work, recorded))
+    return planning.progress(work, recorded).drop("feedbacks_done")
 
 
 # ---------------------------------------------------------------- metrics
@@ -853,6 +870,32 @@ def q_retry_pending(spark, sf_dir):
     return streaming.retry_pending(fb, now)
 
 
+_RETRY_SQL = O.with_ctes(*O.STORE) + """, n AS (SELECT max(last_ts) AS now FROM feedbacks),
+marked AS (
+  SELECT f.*, (status = 'failed' AND date_diff('microsecond', last_ts, n.now) / 1e6 > 60)
+    OR (status = 'running' AND date_diff('microsecond', last_ts, n.now) / 1e6 > 30) AS due
+  FROM feedbacks f, n
+),
+e AS (SELECT recipe, dataset, record_id, input, output, contexts, NULL::VARCHAR AS ground_truth FROM records),
+fresh AS (
+""" + " UNION ALL ".join(
+    f"SELECT e.recipe, e.dataset, e.record_id, '{m}' AS name, 'done' AS status, {expr} AS result FROM e" for m, (expr, _) in _MET_SQL.items()
+) + """
+)
+SELECT recipe, dataset, record_id, name, status, round(result, 6) AS result FROM marked WHERE NOT due
+UNION ALL
+SELECT f.recipe, f.dataset, f.record_id, f.name, f.status, round(f.result, 6) FROM fresh f
+  JOIN (SELECT DISTINCT recipe, dataset, record_id, name FROM marked WHERE due) d USING (recipe, dataset, record_id, name)"""
+
+
+@register("retry_scored", _RETRY_SQL)
+def q_retry_scored(spark, sf_dir):
+    rec, fb = _store(spark, sf_dir)
+    now = fb.select(F.max("last_ts")).scalar()
+    out = streaming.retry_scored(rec, fb, now)
+    return out.select(*met.REC_KEYS, "name", "status", "result")
+
+
 @register("stream_evaluate", _EVAL_ALL_SQL)
 def q_stream_evaluate(spark, sf_dir):
     root = scratch_path(spark, "stream-evaluate")
@@ -888,25 +931,63 @@ def q_stream_status(spark, sf_dir):
 # ---------------------------------------------------------------- pipelines
 
 
-def extractive_pipeline(k: int, chunk_size: int, **_):
-    """Demo query pipeline: answers with the first ``k`` words of the
-    question (deterministic, no external service)."""
+def extractive_pipeline(k: str, chunk_size: str, **_):
+    """Demo query pipeline (deterministic, no external service): repeats the
+    question with its ``k`` and cuts it into contexts of ``chunk_size``
+    characters."""
+    size = int(chunk_size)
 
     class _P:
         def invoke(self, question):
             if question is None:
-                raise ValueError("empty question")
-            return {"answer": " ".join(question.split()[: int(k)]), "contexts": [question[: int(chunk_size)]]}
+                raise ValueError("no question")
+            return {"answer": f"k={k}: {question}", "contexts": [question[i : i + size] for i in range(0, len(question), size)]}
 
     return _P()
 
 
-@register("run_pipeline")
-def q_run_pipeline(spark, sf_dir):
+_RUN_SQL = _WORK_SQL + """,
+results AS (
+  SELECT recipe AS pipeline_key, dataset, concat(recipe, ':', dataset, ':', pos) AS record_id, query AS input,
+    concat('k=', regexp_extract(recipe, '_k_([0-9]+)$', 1), ': ', query) AS output,
+    concat('{"conv_id":', conv_id, ',"turn":', turn, '}') AS metadata,
+    CAST(ceil(length(query) / CAST(regexp_extract(recipe, 'chunk_size_([0-9]+)', 1) AS DOUBLE)) AS BIGINT) AS n_contexts,
+    NULL::VARCHAR AS error
+  FROM remaining
+)
+"""
+
+
+def _run(spark, sf_dir):
     work, recorded = _work(spark, sf_dir)
-    todo = planning.pending(work, recorded)
-    rec = pipe.run_pipeline(todo, extractive_pipeline, {"k": 5, "chunk_size": 100, "model": "none"})
-    return rec.select("recipe", "dataset", "record_id", "input", "output", "n_tokens", "error")
+    return pipe.run_pipeline(planning.pending(work, recorded), extractive_pipeline, {"model": "none"})
+
+
+def _run_columns(rec: DataFrame) -> DataFrame:
+    n = F.size("contexts").cast("long").alias("n_contexts")
+    return rec.select("recipe", "dataset", "record_id", "input", "output", "metadata", n, "error")
+
+
+@register("run_pipeline", _RUN_SQL + "SELECT pipeline_key AS recipe, * EXCLUDE (pipeline_key) FROM results WHERE input IS NOT NULL")
+def q_run_pipeline(spark, sf_dir):
+    return _run_columns(_run(spark, sf_dir).where(F.col("input").isNotNull()))
+
+
+@register(
+    "run_store",
+    _RUN_SQL
+    + """SELECT p.recipe, r.* EXCLUDE (pipeline_key) FROM results r
+JOIN plan p ON p.step = 'query' AND p.pipeline_key = r.pipeline_key WHERE r.input IS NOT NULL""",
+)
+def q_run_store(spark, sf_dir):
+    _, query = _plans(spark, sf_dir)
+    store = RunStore(spark, scratch_path(spark, "run-store"))
+    named = planning.fan_out(_run(spark, sf_dir), query)
+    store.write_records(named)
+    meta = F.lit("{}").alias("metadata")
+    store.write_runs(named.select("recipe", "dataset", meta).distinct())
+    mine = store.records().join(store.runs().select("recipe", "dataset"), ["recipe", "dataset"], "left_semi")
+    return _run_columns(mine.where(F.col("input").isNotNull()))
 
 
 @register("run_experiment")

@@ -99,7 +99,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, object store)")
     local = tempfile.mkdtemp(prefix="evalflow-ckpt-")
     sc.setCheckpointDir(local)

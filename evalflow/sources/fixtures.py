@@ -204,8 +204,8 @@ def golden_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench.select(
         F.concat(F.lit("ds"), (F.col("item_id") % 3).cast("string")).alias("dataset"),
         F.col("item_id").alias("pos"),
-        F.concat(F.lit("q"), (F.col("item_id") % 25).cast("string")).alias("query"),
-        F.substring("text", 1, 60).alias("ground_truth"),
+        F.concat(F.lit("q"), F.floor(F.col("item_id") / 6).cast("string")).alias("query"),
+        F.col("text").alias("ground_truth"),
     )
 
 

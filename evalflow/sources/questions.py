@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --- fixed values that must equal the reference's output -----------------
@@ -70,24 +70,31 @@ def questions_from_frame(
     )
 
 
-def file_order_pos() -> Column:
-    """Position in file order for rows of one question file: the byte offset
-    of the split, then the row order inside the task (the partition-local
-    part of ``monotonically_increasing_id``). Splits are not read in file
-    order, so the partition id alone would not do."""
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.col("_metadata.file_block_start") * F.lit(1 << 24) + local
+def with_file_pos(raw: DataFrame, name: str = "_pos") -> DataFrame:
+    """Adds the position of each row in order of (file path, block, row),
+    unique over all files of one load. Tasks do not read splits in file
+    order, so the splits (one row each in a small table) are ranked, and the
+    row number inside the task follows."""
+    tagged = raw.select(
+        "*",
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("_split"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+    )
+    splits = tagged.select(F.col("_split").alias("_s")).distinct()
+    ranks = splits.select("_s", (F.row_number().over(Window.orderBy("_s")) - 1).cast("long").alias("_rank"))
+    joined = tagged.join(ranks, F.col("_split") == F.col("_s"))
+    pos = F.shiftleft("_rank", 33) + F.col("_row")
+    return joined.withColumn(name, pos).drop("_split", "_row", "_s", "_rank")
 
 
 def load_questions_jsonl(
-    spark: SparkSession, path: str, dataset: str, subsets: Sequence[str] = ()
+    spark: SparkSession, path: str | Sequence[str], dataset: str, subsets: Sequence[str] = (), schema=None
 ) -> DataFrame:
-    """JSON lines question file (``.bz2`` and other Hadoop codecs are read
+    """JSON lines question files (``.bz2`` and other Hadoop codecs are read
     natively): kind subset, null query/answer dropped, other fields become
-    metadata."""
-    raw = spark.read.json(path)
-    framed = raw.select("*", file_order_pos().alias("_pos"))
-    return questions_from_frame(framed, dataset, "_pos", subsets)
+    metadata. Give a ``schema`` to spare the pass that infers one."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return questions_from_frame(with_file_pos(reader.json(path)), dataset, "_pos", subsets)
 
 
 def load_questions_examples(spark: SparkSession, path: str, dataset: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """RunStore: evaluation results as partitioned Parquet tables.
 
-``records`` and ``feedbacks`` are partitioned by (dataset, recipe), so a
+``records`` and ``feedbacks`` are partitioned by (dataset, recipe) and
+``runs`` by recipe, so a
 recipe/dataset filter prunes directories before any file is opened and a
 recipe reset is a directory delete (through the Hadoop FileSystem API, so
 it works on HDFS/object stores the same way as locally). ``chunks`` are
@@ -10,6 +11,8 @@ next version.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,7 +110,9 @@ class RunStore:
     # ------------------------------------------------------------ writes
     def _append(self, df: DataFrame, table: str, schema: T.StructType) -> None:
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-        df.select(*cols).write.mode("append").partitionBy(*PARTS).parquet(self.path(table))
+        # rows of a partition meet in as few tasks as their size asks for: few files, no hot task
+        packed = df.select(*cols).hint("rebalance", *PARTS)
+        packed.write.mode("append").partitionBy(*PARTS).parquet(self.path(table))
 
     def write_records(self, df: DataFrame) -> None:
         self._append(df, "records", RECORDS)
@@ -117,27 +122,41 @@ class RunStore:
 
     def write_runs(self, df: DataFrame) -> None:
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RUNS.fields]
-        df.select(*cols).write.mode("append").parquet(self.path("runs"))
+        df.select(*cols).write.mode("append").partitionBy("recipe").parquet(self.path("runs"))
+
+    def _sub_folders(self, path: str, column: str) -> list[tuple[str, str]]:
+        """(value, folder) of the ``column=value`` folders under ``path``."""
+        if not self._exists(path):
+            return []
+        fs, p = self._fs(path)
+        found = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith(column + "="):
+                found.append((unquote(name[len(column) + 1 :]), st.getPath().toString()))
+        return found
 
     def reset(self, recipe: str) -> int:
-        """Remove every record and feedback of ``recipe`` (all datasets);
-        returns the number of partition directories deleted. Run metadata
-        rows of the recipe are rewritten without it."""
+        """Remove every record, feedback and run row of exactly ``recipe``
+        (all datasets): its partition folders are deleted, nothing is
+        rewritten. The name is compared with the folders' decoded values, so
+        no character in it is special. Returns the number of record and
+        feedback folders deleted."""
         removed = 0
         for table in ("records", "feedbacks"):
-            fs, p = self._fs(f"{self.path(table)}/dataset=*/recipe={recipe}")
-            for st in fs.globStatus(p) or []:
-                if fs.delete(st.getPath(), True):
-                    removed += 1
-        if self._exists(self.path("runs")):
-            kept = self.runs().where(F.col("recipe") != recipe)
-            tmp = f"{self.path('runs')}.next"
-            kept.write.mode("overwrite").parquet(tmp)
-            fs, old = self._fs(self.path("runs"))
-            fs.delete(old, True)
-            fs.rename(self._fs(tmp)[1], old)
+            for _, dataset in self._sub_folders(self.path(table), "dataset"):
+                removed += self._delete_recipe(dataset, recipe)
+        self._delete_recipe(self.path("runs"), recipe)
         return removed
 
+    def _delete_recipe(self, parent: str, recipe: str) -> int:
+        gone = 0
+        for value, folder in self._sub_folders(parent, "recipe"):
+            if value == recipe:
+                fs, p = self._fs(folder)
+                gone += bool(fs.delete(p, True))
+        return gone
+
     def export_results(self, df: DataFrame, path: str) -> None:
         """Records with their scores as JSON lines, one folder per dataset."""
         df.write.mode("overwrite").partitionBy("dataset").json(path)

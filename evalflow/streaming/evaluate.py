@@ -2,9 +2,9 @@
 
 ``evaluate_stream`` reads records as they land in the store and writes
 their feedback rows in ``foreachBatch``. A micro-batch can be replayed after
-a failure (the sink is at-least-once), so each batch first drops the
-feedback keys already written for the records it carries: a semi join with
-the batch's own keys, pruned to the batch's (dataset, recipe) partitions.
+a failure (the sink is at-least-once), so each batch first drops the keys
+that already have finished feedback among the records it carries.
+``retry_scored`` scores failed and stuck rows again.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evalflow.operators.metrics import REC_KEYS, evaluate
 from evalflow.operators.stats import status_counts
+from evalflow.session import materialize
 from evalflow.sources.store import RECORDS, RunStore
 
 # --- fixed values that must equal the reference's output -----------------
@@ -42,18 +43,34 @@ def retry_pending(
     return feedbacks.where(due).select(*REC_KEYS, "name", "status")
 
 
-MAX_PRUNED_PARTITIONS = 1_000
+def retry_scored(
+    records: DataFrame,
+    feedbacks: DataFrame,
+    now: Column,
+    scorer: Callable[[DataFrame], DataFrame] = evaluate,
+    failed_after: int = RETRY_FAILED_AFTER,
+    running_after: int = RETRY_RUNNING_AFTER,
+) -> DataFrame:
+    """The feedback table with its due rows scored again: a due row whose
+    record still exists is replaced by the scorer's new row, all others stay.
+    The scorer sees each record with a due metric once; its output is
+    written before use, as judge calls are neither free nor repeatable.
+    """
+    keys = [*REC_KEYS, "name"]
+    due = retry_pending(feedbacks, now, failed_after, running_after)
+    todo = records.join(due.select(*REC_KEYS).distinct(), list(REC_KEYS), "left_semi")
+    fresh = scorer(todo).join(due.select(*keys).distinct(), keys, "left_semi")
+    fresh = materialize(fresh.select(*[F.col(c).cast(feedbacks.schema[c].dataType) for c in feedbacks.columns]), "retry")
+    replaced = due.join(fresh.select(*keys), keys, "left_semi").distinct()
+    return feedbacks.join(replaced, [*keys, "status"], "left_anti").unionByName(fresh)
 
 
 def _new_feedback(batch: DataFrame, store: RunStore, scored: DataFrame) -> DataFrame:
-    parts = batch.select("dataset", "recipe").distinct().limit(MAX_PRUNED_PARTITIONS + 1).collect()
-    existing = store.feedbacks()
-    if 0 < len(parts) <= MAX_PRUNED_PARTITIONS:  # else: the semi join alone restricts the rows
-        cond = F.lit(False)
-        for p in parts:
-            cond = cond | ((F.col("dataset") == p["dataset"]) & (F.col("recipe") == p["recipe"]))
-        existing = existing.where(cond)
-    keys = existing.select(*REC_KEYS, "name").join(batch.select(*REC_KEYS), list(REC_KEYS), "left_semi")
+    """Scored rows whose key has no finished feedback yet; a failed or
+    running one does not keep a new score out. The join on the partition
+    columns prunes the store's folders at run time."""
+    finished = store.feedbacks().where(F.col("status") == "done").select(*REC_KEYS, "name")
+    keys = finished.join(batch.select(*REC_KEYS).distinct(), list(REC_KEYS), "left_semi")
     return scored.join(keys, [*REC_KEYS, "name"], "left_anti")
 
 
@@ -77,7 +94,7 @@ def evaluate_stream(
     stream = spark.readStream.schema(RECORDS).option("basePath", records_path).parquet(records_path)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        # the batch is read three times below (partitions, keys, scoring);
+        # the batch is read twice below (keys, scoring);
         # cached blocks lost with an executor are re-read from the files
         batch = batch.persist()
         try:

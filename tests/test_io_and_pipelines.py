@@ -267,12 +267,6 @@ def test_topk_hot_query_id_and_block_split(spark):
     # query 7 holds a third of the query rows; blocks of 10 force hash blocks and re-splits
     qrows = [(i, [float(x) for x in vecs[i]]) for i in range(60)] + [(7, [float(x) for x in vecs[7]])] * 30
     queries = spark.createDataFrame(qrows, "query_id long, embedding array<float>").repartition(3)
-    blocks = retrieval._query_blocks(queries, "query_id", "embedding", 10)
-    assert max(len(b) for b in blocks) <= 20
-    assert sorted(r[0] for b in blocks for r in b) == list(range(60))
-    tiny = retrieval._query_blocks(queries, "query_id", "embedding", 2)
-    assert max(len(b) for b in tiny) <= 4
-    assert sorted(r[0] for b in tiny for r in b) == list(range(60))
     got = retrieval.retrieve_topk(queries, chunks, k=3, block_rows=10)
     assert got.count() == 60 * 3
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
@@ -284,6 +278,16 @@ def test_topk_hot_query_id_and_block_split(spark):
         assert [got[(q, r)] for r in range(1, 4)] == order
 
 
+def test_topk_leaves_out_unusable_vectors_and_takes_text_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", None), ("d", [1.0, None]), ("e", [0.0, 0.0]), ("f", [1.0, 0.0, 0.0]), ("g", [])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = retrieval.retrieve_topk(df.withColumnRenamed("vec_id", "query_id"), df, k=3, exclude_self=True)
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()) == [("a", "b", 1), ("b", "a", 1)]
+    empty = df.limit(0)
+    assert retrieval.retrieve_topk(empty.withColumnRenamed("vec_id", "query_id"), df, k=3).count() == 0
+    assert retrieval.retrieve_topk(df.withColumnRenamed("vec_id", "query_id"), empty, k=3).count() == 0
+
+
 # ---------------------------------------------------------------- scale properties
 
 
@@ -346,11 +350,135 @@ def test_compare_dispatch_and_metric_selection(spark):
     from evalflow.operators import stats
 
     chart = spark.createDataFrame([("r", "d", "1", 0.5, 1.0)], "recipe string, dataset string, record_id string, m double, latency double")
-    assert stats.compare(chart, ["m"], "box-plots").count() == 1
-    assert stats.compare(chart, ["m"], "histogram-grid").count() == 60
+    assert stats.compare_chart(chart, ["m"], "box-plots").count() == 1
+    assert stats.compare_chart(chart, ["m"], "histogram-grid").count() == 60
     with pytest.raises(ValueError):
-        stats.compare(chart, ["m"], "pie")
+        stats.compare_chart(chart, ["m"], "pie")
     assert metrics.select_metrics({"groundedness": {"enabled": True}, "answer_relevance": {"enabled": False}}) == ["groundedness"]
     assert metrics.select_metrics(["groundedness", "answer_correctness"]) == ["answer_correctness", "groundedness"]
     with pytest.raises(ValueError):
         metrics.select_metrics(["faithfulness"])
+
+
+# ---------------------------------------------------------------- the whole chain
+
+
+def test_reset_takes_names_literally(spark, tmp_dir):
+    store = RunStore(spark, os.path.join(tmp_dir, "store"))
+    names = ["query_pipelines/query.py_m_k_5", "*", "a[b]", "plain", "50%"]
+    rec = spark.createDataFrame([(n, d, f"{n}:{d}") for n in names for d in ("d1", "d/2")], "recipe string, dataset string, record_id string")
+    rest = ("input", "output", "metadata", "contexts", "n_tokens", "start_time", "end_time", "error")
+    store.write_records(rec.select("*", *[F.lit(None).alias(c) for c in rest]))
+    store.write_runs(rec.select("recipe", "dataset", F.lit("{}").alias("metadata")))
+    for gone, n in (("query_pipelines/query.py_m_k_5", 2), ("*", 2), ("a[b]", 2), ("absent", 0), ("50%", 2)):
+        assert store.reset(gone) == n
+        left = {r["recipe"] for r in store.records().select("recipe").distinct().collect()}
+        assert gone not in left and "plain" in left
+        assert left == {r["recipe"] for r in store.recipes().collect()}
+    assert {r["recipe"] for r in store.records().collect()} == {"plain"}
+
+
+def test_judge_failures_stay_with_their_rows(spark):
+    class Fussy(metrics.Judge):
+        def score_batch(self, batch):
+            if (batch["input"] == "bad").any():
+                raise RuntimeError("no")
+            scores = [float("nan") if i == "nan" else None if i == "none" else 1.0 for i in batch["input"]]
+            return pd.DataFrame({"score": pd.Series(scores, dtype=object), "reason": ["r"] * len(batch)})
+
+    inputs = ["bad", "nan", "none", *[f"q{i}" for i in range(40)]]
+    rows = [("r", "d", str(n), i, "out", []) for n, i in enumerate(inputs)]
+    schema = "recipe string, dataset string, record_id string, input string, output string, contexts array<struct<page_content:string,metadata:string>>"
+    rec = spark.createDataFrame(rows, schema).coalesce(1)
+    fb = metrics.evaluate_with_judge(rec, Fussy(), metrics=["answer_relevance", "context_relevance"])
+    got = {(inputs[int(r["record_id"])], r["name"]): (r["status"], r["result"], len(r["calls"])) for r in fb.collect()}
+    assert len(got) == 2 * len(inputs)  # a record without contexts has its row too
+    assert got[("bad", "answer_relevance")][:2] == ("failed", None)
+    assert got[("nan", "answer_relevance")][:2] == ("failed", None)
+    assert got[("none", "answer_relevance")][:2] == ("done", None)
+    assert all(got[(f"q{i}", "answer_relevance")] == ("done", 1.0, 1) for i in range(40))
+    assert all(got[(i, "context_relevance")] == ("done", None, 0) for i in inputs)
+
+
+def test_judge_and_native_agree_on_nulls(spark):
+    schema = "recipe string, dataset string, record_id string, input string, output string, contexts array<struct<page_content:string,metadata:string>>"
+    rows = [("r", "d", "1", None, "a b", None), ("r", "d", "2", "a", None, []), ("r", "d", "3", "a b", "a", [("a", None), (None, None)]), ("r", "d", "4", "", "", [("x", None)])]
+    rec = spark.createDataFrame(rows, schema)
+    pick = lambda fb: {(r["record_id"], r["name"]): (r["status"], r["result"]) for r in fb.collect()}
+    native = pick(metrics.evaluate(rec))
+    assert native == pick(metrics.evaluate_with_judge(rec, metrics.LexicalJudge()))
+    assert len(native) == 16
+
+
+def test_evaluate_cuts_each_text_into_tokens_once(spark):
+    schema = "recipe string, dataset string, record_id string, input string, output string, contexts array<struct<page_content:string,metadata:string>>, ground_truth string"
+    plan = metrics.evaluate(spark.createDataFrame([], schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4
+
+
+def test_experiment_tells_datasets_apart_and_uses_the_store(spark, tmp_dir):
+    qs_ = spark.createDataFrame(
+        [("A", 0, "red apples grow", "truth a"), ("B", 0, "blue whales swim", "truth b"), (None, 0, "green grass", None)],
+        "dataset string, pos long, query string, ground_truth string",
+    )
+    docs = spark.createDataFrame([("/x/a.txt", "red apples grow on trees"), ("/x/b.txt", "blue whales swim in the sea")], "doc_id string, text string")
+    recipes = [{"recipe": "s/1", "chunk_size": 50, "k": 1}, {"recipe": "s2", "chunk_size": 50, "k": 2}]
+    store = RunStore(spark, os.path.join(tmp_dir, "store"))
+    out = pipeline.run_experiment(qs_, docs, recipes, store=store)
+    assert out.count() == 2 * 3 * 4
+    got = {(r["recipe"], r["dataset"]): r for r in store.records().collect()}
+    assert got[("s/1", "A")]["output"] == "red apples grow on trees"
+    assert got[("s/1", "B")]["output"] == "blue whales swim in the sea"
+    assert len(got[("s/1", "A")]["contexts"]) == 1
+    n = store.records().count()
+    pipeline.run_experiment(qs_, docs, recipes, store=store)
+    assert store.records().count() == n  # nothing was asked twice
+    assert {r["recipe"] for r in store.recipes().collect()} == {"s/1", "s2"}
+
+    class Echo:
+        def __init__(self, k):
+            self.k = k
+
+        def invoke(self, q):
+            return f"{q} {self.k}"
+
+    other = RunStore(spark, os.path.join(tmp_dir, "other"))
+    pipeline.run_experiment(qs_, docs, [{"recipe": "e1", "k": 1}, {"recipe": "e2", "k": 2}], store=other, query_fn=lambda k: Echo(k), judge=metrics.LexicalJudge())
+    assert {(r["recipe"], r["output"]) for r in other.records().where("dataset = 'A'").collect()} == {("e1", "red apples grow 1"), ("e2", "red apples grow 2")}
+
+
+def test_questions_of_several_files_have_their_own_positions(spark, tmp_dir):
+    for f in ("a", "b"):
+        with open(os.path.join(tmp_dir, f"{f}.jsonl"), "w") as out:
+            for i in range(3):
+                out.write('{"query": "%s%d", "answer": "x", "question_type": "simple"}\n' % (f, i))
+    got = qs.load_questions_jsonl(spark, tmp_dir, "d").orderBy("pos").collect()
+    assert [r["query"] for r in got] == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert len({r["pos"] for r in got}) == 6
+
+
+def test_sampling_keeps_the_null_group(spark):
+    rows = [(None if i % 2 else "d", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "dataset string, pos long")
+    got = planning.sample_exact(df, 0.5, seed=1).groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in got} == {None: 5, "d": 5}
+
+
+def test_retry_scores_failed_rows_again(spark):
+    rec = spark.createDataFrame(
+        [("r", "d", "1", "a b", "a", [])],
+        "recipe string, dataset string, record_id string, input string, output string, contexts array<struct<page_content:string,metadata:string>>",
+    )
+    fb = metrics.evaluate(rec, last_ts=F.lit(T0))
+    fb = fb.withColumn("status", F.when(F.col("name") == "answer_relevance", F.lit("failed")).otherwise(F.col("status")))
+    fb = fb.withColumn("result", F.when(F.col("status") == "done", F.col("result")))
+    out = streaming.retry_scored(rec, fb, F.lit(T0) + F.expr("interval 5 minutes"))
+    got = {r["name"]: (r["status"], r["result"]) for r in out.collect()}
+    assert len(got) == 4 and got["answer_relevance"] == ("done", 0.5)
+
+
+def test_many_metric_names_are_all_listed(spark):
+    from evalflow.operators import frames
+
+    fb = spark.range(2500).select(F.lit("r").alias("recipe"), F.concat(F.lit("m"), "id").alias("name"))
+    assert len(frames.list_metrics(fb)) == 2500 and len(frames.recipe_metrics(fb, ["r"])["r"]) == 2500

@@ -7,6 +7,7 @@ import numpy as np
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalflow.operators import metrics, stats
 from evalflow.plans import planning
@@ -91,27 +92,23 @@ def test_lexical_metrics_equal_python(spark, texts):
             assert (g is None and w is None) or abs(g - w) < 1e-12, (name, q, a, ctx, g, w)
 
 
-def test_two_pass_quantiles_equal_exact_percentile(spark):
+def test_box_stats_against_numpy(spark):
     rng = np.random.default_rng(5)
-    hot = rng.exponential(3.0, size=20000).round(4)  # a hot group with ties
-    rows = [("hot", float(x)) for x in hot] + [("cold", float(x)) for x in rng.normal(size=50)] + [("one", 1.5)]
-    df = spark.createDataFrame(rows, "g string, value double").repartition(6)
-    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in stats.exact_quantiles(df, ["g"], small_group=100, accuracy=2000).collect()}
-    for g in ("hot", "cold", "one"):
-        vals = np.array([v for k, v in rows if k == g])
-        want = np.quantile(vals, [0.25, 0.5, 0.75])
-        assert np.allclose(got[g], want, rtol=0, atol=1e-9), (g, got[g], want)
-
-
-def test_box_stats_two_pass_equals_default(spark):
-    rng = np.random.default_rng(9)
-    rows = [("r", "d" if i % 7 else "e", str(i), float(x)) for i, x in enumerate(rng.integers(0, 11, size=3000) / 10)]
-    chart = spark.createDataFrame(rows, "recipe string, dataset string, record_id string, m double")
-    a = {(r["dataset"]): r for r in stats.box_stats(chart, ["m"]).collect()}
-    b = {(r["dataset"]): r for r in stats.box_stats(chart, ["m"], two_pass=True, small_group=500).collect()}
-    for d in ("d", "e"):
-        for c in ("high", "low", "median", "mean", "q1", "q3"):
-            assert abs(a[d][c] - b[d][c]) < 1e-12
+    hot = rng.exponential(3.0, size=20000).round(4)  # a hot group with ties and a long tail
+    rows = [("hot", "d", float(x)) for x in hot] + [("cold", "d", float(x)) for x in rng.normal(size=50)]
+    rows += [("one", "d", 1.5), ("hot", None, 2.0), ("hot", None, None), ("cold", None, float("nan"))]
+    rows += [("wide", "d", x) for x in (-1e9, 0.0, 0.0, 1e-9, 1e9)]
+    df = spark.createDataFrame(rows, "recipe string, dataset string, m double").withColumn("record_id", F.lit("x")).repartition(6)
+    got = {(r["recipe"], r["dataset"]): r for r in stats.box_stats(df, ["m"]).collect()}
+    assert len(got) == 4 * 2  # combinations without values are there, with nulls
+    for key, r in got.items():
+        vals = np.array([v for a, b, v in rows if (a, b) == key and v is not None and v == v])
+        names = ("low", "q1", "median", "q3", "high", "mean")
+        if not len(vals):
+            assert all(r[c] is None for c in names), key
+            continue
+        want = [vals.min(), *np.quantile(vals, [0.25, 0.5, 0.75]), vals.max(), vals.mean()]
+        assert np.allclose([r[c] for c in names], want, rtol=1e-12, atol=1e-9), (key, r, want)
 
 
 @settings(max_examples=50, deadline=None)

@@ -29,7 +29,7 @@ def _progress(spark, p, recorded):
     qs = planning.sample_exact(_questions(spark), p, seed=7)
     work = planning.work_plan(qs, ["recipe"])
     rec = spark.createDataFrame([("recipe", "test", s) for s in recorded], "recipe string, dataset string, input string")
-    row = planning.progress(work, planning.pending(work, rec)).collect()[0]
+    row = planning.progress(work, rec).collect()[0]
     return row["questions"], row["finished"], row["feedbacks"]
 
 
@@ -254,15 +254,6 @@ def test_golden_set_mismatch_gives_null_ground_truth(spark):
     assert got == {"1": None, "2": 1.0}
 
 
-def test_box_stats_approximate_mode(spark):
-    vals = [float(i) for i in range(1001)]
-    chart = spark.createDataFrame([("r", "d", str(i), v) for i, v in enumerate(vals)], "recipe string, dataset string, record_id string, m double")
-    exact = stats.box_stats(chart, ["m"]).first()
-    approx = stats.box_stats(chart, ["m"], approx_accuracy=10000).first()
-    assert (exact["q1"], exact["median"], exact["q3"]) == (250.0, 500.0, 750.0)
-    assert abs(approx["median"] - 500.0) <= 1.0 and abs(approx["q3"] - 750.0) <= 1.0
-
-
 def test_cluster_conf_sizes_shuffles_within_bounds():
     from evalflow.session import MAX_SHUFFLE_PARTITIONS, PARTITION_BYTES, cluster_conf
 
