@@ -6,12 +6,13 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 from evalflow.operators import ingest, metrics, retrieval
-from evalflow.plans import pipeline
+from evalflow.plans import pipeline, planning
 from evalflow.sources import fixtures as fx
 from evalflow.sources import questions as qs
 from evalflow.sources.store import RunStore
