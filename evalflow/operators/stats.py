@@ -99,14 +99,14 @@ def box_stats(chart: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
     totals = counts.where(F.col("value").isNotNull()).groupBy("_k").agg(
         F.max("value").alias("high"), F.min("value").alias("low"), F.sum("_c").alias("_n"),
-        F.sum("_sum").cast("double").alias("_total"),
+        F.sum("_sum").alias("_total"),
     )
     quart = _quartiles(counts, totals, (0.25, 0.5, 0.75))
     grid = _all_combinations(counts.select("_k.recipe", "_k.dataset"), metrics)
     out = grid.join(totals.join(quart, "_k"), "_k", "left")
     return out.select(
         "_k.*", "high", "low", F.col("_q1").alias("median"),
-        (F.col("_total") / F.col("_n")).alias("mean"), F.col("_q0").alias("q1"), F.col("_q2").alias("q3"),
+        (F.col("_total") / F.col("_n")).cast("double").alias("mean"), F.col("_q0").alias("q1"), F.col("_q2").alias("q3"),
     )
 
 
