@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. quality: documents that the classifier rejects go.
-2. line dedup: a source's boilerplate lines go from its documents.
+2. line dedup: a source's boilerplate lines go from its documents; copies of a document count as one page.
 3. near duplicates: one document of each group stays, that of the smallest id.
 4. decontamination: documents with benchmark passages go.
 5. tokens: every document left, encoded.
@@ -34,7 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.drop_boilerplate(docs, F.col("source"))
+    cleaned = lines.drop_boilerplate(docs, F.col("source"), once=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -11,8 +11,10 @@ over the ratio, and meets the pages in one join on the host, which splits
 under skew. Lines are compared by 64-bit hash. DataFrame functions only.
 
 Null hosts form one host of their own; null and empty texts have no lines and
-stay as they are; repeated rows are pages of their own. Other columns pass
-through.
+stay as they are; repeated rows are pages of their own, unless ``once`` is
+set: then pages of a host with the same lines count as one page, in the
+total as well, so that copies of a whole page are no evidence of
+boilerplate. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,9 +36,14 @@ def line_key(line: F.Column) -> F.Column:
     return F.when(kept != "", F.xxhash64(kept))
 
 
-def boilerplate(pages: DataFrame, host: F.Column, text: F.Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: F.Column, text: F.Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once: bool = False
+) -> DataFrame:
     """(host, lines): the keys of each host's boilerplate lines; hosts without any are absent."""
-    of = pages.select(host.alias("host"), F.array_distinct(F.transform(F.split(text, "\n", -1), line_key)).alias("keys"))
+    of = pages.select(host.alias("host"), F.transform(F.split(text, "\n", -1), line_key).alias("keys"))
+    if once:  # the hash skips blank lines
+        of = of.groupBy("host", F.xxhash64("keys").alias("page")).agg(F.first("keys").alias("keys"))
+    of = of.select("host", F.array_distinct("keys").alias("keys"))
     total = of.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (
         of.select("host", F.explode("keys").alias("key")).where("key is not null").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -50,9 +57,11 @@ def boilerplate(pages: DataFrame, host: F.Column, text: F.Column, max_ratio: flo
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: F.Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: F.Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once: bool = False
+) -> DataFrame:
     """``pages`` with ``text`` cleaned, n_lines (not blank) and n_dropped; columns of these names are replaced."""
-    found = boilerplate(pages, host, F.col(text), max_ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    found = boilerplate(pages, host, F.col(text), max_ratio, min_pages, once).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     rest = pages.drop("n_lines", "n_dropped").withColumn("_of", host)
     joined = rest.join(found, rest["_of"].eqNullSafe(found["_host"]), "left").withColumn("_split", F.split(F.col(text), "\n", -1))
     keyed = joined.withColumn("_keys", F.transform("_split", line_key))

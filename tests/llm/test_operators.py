@@ -347,3 +347,35 @@ def test_pipeline(spark):
     last = P.STAGES[-1][1](spark, df, sf)
     assert {r["doc_id"] for r in last.collect()} == set(after)
     assert isinstance(last.schema["ids"].dataType, T.ArrayType)
+
+
+def plain_line_dedup(rows):
+    """Texts without boilerplate lines, for (source, text); pages of the same lines count once."""
+    key = lambda x: x.strip(" \t\r")
+    pages = defaultdict(set)
+    for source, text in rows:
+        pages[source].add(tuple(k for x in (text or "").split("\n") if (k := key(x))))
+    bad = {}
+    for source, of in pages.items():
+        n = Counter(k for page in of for k in set(page))
+        bad[source] = {k for k, c in n.items() if c >= 3 and c > 0.1 * len(of)}
+    return [text and "\n".join(x for x in text.split("\n") if key(x) not in bad[source]) for source, text in rows]
+
+
+def test_pipeline_keeps_copied_documents(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    copied = "a copied page of several words\n\nits second line has other words"
+    # a third of the source are copies, some with other blanks; "menu" is on every other page
+    texts = [copied] * 9 + [copied + "\n \n"] + [f"menu\nbody {i} " + " ".join(f"w{i}x{j}" for j in range(9)) for i in range(20)] + [None, ""]
+    template = base.first().asDict()
+    rows = [{**template, "doc_id": i, "source": "planted", "text": t, "n_chars": len(t or "")} for i, t in enumerate(texts)]
+    docs_ = spark.createDataFrame(rows, base.schema)
+    cleaned = P.drop_lines(spark, docs_, sf)
+    found = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert [found[i] for i in range(len(texts))] == plain_line_dedup([("planted", t) for t in texts])
+    assert found[0] == copied and found[10].startswith("body 0")
+    kept = {r["doc_id"]: r["text"] for r in P.drop_near_duplicates(spark, cleaned, sf).collect()}
+    assert kept[0] == copied and not set(range(1, 10)) & set(kept)
