@@ -26,6 +26,12 @@ parity sketches allow the similarity: every shingle flips one of
 Plausible pairs are verified on the full shingle sets: one of each set
 first, then those that would still join components.
 
+That gives components. A document's number of links takes more: both ends
+of a link lie in one component, so ``linked_groups`` compares all pairs of
+distinct sets within each, on the full sets, in tiles of two blocks that
+give sums of links and never pairs. This is quadratic in the distinct sets
+of a component.
+
 Equal sets are one class from the start. Shingles are compared by 64-bit
 hashes. Null and empty texts, and texts without words, have no shingles
 and link with nothing; rows that share a doc_id are one document, and rows
@@ -50,8 +56,12 @@ BAND = 1.3
 SMALL = 16
 #: Bits of a parity sketch.
 BITS = 1024
-#: Members of a large bucket's block; a tile has two blocks.
+#: Members of a block, of a large bucket or component; a tile has two blocks.
 BLOCK = 512
+#: Shingles of a component's block, about.
+BLOCK_SHINGLES = 1 << 21
+#: Shingles that a tile compares at a time.
+COLUMNS = 2048
 
 _U = np.uint64
 
@@ -261,8 +271,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``documents``."""
+def settled(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (``classes``), the distinct sets (a, b, n, rep, sketch) and the components (node, component) of their reps."""
     rows = step(classes(small_batches(documents), k), "join-classes")
     reps = step(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"), "join-sets")
 
@@ -314,18 +324,114 @@ def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCEN
         "needed", F.row_number().over(Window.partitionBy("a", "band").orderBy(F.col("cost").desc(), "sig")) > F.get(spare, F.col("band"))
     )
     tight = ranked.groupBy("a", "band").agg(F.max("needed").alias("tight")).where("tight").select("a", "band")
-    named = reps.select("a", "rep", "n", "sketch").join(linked, F.col("rep") == F.col("node"), "left").select("a", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
-    of = named.select("a", "comp")
+    placed = reps.select("a", "rep", "n", "sketch").join(linked, F.col("rep") == F.col("node"), "left").select("a", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+    of = placed.select("a", "comp")
     apart = pairs.join(of, "a").withColumnRenamed("comp", "x").join(of.withColumnRenamed("a", "b"), "b").where("x <> comp").select("a", "b")
-    held = step(ranked.join(tight, ["a", "band"]).join(named, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
+    held = step(ranked.join(tight, ["a", "band"]).join(placed, "a").select("sig", "a", "n", "sketch", "comp", "needed"), "join-tight")
     mixed = held.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     rest = step(apart.union(tile_pairs(held.join(mixed, "sig"), percent)).distinct(), "join-pairs")
     if not rest.isEmpty():
         more = step(verified(rest, step(texts_of(rest), "join-texts"), k, percent), "join-links")
         linked = components(edges.union(more), "join-components")
 
-    return (
-        rows.join(reps.drop("sketch"), ["a", "b", "n"], "left")
-        .join(linked, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
-    )
+    return rows, reps, linked
+
+
+def named(rows: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with what ``sets`` say of their sets, n_shingles and component_id."""
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+    joined = rows.join(sets, ["a", "b", "n"], "left").join(linked, F.col("rep") == F.col("node"), "left")
+    return joined.withColumn("n_shingles", F.col("n")).withColumn("component_id", component)
+
+
+def similar_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``documents``."""
+    rows, reps, linked = settled(documents, k, percent)
+    return named(rows, reps.drop("sketch"), linked).select("doc_id", "n_shingles", "component_id")
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets of ``left`` reach the similarity with which of ``right``, or of ``left`` itself."""
+    sets, rows = left + (right or []), len(left)
+    size = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    kept = often[code]
+    row, column = np.repeat(np.arange(len(sets)), size)[kept], (np.cumsum(often) - 1)[code[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    starts = np.arange(0, int(often.sum()), COLUMNS)
+    ends = np.searchsorted(column, starts + COLUMNS)
+    both = np.zeros((rows, len(right or left)), np.float32)  # exact up to 2^24 shingles
+    for start, low, high in zip(starts.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        held = np.zeros((len(sets), min(COLUMNS, int(column[high - 1]) + 1 - start)), np.float32)
+        held[row[low:high], column[low:high] - start] = 1
+        both += held[:rows] @ (held[rows:] if right else held).T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (size[:rows, None] + (size[rows:] if right else size)[None, :] - both)
+
+
+def set_links(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, links): with how many documents of other sets each set is linked, by tile.
+
+    members: (comp, comp_blocks, a, b, copies, z), the sets of components
+    with more than one. The sets of a component of one block meet in a bin
+    that other components share; a larger component's are dealt to blocks,
+    and every two blocks meet in a tile. So each pair meets once.
+    """
+    one = F.col("comp_blocks") == 1
+    bins = max(1, -(-members.where(one).count() // BLOCK))
+    own = F.when(one, 0).otherwise(F.pmod(F.hash("a", "b"), "comp_blocks"))
+    dealt = (
+        members.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("comp_blocks") - 1)))
+        .select(
+            one.alias("shared"), F.when(one, F.pmod("comp", F.lit(bins))).otherwise(F.col("comp")).alias("place"),
+            F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), "comp", "a", "b", "copies", "z",
+        )
+    )
+
+    def tile(group: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        texts = pa.array([unpack.decompress(z) for z in group.column("z").to_pylist()], pa.large_binary())
+        sets = [s for _, found, _, _ in keyed_sets(texts, k) for s in found]
+        comp, first, copies = (group.column(c).to_numpy() for c in ("comp", "first", "copies"))
+        same = group.column("x")[0] == group.column("y")[0]
+        links = np.zeros(len(sets), np.int64)
+        order = np.argsort(comp, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            left, right = (at, at) if same else (at[first[at]], at[~first[at]])
+            if not len(left) or not len(right):
+                continue
+            near = similar([sets[i] for i in left], None if same else [sets[i] for i in right], percent)
+            if same:
+                np.fill_diagonal(near, False)
+            else:
+                links[right] += near.T @ copies[left]
+            links[left] += near @ copies[right]
+        found = np.flatnonzero(links)
+        return pa.table({"a": group.column("a").take(pa.array(found)), "b": group.column("b").take(pa.array(found)), "links": pa.array(links[found])})
+
+    return dealt.groupBy("shared", "place", "x", "y").applyInArrow(tile, "a long, b long, links long")
+
+
+def linked_groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), a row for each row of ``documents``.
+
+    n_links is the number of other documents whose sets reach the
+    similarity, equal sets included; a doc_id with several sets counts once
+    for each.
+    """
+    rows, reps, linked = settled(documents, k, percent)
+    ids = rows.where("n > 0 and doc_id is not null").select("a", "b", "n", "doc_id").distinct()
+    copies = ids.groupBy("a", "b", "n").agg(F.count("*").alias("copies"))
+    sets = step(reps.drop("sketch").join(copies, ["a", "b", "n"]), "join-sets")
+    of = sets.join(linked, F.col("rep") == F.col("node"), "left").withColumn("comp", F.xxhash64(F.coalesce("component", "rep"))).drop("node", "component")
+    size = of.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks_ = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    wanted = step(of.join(size.select("comp", blocks_.alias("comp_blocks")), "comp"), "join-members")
+    texts = packed_texts(documents, k, wanted).join(wanted.drop("rep"), ["a", "b", "n"]).dropDuplicates(["a", "b", "n"])
+    found = step(set_links(step(texts, "join-texts"), k, percent), "join-links")
+    near = found.groupBy("a", "b").agg(F.sum("links").alias("links"))
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(0)) - F.when(F.col("copies").isNotNull() & F.col("doc_id").isNotNull(), 1).otherwise(0)
+    return named(rows, sets.join(near, ["a", "b"], "left"), linked).select("doc_id", "n_shingles", "component_id", n_links.cast("long").alias("n_links"))

@@ -160,6 +160,35 @@ def test_shingle_join_odd_rows(spark):
     assert shingle_join.similar_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 512), (5, 80, 7)])
+def test_shingle_links(spark, monkeypatch, k, percent, block):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    rng = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [*ODD, "One TWO three", "one two THREE"]
+    for size, copies in ((9, 5), (25, 20), (60, 60), (200, 8)):
+        base = rng.choices(vocabulary, k=size)
+        texts += [edited(rng, base, vocabulary, rng.randint(0, 1 + size // 30)) for _ in range(copies)]
+    texts += texts[20:40] + rng.choices(texts[40:], k=30)
+    sets = [shingles(t, k) for t in texts]
+    near = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    n_links = [sum(bool(near(x, y)) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    # links that do not join components are in it too
+    assert sum(n_links) / 2 > 3 * len(texts)
+    found = sorted(tuple(r) for r in shingle_join.linked_groups(docs(spark, texts, extra=True), k, percent).collect())
+    assert found == [(*g, n) for g, n in zip(brute_groups(texts, k, percent), n_links)]
+
+
+def test_shingle_links_odd_rows(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words, "end"])
+    rows = [(None, " ".join(words)), (3, " ".join(words)), (3, " ".join(words)), (3, near), (5, near), (None, "lone"), (7, None)]
+    found = Counter(tuple(r) for r in shingle_join.linked_groups(spark.createDataFrame(rows, DOCS)).collect())
+    # 3 has two texts: each links with the other and with 5
+    assert found == {(None, 37, 3, 3): 1, (3, 37, 3, 2): 2, (3, 38, 3, 2): 1, (5, 38, 3, 2): 1, (None, 1, None, 0): 1, (7, 0, 7, 0): 1}
+    assert shingle_join.linked_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # op4
 
 
