@@ -2,7 +2,7 @@
 
 1. quality: documents that the classifier rejects go.
 2. line dedup: a source's boilerplate lines go from its documents; copies of a document count as one page.
-3. near duplicates: one document of each group stays, that of the smallest id.
+3. near duplicates: one row of each group stays, that of the smallest id.
 4. decontamination: documents with benchmark passages go.
 5. tokens: every document left, encoded.
 
@@ -40,9 +40,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = shingle_join.similar_groups(docs, SHINGLE, PERCENT)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents are told apart by id and text: of each group the one with the smallest id stays (null ids last), once."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = shingle_join.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT).where("n_shingles > 0")
+    members = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("rows"))
+    members = materialize(members, "near-groups")
+    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
+    stays = members.join(ids, "_key").groupBy("component_id").agg(F.min(order)["_key"].alias("stays"))
+    gone = members.join(stays, "component_id").where("_key <> stays").select("_key")
+    repeated = members.where("rows > 1").select("_key")
+    once = keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return keyed.join(repeated, "_key", "left_anti").unionByName(once).join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,3 +408,17 @@ def test_pipeline_keeps_copied_documents(spark):
     assert found[0] == copied and found[10].startswith("body 0")
     kept = {r["doc_id"]: r["text"] for r in P.drop_near_duplicates(spark, cleaned, sf).collect()}
     assert kept[0] == copied and not set(range(1, 10)) & set(kept)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    rows = [(5, one), (5, one), (9, one), (None, one), (None, two), (None, two), (9, three), (None, three + " end"), (9, four), (11, None), (None, None)]
+    template = base.first().asDict()
+    docs_ = spark.createDataFrame([{**template, "doc_id": i, "text": t, "n_chars": len(t or "")} for i, t in rows], base.schema)
+    kept = P.drop_near_duplicates(spark, docs_, sf)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, one), (None, two), (9, three), (9, four), (11, None), (None, None)])
+    assert kept.columns == base.columns
