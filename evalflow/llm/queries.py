@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalflow.llm import bpe, chat, contamination, lines, projections, quality, secret_scan, shingle_join, suffix, toxicity
+from evalflow.llm import bpe, chat, contamination, lines, periods, pieces, projections, quality, ranked, secret_scan, shingle_join, suffix, toxicity
 from evalflow.llm.shared import table
 
 
@@ -77,6 +77,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path("piece_bpe_32k.model"), digest=True).drop("text")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse(table(spark, sf_dir, "documents"), periods.repeated_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest")["col2"]).alias("start"),
+        F.col("longest")["length"].alias("length"),
+        (-F.col("longest")["col3"]).alias("period"),
+        F.floor(1000 * F.col("longest")["length"] / (-F.col("longest")["col3"])).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_secrets,
         op10_decontamination,
+        op11_ranked_search,
+        op12_pieces,
+        op13_periodic_runs,
     )
 }
-ORACLE: dict[str, str] = {"op4_line_dedup": lines.ORACLE_SQL, "op6_preference_format": chat.ORACLE_SQL, "op10_decontamination": contamination.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_line_dedup": lines.ORACLE_SQL, "op6_preference_format": chat.ORACLE_SQL, "op10_decontamination": contamination.ORACLE_SQL, "op11_ranked_search": ranked.ORACLE_SQL}
