@@ -32,6 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns, *names: str) -> list[str]:
+    """``names``, changed where needed, so that none is a column's (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of whole texts that go to a Python worker at a time.
 BATCH_ROWS = 1000
 
@@ -45,6 +57,28 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def returning(run):
+    """``run`` over batches, after which its worker gives back the memory it no longer uses.
+
+    Workers outlive their tasks and serve later stages; what Arrow and the
+    allocator hold free would count against those.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another allocator than glibc's
+            pass
+
+    return wrapped
+
+
 def held_out() -> F.Column:
     """The rows no classifier may learn from: crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
