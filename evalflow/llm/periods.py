@@ -30,6 +30,7 @@ Other columns are not read. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -295,12 +296,17 @@ def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
     return b" ".join([words[i] for i in kept])
 
 
-def collapse(documents: DataFrame, prepare: Prepare | None = None, least: int = LEAST, dealt: int = DEALT) -> DataFrame:
+def collapse(documents: DataFrame, prepare: Prepare | None = None, least: int = LEAST, dealt: int = DEALT, digest: bool = False) -> DataFrame:
     """(doc_id, runs, collapsed): every row's runs and its words without the repeats, one space between them.
 
-    Only texts of documents with runs meet them in a join; the others are
-    done in the scan, told by a key filter of fixed size.
+    With ``digest`` collapsed is the SHA-256 of that text, in lowercase hex;
+    then only texts of documents with runs meet them in a join, the others
+    are done in the scan, told by a key filter of fixed size.
     """
+
+    def result(text: bytes) -> str:
+        return sha256(text).hexdigest() if digest else text.decode()
+
     rows = small_batches(documents)
     runs = periodic_runs(rows, prepare, least, dealt)
     maybe = documents.sparkSession.sparkContext.broadcast(key_filter(runs, "row_key"))
@@ -313,7 +319,7 @@ def collapse(documents: DataFrame, prepare: Prepare | None = None, least: int =
             whole, done = [], []
             for doc_id, text, meet in zip(ids.to_pylist(), texts.to_pylist(), meets):
                 words = None if meet else words_of(text)
-                done.append(None if meet else b" ".join(prepare(doc_id, words) if prepare else words).decode())
+                done.append(None if meet else result(b" ".join(prepare(doc_id, words) if prepare else words)))
                 whole.append(text if meet else None)
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(whole, pa.string()), pa.array(done, pa.string())], names=["doc_id", "row_key", "text", "collapsed"])
 
@@ -324,13 +330,13 @@ def collapse(documents: DataFrame, prepare: Prepare | None = None, least: int =
             for doc_id, text, ready, found in zip(ids.to_pylist(), texts.to_pylist(), done.to_pylist(), listed.to_pylist()):
                 if ready is None:
                     words = prepare(doc_id, words_of(text)) if prepare else words_of(text)
-                    ready = collapsed(words, [(r["start"], r["period"], r["length"]) for r in found or []]).decode()
+                    ready = result(collapsed(words, [(r["start"], r["period"], r["length"]) for r in found or []]))
                 out.append(ready)
             yield pa.RecordBatch.from_arrays([ids, listed, pa.array(out, pa.string())], names=["doc_id", "runs", "collapsed"])
 
     scanned = keyed(rows).mapInArrow(scan, f"doc_id {id_type.simpleString()}, row_key long, text string, collapsed string")
     of = runs.select(F.col("row_key").alias("run_key"), F.col("doc_id").alias("run_id"), "runs")
-    joined = scanned.join(of, (F.col("row_key") == F.col("run_key")) & F.col("doc_id").eqNullSafe(F.col("run_id")), "left")
+    joined = scanned.join(of.hint("merge"), (F.col("row_key") == F.col("run_key")) & F.col("doc_id").eqNullSafe(F.col("run_id")), "left")
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])
     done = joined.select("doc_id", "text", "collapsed", "runs").mapInArrow(finish, schema)
     return done.withColumn("runs", F.coalesce("runs", F.array().cast(T.ArrayType(RUN))))
