@@ -6,18 +6,17 @@ pieces is what that gives for a text exactly if it is for each adjacent
 pair: merges inside a piece run alike in the pair and in the whole, and
 the first merge across a boundary would be the best in its pair as well.
 
-So no text is merged as a whole. An Aho-Corasick automaton of the reversed
-pieces, run once along the reversed text, gives the longest piece that
-starts at every place. Encoding takes it, tries shorter pieces where the
-last piece and the next would merge otherwise (adjacent pieces are merged
-again from their characters, the outcome kept), and goes back where
-nothing fits. Each prefix has one correct sequence, so a place from which
+So no text is merged as a whole. The pieces' Aho-Corasick automaton gives
+the longest piece at a place, one after the other. Encoding takes these,
+tries shorter pieces where the last piece and the next would merge otherwise
+(adjacent pieces are merged again from their characters, the outcome kept),
+and goes back where nothing fits. Each prefix has one correct sequence, so a place from which
 there is no way on stays so: a bitfield holds these, each is tried once,
 and time grows with the length however long a text without spaces is.
 
 A text is cut where no piece joins the two characters; equal parts are
-encoded once while a task remembers them, up to ``CACHE_BYTES``. What a
-task remembers goes with the task.
+encoded once while a task remembers them, up to ``CACHE_BYTES``; a worker
+keeps outcomes of pairs, up to as much.
 
 Characters without a piece become the byte pieces of their UTF-8 form.
 Null texts read as empty and have no ids. Rows keep their other columns,
@@ -35,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evalflow.llm.shared import small_batches
+from evalflow.llm.shared import returning, small_batches
 
-#: Bytes, about, that a task may keep of parts, and of pairs of pieces, before it starts anew.
-CACHE_BYTES = 64 << 20
+#: Bytes, about, that a task may keep of parts, and a worker of pairs of pieces, before it starts anew.
+CACHE_BYTES = 48 << 20
 #: What a pair of pieces takes there.
 PAIR_BYTES = 200
 #: Longest part worth remembering.
@@ -111,13 +110,14 @@ class Pieces:
                 self.byte[i], self.byte_id[value] = value, i
             elif kind == UNKNOWN:
                 self.unknown.add(i)
+        self.pairs: dict[tuple[str, str], bool] = {}  # whether two pieces stay apart; bounded by those who enter
         self.listed = {piece: f",{i}" for piece, i in self.id.items()}
         if any(" " in piece.lstrip(" ") for piece in self.id):
             raise ValueError(f"{path}: pieces reach over spaces")
-        self.back = ahocorasick.Automaton()
+        self.match = ahocorasick.Automaton()
         for piece in self.id:
-            self.back.add_word(piece[::-1], piece)
-        self.back.make_automaton()
+            self.match.add_word(piece, piece)
+        self.match.make_automaton()
         self.shorter: dict[str, str] = {}  # the longest piece, or else the character, that begins a piece
         for piece in self.id:
             self.shorter[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if k == 1 or piece[:k] in self.id), "")
@@ -161,7 +161,7 @@ class Encoder:
     def __init__(self, tables: Pieces, cache_bytes: int = CACHE_BYTES):
         self.tables, self.cache_bytes = tables, cache_bytes
         self.parts: dict[str, tuple[int, str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = tables.pairs
         self.kept = 0
 
     def fits(self, last: str, piece: str) -> bool:
@@ -174,31 +174,36 @@ class Encoder:
     def run(self, part: str) -> list[str]:
         """The pieces of ``part``; characters without one stand for themselves."""
         n, tables = len(part), self.tables
-        # By their last place in the reversed part; of those that share it the first is the longest, and so written last.
-        longest = dict(list(tables.back.iter(part[::-1]))[::-1])
         pairs, fits, shorter = self.pairs, self.fits, tables.shorter
         out: list[str] = []
-        failed = bytearray((n >> 3) + 1)
+        failed: bytearray | None = None  # bits of the places from which no way leads on
         at, last = 0, ""
-        piece = longest.get(n - 1) or part[:1]
+        ahead = tables.match.iter_long(part)  # longest matches, one after the other
+        start, found = -1, ""
         while at < n:
-            while piece:
+            if start < at:
+                end, found = next(ahead, (n, ""))
+                start = end - len(found) + 1
+            piece, kept = found if start == at else part[at], True
+            while True:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1:
+                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
                     open_ = pairs.get((last, piece))
                     if open_ or open_ is None and fits(last, piece):
                         break
-                piece = shorter.get(piece, "")
-            if piece:
-                out.append(piece)
-                at, last = to, piece
-                piece = longest.get(n - 1 - at) or part[at : at + 1]
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= len(piece)
-                piece = shorter.get(piece, "")
-                last = out[-1] if out else ""
+                piece, kept = shorter.get(piece), False
+                while not piece:
+                    if failed is None:
+                        failed = bytearray((n >> 3) + 1)
+                    failed[at >> 3] |= 1 << (at & 7)
+                    piece = out.pop()
+                    at -= len(piece)
+                    piece = shorter.get(piece)
+                    last = out[-1] if out else ""
+            out.append(piece)
+            last, at = piece, to
+            if not kept and at < n:
+                ahead, start = tables.match.iter_long(part, at), -1
         return out
 
     def part(self, part: str) -> tuple[int, str, str]:
@@ -289,8 +294,9 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
                     ids = pa.array([[int(i) for i in x[1].split(",")] if x[1] else [] for x in found], pa.list_(pa.int32()))
                     results = [ids, pa.array([x[2] for x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, counts, *results], names=names)
+        del encoder
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(returning(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
