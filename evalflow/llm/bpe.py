@@ -8,18 +8,27 @@ arc, and a new arc uv leads where v led. A gadget changes one state, so it
 is kept as one entry: arc v closed at the state of u from this rank on. The
 state of a merged token starts as that of its right part, the arc of a
 merged token exists where that of its left part did, each as of the
-token's own rank; ``Automaton.arc`` reads both chains once for a pair and
-stores the outcome in the transition table.
+token's own rank; ``Automaton.arc`` reads both chains.
 
-Every prefix of a word has exactly one correct tokenization, so the run
-along a word's bytes, longest arc first, meets each position in one state
-and tries it once: a word takes time in proportion to its length, however
-long it is. Arc labels are the tokens' bytes; decoding emits them.
+Every prefix of a word has exactly one correct tokenization, so the
+automaton can be made deterministic on bytes. A byte state is the longest
+suffix read that begins a token (a node of the tokens' Aho-Corasick
+automaton, compiled once per worker) and, for it and each of its own
+suffixes that begin a token, the last token before it. The next byte leads
+to one node; of the tokens that end there exactly one continues the correct
+tokenization before it: the one whose arc leaves that state. A transition
+is worked out once and stored in the table, then words are read byte by
+byte from the table alone, without going back, however long they are. The
+tokens are read off from the end: the last token of the whole word, then
+that of the prefix before it. Arc labels are the tokens' bytes; decoding
+emits them.
 
 Words are split by the vocabulary's pre-tokenizer pattern; added special
 tokens in the text are cut out first, as the tokenizers library does.
 ``encode`` gives ids, count and decoded text; null texts read as empty.
-Rows keep their other columns, nulls and repeats included.
+Rows keep their other columns, nulls and repeats included. An empty table
+gives an empty one. What a task remembers of words and transitions has a
+bound in bytes and goes with the task.
 """
 
 from __future__ import annotations
@@ -32,12 +41,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evalflow.llm.shared import small_batches
+from evalflow.llm.shared import returning, small_batches
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the word and transition caches before they start anew.
-CACHE = 400_000
+#: Bytes, about, that a task keeps of words, and of the transition table, before it starts anew.
+CACHE_BYTES = 48 << 20
+#: What a transition takes there, its state included.
+TRANSITION_BYTES = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,17 +83,50 @@ class Automaton:
             if uv not in self.parts:
                 self.parts[uv] = rank, u, v
                 self.id[self.label[uv]] = uv
-        self.reach: dict[bytes, int] = {}  # longest token by its first three bytes
-        for token in self.id:
-            self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 3))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.label |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.split = regex.compile(PATTERN)
-        self.table: dict[int, bool] = {}
+        self.id = {token: i for token, i in self.id.items() if self.canonical(self.label[i]) == (i,)}
+        # The tokens' Aho-Corasick automaton: node 0 is the empty prefix.
+        self.child: dict[int, int] = {}  # node << 8 | byte
+        self.depth = [0]
+        self.token = [-1]  # the token that a node spells
+        for token, i in self.id.items():
+            node = 0
+            for byte in token:
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = i
+        # The nodes of the proper suffixes, longest first, follow fail links; a breadth-first order serves.
+        self.fail = [0] * len(self.depth)
+        for edge in sorted(self.child, key=lambda e: self.depth[e >> 8]):
+            node, byte = edge >> 8, edge & 255
+            self.fail[self.child[edge]] = self.step(self.fail[node], byte) if node else 0
+        self.forget()
+
+    def step(self, node: int, byte: int) -> int:
+        """The longest suffix of the node's bytes and one more that begins a token."""
+        while True:
+            to = self.child.get(node << 8 | byte)
+            if to is not None or not node:
+                return to or 0
+            node = self.fail[node]
+
+    def forget(self) -> None:
+        """Drop all that was worked out for words: the transition table and the words themselves."""
+        # A state's key: its node, then the last token before each of its suffixes that begin a token, longest first.
+        start = (0, -1)
+        self.number: dict[tuple[int, ...], int] = {start: 0}
+        self.states: list[tuple[int, ...]] = [start]
+        self.last = [-1]  # the last token in each state
+        self.table: dict[int, int] = {}  # state << 8 | byte: state
         self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.usable = {i: self.canonical(self.label[i]) == (i,) for i in self.id.values()}
-        self.id = {token: i for token, i in self.id.items() if self.usable[i]}
+        self.kept = 0
 
     def canonical(self, word: bytes) -> tuple[int, ...]:
         """Merging from the bytes in rank order, for the vocabulary's own tokens: some are never reached."""
@@ -95,7 +139,9 @@ class Automaton:
         return tuple(tokens)
 
     def arc(self, x: int, y: int) -> bool:
-        """Whether arc y leaves the state of token x; enters it in the transition table."""
+        """Whether arc y leaves the state of token x; any arc leaves the start (-1)."""
+        if x < 0:
+            return True
         # The state of x descends from those of its right parts, each as of the rank that took it up;
         # arc y goes back to those of its left parts likewise.
         states, until = [], 1 << 40
@@ -118,45 +164,61 @@ class Automaton:
                 # takes up both only for a run of equal tokens, merged from the left: b's is later.
                 if rank is not None and rank < a_until and rank <= b_until:
                     open_ = False
-        if len(self.table) >= CACHE:
-            self.table.clear()
-        self.table[x << 20 | y] = open_
         return open_
 
+    def transition(self, state: int, byte: int) -> int:
+        """The state after one more byte; enters it in the table."""
+        node, *before = self.states[state]
+        # last token before each suffix of the bytes so far that begins a token, by the suffix's length
+        at: dict[int, int] = {}
+        own = node
+        for token in before:
+            at[self.depth[own]] = token
+            own = self.fail[own]
+        to = self.step(node, byte)
+        key, end, last = [to], to, -1
+        while end:
+            if last < 0 and self.token[end] >= 0 and self.arc(at[self.depth[end] - 1], self.token[end]):
+                last = self.token[end]
+            key.append(at[self.depth[end] - 1])
+            end = self.fail[end]
+        key.append(last)
+        found = tuple(key)
+        number = self.number.get(found)
+        if number is None:
+            number = self.number[found] = len(self.states)
+            self.states.append(found)
+            self.last.append(last)
+        self.table[state << 8 | byte] = number
+        return number
+
     def run(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        get, table, arc, reach = self.id.get, self.table, self.arc, self.reach
-        whole = get(word)
-        if whole is not None:
-            return [whole]
-        n, at, last, out, dead = len(word), 0, -1, [], set()
-        size = min(n, reach.get(word[:3], 3))
-        while at < n:
-            while size:
-                y = get(word[at : at + size])
-                if y is not None and at + size not in dead:
-                    if last < 0 or (open_ if (open_ := table.get(last << 20 | y)) is not None else arc(last, y)):
-                        break
-                size -= 1
-            if size:
-                out.append(y)
-                at, last = at + size, y
-                size = min(n - at, reach.get(word[at : at + 3], 3))
-            else:  # no correct tokenization of the word passes here
-                dead.add(at)
-                size = len(self.label[out.pop()])
-                at -= size
-                size -= 1
-                last = out[-1] if out else -1
+        if len(self.table) * TRANSITION_BYTES > CACHE_BYTES:
+            self.forget()
+        get, last, transition = self.table.get, self.last, self.transition
+        state, ends = 0, []
+        for byte in word:
+            to = get(state << 8 | byte)
+            state = transition(state, byte) if to is None else to
+            ends.append(last[state])
+        out, label, at = [], self.label, len(word)
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= len(label[token])
+        out.reverse()
         return out
 
     def word(self, word: str) -> tuple[int, str, bytes]:
         """Number of tokens, ids as text with a leading comma each, and the bytes that their arcs emit."""
         ids = self.run(word.encode())
-        out = len(ids), "".join(f",{i}" for i in ids), b"".join(self.label[i] for i in ids)
+        out = len(ids), "".join([f",{i}" for i in ids]), b"".join([self.label[i] for i in ids])
         if len(word) <= 64:
-            if len(self.words) >= CACHE:
+            self.kept += 400 + 3 * len(word) + len(out[1])
+            if self.kept > CACHE_BYTES:
                 self.words.clear()
+                self.kept = 0
             self.words[word] = out
         return out
 
@@ -215,8 +277,9 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
                     ids = pa.array([[int(i) for i in x[1].split(",")] if x[1] else [] for x in found], pa.list_(pa.int32()))
                     columns = [counts, ids, pa.array([x[2] for x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[f.name for f in schema.fields])
+        machine.forget()
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(returning(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
