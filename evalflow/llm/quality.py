@@ -6,9 +6,9 @@ indicator for how many n-grams it has and which share of them is distinct
 its smoothed class counts, n-grams also by the root of their number, and a
 linear hinge-loss model is fitted on them by dual coordinate descent. A logistic curve fitted on the margins gives scores of 0 to 1.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows a class (a
-documented bound: the first in hash order of their ids); scoring reads
-every whole text. Null and empty texts have no n-grams and get the score
+The model is fitted on at most ``SAMPLE_ROWS`` labelled documents a class,
+of ``SAMPLE_BYTES`` together at most (documented bounds: the first in hash
+order of their ids); scoring reads every whole text. Null and empty texts have no n-grams and get the score
 of the bias alone. Every input row gives one output row, repeated rows and
 null ids included; other columns pass through under their names. Without
 labelled rows of both classes every score is 0.5.
@@ -21,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalflow.llm.shared import held_out, small_batches
+from evalflow.llm.shared import held_out, returning, small_batches
 from evalflow.llm.textbatch import blocks
 
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.3
 BITS = 18
 #: Steps of the distinct share, and of the number of n-grams (powers of 4).
@@ -138,14 +139,26 @@ def score_column(model: Model, column: pa.Array) -> np.ndarray:
     return out
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled, not held out rows of each class. Only these ids are broadcast."""
+def training_rows(
+    documents: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES
+) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most ``rows`` labelled, not held out documents of each class, of ``text_bytes`` together at most.
+
+    Chosen in hash order among the labelled ids that have a document; rows
+    equal in id and text are one. Only keys are joined and ordered; the
+    chosen texts are read last.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = known.where("y = 1").orderBy(*order).limit(rows).union(known.where("y = 0").orderBy(*order).limit(rows))
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in found], np.array([r["y"] for r in found], np.int64)
+    rest = documents.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    keyed = rest.select("doc_id", "k", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    found = keyed.join(known, "doc_id").groupBy("doc_id", "k").agg(F.first("y").alias("y"), F.max("n").alias("n"))
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("k")
+    upto = F.sum("n").over(Window.orderBy(*order))  # of at most ``rows`` rows
+    chosen = [found.where(F.col("y") == y).orderBy(*order).limit(rows).withColumn("upto", upto).where(F.col("upto") <= text_bytes) for y in (1, 0)]
+    picked = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "k", "y"))
+    texts = rest.join(picked, ["doc_id", "k"]).groupBy("doc_id", "k", "y").agg(F.first("text").alias("text")).collect()
+    texts.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    return [r["text"] or "" for r in texts], np.array([r["y"] for r in texts], np.int64)
 
 
 def score(documents: DataFrame, model: Model, output: str = "score") -> DataFrame:
@@ -160,7 +173,7 @@ def score(documents: DataFrame, model: Model, output: str = "score") -> DataFram
             scores = score_column(shared.value, batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, output])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(returning(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
