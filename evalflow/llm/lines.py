@@ -7,14 +7,14 @@ page of the host. Blank lines are layout: never counted, never dropped.
 
 Only (host, line hash) pairs are shuffled, pre-aggregated; the boilerplate
 of a host is an array that is bounded by its pages' average number of lines
-over the ratio, and meets the pages in one join on the host, which splits
-under skew. Lines are compared by 64-bit hash. DataFrame functions only.
+over the ratio. Lines are compared by 64-bit hash. DataFrame functions only.
 
 Null hosts form one host of their own; null and empty texts have no lines and
 stay as they are; repeated rows are pages of their own, unless ``once`` is
 set: then pages of a host with the same lines count as one page, in the
 total as well, so that copies of a whole page are no evidence of
-boilerplate. Other columns pass through.
+boilerplate. Other columns pass through, whatever their names. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,8 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalflow.llm.shared import step, unused
+
 MAX_RATIO = 0.1
 MIN_PAGES = 3
+#: Bytes of all hosts' boilerplate that go to every task; beyond, parts that a host's pages are dealt to.
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
 
 
 #: Blanks around a line that do not count.
@@ -60,21 +65,39 @@ def boilerplate(
 def drop_boilerplate(
     pages: DataFrame, host: F.Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, once: bool = False
 ) -> DataFrame:
-    """``pages`` with ``text`` cleaned, n_lines (not blank) and n_dropped; columns of these names are replaced."""
-    found = boilerplate(pages, host, F.col(text), max_ratio, min_pages, once).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    rest = pages.drop("n_lines", "n_dropped").withColumn("_of", host)
-    joined = rest.join(found, rest["_of"].eqNullSafe(found["_host"]), "left").withColumn("_split", F.split(F.col(text), "\n", -1))
-    keyed = joined.withColumn("_keys", F.transform("_split", line_key))
-    goes = lambda key: key.isNotNull() & F.array_contains("_lines", key)
-    kept = F.array_join(F.filter("_split", lambda line, i: ~F.coalesce(goes(F.get("_keys", i)), F.lit(False))), "\n")
-    none = F.col("_lines").isNull()
+    """``pages`` with ``text`` cleaned, n_lines (not blank) and n_dropped; columns of these names are replaced.
+
+    The hosts' lists are written first. Up to ``BROADCAST_BYTES`` they go to
+    the pages, which then stay where they are; beyond that they meet in a
+    join on the host and one of ``SALTS`` parts, so that a hot host's pages
+    are many tasks' work.
+    """
+    rest = pages.drop("n_lines", "n_dropped")
+    of, part, other, lines, split, keys = unused([*rest.columns, text], "_of", "_part", "_host", "_lines", "_split", "_keys")
+    found = step(boilerplate(pages, host, F.col(text), max_ratio, min_pages, once), "boilerplate")
+    size = found.agg(F.sum(64 + 8 * F.size("lines") + F.coalesce(F.octet_length("host"), F.lit(0)))).first()[0] or 0
+    found = found.select(F.col("host").alias(other), F.col("lines").alias(lines))
+    rest = rest.withColumn(of, host)
+    same = F.col(of).eqNullSafe(F.col(other))
+    if size <= BROADCAST_BYTES:
+        joined = rest.join(F.broadcast(found), same, "left")
+    else:
+        (own,) = unused([*rest.columns, other, lines, split, keys, part], "_own")
+        salted = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rest.withColumn(own, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col(own) == F.col(part)), "left").drop(own, part)
+    joined = joined.withColumn(split, F.split(F.col(text), "\n", -1))
+    keyed = joined.withColumn(keys, F.transform(split, line_key))
+    goes = lambda key: key.isNotNull() & F.array_contains(lines, key)
+    kept = F.array_join(F.filter(split, lambda line, i: ~F.coalesce(goes(F.get(keys, i)), F.lit(False))), "\n")
+    none = F.col(lines).isNull()
     return keyed.withColumns(
         {
             text: F.when(none | F.col(text).isNull(), F.col(text)).otherwise(kept),
-            "n_lines": F.coalesce(F.size(F.filter("_keys", lambda key: key.isNotNull())), F.lit(0)).cast("long"),
-            "n_dropped": F.when(none, 0).otherwise(F.coalesce(F.size(F.filter("_keys", goes)), F.lit(0))).cast("long"),
+            "n_lines": F.coalesce(F.size(F.filter(keys, lambda key: key.isNotNull())), F.lit(0)).cast("long"),
+            "n_dropped": F.when(none, 0).otherwise(F.coalesce(F.size(F.filter(keys, goes)), F.lit(0))).cast("long"),
         }
-    ).drop("_of", "_host", "_lines", "_split", "_keys")
+    ).drop(of, other, lines, split, keys)
 
 
 #: Fixed text rules for raw pages: unseen elements go, tags end lines.
