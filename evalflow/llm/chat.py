@@ -88,7 +88,9 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     one reference, never the group.
     """
     t = conversation_turns(conversations)
-    opening = F.sha2(F.concat_ws("\n", F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"]), 256)
+    turn = F.get("turns", F.lit(0))
+    # the role's length first, so that no two turns are written alike
+    opening = F.sha2(F.concat(F.char_length(turn["role"]).cast("string"), F.lit(":"), turn["role"], turn["text"]), 256)
     keyed = t.select("conv_id", "turns", opening.alias("opening"))
     lead = keyed.groupBy("opening").agg(F.min("conv_id").alias("lead"))
     turns = F.col("turns")
