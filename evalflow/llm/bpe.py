@@ -11,24 +11,22 @@ merged token exists where that of its left part did, each as of the
 token's own rank; ``Automaton.arc`` reads both chains.
 
 Every prefix of a word has exactly one correct tokenization, so the
-automaton can be made deterministic on bytes. A byte state is the longest
-suffix read that begins a token (a node of the tokens' Aho-Corasick
-automaton, compiled once per worker) and, for it and each of its own
-suffixes that begin a token, the last token before it. The next byte leads
-to one node; of the tokens that end there exactly one continues the correct
-tokenization before it: the one whose arc leaves that state. A transition
-is worked out once and stored in the table, then words are read byte by
-byte from the table alone, without going back, however long they are. The
-tokens are read off from the end: the last token of the whole word, then
-that of the prefix before it. Arc labels are the tokens' bytes; decoding
-emits them.
+automaton is run deterministically on bytes. The tokens' Aho-Corasick
+automaton, compiled once per worker, goes from node to node by its
+transition table; a node lists the tokens that end there. Of these exactly
+one continues the correct tokenization of what stands before it: the one
+whose arc leaves the state, the last token, reached there. Arcs once worked
+out are read from a table too. So a word takes one pass, without going
+back, however long it is. The tokens are read off from the end: the last
+token of the whole word, then that of the prefix before it. Arc labels are
+the tokens' bytes; decoding emits them.
 
 Words are split by the vocabulary's pre-tokenizer pattern; added special
 tokens in the text are cut out first, as the tokenizers library does.
 ``encode`` gives ids, count and decoded text; null texts read as empty.
 Rows keep their other columns, nulls and repeats included. An empty table
-gives an empty one. What a task remembers of words and transitions has a
-bound in bytes and goes with the task.
+gives an empty one. What a worker remembers of words and arcs has a
+bound in bytes; words go with the task, arcs stay with the worker.
 """
 
 from __future__ import annotations
@@ -45,10 +43,10 @@ from evalflow.llm.shared import returning, small_batches
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes, about, that a task keeps of words, and of the transition table, before it starts anew.
+#: Bytes, about, that a worker keeps of words, and of arcs, before it starts anew.
 CACHE_BYTES = 48 << 20
-#: What a transition takes there, its state included.
-TRANSITION_BYTES = 500
+#: What an arc takes there.
+ARC_BYTES = 130
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,13 +71,15 @@ class Automaton:
         base = {c: vocabulary[c] for c in letters}
         self.id = {bytes([b]): base[c] for c, b in letters.items()}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
-        self.closed: dict[tuple[int, int], int] = {}  # (state's token, arc): rank of the gadget
+        self.closed: dict[int, int] = {}  # state's token << 20 | arc: rank of the gadget
+        self.right: dict[int, tuple] = {}
+        self.left: dict[int, tuple] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             u, v, uv = vocabulary[left], vocabulary[right], vocabulary[left + right]
-            if (u, v) in self.closed:
+            if u << 20 | v in self.closed:
                 continue
-            self.closed[u, v] = rank
+            self.closed[u << 20 | v] = rank
             if uv not in self.parts:
                 self.parts[uv] = rank, u, v
                 self.id[self.label[uv]] = uv
@@ -102,29 +102,40 @@ class Automaton:
                     self.token.append(-1)
                 node = to
             self.token[node] = i
-        # The nodes of the proper suffixes, longest first, follow fail links; a breadth-first order serves.
-        self.fail = [0] * len(self.depth)
+        # A node's fail link is its longest proper suffix that begins a token; a breadth-first order serves.
+        fail = [0] * len(self.depth)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.depth)  # tokens that end in a node and their sizes, longest first
         for edge in sorted(self.child, key=lambda e: self.depth[e >> 8]):
-            node, byte = edge >> 8, edge & 255
-            self.fail[self.child[edge]] = self.step(self.fail[node], byte) if node else 0
+            node, byte, to = edge >> 8, edge & 255, self.child[edge]
+            at = fail[node]
+            while node and at and at << 8 | byte not in self.child:
+                at = fail[at]
+            fail[to] = self.child.get(at << 8 | byte, 0) if node else 0
+            own = ((self.token[to], self.depth[to]),) if self.token[to] >= 0 else ()
+            self.ends[to] = own + self.ends[fail[to]]
+        self.fail = fail
+        self.goto = dict(self.child)  # the transition table: also what fail links lead to, once met
+        self.most = 4 * len(self.goto)
+        self.arcs: dict[int, bool] = {}
         self.forget()
 
     def step(self, node: int, byte: int) -> int:
-        """The longest suffix of the node's bytes and one more that begins a token."""
-        while True:
-            to = self.child.get(node << 8 | byte)
-            if to is not None or not node:
-                return to or 0
+        """The longest suffix of the node's bytes and one more that begins a token; enters it in the table."""
+        edge = node << 8 | byte
+        to = self.child.get(edge)
+        while to is None:
+            if not node:
+                to = 0
+                break
             node = self.fail[node]
+            to = self.child.get(node << 8 | byte)
+        if len(self.goto) > self.most:
+            self.goto = dict(self.child)
+        self.goto[edge] = to
+        return to
 
     def forget(self) -> None:
-        """Drop all that was worked out for words: the transition table and the words themselves."""
-        # A state's key: its node, then the last token before each of its suffixes that begin a token, longest first.
-        start = (0, -1)
-        self.number: dict[tuple[int, ...], int] = {start: 0}
-        self.states: list[tuple[int, ...]] = [start]
-        self.last = [-1]  # the last token in each state
-        self.table: dict[int, int] = {}  # state << 8 | byte: state
+        """Drop the words."""
         self.words: dict[str, tuple[int, str, bytes]] = {}
         self.kept = 0
 
@@ -132,81 +143,66 @@ class Automaton:
         """Merging from the bytes in rank order, for the vocabulary's own tokens: some are never reached."""
         tokens = [self.id[word[i : i + 1]] for i in range(len(word))]
         while len(tokens) > 1:
-            rank, at = min((self.closed.get(p, 1 << 40), i) for i, p in enumerate(zip(tokens, tokens[1:])))
+            rank, at = min((self.closed.get(u << 20 | v, 1 << 40), i) for i, (u, v) in enumerate(zip(tokens, tokens[1:])))
             if rank == 1 << 40:
                 break
             tokens[at : at + 2] = [self.id[self.label[tokens[at]] + self.label[tokens[at + 1]]]]
         return tuple(tokens)
 
     def arc(self, x: int, y: int) -> bool:
-        """Whether arc y leaves the state of token x; any arc leaves the start (-1)."""
-        if x < 0:
-            return True
+        """Whether arc y leaves the state of token x; enters it in the table."""
         # The state of x descends from those of its right parts, each as of the rank that took it up;
         # arc y goes back to those of its left parts likewise.
-        states, until = [], 1 << 40
-        while True:
-            states.append((x_ := (states[-1][2] if states else x), until, self.parts.get(x_, (0, 0, 0))[2]))
-            if x_ not in self.parts:
-                break
-            until = self.parts[x_][0]
-        arcs, until = [], 1 << 40
-        while True:
-            arcs.append((y_ := (arcs[-1][2] if arcs else y), until, self.parts.get(y_, (0, 0, 0))[1]))
-            if y_ not in self.parts:
-                break
-            until = self.parts[y_][0]
-        open_ = True
-        for a, a_until, _ in states:
-            for b, b_until, _ in arcs:
-                rank = self.closed.get((a, b))
+        states, arcs = self.right.get(x) or self.chain(self.right, x, 2), self.left.get(y) or self.chain(self.left, y, 1)
+        closed, open_ = self.closed, True
+        for a, a_until in states:
+            for b, b_until in arcs:
+                rank = closed.get(a << 20 | b)
                 # A merge of the pair closes the arc if both tokens still stand at its rank. One rank
                 # takes up both only for a run of equal tokens, merged from the left: b's is later.
                 if rank is not None and rank < a_until and rank <= b_until:
                     open_ = False
+        if len(self.arcs) * ARC_BYTES > CACHE_BYTES:
+            self.arcs.clear()
+        self.arcs[x << 20 | y] = open_
         return open_
 
-    def transition(self, state: int, byte: int) -> int:
-        """The state after one more byte; enters it in the table."""
-        node, *before = self.states[state]
-        # last token before each suffix of the bytes so far that begins a token, by the suffix's length
-        at: dict[int, int] = {}
-        own = node
-        for token in before:
-            at[self.depth[own]] = token
-            own = self.fail[own]
-        to = self.step(node, byte)
-        key, end, last = [to], to, -1
-        while end:
-            if last < 0 and self.token[end] >= 0 and self.arc(at[self.depth[end] - 1], self.token[end]):
-                last = self.token[end]
-            key.append(at[self.depth[end] - 1])
-            end = self.fail[end]
-        key.append(last)
-        found = tuple(key)
-        number = self.number.get(found)
-        if number is None:
-            number = self.number[found] = len(self.states)
-            self.states.append(found)
-            self.last.append(last)
-        self.table[state << 8 | byte] = number
-        return number
+    def chain(self, kept: dict[int, tuple], token: int, part: int) -> tuple[tuple[int, int], ...]:
+        """A token, its right (2) or left (1) part, that part's own and so on, each with the rank that took it up."""
+        out, at, until = [], token, 1 << 40
+        while True:
+            out.append((at, until))
+            if at not in self.parts:
+                break
+            until, at = self.parts[at][0], self.parts[at][part]
+        kept[token] = tuple(out)
+        return kept[token]
 
     def run(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        if len(self.table) * TRANSITION_BYTES > CACHE_BYTES:
-            self.forget()
-        get, last, transition = self.table.get, self.last, self.transition
-        state, ends = 0, []
+        whole = self.id.get(word)
+        if whole is not None:
+            return [whole]
+        goto, ends, arcs = self.goto, self.ends, self.arcs
+        node, at = 0, 0
+        last, sizes = [-1], [0]  # the last token of each prefix, and its size
         for byte in word:
-            to = get(state << 8 | byte)
-            state = transition(state, byte) if to is None else to
-            ends.append(last[state])
-        out, label, at = [], self.label, len(word)
+            at += 1
+            to = goto.get(node << 8 | byte)
+            node = self.step(node, byte) if to is None else to
+            for token, size in ends[node]:
+                before = last[at - size]
+                if before < 0:
+                    break
+                open_ = arcs.get(before << 20 | token)
+                if open_ or open_ is None and self.arc(before, token):
+                    break
+            last.append(token)
+            sizes.append(size)
+        out = []
         while at:
-            token = ends[at - 1]
-            out.append(token)
-            at -= len(label[token])
+            out.append(last[at])
+            at -= sizes[at]
         out.reverse()
         return out
 

@@ -8,7 +8,8 @@ assistant turns.
 
 Rows: pair_id, chosen and rejected, arrays of (role, text). A null array is
 a conversation without turns; null roles and texts are empty ones. Equal
-conversations are all prompt, with empty completions. Other columns go.
+conversations are all prompt, with empty completions. Other columns go. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalflow.llm.shared import step
+
 OPEN, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 ASSISTANT = "assistant"
 
@@ -87,12 +90,13 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     if there is one assistant turn only). A conversation meets its group's
     one reference, never the group.
     """
-    t = conversation_turns(conversations)
+    # Written before they are joined, so that a very common opening is split like any skewed join key.
+    t = step(conversation_turns(conversations), "chat-turns")
     turn = F.get("turns", F.lit(0))
     # the role's length first, so that no two turns are written alike
     opening = F.sha2(F.concat(F.char_length(turn["role"]).cast("string"), F.lit(":"), turn["role"], turn["text"]), 256)
     keyed = t.select("conv_id", "turns", opening.alias("opening"))
-    lead = keyed.groupBy("opening").agg(F.min("conv_id").alias("lead"))
+    lead = step(keyed.groupBy("opening").agg(F.min("conv_id").alias("lead")), "chat-leads")
     turns = F.col("turns")
     spoken = F.filter(F.transform(turns, lambda x, i: F.when(x["role"] == ASSISTANT, i)), lambda i: i.isNotNull())
     first, last = F.array_min(spoken), F.array_max(spoken)

@@ -23,6 +23,7 @@ and windows are compared by 64-bit hashes (a window's within its length).
 
 Null texts read as empty; texts shorter than the window keep all bytes.
 Every input row gives one output row, null ids and repeated rows included.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -138,8 +139,8 @@ def packed_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
 
     Rows (bucket, hashes, keys, counts, places): hashes of a batch's windows,
     the texts they come from, how many each and where; places below 0 need
-    no answer. Windows that the batch itself repeats go out as one hash,
-    and as answers, rows with null hashes.
+    no answer. Windows that the batch itself finds in two texts go out as
+    one hash, and as answers, rows with null hashes.
     """
 
     def emit(bucket, hashes, keys, counts, places):
@@ -163,10 +164,13 @@ def packed_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                     continue
                 owner = np.repeat(np.array([r["k"] for r in rows], np.int64), [len(x) for x in hashes])
                 hashes, place, need = np.concatenate(hashes), np.concatenate(place), np.concatenate(need)
-                _, first, of, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                twice = (count > 1)[of]
+                _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+                # in the batch: found in two texts, or more than once in one
+                twice = np.zeros(len(first), bool)
+                twice[of[owner != owner[first][of]]] = True
+                twice = twice[of]
                 bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-                once = np.zeros(len(hashes), bool)
+                once = ~twice
                 once[first] = True
                 out = ([], [], [], [], [])
                 for answered, chosen in ((False, np.flatnonzero(once)), (True, np.flatnonzero(twice & need))):
@@ -188,7 +192,7 @@ def packed_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def repeated_windows(packed: DataFrame) -> DataFrame:
-    """(k, places): the windows found more than once, as packed int64 by text."""
+    """(k, places): the windows found more than once, as packed int64 by text: twice the place, and one more if another text has it."""
 
     def run(group: pa.Table) -> pa.Table:
         hashes, owner, place, answered = [], [], [], []
@@ -202,11 +206,14 @@ def repeated_windows(packed: DataFrame) -> DataFrame:
             hashes.append(np.zeros(len(keys), np.uint64) if row["hashes"] is None else np.frombuffer(row["hashes"], np.uint64))
         hashes, owner, place, answered = (np.concatenate(x) for x in (hashes, owner, place, answered))
         asked = np.flatnonzero(~answered)
-        _, of, count = np.unique(hashes[asked], return_inverse=True, return_counts=True)
-        answered[asked] = (count > 1)[of]
+        _, first, of, count = np.unique(hashes[asked], return_index=True, return_inverse=True, return_counts=True)
+        other = np.zeros(len(first), bool)
+        other[of[owner[asked] != owner[asked][first][of]]] = True
+        shared = answered.copy()
+        answered[asked], shared[asked] = (count > 1)[of], other[of]
         keep = np.flatnonzero(answered & (place >= 0))
         keep = keep[np.lexsort((place[keep], owner[keep]))]
-        owner, place = owner[keep], place[keep]
+        owner, place = owner[keep], 2 * place[keep] + shared[keep]
         start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(keep) else keep
         parts = [x.astype(np.int64).tobytes() for x in np.split(place, start[1:])] if len(keep) else []
         return pa.table({"k": pa.array(owner[start], pa.int64()), "places": pa.array(parts, pa.binary())})
@@ -225,25 +232,30 @@ def covered_spans(n: int, first: np.ndarray, size: np.ndarray, window: int) -> t
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept_sha256), a row for each row of ``documents``.
+    """(doc_id, n_bytes, spans, kept_sha256, n_shared), a row for each row of ``documents``.
 
     spans: maximal byte ranges (start, end) covered by windows that also
-    start elsewhere; kept_sha256: of the bytes outside them.
+    start elsewhere; kept_sha256: of the bytes outside them; n_shared: how
+    many bytes are covered by windows that also start in another row's text.
     """
     spark = small_batches(documents).sparkSession
     all_runs = anchored_runs(documents, window, anchor)
+    # Counts are written before they are joined back: a very common anchor or run is then split like any skewed join key.
     often = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    found = materialize(all_runs.join(often, "anchor"), "suffix-runs")
-
-    same = found.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("k", "n", "first", "size")).alias("lead"))
-    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    twins = found.join(same.where("c > 1").select("anchor", "run"), ["anchor", "run"]).groupBy("k", "n").agg(F.collect_list(F.struct("first", "size")).alias("twins"))
-    open_runs = (
-        same.join(kinds, "anchor")
-        .select("lead.k", "lead.n", "lead.first", "lead.size", (F.col("c") == 1).alias("need"))
-        .groupBy("k", "n")
-        .agg(F.collect_list(F.struct("first", "size", "need")).alias("runs"), F.sum("size").alias("windows"))
+    found = materialize(all_runs.join(materialize(often, "suffix-anchors"), "anchor"), "suffix-runs")
+
+    same = found.groupBy("anchor", "run").agg(
+        F.count("*").alias("c"), F.min(F.struct("k", "n", "first", "size")).alias("lead"), (F.min(F.struct("k", "n")) != F.max(F.struct("k", "n"))).alias("shared")
     )
+    same = materialize(same, "suffix-kinds")
+    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"), F.bool_and("shared").alias("all"))
+    kinds = kinds.where("kinds > 1 and (least = 1 or not all)").select("anchor")
+    twins = found.join(same.where("c > 1").select("anchor", "run", "shared"), ["anchor", "run"]).groupBy("k", "n").agg(F.collect_list(F.struct("first", "size", "shared")).alias("twins"))
+    # One of each run; of runs that one text alone repeats all, as each may be in another text in part.
+    listed = same.join(kinds, "anchor")
+    one = listed.where("c = 1 or shared").select("lead.k", "lead.n", "lead.first", "lead.size", (F.col("c") == 1).alias("need"))
+    own = found.join(listed.where("c > 1 and not shared").select("anchor", "run"), ["anchor", "run"]).select("k", "n", "first", "size", F.lit(True).alias("need"))
+    open_runs = one.unionByName(own).groupBy("k", "n").agg(F.collect_list(F.struct("first", "size", "need")).alias("runs"), F.sum("size").alias("windows"))
     wanted = found.select("k", "n").distinct().join(twins, ["k", "n"], "left").join(open_runs, ["k", "n"], "left")
     texts = materialize(distinct_texts(documents, window, found.select("k").distinct()).join(wanted, ["k", "n"]).dropDuplicates(["k", "n"]), "suffix-texts")
 
@@ -257,22 +269,27 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
             out = []
             for row in batch.to_pylist():
                 data = text_of(row["z"])
-                first = np.concatenate([np.array([x["first"] for x in row["twins"] or []], np.int64), *(np.frombuffer(x, np.int64) for x in row["places"] or [])])
+                twins = row["twins"] or []
+                answered = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in row["places"] or [])])
+                first = np.concatenate([np.array([x["first"] for x in twins], np.int64), answered >> 1])
                 size = np.ones(len(first), np.int64)
-                size[: len(row["twins"] or [])] = [x["size"] for x in row["twins"] or []]
+                size[: len(twins)] = [x["size"] for x in twins]
+                shared = np.concatenate([np.array([x["shared"] for x in twins], bool), (answered & 1).astype(bool)])
                 start, end = covered_spans(len(data), first, size, window)
+                a, b = covered_spans(len(data), first[shared], size[shared], window)
+                also = int((b - a).sum())
                 kept, at = hashlib.sha256(), 0
                 for a, b in zip(start.tolist(), end.tolist()):
                     kept.update(data[at:a].tobytes())
                     at = b
                 kept.update(data[at:].tobytes())
-                out.append((row["k"], row["n"], [{"start": int(a), "end": int(b)} for a, b in zip(start, end)], kept.hexdigest()))
-            k, n, spans, sha = zip(*out) if out else ((), (), (), ())
+                out.append((row["k"], row["n"], [{"start": int(a), "end": int(b)} for a, b in zip(start, end)], kept.hexdigest(), also))
+            k, n, spans, sha, shared = zip(*out) if out else ((),) * 5
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(sha, pa.string())], names=["k", "n", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(sha, pa.string()), pa.array(shared, pa.int64())], names=["k", "n", "spans", "kept", "shared"])
 
     parts = texts.select("k", "n", "z", "twins").join(answers, "k", "left")
-    spans = parts.mapInArrow(cut, "k long, n long, spans array<struct<start:long,end:long>>, kept string")
+    spans = parts.mapInArrow(cut, "k long, n long, spans array<struct<start:long,end:long>>, kept string, shared long")
 
     rows = _keyed(documents).select("doc_id", "k", "n", F.sha2("text", 256).alias("own"))
     copies = rows.where(F.col("n") >= window).groupBy("k", "n").agg(F.count("*").alias("c")).where("c > 1").select("k", "n", F.lit(True).alias("copied"))
@@ -286,6 +303,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
             F.col("n").alias("n_bytes"),
             F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"),
             F.when(F.col("copied"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "own")).alias("kept_sha256"),
+            F.when(F.col("copied"), F.col("n")).otherwise(F.coalesce("shared", F.lit(0))).cast("long").alias("n_shared"),
         )
     )
 

@@ -207,14 +207,17 @@ def test_lines(spark):
 def brute_spans(texts, window):
     raw = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + window] for b in raw for i in range(len(b) - window + 1))
+    rows = Counter(x for b in raw for x in {b[i : i + window] for i in range(len(b) - window + 1)})
     out = []
     for b in raw:
-        cover = bytearray(len(b))
+        cover, also = bytearray(len(b)), bytearray(len(b))
         for i in range(len(b) - window + 1):
             if count[b[i : i + window]] > 1:
                 cover[i : i + window] = b"\1" * window
+            if rows[b[i : i + window]] > 1:
+                also[i : i + window] = b"\1" * window
         spans = [m.span() for m in re.finditer(b"\1+", bytes(cover))]
-        out.append((len(b), spans, hashlib.sha256(bytes(x for x, c in zip(b, cover) if not c)).hexdigest()))
+        out.append((len(b), spans, hashlib.sha256(bytes(x for x, c in zip(b, cover) if not c)).hexdigest(), sum(also)))
     return out
 
 
@@ -222,7 +225,8 @@ def brute_spans(texts, window):
 def test_suffixes(spark, window, anchor):
     rng = random.Random(window)
     shared = ["".join(rng.choices("abcdé \n", k=200)) for _ in range(8)]
-    texts = [None, "", "short", "abab" * 40, "aaaa" * 30, "z" * window, "z" * (window + 1)]
+    twice = "".join(rng.choices("ABCDE", k=150))
+    texts = [None, "", "short", twice + "-" + twice, "q" + twice[30:110], "abab" * 40, "aaaa" * 30, "z" * window, "z" * (window + 1)]
     for _ in range(80):
         text = "".join(rng.choices("abcdé ", k=rng.randint(0, 80)))
         for _ in range(rng.randint(0, 3)):
@@ -231,7 +235,7 @@ def test_suffixes(spark, window, anchor):
     texts += texts[10:16]
     found = suffix.repeated_spans(docs(spark, texts, extra=True), window, anchor)
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    assert [(r["n_bytes"], [tuple(s) for s in r["spans"]], r["kept_sha256"]) for r in rows] == brute_spans(texts, window)
+    assert [(r["n_bytes"], [tuple(s) for s in r["spans"]], r["kept_sha256"], r["n_shared"]) for r in rows] == brute_spans(texts, window)
     kept = suffix.remove_spans(docs(spark, texts).join(found, "doc_id")).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in kept)
     assert suffix.repeated_spans(docs(spark, ["a"]).limit(0), window, anchor).count() == 0
