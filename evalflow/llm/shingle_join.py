@@ -21,8 +21,11 @@ documents that cannot spare the bucket meet those of other components
 there, in tiles of bounded size that give out plausible pairs alone. So
 copies of one passage or document are linked through few pairs, and no
 link between components is lost. A pair is plausible if its sizes and its
-parity sketches allow the similarity: every shingle flips one of
-``BITS`` bits, so sketches differ in no more bits than sets in shingles.
+parity sketches allow the similarity: every shingle flips one bit, so
+sketches differ in no more bits than sets in shingles. A sketch has
+``BITS`` bits, doubled while the set has half as many shingles again, up
+to ``DOUBLINGS`` times; of two sketches the longer is folded to the other's
+length.
 Plausible pairs are verified on the full shingle sets: one of each set
 first, then those that would still join components.
 
@@ -54,8 +57,8 @@ SHINGLE, PERCENT = 4, 85
 BAND = 1.3
 #: Members up to which a bucket gives all its pairs.
 SMALL = 16
-#: Bits of a parity sketch.
-BITS = 1024
+#: Bits of a small set's parity sketch, and how often they are doubled at most.
+BITS, DOUBLINGS = 1024, 6
 #: Members of a block, of a large bucket or component; a tile has two blocks.
 BLOCK = 512
 #: Shingles of a component's block, about.
@@ -127,22 +130,35 @@ def keyed_sets(column: pa.Array, k: int):
         yield row, sets, *class_keys(sets)
 
 
+def sketch_level(n: int) -> int:
+    """How often the bits of a sketch of n shingles are doubled."""
+    return min(DOUBLINGS, max(0, (2 * n - 1) // (3 * BITS)).bit_length())
+
+
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits as int64 words; each shingle flips one."""
-    bit = (mix(shingles ^ _U(0x3C6EF372FE94F82B)) % _U(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    """Bits as int64 words; each shingle flips one."""
+    bits = BITS << sketch_level(len(shingles))
+    bit = (mix(shingles ^ _U(0x3C6EF372FE94F82B)) % _U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same set's sketch of so many words."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def classes(documents: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, a, b, sketch): size, keys and parity sketch of every row's set."""
 
     def run(batches):
-        words = BITS // 64
         for batch in batches:
-            parts = [([len(s) for s in sets], signed(a), signed(b), np.array([parity_sketch(s) for s in sets])) for _, sets, a, b in keyed_sets(batch.column(1), k)]
+            parts = [([len(s) for s in sets], signed(a), signed(b), [parity_sketch(s) for s in sets]) for _, sets, a, b in keyed_sets(batch.column(1), k)]
             n, a, b = (np.concatenate([np.asarray(p[j], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for j in range(3))
-            sketch = np.concatenate([p[3].ravel() for p in parts]) if parts else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * words), pa.array(sketch))
+            sketches = [s for p in parts for s in p[3]]
+            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b), lists], names=["doc_id", "n", "a", "b", "sketch"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -153,7 +169,13 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     one = reps.select("a", F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = reps.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    words = F.least(F.size("s1"), F.size("s2"))
+
+    def fold(s: str) -> F.Column:  # sizes that allow the similarity lie within one doubling
+        halves = F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(s) > words, halves).otherwise(F.col(s))
+
+    differ = F.aggregate(F.zip_with(fold("s1"), fold("s2"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     return pairs.join(one, "a").join(two, "b").where(sizes & (differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent))).select("a", "b")
 
@@ -179,13 +201,20 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         first, same = col("first"), group.column("x")[0] == group.column("y")[0]
         _, comp = np.unique(col("comp"), return_inverse=True)
         key, n, needed = col("a"), col("n"), col("needed").astype(bool)
-        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(len(key), -1)
+        sketches = [np.asarray(x.values).view(_U) for chunk in group.column("sketch").chunks for x in chunk]
+        size = np.array([len(x) for x in sketches])
+        # every sketch at its own length and folded to the shorter ones that others have
+        at = {w: np.array([folded(x, w) if len(x) >= w else np.zeros(w, _U) for x in sketches]) for w in np.unique(size).tolist()}
         left, right = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
         out = [np.zeros((0, 2), np.int64)]
         for i in left:
             j = right[right > i] if same else right
             j = j[(comp[j] != comp[i]) & (needed[j] | needed[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
-            differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+            differ = np.zeros(len(j), np.int64)
+            common = np.minimum(size[j], size[i])
+            for w in np.unique(common).tolist():
+                of = common == w
+                differ[of] = np.bitwise_count(at[w][j[of]] ^ at[w][i]).sum(1, dtype=np.int64)
             j = j[differ * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
             out.append(np.stack((np.minimum(key[i], key[j]), np.maximum(key[i], key[j])), 1))
         a, b = np.concatenate(out).T

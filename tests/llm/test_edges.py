@@ -280,3 +280,36 @@ def test_op2_query_scores_every_row(spark):
 
 def test_groups_helper():
     assert brute_groups(["a b c d e", "a b c d e", "x"], 5, 80) == [(0, 1, 0), (1, 1, 0), (2, 1, 2)]
+
+
+# op3
+
+
+def test_sketches_of_any_length_bound_the_difference():
+    from evalflow.llm import shingle_join as J
+
+    rng = np.random.default_rng(6)
+    for n in (1, 700, 1536, 1537, 4000, 30_000, 200_000):
+        a = rng.integers(1 << 62, size=n).astype(np.uint64)
+        b = np.concatenate((a[: int(n * 0.9)], rng.integers(1 << 62, size=int(n * 0.12)).astype(np.uint64)))
+        x, y = J.parity_sketch(np.unique(a)), J.parity_sketch(np.unique(b))
+        w = min(len(x), len(y))
+        differ = int(np.bitwise_count((J.folded(x, w) ^ J.folded(y, w)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and abs(len(x).bit_length() - len(y).bit_length()) <= 1
+        assert len(x) * 64 == J.BITS << J.sketch_level(n)
+
+
+def test_long_documents_link_by_their_sketches(spark):
+    from evalflow.llm import shingle_join as J
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1200, 3500))]
+        texts.append(" ".join(words))
+        for share in (0.02, 0.2):
+            other = [w if rng.random() > share / 5 else "changed" for w in words]
+            texts.append(" ".join(other))
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.similar_groups(spark.createDataFrame(list(enumerate(texts)), DOCS), 5, 80).collect())
+    assert rows == brute_groups(texts, 5, 80)
+    assert len({r[2] for r in rows}) < len(rows)
