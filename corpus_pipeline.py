@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evalflow.llm import bpe, contamination, lines, quality, shingle_join
 from evalflow.llm.queries import vocabulary_path
-from evalflow.llm.shared import table
+from evalflow.llm.shared import table, unused
 from evalflow.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,7 +30,8 @@ SHINGLE, PERCENT = 5, 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(*quality.training_rows(docs, table(spark, sf_dir, "labels"), "quality"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs.columns, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,23 +42,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are told apart by id and text: of each group the one with the smallest id stays (null ids last), once."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = shingle_join.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT).where("n_shingles > 0")
-    members = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("rows"))
+    (key,) = unused(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = shingle_join.similar_groups(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT).where("n_shingles > 0")
+    members = groups.groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count("*").alias("rows"))
     members = materialize(members, "near-groups")
-    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
-    stays = members.join(ids, "_key").groupBy("component_id").agg(F.min(order)["_key"].alias("stays"))
-    gone = members.join(stays, "component_id").where("_key <> stays").select("_key")
-    repeated = members.where("rows > 1").select("_key")
-    once = keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(repeated, "_key", "left_anti").unionByName(once).join(gone, "_key", "left_anti").select(*docs.columns)
+    ids = keyed.groupBy(key).agg(F.first("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("without"), F.col("id"), F.col(key).alias("key"))
+    stays = members.join(ids, key).groupBy("component_id").agg(F.min(order)["key"].alias("stays"))
+    gone = members.join(stays, "component_id").where(F.col(key) != F.col("stays")).select(key)
+    repeated = members.where("rows > 1").select(key)
+    # of rows equal in id and text the first in the order of their other columns
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    twice = keyed.join(repeated, key, "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    once = twice.groupBy(key).agg(F.min_by(whole, F.struct(F.lit(0), *rest)).alias("row")).select(key, "row.*") if rest else twice.dropDuplicates([key])
+    return keyed.join(repeated, key, "left_anti").unionByName(once).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    found = contamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    of, key = unused(docs.columns, "hit_id", "hit_key")
+    gone = found.select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key))
     return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
