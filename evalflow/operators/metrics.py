@@ -102,7 +102,7 @@ def _answer_correctness(hits: Column) -> tuple[Column, Column]:
 
 
 def select_metrics(metrics: Sequence[str] | Mapping[str, Any] | None) -> list[str]:
-    """Metric selection: a list of names, or ``{name: {"enabled": bool}}``."""
+    """Metric selection: a list of names, or ``{name: {"enabled": bool, "judge": ...}}``."""
     if metrics is None:
         return list(METRIC_NAMES)
     if isinstance(metrics, Mapping):
@@ -236,14 +236,7 @@ class LexicalJudge(Judge):
         return pd.DataFrame({"score": pd.Series(scores, dtype=object), "reason": reasons})
 
 
-_REQ_SCHEMA = (
-    "recipe string, dataset string, record_id string, name string, call_pos int, input string, "
-    "output string, context string, ground_truth string"
-)
-_RES_SCHEMA = (
-    "recipe string, dataset string, record_id string, name string, call_pos int, context string, "
-    "score double, reason string, error string, seconds double"
-)
+_VERDICT_SCHEMA = "judge string, key string, score double, reason string, error string, seconds double"
 
 
 def judge_requests(records: DataFrame, questions: DataFrame | None = None, metrics=None) -> DataFrame:
@@ -297,46 +290,87 @@ def _verdicts(judge: Judge, rows: pd.DataFrame) -> list[tuple[float | None, str
     return [v for i in range(len(rows)) for v in _verdicts(judge, rows.iloc[i : i + 1])]
 
 
-def _run_judge(judge: Judge):
+def judge_of_metrics(judge: Judge | Mapping[str, Judge], metrics=None) -> tuple[dict[str, str], dict[str, Judge]]:
+    """The name of each metric's judge, and the judges by name.
+
+    ``judge`` is one judge for all metrics, or judges by name. A metric's
+    settings may name its own, ``{metric: {"judge": name}}``, or hold it;
+    the others go to the one called ``default``, or to the first.
+    """
+    named = dict(judge) if isinstance(judge, Mapping) else {"default": judge}
+    if not named:
+        raise ValueError("no judge")
+    default = "default" if "default" in named else next(iter(named))
+    routes = {}
+    for m in select_metrics(metrics):
+        own = metrics[m].get("judge") if isinstance(metrics, Mapping) and isinstance(metrics[m], Mapping) else None
+        if isinstance(own, Judge):
+            named[f"{m}'s own"], own = own, f"{m}'s own"
+        if own is not None and own not in named:
+            raise ValueError(f"metric {m} names a judge {own!r}; there are {sorted(named)}")
+        routes[m] = own or default
+    return routes, named
+
+
+def routed_requests(records: DataFrame, routes: Mapping[str, str], questions: DataFrame | None = None) -> DataFrame:
+    """``judge_requests`` with the name of the judge to ask and the key of what
+    it is asked: equal requests to one judge have one key; rows with nothing to ask have none."""
+    req = judge_requests(records, questions, list(routes))
+    names = F.create_map(*[x for m, j in routes.items() for x in (F.lit(m), F.lit(j))])
+    req = req.withColumn("judge", names[F.col("name")])
+    key = F.sha2(F.to_json(F.struct("judge", *_JUDGED)), 256)
+    return req.withColumn("key", F.when(F.col("call_pos").isNotNull(), key))
+
+
+def judge_verdicts(requests: DataFrame, judges: Mapping[str, Judge], parallelism: int | None = None) -> DataFrame:
+    """(judge, key, score, reason, error, seconds): one row for each key, asked
+    once. Requests are brought together before they are sent, so equal ones
+    cost one call however many records share them."""
+    asked = requests.where(F.col("key").isNotNull()).groupBy("key").agg(*[F.first(c).alias(c) for c in ("judge", *_JUDGED)])
+    if parallelism:
+        asked = asked.repartition(parallelism)
+    judges = dict(judges)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            t0 = time.perf_counter()
-            asked = batch["call_pos"].notna().to_numpy()
-            given = iter(_verdicts(judge, batch.loc[asked, _JUDGED]) if asked.any() else [])
-            rows = [next(given) if a else (None, None, None) for a in asked]
-            out = batch[["recipe", "dataset", "record_id", "name", "call_pos", "context"]].copy()
-            for n, col in enumerate(("score", "reason", "error")):
-                out[col] = pd.Series([r[n] for r in rows], index=out.index, dtype="float64" if col == "score" else object)
-            out["seconds"] = (time.perf_counter() - t0) / max(len(batch), 1)
-            yield out
+            for name, rows in batch.groupby("judge", sort=False):
+                t0 = time.perf_counter()
+                given = _verdicts(judges[name], rows[_JUDGED])
+                out = pd.DataFrame({"judge": name, "key": rows["key"].to_numpy()})
+                for n, col in enumerate(("score", "reason", "error")):
+                    out[col] = pd.Series([v[n] for v in given], dtype="float64" if col == "score" else object)
+                out["seconds"] = (time.perf_counter() - t0) / len(rows)
+                yield out
 
-    return run
+    return asked.mapInPandas(run, _VERDICT_SCHEMA)
 
 
 def evaluate_with_judge(
     records: DataFrame,
-    judge: Judge,
+    judge: Judge | Mapping[str, Judge],
     questions: DataFrame | None = None,
     metrics=None,
     parallelism: int | None = None,
     materialize: bool = True,
 ) -> DataFrame:
-    """Feedback rows scored by an external ``judge`` (``mapInPandas``).
-
-    Judge calls cost money and are not deterministic, so their output is
-    written once under the checkpoint folder (``materialize``) before anything downstream can recompute
-    it. A failed call makes its feedback ``failed`` with a null result.
-    Context relevance is the mean over its per-context calls; without
-    contexts it is ``done`` with a null result and no calls.
+    """Feedback rows scored by external judges (``mapInPandas``).
+
+    Each metric goes to its judge (``judge_of_metrics``); equal requests are
+    asked once and the verdict is given to all of them. Judge calls cost
+    money and are not deterministic, so their output is written once under
+    the checkpoint folder (``materialize``) before anything downstream can
+    recompute it. A failed call makes its feedback ``failed`` with a null
+    result. Context relevance is the mean over its per-context calls;
+    without contexts it is ``done`` with a null result and no calls.
     """
-    req = judge_requests(records, questions, metrics)
-    if parallelism:
-        req = req.repartition(parallelism)
-    res = req.mapInPandas(_run_judge(judge), _RES_SCHEMA)
+    routes, judges = judge_of_metrics(judge, metrics)
+    req = routed_requests(records, routes, questions)
+    verdicts = judge_verdicts(req, judges, parallelism)
     if materialize:
         from evalflow.session import materialize as write_once
 
-        res = write_once(res, "judge-calls")
+        verdicts = write_once(verdicts, "judge-calls")
+    res = req.select(*REC_KEYS, "name", "call_pos", "context", "key").join(verdicts.drop("judge"), "key", "left")
     grouped = res.groupBy(*REC_KEYS, "name").agg(
         F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("result"),
         F.max(F.col("error").isNotNull().cast("int")).alias("_failed"),

@@ -33,8 +33,11 @@ def latency_edges() -> list[float]:
     return pts + [float("inf")]
 
 
-#: Pieces a group's range of values is cut into for the ranks.
-RANGES = 4096
+#: Ranges of equal depth that a group's distinct values are cut into for the ranks, in blocks of ``RANGE_BLOCK``.
+RANGES = 256
+RANGE_BLOCK = 16
+#: Digits of a sum, in base 2 ** DIGIT_BITS: 260 bits from the group's largest magnitude down.
+DIGITS, DIGIT_BITS = 13, 20
 
 
 def _all_combinations(seen: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -46,20 +49,25 @@ def _all_combinations(seen: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return facets.select(F.struct("recipe", "dataset", "metric").alias("_k"))
 
 
-def _quartiles(counts: DataFrame, totals: DataFrame, probs: Sequence[float]) -> DataFrame:
+def _range_of(value: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``: first whole blocks, then within one."""
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(RANGES // RANGE_BLOCK - 1)), lambda i: F.get(cuts, i * RANGE_BLOCK - 1))
+    whole = F.size(F.filter(blocks, lambda c: c < value)) * RANGE_BLOCK
+    return whole + F.size(F.filter(F.slice(cuts, whole + 1, RANGE_BLOCK), lambda c: c < value))
+
+
+def _quartiles(rows: DataFrame, probs: Sequence[float], sums: Sequence[Column]) -> DataFrame:
     """Linear-interpolation quantiles per ``_k`` from (``_k``, ``value``,
-    ``_c``) rows, one per distinct value.
+    ``_c``, ``_n``, ``cuts``) rows, one per distinct value, and the given
+    aggregates of these rows.
 
     A value's rank is the count of the smaller ones: the counts of the
-    lower of ``RANGES`` ranges of the group's span plus a running count
-    within its own range, so no window holds a whole group and no buffer
-    holds its values.
+    ranges below plus a running count within its own range. The cut points
+    come from a quantile sketch of the group's distinct values, so a range
+    holds about as many of them as any other, whatever outliers there are:
+    no window holds a whole group and no buffer its values.
     """
-    span = F.col("high") - F.col("low")
-    piece = F.least(F.floor((F.col("value") - F.col("low")) / span * RANGES), F.lit(RANGES - 1))
-    piece = F.when(span > 0, F.coalesce(piece, F.lit(0))).otherwise(0).cast("long")
-    rows = counts.where(F.col("value").isNotNull()).join(totals.select("_k", "low", "high", "_n"), "_k")
-    rows = rows.withColumn("_p", F.struct("_k", piece.alias("piece")))
+    rows = rows.withColumn("_p", F.struct("_k", _range_of(F.col("value"), F.col("cuts")).alias("piece"))).drop("cuts")
     within = Window.partitionBy("_p").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
     below = Window.partitionBy("_p._k").orderBy("_p.piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,16 +76,63 @@ def _quartiles(counts: DataFrame, totals: DataFrame, probs: Sequence[float]) ->
     start = F.col("_before") + F.col("_in")
     last = start + F.col("_c") - 1
     ranked = rows.join(pieces, F.col("_p") == F.col("_pp"))
-    aggs = []
+    aggs = list(sums)
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
         for side, r in (("a", F.floor(h)), ("b", F.ceil(h))):
             aggs.append(F.max(F.when((start <= r) & (last >= r), F.col("value"))).alias(f"_{side}{i}"))
         aggs.append(F.max(h - F.floor(h)).alias(f"_t{i}"))
     at = ranked.groupBy("_k").agg(*aggs)
-    return at.select(
-        "_k", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_t{i}")).alias(f"_q{i}") for i in range(len(probs))]
+    between = lambda i: F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(
+        F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_t{i}")
     )
+    return at.withColumns({f"_q{i}": between(i) for i in range(len(probs))})
+
+
+def _finite(value: Column) -> Column:
+    return F.abs(value) < float("inf")
+
+
+def _digit_sums(value: Column, count: Column, top: Column) -> Column:
+    """Sums of each digit of the values, as an array from the highest down.
+
+    |value| < 2 ** top; digit i has the weight 2 ** (top - DIGIT_BITS * i).
+    Cutting a double into digits is exact, and so are sums of longs.
+    """
+    base = float(1 << DIGIT_BITS)
+    size = F.abs(F.when(_finite(value), value).otherwise(0.0))
+    digits = [F.floor((size * F.pow(F.lit(2.0), F.lit(float(DIGIT_BITS * i)) - top)) % F.lit(base)) for i in range(1, DIGITS + 1)]
+    return F.array(*[F.sum(F.when(value < 0, -d).otherwise(d) * count) for d in digits])
+
+
+def _carried(digits: Column) -> Column:
+    """The same number with digits from 0 up below the base, but for the first; two more digits in front."""
+    wide = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), digits)
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+
+    def put(state: Column, digit: Column) -> Column:
+        whole = state["carry"] + digit
+        return F.struct(
+            F.shiftright(whole, DIGIT_BITS).alias("carry"),
+            F.concat(F.array(whole.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1).cast("long"))), state["out"]).alias("out"),
+        )
+
+    done = F.aggregate(F.reverse(wide), start, put)
+    return F.concat(F.array(done["carry"]), done["out"])
+
+
+def _total(digits: Column, top: Column) -> Column:
+    """The sum that ``_digit_sums`` counted, rounded once: six digits from the first that is not 0 make an exact decimal."""
+    negative = F.get(_carried(digits), 0) < 0
+    plain = _carried(F.transform(digits, lambda d: F.when(negative, -d).otherwise(d)))
+    first = F.coalesce(F.get(F.filter(F.transform(plain, lambda d, i: F.when(d != 0, i)), lambda i: i.isNotNull()), 0), F.lit(0))
+    first = F.least(first, F.lit(DIGITS + 3 - 6))
+    base = F.lit(1 << DIGIT_BITS).cast("decimal(38,0)")
+    whole = F.aggregate(
+        F.slice(plain, first + 1, 6), F.lit(0).cast("decimal(38,0)"), lambda t, d: (t * base + d.cast("decimal(38,0)")).cast("decimal(38,0)")
+    )
+    weight = F.pow(F.lit(2.0), top - (DIGIT_BITS * (first + 6 - 3)).cast("double"))
+    return F.when(negative, -1.0).otherwise(1.0) * whole.cast("double") * weight
 
 
 def box_stats(chart: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -85,29 +140,34 @@ def box_stats(chart: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     Every combination of a recipe, a dataset and a metric has a row, with
     nulls where there are no values. Quartiles interpolate linearly between
-    order statistics (pandas' default); nulls and NaN are ignored. The means
-    come from exact decimal sums, so they do not depend on the order partial
-    sums are combined in.
+    order statistics (pandas' default); nulls and NaN are ignored. A mean is
+    the exact sum, rounded once, over the count (exact while a group's
+    magnitudes lie within a factor of 2 ** 200), so it does not depend on the
+    order partial sums are combined in; with infinite values it is infinite,
+    or NaN with both.
 
     The values are counted once (one row per combination and distinct value,
     partial counts before the shuffle); all the rest reads that table.
     """
     long = metrics_long(chart, metrics, latency=False)
     value = F.when(~F.isnan("value"), F.col("value"))
-    counts = long.groupBy(F.struct("recipe", "dataset", "metric").alias("_k"), value.alias("value")).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(value.cast("decimal(38,12)")).alias("_sum")
-    )
-    totals = counts.where(F.col("value").isNotNull()).groupBy("_k").agg(
+    counts = long.groupBy(F.struct("recipe", "dataset", "metric").alias("_k"), value.alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    known = counts.where(F.col("value").isNotNull())
+    steps = [i / RANGES for i in range(1, RANGES)]
+    largest = F.max(F.when(_finite(F.col("value")), F.abs("value")))
+    totals = known.groupBy("_k").agg(
         F.max("value").alias("high"), F.min("value").alias("low"), F.sum("_c").alias("_n"),
-        F.sum("_sum").alias("_total"),
+        F.percentile_approx("value", steps, 4 * RANGES).alias("cuts"),
+        F.greatest(F.coalesce(F.floor(F.log2(largest)).cast("double"), F.lit(0.0)) + 2, F.lit(-700.0)).alias("_top"),
     )
-    quart = _quartiles(counts, totals, (0.25, 0.5, 0.75))
+    rows = known.join(totals, "_k")
+    sums = [_digit_sums(F.col("value"), F.col("_c"), F.col("_top")).alias("_digits"), *[F.first(c).alias(c) for c in ("_top", "_n", "high", "low")]]
+    quart = _quartiles(rows, (0.25, 0.5, 0.75), sums)
     grid = _all_combinations(counts.select("_k.recipe", "_k.dataset"), metrics)
-    out = grid.join(totals.join(quart, "_k"), "_k", "left")
-    return out.select(
-        "_k.*", "high", "low", F.col("_q1").alias("median"),
-        (F.col("_total") / F.col("_n")).cast("double").alias("mean"), F.col("_q0").alias("q1"), F.col("_q2").alias("q3"),
-    )
+    up, down = F.col("high") == float("inf"), F.col("low") == float("-inf")
+    mean = F.when(up & down, float("nan")).when(up, F.col("high")).when(down, F.col("low")).otherwise(_total(F.col("_digits"), F.col("_top")) / F.col("_n"))
+    out = grid.join(quart.withColumn("mean", mean), "_k", "left")
+    return out.select("_k.*", "high", "low", F.col("_q1").alias("median"), "mean", F.col("_q0").alias("q1"), F.col("_q2").alias("q3"))
 
 
 def box_plot_table(stats: DataFrame) -> DataFrame:
@@ -185,6 +245,12 @@ def status_counts(feedbacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return feedbacks.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def latest_feedback(feedbacks: DataFrame) -> DataFrame:
+    """(recipe, dataset, record_id, name, status): each feedback by its latest row, ties by the status."""
+    order = F.struct(F.col("last_ts").isNotNull().alias("timed"), "last_ts", "status")
+    return feedbacks.groupBy("recipe", "dataset", "record_id", "name").agg(F.max(order)["status"].alias("status"))
+
+
 REPORTS = ("box-plots", "histogram-grid")
 
 

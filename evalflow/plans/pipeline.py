@@ -204,6 +204,38 @@ def _retrieved_answers(questions: DataFrame, chunks: DataFrame, recipes: Sequenc
     )
 
 
+def _scored(records: DataFrame, questions: DataFrame, judge: metrics.Judge | None) -> DataFrame:
+    asked = records.select("recipe", "dataset", "record_id", "input", "output", "contexts")
+    if judge is None:
+        return metrics.evaluate(asked, questions, last_ts=F.localtimestamp())
+    return metrics.evaluate_with_judge(asked, judge, questions)
+
+
+def _record(store: RunStore, records: DataFrame, recipes: Sequence[Mapping[str, Any]]) -> None:
+    """Records and the runs they belong to, in one commit."""
+    meta = {r["recipe"]: json.dumps({k: v for k, v in r.items() if k != "recipe"}, sort_keys=True) for r in recipes}
+    lookup = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), F.lit(v))])
+    with store.commit() as commit:
+        commit.write_records(records)
+        runs = records.select("recipe", "dataset").distinct()
+        commit.write_runs(runs.select("recipe", "dataset", lookup[F.col("recipe")].alias("metadata")))
+
+
+def score_store(
+    store: RunStore, questions: DataFrame, judge: metrics.Judge | None = None, recipes: Sequence[str] | None = None
+) -> None:
+    """Scores that records of ``recipes`` (default: all) in ``store`` lack, in one commit."""
+    records = store.records()
+    if recipes is not None:
+        records = records.where(F.col("recipe").isin(list(recipes)))
+    due = planning.unscored(records, store.feedbacks())
+    # a judge's answers are written by evaluate_with_judge before they are read here
+    lacking = due.select(F.struct("recipe", "dataset", "record_id").alias("_key"), F.explode("lacking").alias("_name"))
+    fresh = _scored(due, questions, judge)
+    key = F.struct("recipe", "dataset", "record_id")
+    store.write_feedbacks(fresh.join(lacking, (key == F.col("_key")) & (F.col("name") == F.col("_name")), "left_semi"))
+
+
 def run_experiment(
     questions: DataFrame,
     documents: DataFrame,
@@ -225,17 +257,17 @@ def run_experiment(
     ``judge`` replaces the lexical judge. With a ``store``, questions it
     already holds for a recipe are not asked again, records, feedbacks and
     runs are written there, and the statistics cover all it holds of the
-    recipes. Questions are told apart by (dataset, pos), chunks by (doc_id,
-    chunk_id); document ids may have any type.
+    recipes. Answers are one commit, with their runs; the scores that the
+    store's records of these recipes lack are the next. So a run that was
+    stopped anywhere is finished by the next, and nothing is asked twice
+    that was committed. Questions are told apart by (dataset, pos), chunks
+    by (doc_id, chunk_id); document ids may have any type.
     """
     make_chunks = ingest_fn or (lambda docs, chunk_size: ingest.chunk_window(docs, int(chunk_size)))
     names = [r["recipe"] for r in recipes]
     if "metadata" not in questions.columns:
         questions = questions.withColumn("metadata", F.lit("{}"))
     qs = questions.withColumn("query_id", F.concat_ws(":", "dataset", F.col("pos").cast("string")))
-    # read by the retrieval of every chunk table, the records and the scoring
-    qs = materialize(ingest.embed(qs, dim=dim, text_col="query"), "questions")
-
     if query_fn is not None:
         entries = [(r["recipe"], [(str(a), str(v)) for a, v in r.items() if a != "recipe"]) for r in recipes]
         table = questions.sparkSession.createDataFrame(entries, "pipeline_key string, ingredients array<struct<key:string,value:string>>")
@@ -244,6 +276,8 @@ def run_experiment(
             work = planning.pending(work, store.records(), stored_encoded=False)
         recs = run_pipeline(work, query_fn)
     else:
+        # read by the retrieval of every chunk table, the records and the scoring
+        qs = materialize(ingest.embed(qs, dim=dim, text_col="query"), "questions")
         shared: dict[tuple, list[Mapping[str, Any]]] = {}
         for r in recipes:
             shared.setdefault(tuple(sorted(bind_ingredients(make_chunks, r, ("docs", "documents")).items())), []).append(r)
@@ -257,18 +291,11 @@ def run_experiment(
             recs = planning.pending(recs, store.records(), stored_encoded=False).withColumnRenamed("query", "input")
         recs = materialize(recs, "records")
     recs = recs.select(*EXPERIMENT_RECORD)
-    asked = recs.select("recipe", "dataset", "record_id", "input", "output", "contexts")
-    if judge is None:
-        fb = metrics.evaluate(asked, qs, last_ts=F.localtimestamp())
+    if store is None:
+        fb = _scored(recs, qs, judge)
     else:
-        fb = metrics.evaluate_with_judge(asked, judge, qs)
-    if store is not None:
-        store.write_records(recs)
-        store.write_feedbacks(fb)
-        meta = {r["recipe"]: json.dumps({k: v for k, v in r.items() if k != "recipe"}, sort_keys=True) for r in recipes}
-        runs = recs.select("recipe", "dataset").distinct()
-        lookup = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), F.lit(v))])
-        store.write_runs(runs.select("recipe", "dataset", lookup[F.col("recipe")].alias("metadata")))
+        _record(store, recs, recipes)
+        score_store(store, qs, judge, names)
         recs, fb = store.records(), store.feedbacks()
     chart = frames.chart_data(recs, fb, names, metrics=list(metrics.METRIC_NAMES))
     return stats.box_stats(chart, list(metrics.METRIC_NAMES))

@@ -120,6 +120,18 @@ def pending(work: DataFrame, records: DataFrame, stored_encoded: bool = True) ->
     return work.join(done, _work_key() == F.col("_done"), "left_anti")
 
 
+def unscored(records: DataFrame, feedbacks: DataFrame, metrics: Sequence[str] = METRIC_NAMES) -> DataFrame:
+    """Records that lack feedback, of whatever status, for some of ``metrics``,
+    with the names they lack as ``lacking`` (sorted)."""
+    wanted = F.array(*[F.lit(m) for m in metrics]).cast("array<string>")
+    key = F.struct("recipe", "dataset", "record_id")
+    have = feedbacks.where(F.col("name").isin(list(metrics))).groupBy(key.alias("_key")).agg(F.collect_set("name").alias("_have"))
+    none = F.array().cast("array<string>")
+    lacking = F.array_sort(F.array_except(wanted, F.coalesce("_have", none)))
+    joined = records.join(have, key == F.col("_key"), "left").withColumn("lacking", lacking)
+    return joined.where(F.size("lacking") > 0).select(*records.columns, "lacking")
+
+
 def progress(
     work: DataFrame,
     records: DataFrame,
@@ -128,10 +140,11 @@ def progress(
     stored_encoded: bool = True,
 ) -> DataFrame:
     """Per recipe and dataset: questions planned, questions finished (already
-    recorded), feedback rows expected over the chosen ``metrics``, feedback
-    rows done (null without a ``feedbacks`` table) and whether nothing is
-    pending. The work is read once: one left join with the recorded keys and
-    conditional counts.
+    recorded), feedbacks expected over the chosen ``metrics``, feedbacks
+    done (null without a ``feedbacks`` table) and whether nothing is
+    pending. A feedback is a record and a metric, however many rows it has;
+    it is done if one of them is. The work is read once: one left join with
+    the recorded keys and conditional counts.
     """
     done = _recorded(records, stored_encoded)
     out = work.join(done, _work_key() == F.col("_done"), "left").groupBy("recipe", "dataset").agg(
@@ -141,6 +154,7 @@ def progress(
     fb_done = F.lit(None).cast("long")
     if feedbacks is not None:
         due = feedbacks.where((F.col("status") == "done") & F.col("name").isin(list(metrics)))
+        due = due.select("recipe", "dataset", "record_id", "name").distinct()
         n = due.groupBy(F.struct("recipe", "dataset").alias("_fk")).agg(F.count(F.lit(1)).alias("_n"))
         out = out.join(n, F.struct("recipe", "dataset") == F.col("_fk"), "left")
         fb_done = F.coalesce("_n", F.lit(0)).cast("long")

@@ -1,24 +1,29 @@
 """Structured Streaming: continuous scoring, retry selection, live status.
 
-``evaluate_stream`` reads records as they land in the store and writes
-their feedback rows in ``foreachBatch``. A micro-batch can be replayed after
-a failure (the sink is at-least-once), so each batch first drops the keys
-that already have finished feedback among the records it carries.
-``retry_scored`` scores failed and stuck rows again.
+``evaluate_stream`` follows the commits of a store (or the files of a
+folder) and writes the feedback rows of their records in ``foreachBatch``. A
+micro-batch can be replayed after a failure (the sink is at-least-once), so
+each batch first drops the keys that already have finished feedback among
+the records it carries. ``retry_scored`` scores failed and stuck rows again,
+``retry_stored`` puts the outcome into the store. ``status_stream`` counts
+feedbacks, not rows: a feedback whose status changes leaves its old count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalflow.operators.metrics import REC_KEYS, evaluate
-from evalflow.operators.stats import status_counts
 from evalflow.session import materialize
-from evalflow.sources.store import RECORDS, RunStore
+from evalflow.sources.store import COMMIT, FEEDBACKS, RECORDS, RunStore
 
 # --- fixed values that must equal the reference's output -----------------
 # Seconds after which a failed feedback is retried.
@@ -38,9 +43,13 @@ def retry_pending(
     ``failed_after`` seconds ago, or running longer than ``running_after``.
     ``now`` is a column (a literal, or a scalar subquery) -- never read from
     the clock inside the plan, so retries are reproducible."""
+    return feedbacks.where(_due(now, failed_after, running_after)).select(*REC_KEYS, "name", "status")
+
+
+def _due(now: Column, failed_after: int, running_after: int) -> Column:
     age = F.timestamp_diff("MICROSECOND", F.col("last_ts"), now) / F.lit(1_000_000.0)
-    due = ((F.col("status") == "failed") & (age > failed_after)) | ((F.col("status") == "running") & (age > running_after))
-    return feedbacks.where(due).select(*REC_KEYS, "name", "status")
+    failed, running = F.col("status") == "failed", F.col("status") == "running"
+    return F.coalesce((failed & (age > failed_after)) | (running & (age > running_after)), F.lit(False))
 
 
 def retry_scored(
@@ -52,17 +61,50 @@ def retry_scored(
     running_after: int = RETRY_RUNNING_AFTER,
 ) -> DataFrame:
     """The feedback table with its due rows scored again: a due row whose
-    record still exists is replaced by the scorer's new row, all others stay.
-    The scorer sees each record with a due metric once; its output is
-    written before use, as judge calls are neither free nor repeatable.
+    record still exists is replaced by the scorer's new row, all others stay,
+    those of the same feedback that are not yet due too. The scorer sees each
+    record with a due metric once; its output is written before use, as
+    judge calls are neither free nor repeatable.
     """
     keys = [*REC_KEYS, "name"]
     due = retry_pending(feedbacks, now, failed_after, running_after)
-    todo = records.join(due.select(*REC_KEYS).distinct(), list(REC_KEYS), "left_semi")
-    fresh = scorer(todo).join(due.select(*keys).distinct(), keys, "left_semi")
+    todo = _matching(records, due, REC_KEYS, "left_semi")
+    fresh = _matching(scorer(todo), due, keys, "left_semi")
     fresh = materialize(fresh.select(*[F.col(c).cast(feedbacks.schema[c].dataType) for c in feedbacks.columns]), "retry")
-    replaced = due.join(fresh.select(*keys), keys, "left_semi").distinct()
-    return feedbacks.join(replaced, [*keys, "status"], "left_anti").unionByName(fresh)
+    marked = feedbacks.withColumn("_due", _due(now, failed_after, running_after))
+    again = fresh.select(F.struct(*keys).alias("_again")).distinct()
+    kept = marked.join(again, (F.struct(*keys) == F.col("_again")) & F.col("_due"), "left_anti").drop("_due")
+    return kept.unionByName(fresh)
+
+
+def retry_stored(
+    store: RunStore,
+    now: Column,
+    scorer: Callable[[DataFrame], DataFrame] = evaluate,
+    failed_after: int = RETRY_FAILED_AFTER,
+    running_after: int = RETRY_RUNNING_AFTER,
+) -> int:
+    """``retry_scored`` on a store: only partitions (dataset, recipe) with
+    due feedback are read, scored and written, and one commit replaces them.
+    Stopped before that, nothing has changed; run again, it finds what is
+    due then. Returns the number of partitions replaced."""
+    feedbacks = store.feedbacks()
+    due = retry_pending(feedbacks, now, failed_after, running_after)
+    # those whose records are gone cannot be scored
+    due = _matching(due, store.records(), REC_KEYS, "left_semi")
+    touched = due.select("dataset", "recipe").distinct()
+    partitions = [(r["dataset"], r["recipe"]) for r in touched.collect()]  # one for each dataset of a recipe
+    if partitions:
+        own = reduce(lambda a, b: a | b, [F.col("dataset").eqNullSafe(d) & F.col("recipe").eqNullSafe(r) for d, r in partitions])
+        fresh = retry_scored(store.records().where(own), feedbacks.where(own), now, scorer, failed_after, running_after)
+        store.replace_feedbacks(fresh, partitions)
+    return len(partitions)
+
+
+def _matching(df: DataFrame, other: DataFrame, keys, how: str) -> DataFrame:
+    """Rows of ``df`` with (``left_semi``) or without (``left_anti``) their keys in ``other``, nulls equal to nulls."""
+    found = other.select(F.struct(*keys).alias("_other")).distinct()
+    return df.join(found, F.struct(*keys) == F.col("_other"), how)
 
 
 def _new_feedback(batch: DataFrame, store: RunStore, scored: DataFrame) -> DataFrame:
@@ -70,13 +112,12 @@ def _new_feedback(batch: DataFrame, store: RunStore, scored: DataFrame) -> DataF
     running one does not keep a new score out. The join on the partition
     columns prunes the store's folders at run time."""
     finished = store.feedbacks().where(F.col("status") == "done").select(*REC_KEYS, "name")
-    keys = finished.join(batch.select(*REC_KEYS).distinct(), list(REC_KEYS), "left_semi")
-    return scored.join(keys, [*REC_KEYS, "name"], "left_anti")
+    return _matching(scored, _matching(finished, batch, REC_KEYS, "left_semi"), [*REC_KEYS, "name"], "left_anti")
 
 
 def evaluate_stream(
     spark: SparkSession,
-    records_path: str,
+    source: RunStore | str,
     store: RunStore,
     checkpoint: str,
     questions: DataFrame | None = None,
@@ -84,16 +125,25 @@ def evaluate_stream(
     available_now: bool = True,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Score records arriving under ``records_path`` into ``store``.
+    """Score records arriving in ``source`` into ``store``.
 
+    A store is followed by its log: each trigger scores the records of the
+    commits since the last, so rows that are not committed are left alone. A
+    string names a folder of record files without commits.
     ``scorer`` replaces the lexical judge (e.g. ``lambda df:
     evaluate_with_judge(df, judge)``). With ``available_now`` the query
     processes what is there and stops (batch-like scheduling with
     streaming bookkeeping); otherwise it keeps running.
     """
-    stream = spark.readStream.schema(RECORDS).option("basePath", records_path).parquet(records_path)
+    followed = isinstance(source, RunStore)
+    if followed:
+        stream = spark.readStream.schema(COMMIT).json(source.path("commits"))
+    else:
+        stream = spark.readStream.schema(RECORDS).option("basePath", source).parquet(source)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        if followed:
+            batch = source.records(batch.select("commit"))
         # the batch is read twice below (keys, scoring);
         # cached blocks lost with an executor are re-read from the files
         batch = batch.persist()
@@ -111,23 +161,74 @@ def evaluate_stream(
     return writer.start()
 
 
+#: A record's feedbacks so far: name, status and time (microseconds) of each.
+_STATE = "names array<string>, statuses array<string>, times array<long>"
+_NO_TIME = -(1 << 62)
+
+
+def _status_changes(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """(status, n): -1 for the status that a feedback had, 1 for the one it has now."""
+    held = {n: (t, s) for n, s, t in zip(*state.get)} if state.exists else {}
+    now = dict(held)
+    for batch in batches:
+        for name, status, at in zip(batch["name"], batch["status"], batch["at"]):
+            seen = (int(at), status)
+            if name not in now or _later(seen) > _later(now[name]):
+                now[name] = seen
+    names = sorted(now, key=str)
+    state.update((names, [now[n][1] for n in names], [now[n][0] for n in names]))
+    out = []
+    for name, (_, status) in now.items():
+        if name in held and held[name][1] == status:
+            continue
+        out += [(status, 1)] + ([(held[name][1], -1)] if name in held else [])
+    yield pd.DataFrame(out, columns=["status", "n"])
+
+
+def _later(x: tuple[int, str | None]) -> tuple[int, bool, str]:
+    """Order of a feedback's rows: by time, then by status."""
+    return x[0], x[1] is not None, x[1] or ""
+
+
 def status_stream(
     spark: SparkSession,
     feedbacks_path: str,
     out_path: str,
     checkpoint: str,
     available_now: bool = True,
+    files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Live feedback counts per status (complete mode); every trigger
-    overwrites ``out_path`` with the current counts (a handful of rows)."""
-    from evalflow.sources.store import FEEDBACKS
+    """Live counts of feedbacks per status, each by its latest row.
 
-    stream = spark.readStream.schema(FEEDBACKS).option("basePath", feedbacks_path).parquet(feedbacks_path)
-    counts = status_counts(stream)
+    State is kept for each record (the status of its metrics); a trigger
+    gives out the changes alone, which are summed and added to the counts
+    before it. Every trigger writes ``out_path``/epoch=<number> anew, so a
+    replayed one gives the same counts; read them with ``live_status``.
+    """
+    stream = spark.readStream.schema(FEEDBACKS).option("basePath", feedbacks_path)
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    at = F.coalesce(F.timestamp_diff("MICROSECOND", epoch, F.col("last_ts")), F.lit(_NO_TIME)).alias("at")
+    rows = stream.parquet(feedbacks_path).select(*REC_KEYS, "name", "status", at)
+    changes = rows.groupBy(*REC_KEYS).applyInPandasWithState(
+        _status_changes, "status string, n long", _STATE, "update", GroupStateTimeout.NoTimeout
+    )
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        counts = batch.groupBy("status").agg(F.sum("n").alias("n"))
+        if epoch_id:
+            before = spark.read.schema("status string, n long").parquet(f"{out_path}/epoch={epoch_id - 1}")
+            counts = before.unionByName(counts).groupBy("status").agg(F.sum("n").alias("n"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")  # a row for each status
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
     return writer.start()
+
+
+def live_status(spark: SparkSession, out_path: str) -> DataFrame:
+    """(status, n) as of the last trigger of ``status_stream``."""
+    counts = spark.read.schema("status string, n long, epoch long").option("basePath", out_path).parquet(out_path)
+    last = counts.select(F.max("epoch")).scalar()
+    return counts.where((F.col("epoch") == last) & (F.col("n") > 0)).select("status", "n")
