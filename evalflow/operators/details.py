@@ -30,12 +30,12 @@ def _select(df: DataFrame, selection: DataFrame | None) -> DataFrame:
     return df.join(selection.select(*keys).distinct(), keys, "left_semi")
 
 
-def record_calls(feedbacks: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+def record_calls(feedbacks: DataFrame, selection: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Judge calls of the selected records, one row each, in stored order
     (feedback rows by ``last_ts``, calls by position). No status filter."""
     fb = _select(feedbacks, selection)
-    return fb.select(*REC_KEYS, "name", "last_ts", F.posexplode_outer("calls").alias("pos", "call")).select(
-        *REC_KEYS, "name", "last_ts", "pos",
+    return fb.select(*REC_KEYS, "name", "last_ts", *keep, F.posexplode_outer("calls").alias("pos", "call")).select(
+        *REC_KEYS, "name", "last_ts", "pos", *keep,
         F.col("call.reason").alias("reason"),
         F.col("call.reasons").alias("reasons"),
         F.col("call.context").alias("context"),
@@ -95,14 +95,20 @@ def context_reasons(records: DataFrame, feedbacks: DataFrame, selection: DataFra
     ``context_index`` is the 0-based position of the context with that text
     (the last one when texts repeat); a call whose text is not among the
     contexts keeps its row with a null index.
+
+    Feedback meets its record before the calls are cut apart, and a call
+    finds its place in the record's own array: texts are no join keys, and
+    the records send digests of theirs only.
     """
-    calls = record_calls(feedbacks, selection).where(F.col("name") == "context_relevance")
-    ctx = _select(records, selection).select(*REC_KEYS, F.posexplode("contexts").alias("pos", "c"))
-    index = ctx.groupBy(*REC_KEYS, F.col("c.page_content").alias("context")).agg(
-        F.max("pos").cast("long").alias("context_index")
-    )
-    joined = calls.join(index, [*REC_KEYS, "context"], "left")
-    out = reason_fields(joined)
+    fb = _select(feedbacks, selection).where(F.col("name") == "context_relevance")
+    texts = F.transform("contexts", lambda c: F.sha2(c["page_content"], 256))
+    own = _select(records, selection).select(F.struct(*REC_KEYS).alias("_rec"), texts.alias("_texts"))
+    own = own.groupBy("_rec").agg(F.max_by("_texts", F.size("_texts")).alias("_texts"))
+    joined = fb.join(own, F.struct(*REC_KEYS) == F.col("_rec"), "left")
+    from_end = F.array_position(F.reverse("_texts"), F.sha2("context", 256))
+    index = F.when(from_end > 0, F.size("_texts") - from_end).cast("long")
+    calls = record_calls(joined, keep=["_texts"]).withColumn("context_index", index)
+    out = reason_fields(calls)
     return out.select(
         *REC_KEYS, "last_ts", "pos", "context_index", "criteria", "supporting_evidence", "score"
     )

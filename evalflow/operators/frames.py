@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalflow.functions.json import latency_seconds, metadata_predicate
 from evalflow.functions.ordinal import group_ordinal, time_bucket
+from evalflow.session import materialize
 
 KEYS = ("recipe", "dataset", "record_id")
 MEASURES = ("total_tokens", "latency")
@@ -203,6 +204,10 @@ def compare_runs(
     return wide.select(*lead, "input", "ground_truth", *outputs, *sorted(rest))
 
 
+#: Rows up to which a page is cut from the first rows of all.
+TOP_ROWS = 10_000
+
+
 def compare_page(
     df: DataFrame,
     where: Any = None,
@@ -210,17 +215,32 @@ def compare_page(
     page: int = 0,
     size: int = 10,
     tie_break: Sequence[str] = (),
+    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
     """One page of a (filtered, sorted) comparison with its 1-based row
     position. Add ``tie_break`` columns that make the order total, or pages
-    may overlap. Planned as a top-k (each task keeps its best
-    ``(page + 1) * size`` rows), never a full sort to one task.
-    """
-    from pyspark.sql import Window
+    may overlap.
 
+    The first pages are planned as a top-k (each task keeps its best
+    ``(page + 1) * size`` rows). Beyond ``top_rows`` rows the comparison is
+    written once, dealt to ranges of the order; the ranges' row counts say
+    which one or two hold the page, and only these are sorted.
+    """
     if where is not None:
         df = df.where(where)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(c).asc_nulls_first() for c in tie_break]
     start = page * size
-    top = df.orderBy(*order).offset(start).limit(size) if start else df.orderBy(*order).limit(size)
+    skip = start
+    if start + size > top_rows and order:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = materialize(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "page-ranges")
+        counts = dict(df.groupBy("_range").agg(F.count(F.lit(1))).collect())  # a row for each range
+        mine, before = [], 0
+        for r in sorted(counts):
+            if before < start + size and before + counts[r] > start:
+                skip = skip if mine else start - before
+                mine.append(r)
+            before += counts[r]
+        df = df.where(F.col("_range").isin(mine)).drop("_range")
+    top = df.orderBy(*order).offset(skip).limit(size) if skip else df.orderBy(*order).limit(size)
     return top.withColumn("row_pos", (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))

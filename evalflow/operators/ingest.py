@@ -130,7 +130,7 @@ def split_recursive(
     size: int,
     overlap: int,
     length: Callable[[str], int] = word_length,
-    separators: Sequence[str] = ("\n\n", "\n", " ", ""),
+    separators: Sequence[str] | None = None,
 ) -> list[str]:
     """Chunks of at most ``size`` (by ``length``) that end where a separator
     does, the coarsest that serves. Each is a slice of the text from one
@@ -138,7 +138,7 @@ def split_recursive(
     starts at the earliest piece from which the shared part is at most
     ``overlap`` and one more piece fits. Only a piece that no separator can
     cut is longer than ``size``; it is a chunk of its own."""
-    pieces = _pieces(text, size, length, separators)
+    pieces = _pieces(text, size, length, SEPARATORS if separators is None else separators)
     before = [0, *accumulate(n for _, _, n in pieces)]
     chunks = []
     first = 0
@@ -154,6 +154,72 @@ def split_recursive(
     return chunks
 
 
+#: White space as ``str.split`` and ``str.strip`` know it.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def word_count(c: Column) -> Column:
+    """``word_length`` of a text column."""
+    return F.size(F.array_remove(F.split(c, _BLANK, -1), ""))
+
+
+def _cut_pieces(pieces: Column, size: int, separator: str) -> Column:
+    """Pieces of more than ``size`` words cut after every separator, others as they are."""
+    pattern = f"(?s).*?{re.escape(separator)}|.+" if separator else "(?s)."
+    cut = lambda p: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))
+    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) <= size, F.array(p)).otherwise(cut(p))))
+
+
+def _chunk_bounds(lengths: Column, size: int, overlap: int) -> Column:
+    """(first, stop) piece of every chunk: a fold over the pieces' lengths.
+
+    The state holds the open chunk's first piece, its lengths and their sum.
+    A piece that does not fit closes the chunk; the next starts with the
+    longest tail whose sum is at most ``overlap`` and leaves room for it.
+    """
+    ints, bounds = "array<int>", "array<struct<first:int,stop:int>>"
+    zero = F.lit(0)
+    start = F.struct(
+        zero.alias("i"), zero.alias("first"), zero.alias("sum"), F.array().cast(ints).alias("open"), F.array().cast(bounds).alias("done")
+    )
+
+    def tail(state: Column, n: Column) -> Column:
+        """Length and sum of the tail that the next chunk takes over."""
+        room = F.least(F.lit(overlap), F.lit(size) - n)
+        rest = F.reverse(F.slice(state["open"], F.lit(2), F.size(state["open"])))
+        begin = F.struct(zero.alias("k"), zero.alias("sum"), F.lit(True).alias("fits"))
+
+        def take(t: Column, x: Column) -> Column:
+            fits = t["fits"] & (t["sum"] + x <= room)
+            return F.struct(
+                (t["k"] + fits.cast("int")).alias("k"), F.when(fits, t["sum"] + x).otherwise(t["sum"]).alias("sum"), fits.alias("fits")
+            )
+
+        return F.aggregate(rest, begin, take)
+
+    def step(state: Column, n: Column) -> Column:
+        def closed(t: Column) -> Column:
+            kept = F.slice(state["open"], F.size(state["open"]) - t["k"] + 1, t["k"])
+            own = F.struct(state["first"].alias("first"), state["i"].alias("stop"))
+            return F.struct(
+                (state["i"] + 1).alias("i"), (state["i"] - t["k"]).alias("first"), (t["sum"] + n).alias("sum"),
+                F.concat(kept, F.array(n)).alias("open"), F.concat(state["done"], F.array(own)).alias("done"),
+            )
+
+        longer = F.struct(
+            (state["i"] + 1).alias("i"), state["first"].alias("first"), (state["sum"] + n).alias("sum"),
+            F.concat(state["open"], F.array(n)).alias("open"), state["done"].alias("done"),
+        )
+        full = (state["i"] > state["first"]) & (state["sum"] + n > size)
+        # the tail is worked out once: as the only element of an array that is mapped
+        return F.when(full, F.get(F.transform(F.array(tail(state, n)), closed), 0)).otherwise(longer)
+
+    last = lambda state: F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["i"].alias("stop"))))
+    return F.when(F.size(lengths) > 0, F.aggregate(lengths, start, step, last)).otherwise(F.array().cast(bounds))
+
+
 def chunk_recursive(
     docs: DataFrame,
     size: int,
@@ -162,10 +228,24 @@ def chunk_recursive(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Recursive separator chunking with a caller-chosen length function,
-    run per partition with ``mapInPandas`` (Python only splits text here;
-    Spark does the distribution)."""
+    """Recursive separator chunking (``split_recursive`` of every text).
+
+    Measured in words it is array expressions alone: the pieces of each
+    level of separators, their lengths, and one fold that cuts them into
+    chunks. A length function of the caller's runs per partition with
+    ``mapInPandas``.
+    """
     overlap = default_overlap(size) if overlap is None else overlap
+    if length is word_length:
+        pieces = F.when(F.col(text_col) != "", F.array(text_col)).otherwise(F.array().cast("array<string>"))
+        base = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), pieces.alias("_p"))
+        for separator in SEPARATORS:
+            base = base.withColumn("_p", _cut_pieces(F.col("_p"), size, separator))
+        base = base.withColumn("_b", _chunk_bounds(F.transform("_p", word_count), size, overlap))
+        text = lambda b: F.btrim(F.array_join(F.slice("_p", b["first"] + 1, b["stop"] - b["first"]), ""), F.lit(BLANKS))
+        chunks = F.array_remove(F.transform("_b", text), "")
+        rows = base.select("doc_id", F.posexplode(chunks).alias("chunk_id", "text"))
+        return rows.select("doc_id", "chunk_id", word_count(F.col("text")).alias("n_tokens"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -215,11 +295,13 @@ def _bucket_sums(dim: int):
 def hashing_embedding(c: str | Column, dim: int = 64) -> Column:
     """Signed feature-hashing embedding of the word tokens (counts per
     bucket; cosine similarity normalises, so no L2 step is stored).
-    Tokenising and hashing stay JVM-side (one xxhash64 per token); only the
-    per-row scatter-add runs in NumPy, vectorised over a whole Arrow batch."""
+    Tokenising and hashing stay JVM-side (the first 60 bits of each token's
+    md5, so that other engines can reproduce the vectors); only the per-row
+    scatter-add runs in NumPy, vectorised over a whole Arrow batch."""
     from evalflow.functions.text import tokens
 
-    return _bucket_sums(dim)(F.transform(tokens(c), lambda w: F.xxhash64(w)))
+    hashed = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
+    return _bucket_sums(dim)(F.transform(tokens(c), hashed))
 
 
 def embed(

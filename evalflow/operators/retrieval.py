@@ -1,13 +1,20 @@
 """Exact top-k retrieval by cosine similarity, and context lists.
 
-Both sides stay distributed. Queries and chunks are cut into hash blocks of
-bounded size; every (query block, chunk block) pair meets in one cogroup,
-where NumPy multiplies tiles of bounded size and keeps each query's first k
-of that chunk block in the final order (similarity desc, chunk id asc). The
-global top k lies in the union of the blocks' top k under that order, so the
-result is exact and ties cannot pile up. The final ``row_number() <= k``
-is cut to k rows per query in each task before the shuffle (Spark's window
-group limit). Nothing passes through the driver but two row counts.
+Both sides stay distributed. Chunks are dealt to clusters around at most
+``CLUSTERS`` centres (found on a bounded sample), each with the angle that
+holds all its chunks; large clusters are cut into hash blocks of bounded
+size. No chunk of a cluster can be closer to a query than the cluster's
+angle allows. So every query first meets the clusters of highest bound that
+hold k chunks, and then, of the others, only those whose bound reaches the
+k-th best similarity found: on clustered vectors few, at worst all.
+
+A query block and a chunk block meet in one cogroup, where NumPy multiplies
+tiles of bounded size and keeps each query's first k of that chunk block in
+the final order (similarity desc, chunk id asc). The global top k lies in
+the union of the blocks' top k under that order, so the result is exact and
+ties cannot pile up. The final ``row_number() <= k`` is cut to k rows per
+query in each task before the shuffle (Spark's window group limit). Row
+counts, the sample and one row for each cluster reach the driver.
 """
 
 from __future__ import annotations
@@ -20,11 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from evalflow.session import materialize
+
 # Bytes of vectors (doubles) in one block, and of similarities in one tile.
 BLOCK_BYTES = 64 << 20
 TILE_BYTES = 64 << 20
-# Rows below which cutting a chunk block further is not worth a task.
-MIN_BLOCK_ROWS = 512
+# Clusters at most, and vectors that the centre of each is drawn from.
+CLUSTERS = 1024
+SAMPLE = 8
+# Bytes of that sample.
+SAMPLE_BYTES = 64 << 20
 # Similarities are summed in another order in the tiles than in the exact
 # pass over the candidates; the tiles keep this much more than the k-th best.
 SLACK = 1e-9
@@ -110,7 +122,122 @@ def _blocks(rows: int, dim: int | None, block_rows: int | None) -> int:
     return max(1, -(-rows // size))
 
 
-def retrieve_topk(
+def _centres(sample: list[list[float]], n: int, rounds: int = 4) -> dict[int, np.ndarray]:
+    """Unit centres by vector length, in proportion to the sample."""
+    out = {}
+    for dim in sorted({len(v) for v in sample}):
+        m = _unit_rows(np.array([v for v in sample if len(v) == dim], dtype="float64"))
+        m = m[np.isfinite(m).all(axis=1)]
+        if not len(m):
+            continue
+        c = m[: max(1, n * len(m) // len(sample))]
+        for _ in range(rounds):
+            near = np.argmax(m @ c.T, axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, m)
+            c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit_rows(sums), c)
+            c = c[np.isfinite(c).all(axis=1)]
+        out[dim] = c
+    return out
+
+
+def _by_length(vectors: pa.Array, run) -> None:
+    """``run(dim, rows, unit vectors)`` for the rows of each vector length, in tiles."""
+    size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        for a in range(0, len(rows), 4096):
+            at = rows[a : a + 4096]
+            run(int(dim), at, _vectors(pa.chunked_array([vectors.take(pa.array(at))])))
+
+
+def _dealt(chunks: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``chunks`` (c, cv) with dim, cluster (-1: of a length without centres) and the cosine to the centre."""
+
+    def run(batches):
+        for batch in batches:
+            cluster, cosine = np.full(len(batch), -1, "int32"), np.full(len(batch), -1.0)
+
+            def near(dim, at, v):
+                if dim in centres:
+                    s = np.nan_to_num(v @ centres[dim].T, nan=-1.0)
+                    cluster[at] = np.argmax(s, axis=1)
+                    cosine[at] = s[np.arange(len(at)), cluster[at]]
+
+            _by_length(batch.column(1), near)
+            dim = pc.list_value_length(batch.column(1)).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, dim, pa.array(cluster), pa.array(cosine)], names=["c", "cv", "dim", "cluster", "cosine"])
+
+    extra = [T.StructField("dim", T.IntegerType()), T.StructField("cluster", T.IntegerType()), T.StructField("cosine", T.DoubleType())]
+    return chunks.select("c", "cv").mapInArrow(run, T.StructType([*chunks.select("c", "cv").schema.fields, *extra]))
+
+
+class _Bounds:
+    """Per vector length: clusters, how many chunks and blocks each has, and the highest cosine it allows a query."""
+
+    def __init__(self, rows, centres: dict[int, np.ndarray], block_rows: int):
+        self.of: dict[int, tuple] = {}
+        for dim in {r["dim"] for r in rows}:
+            mine = sorted((r["cluster"], r["low"], r["n"]) for r in rows if r["dim"] == dim)
+            cluster = np.array([m[0] for m in mine])
+            self.of[dim] = (
+                cluster, np.clip([m[1] for m in mine], -1.0, 1.0), np.array([m[2] for m in mine]),
+                np.array([max(1, -(-m[2] // block_rows)) for m in mine]),
+                centres[dim][cluster] if dim in centres else None,
+            )
+
+    def bound(self, dim: int, v: np.ndarray) -> np.ndarray:
+        _, low, _, _, centre = self.of[dim]
+        if centre is None:
+            return np.where(np.isfinite(v).all(axis=1, keepdims=True), 1.0, np.nan)
+        s = np.clip(v @ centre.T, -1.0, 1.0)
+        # the angle between query and centre, less that of the cluster
+        apart = s * low + np.sqrt(1 - s * s) * np.sqrt(1 - low * low)
+        return np.where(s >= low, 1.0, apart) + (s - s)
+
+    def places(self, dim: int, chosen: np.ndarray) -> list[list[dict]]:
+        cluster, _, _, blocks, _ = self.of[dim]
+        return [[{"cluster": int(cluster[j]), "sub": b} for j in np.flatnonzero(row) for b in range(blocks[j])] for row in chosen]
+
+
+_PLACES = T.ArrayType(T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("sub", T.IntegerType())]))
+
+
+def _with_places(queries: DataFrame, bounds: _Bounds, need: int, least: str | None) -> DataFrame:
+    """``queries`` (q, qv, dim, qb) with the blocks to meet: first those of
+    highest bound that hold ``need`` chunks; with ``least``, a column of the
+    similarities to beat, all the others that may reach it."""
+    kind = pa.list_(pa.struct([("cluster", pa.int32()), ("sub", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            out: list = [[] for _ in range(len(batch))]
+            beat = None if least is None else pc.fill_null(batch.column(batch.schema.get_field_index(least)), -2.0).to_numpy(zero_copy_only=False)
+
+            def choose(dim, at, v):
+                if dim not in bounds.of:
+                    return
+                top = bounds.bound(dim, v)
+                order = np.argsort(-top, axis=1, kind="stable")
+                held = np.cumsum(bounds.of[dim][2][order], axis=1)
+                first = np.zeros(top.shape, bool)
+                np.put_along_axis(first, order, np.c_[np.zeros(len(at), "int64"), held[:, :-1]] < need, axis=1)
+                first &= np.isfinite(top)
+                chosen = first if beat is None else ~first & (top >= beat[at, None] - 1e-7)
+                for i, places in zip(at.tolist(), bounds.places(dim, chosen)):
+                    out[i] = places
+
+            _by_length(batch.column(batch.schema.get_field_index("qv")), choose)
+            names = ["q", "qv", "dim", "qb"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(out, kind)], names=[*names, "places"]
+            )
+
+    fields = [queries.schema[n] for n in ("q", "qv", "dim", "qb")]
+    return queries.mapInArrow(run, T.StructType([*fields, T.StructField("places", _PLACES)]))
+
+
+def search(
     queries: DataFrame,
     chunks: DataFrame,
     k: int,
@@ -119,17 +246,8 @@ def retrieve_topk(
     vec_col: str = "embedding",
     block_rows: int | None = None,
     exclude_self: bool = False,
-) -> DataFrame:
-    """query_id, vec_id, rank (1..k), similarity (cosine, double).
-
-    Ids may have any type that sorts; one list comes back per query id (of
-    repeated ids one vector counts) and chunk ids are taken as unique. Rows
-    whose vector is null, empty, zero or not finite find nothing and are not
-    found; vectors of different lengths never meet. ``exclude_self`` drops
-    pairs with equal ids (a self-search of one table). Ties go to the smaller
-    chunk id. A block holds at most about ``block_rows`` rows (by default 64
-    MB of vectors).
-    """
+) -> tuple[DataFrame, dict[str, int]]:
+    """``retrieve_topk``, and how many meetings of a query with a chunk block it took: ``first``, ``second``, and ``all`` there could be."""
     if block_rows is not None and block_rows < 1:
         raise ValueError("block_rows must be at least 1")
     vec = F.col(vec_col).cast("array<double>")
@@ -138,30 +256,76 @@ def retrieve_topk(
     n_q, dim_q = q.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
     n_c, dim_c = c.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
     q_blocks = _blocks(n_q, dim_q, block_rows)
-    # small chunk tables are cut further, so that all cores have a block
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    c_blocks = max(_blocks(n_c, dim_c, block_rows), min(cores, -(-n_c // MIN_BLOCK_ROWS)))
-    left = q.select(
-        "q", "qv", F.size("qv").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"),
-    )
-    right = c.select(
-        "c", "cv", F.size("cv").alias("dim"), F.pmod(F.xxhash64("c"), F.lit(c_blocks)).alias("cb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"),
-    )
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * (dim_c or 1)))
+    n = min(CLUSTERS, int(np.ceil(np.sqrt(n_c))), max(1, SAMPLE_BYTES // (8 * SAMPLE * (dim_c or 1))))
+    sample = [r["cv"] for r in c.orderBy(F.xxhash64("c")).limit(n * SAMPLE).select("cv").collect()]
+    centres = _centres(sample, n)
+    dealt = materialize(_dealt(c, centres), "retrieval-chunks")
+    held = dealt.groupBy("dim", "cluster").agg(F.min("cosine").alias("low"), F.count(F.lit(1)).alias("n")).collect()
+    bounds = _Bounds(held, centres, block_rows)
+    subs = {(dim, int(cl)): int(b) for dim, of in bounds.of.items() for cl, b in zip(of[0], of[3])}
+    types = [q.schema["q"].dataType, c.schema["c"].dataType]
+    if not subs:
+        names = zip((query_id, chunk_id, "rank", "similarity"), (*types, T.IntegerType(), T.DoubleType()))
+        return queries.sparkSession.createDataFrame([], T.StructType([T.StructField(*x) for x in names])), {"first": 0, "second": 0, "all": 0}
+
+    cut = [F.lit(x) for key, b in subs.items() if b > 1 for x in (f"{key[0]}:{key[1]}", b)]
+    parts = F.coalesce(F.create_map(*cut)[F.concat_ws(":", "dim", "cluster")], F.lit(1)) if cut else F.lit(1)
+    sub = F.pmod(F.xxhash64("c"), parts).cast("int")
+    right = dealt.select("c", "cv", "dim", "cluster", sub.alias("sub"))
+    left = q.select("q", "qv", F.size("qv").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb"))
     schema = T.StructType(
         [
-            T.StructField("q", q.schema["q"].dataType),
-            T.StructField("c", c.schema["c"].dataType),
+            T.StructField("q", types[0]),
+            T.StructField("c", types[1]),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    keys = ["dim", "qb", "cb"]
     run = _block_topk(k, exclude_self, to_arrow_schema(schema))
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
-    w = Window.partitionBy("q").orderBy(F.col("similarity").desc(), F.col("c"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "rank", "similarity")
+    order = Window.partitionBy("q").orderBy(F.col("similarity").desc(), F.col("c"))
+
+    def meet(placed: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The first k of every query among its blocks, and the number of meetings."""
+        placed = materialize(placed.where(F.size("places") > 0), f"{name}-places")
+        wanted = placed.select("dim", "qb", F.explode("places").alias("p")).groupBy("dim", "qb", "p.cluster", "p.sub").agg(F.count(F.lit(1)).alias("n"))
+        wanted = materialize(wanted, f"{name}-blocks")
+        keys = ["dim", "qb", "cluster", "sub"]
+        own = placed.select("q", "qv", "dim", "qb", F.explode("places").alias("p")).select("q", "qv", "dim", "qb", "p.cluster", "p.sub")
+        theirs = right.join(wanted.drop("n"), ["dim", "cluster", "sub"])
+        hits = own.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(run, schema)
+        best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        return materialize(best, name), wanted.agg(F.sum("n")).first()[0] or 0
+
+    first, met = meet(_with_places(left, bounds, k + exclude_self, None), "retrieval-first")
+    beat = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+    rest = left.join(beat, "q", "left")
+    second, more = meet(_with_places(rest, bounds, k + exclude_self, "least"), "retrieval-second")
+    ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    counts = {"first": met, "second": more, "all": n_q * sum(subs.values())}
+    return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "rank", "similarity"), counts
+
+
+def retrieve_topk(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    chunk_id: str = "vec_id",
+    vec_col: str = "embedding",
+    block_rows: int | None = None,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """query_id, vec_id, rank (1..k), similarity (cosine, double).
+
+    Ids may have any type that sorts; one list comes back per query id (of
+    repeated ids one vector counts) and chunk ids are taken as unique. Rows
+    whose vector is null, empty, zero or not finite find nothing and are not
+    found; vectors of different lengths never meet. ``exclude_self`` drops
+    pairs with equal ids (a self-search of one table). Ties go to the smaller
+    chunk id. A block holds at most about ``block_rows`` rows (by default 64
+    MB of vectors).
+    """
+    return search(queries, chunks, k, query_id, chunk_id, vec_col, block_rows, exclude_self)[0]
 
 
 def contexts_for(hits: DataFrame, chunks: DataFrame | None = None, query_id: str = "query_id", chunk_id: str = "vec_id") -> DataFrame:

@@ -97,14 +97,17 @@ def load_questions_jsonl(
     return questions_from_frame(with_file_pos(reader.json(path)), dataset, "_pos", subsets)
 
 
-def load_questions_examples(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """One JSON document ``{"examples": [{"query", "reference_answer"}, ...]}``;
-    metadata is empty."""
+def load_questions_examples(spark: SparkSession, path: str | Sequence[str], dataset: str) -> DataFrame:
+    """JSON documents ``{"examples": [{"query", "reference_answer"}, ...]}``;
+    metadata is empty. Positions are unique over all files of one load: the
+    file's number, in path order, and the example's within it."""
     doc = spark.read.option("multiLine", True).json(path)
-    ex = doc.select(F.posexplode("examples").alias("pos", "e"))
-    return ex.select(
+    ex = doc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("examples").alias("pos", "e"))
+    files = ex.select("file").distinct()  # names alone
+    ranks = files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("rank"))
+    return ex.join(ranks, "file").select(
         F.lit(dataset).alias("dataset"),
-        F.col("pos").cast("long").alias("pos"),
+        (F.shiftleft("rank", 33) + F.col("pos")).alias("pos"),
         F.col("e.query").alias("query"),
         F.col("e.reference_answer").alias("ground_truth"),
         F.lit("{}").alias("metadata"),
