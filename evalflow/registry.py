@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from evalflow.operators import metrics as met
 from evalflow.plans import pipeline as pipe
 from evalflow.plans import planning
 from evalflow.session import scratch_path
+from evalflow.sources import documents as sources
 from evalflow.sources import fixtures as fx
 from evalflow.sources import questions as qs
 from evalflow.sources.store import RunStore
@@ -77,6 +79,17 @@ def q_run_frame(spark, sf_dir):
     return frames.run_frame(rec, fb, metrics=METRICS)
 
 
+@register(
+    "run_frame_dataset",
+    O.with_ctes(*O.FRAMES)
+    + f"SELECT recipe, dataset, record_id, metadata, total_tokens, round(latency, 6) AS latency, {R4}, input, output FROM run_frame WHERE recipe = 'click' AND dataset = 'ds1'",
+)
+def q_run_frame_dataset(spark, sf_dir):
+    """One recipe on one dataset, with its questions and answers."""
+    rec, fb = _store(spark, sf_dir)
+    return frames.run_frame(rec, fb, ["click"], "ds1", include_io=True, metrics=METRICS)
+
+
 @register(
     "chart_data",
     O.with_ctes(*O.CHARTS)
@@ -113,7 +126,7 @@ facets AS (
 ),
 box0 AS (
   SELECT recipe, dataset, metric, max(value) AS high, min(value) AS low,
-    quantile_cont(value, 0.5) AS median, CAST(avg(CAST(value AS DECIMAL(38,12))) AS DOUBLE) AS mean,
+    quantile_cont(value, 0.5) AS median, fsum(value) / count(value) AS mean,
     quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
   FROM long GROUP BY recipe, dataset, metric
 ),
@@ -306,6 +319,26 @@ def q_compare_page(spark, sf_dir):
     )
 
 
+@register(
+    "compare_page_far",
+    _compare_sql(
+        PAIR,
+        f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY {_PAGE_ORDER}) AS BIGINT) AS row_pos
+        FROM cmp) WHERE row_pos BETWEEN 31 AND 35""",
+    ),
+)
+def q_compare_page_far(spark, sf_dir):
+    """A page read from the ranges that hold it."""
+    return frames.compare_page(
+        _compare(spark, sf_dir, PAIR),
+        order_by=[F.col("latency__diff").desc_nulls_last()],
+        page=6,
+        size=5,
+        tie_break=["dataset", "input", "record_id_click", "record_id_view"],
+        top_rows=0,
+    )
+
+
 # ---------------------------------------------------------------- filters / options
 _FILTERS = {
     "seg_hot": {"seg": "s3", "hot": True},
@@ -438,6 +471,26 @@ def q_record_details(spark, sf_dir):
     )
 
 
+@register(
+    "record_selection",
+    O.with_ctes(*O.STORE)
+    + _CALLS_SQL
+    + """SELECT recipe, dataset, record_id, name,
+  CAST(row_number() OVER (PARTITION BY recipe, dataset, record_id, name ORDER BY last_ts, pos) AS BIGINT) AS call_idx,
+  reason, reasons, context, round(score, 6) AS score
+FROM calls WHERE (recipe, record_id) IN (SELECT (recipe, record_id) FROM records WHERE n_tokens > 800)""",
+)
+def q_record_selection(spark, sf_dir):
+    """The calls of the selected records: those with the longest answers."""
+    rec, fb = _store(spark, sf_dir)
+    d = details.record_details(fb, rec.where(F.col("n_tokens") > 800).select("recipe", "record_id"))
+    ex = d.select(*details.REC_KEYS, "name", F.posexplode("calls").alias("i", "c"))
+    return ex.select(
+        *details.REC_KEYS, "name", (F.col("i") + 1).cast("long").alias("call_idx"),
+        "c.reason", "c.reasons", "c.context", "c.score",
+    )
+
+
 @register(
     "record_contexts",
     O.with_ctes(*O.STORE)
@@ -612,7 +665,7 @@ def _work(spark, sf_dir):
     recorded = (
         work.where(F.col("recipe").contains("chunk_size_100"))
         .join(system, "conv_id", "left_semi")
-        .select("recipe", "dataset", encode_text("query").alias("input"))
+        .select("recipe", "dataset", encode_text("query").alias("input"), "pos")
     )
     return work.drop("conv_id"), recorded
 
@@ -632,15 +685,27 @@ def q_resume_pending(spark, sf_dir):
 @register(
     "run_progress",
     _WORK_SQL
-    + """SELECT w.recipe, w.dataset, count(*) AS questions,
-  count(*) - (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) AS finished,
- count(*) * 4 AS feedbacks,
-  (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) = 0 AS complete
-FROM work w GROUP BY w.recipe, w.dataset""",
+    + """, scored AS (
+  SELECT recipe, dataset, sum(CASE WHEN pos % 3 = 0 THEN 3 ELSE 4 END)::BIGINT AS n FROM work
+  WHERE recipe LIKE '%chunk_size_100%' AND pos // 100 IN (SELECT conv_id FROM conversations WHERE role = 'system')
+  GROUP BY recipe, dataset
+), t AS (
+  SELECT w.recipe, w.dataset, count(*) AS questions,
+    count(*) - (SELECT count(*) FROM remaining r WHERE r.recipe = w.recipe AND r.dataset = w.dataset) AS finished,
+    count(*) * 4 AS feedbacks
+  FROM work w GROUP BY w.recipe, w.dataset
+)
+SELECT t.*, coalesce(n, 0) AS feedbacks_done, questions = finished AND coalesce(n, 0) >= feedbacks AS complete
+FROM t LEFT JOIN scored USING (recipe, dataset)""",
 )
 def q_run_progress(spark, sf_dir):
+    """Feedback of one metric failed for every third question; every row is there twice."""
     work, recorded = _work(spark, sf_dir)
-    return planning.progress(work, recorded).drop("feedbacks_done")
+    name = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("name")
+    fb = recorded.select("recipe", "dataset", F.col("pos").cast("string").alias("record_id"), "pos", name)
+    failed = (F.col("name") == "groundedness") & (F.col("pos") % 3 == 0)
+    fb = fb.withColumn("status", F.when(failed, F.lit("failed")).otherwise(F.lit("done")))
+    return planning.progress(work, recorded, fb.unionByName(fb))
 
 
 # ---------------------------------------------------------------- metrics
@@ -721,6 +786,92 @@ def q_evaluate_udf(spark, sf_dir):
     return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
 
 
+def _words_sql(hit: str, total: str, what: str) -> str:
+    return f"'Criteria: word overlap of the {what}' || chr(10) || 'Supporting Evidence: ' || {hit} || ' of ' || {total} || ' words match'"
+
+
+def _both(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b}))"
+
+
+_I, _O, _G = _t("e.input"), _t("e.output"), _t("e.ground_truth")
+_ALL_CTX = f"list_distinct(flatten(list_transform(e.contexts, lambda c: {_t('c.page_content')})))"
+
+
+@register(
+    "evaluate_calls",
+    _EVAL_BASE
+    + f"""SELECT recipe, dataset, record_id, 'answer_correctness' AS name, 0::BIGINT AS pos,
+  {_words_sql(_both(_O, _G), f"len({_G})", "answer with the ground truth")} AS reason, NULL AS reasons, NULL AS context, round({_MET_SQL["answer_correctness"][0]}, 6) AS score FROM e
+UNION ALL SELECT recipe, dataset, record_id, 'answer_relevance', 0, {_words_sql(_both(_I, _O), f"len({_I})", "question with the answer")}, NULL, NULL,
+  round({_MET_SQL["answer_relevance"][0]}, 6) FROM e
+UNION ALL SELECT recipe, dataset, record_id, 'groundedness', 0, NULL, {_words_sql(_both(_O, _ALL_CTX), f"len({_O})", "answer with the contexts")}, NULL,
+  round({_MET_SQL["groundedness"][0]}, 6) FROM e
+UNION ALL SELECT recipe, dataset, record_id, 'context_relevance', pos, {_words_sql(_both(_I, _t("context")), f"len({_I})", "question with the context")}, NULL, context,
+  round({_share(_I, _t("context"))}, 6) FROM (SELECT *, generate_subscripts(contexts, 1) - 1 AS pos, unnest(contexts).page_content AS context FROM e) e""",
+)
+def q_evaluate_calls(spark, sf_dir):
+    """What every metric's calls say."""
+    fb = met.evaluate(_eval_records(spark, sf_dir), fx.query_items(spark, sf_dir))
+    ex = fb.select(*met.REC_KEYS, "name", F.posexplode("calls").alias("pos", "c"))
+    return ex.select(*met.REC_KEYS, "name", F.col("pos").cast("long").alias("pos"), "c.reason", "c.reasons", "c.context", "c.score")
+
+
+class HalfJudge(met.LexicalJudge):
+    """Half the lexical score."""
+
+    def score_batch(self, batch):
+        out = super().score_batch(batch)
+        out["score"] = pd.Series([None if x is None else x / 2 for x in out["score"]], dtype=object)
+        return out
+
+
+_ROUTED = {"groundedness": {"judge": "half"}, "context_relevance": {"judge": "half"}, "answer_relevance": {"enabled": True}}
+
+
+@register(
+    "evaluate_routed",
+    _EVAL_BASE
+    + " UNION ALL ".join(
+        f"SELECT e.recipe, e.dataset, e.record_id, '{m}' AS name, 'done' AS status, round(({expr}) / {2 if 'judge' in _ROUTED[m] else 1}, 6) AS result, "
+        f"CAST({ncalls} AS BIGINT) AS n_calls FROM e"
+        for m, (expr, ncalls) in _MET_SQL.items()
+        if m in _ROUTED
+    ),
+)
+def q_evaluate_routed(spark, sf_dir):
+    """Two metrics go to a judge of their own."""
+    judges = {"default": met.LexicalJudge(), "half": HalfJudge()}
+    fb = met.evaluate_with_judge(_eval_records(spark, sf_dir), judges, fx.query_items(spark, sf_dir), metrics=_ROUTED)
+    return fb.select(*met.REC_KEYS, "name", "status", "result", F.size("calls").cast("long").alias("n_calls"))
+
+
+_CONTENT = {
+    "groundedness": "e.input, e.output, coalesce(array_to_string(list_transform(e.contexts, lambda c: c.page_content), chr(10)), '') AS context, e.ground_truth",
+    "answer_relevance": "e.input, e.output, NULL AS context, e.ground_truth",
+}
+
+
+@register(
+    "judge_calls",
+    _EVAL_BASE
+    + """, twice AS (SELECT * FROM e UNION ALL SELECT 'again', * EXCLUDE (recipe) FROM e),
+req AS ("""
+    + " UNION ALL ".join(f"SELECT '{m}' AS name, {c} FROM twice e" for m, c in _CONTENT.items())
+    + """ UNION ALL SELECT 'context_relevance', e.input, e.output, unnest(e.contexts).page_content, e.ground_truth FROM twice e)
+SELECT CASE name WHEN 'answer_relevance' THEN 'default' ELSE 'half' END AS judge, CAST(sum(n) AS BIGINT) AS requests, count(*) AS calls
+FROM (SELECT name, count(*) AS n FROM req GROUP BY name, input, output, context, ground_truth) GROUP BY 1""",
+)
+def q_judge_calls(spark, sf_dir):
+    """Requests of two recipes with the same answers, and the calls that they cost, by judge."""
+    rec = _eval_records(spark, sf_dir)
+    rec = rec.unionByName(rec.withColumn("recipe", F.lit("again")))
+    routes, judges = met.judge_of_metrics({"default": met.LexicalJudge(), "half": HalfJudge()}, _ROUTED)
+    req = met.routed_requests(rec, routes, fx.query_items(spark, sf_dir)).where(F.col("key").isNotNull())
+    calls = met.judge_verdicts(req, judges).groupBy("judge").agg(F.count(F.lit(1)).alias("calls"))
+    return req.groupBy("judge").agg(F.count(F.lit(1)).alias("requests")).join(calls, "judge")
+
+
 # ---------------------------------------------------------------- ingest / retrieval
 
 
@@ -763,17 +914,63 @@ def q_chunk_window(spark, sf_dir):
     return ingest.chunk_window(fx.read_table(spark, sf_dir, "documents"), 100)
 
 
-@register("chunk_recursive")
+_BLANK_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _count_sql(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '{_BLANK_SQL}'), lambda w: w <> ''))"
+
+
+def _pieces_sql(size: int) -> str:
+    levels, previous = [], "p0"
+    for i, pattern in enumerate((r"(?s).*?\n\n|.+", r"(?s).*?\n|.+", "(?s).*? |.+", "(?s)."), 1):
+        cut = f"CASE WHEN {_count_sql('p')} <= {size} THEN [p] ELSE regexp_extract_all(p, '{pattern}') END"
+        levels.append(f"p{i} AS (SELECT doc_id, flatten(list_transform(ps, lambda p: {cut})) AS ps FROM {previous})")
+        previous = f"p{i}"
+    return ",\n".join(levels)
+
+
+@register(
+    "chunk_recursive",
+    f"""WITH RECURSIVE p0 AS (SELECT doc_id, [text] AS ps FROM documents WHERE text <> ''),
+{_pieces_sql(100)},
+each AS (SELECT doc_id, i, {_count_sql('p')} AS n FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM p4)),
+sums AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM each),
+b AS (SELECT doc_id, list_prepend(0, list(s ORDER BY i)) AS b FROM sums GROUP BY doc_id),
+c AS (
+  SELECT doc_id, 0::BIGINT AS first, len(list_filter(b, lambda x: x <= 100)) - 1 AS fits FROM b
+  UNION ALL
+  SELECT doc_id, nxt, len(list_filter(b, lambda x: x <= b[nxt + 1] + 100)) - 1
+  FROM (
+    SELECT doc_id, b, least(stop, greatest(first + 1, len(list_filter(b, lambda x: x < greatest(b[stop + 1] - {ingest.default_overlap(100)}, b[stop + 2] - 100))))) AS nxt
+    FROM (SELECT c.doc_id, b.b, c.first, greatest(c.first + 1, c.fits) AS stop FROM c JOIN b USING (doc_id))
+    WHERE stop < len(b) - 1
+  )
+),
+t AS (
+  SELECT c.doc_id, c.first, regexp_replace(regexp_replace(array_to_string(ps[c.first + 1:greatest(c.first + 1, c.fits)], ''), '^{_BLANK_SQL}', ''), '{_BLANK_SQL}$', '') AS text
+  FROM c JOIN p4 USING (doc_id)
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS chunk_id, CAST({_count_sql('text')} AS INTEGER) AS n_tokens, text
+FROM t WHERE text <> ''""",
+)
 def q_chunk_recursive(spark, sf_dir):
     return ingest.chunk_recursive(fx.read_table(spark, sf_dir, "documents"), 100)
 
 
-@register("chunk_embed")
+@register(
+    "chunk_embed",
+    f"""WITH h AS (
+  SELECT doc_id, chunk_id, list_transform({_t('text')}, lambda w: CAST('0x' || substr(md5(w), 1, 15) AS BIGINT)) AS hs FROM {_chunks_sql(100)}
+)
+SELECT doc_id, chunk_id, array_to_string(list_transform(range(64), lambda b: CAST(coalesce(list_sum(list_transform(
+  list_filter(hs, lambda h: h % 64 = b), lambda h: 1 - 2 * ((h >> 32) & 1))), 0) AS BIGINT)), ',') AS embedding
+FROM h""",
+)
 def q_chunk_embed(spark, sf_dir):
     chunks = ingest.chunk_window(fx.read_table(spark, sf_dir, "documents"), 100)
     emb = ingest.embed(chunks)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return emb.select("doc_id", "chunk_id", F.size("embedding").cast("long").alias("dim"), norm.alias("norm"))
+    return emb.select("doc_id", "chunk_id", F.array_join(F.transform("embedding", lambda x: x.cast("long")), ",").alias("embedding"))
 
 
 @register(
@@ -787,7 +984,10 @@ def q_chunk_upsert(spark, sf_dir):
     docs = fx.read_table(spark, sf_dir, "documents")
     old = ingest.chunk_window(docs, 100).withColumn("size", F.lit(100))
     new = ingest.chunk_window(docs.where(F.col("lang") == "de"), 200).withColumn("size", F.lit(200))
-    return ingest.upsert_chunks(old, new).select("doc_id", "chunk_id", "size", "n_words")
+    store = RunStore(spark, scratch_path(spark, "chunk-store"))
+    store.upsert_chunks(old)
+    store.upsert_chunks(new)
+    return store.chunks().select("doc_id", "chunk_id", "size", "n_words")
 
 
 _KNN_SQL = """
@@ -825,6 +1025,20 @@ def q_retrieve_contexts(spark, sf_dir):
     return ctx.select("query_id", F.array_join(F.transform("context_ids", lambda x: x.cast("string")), ",").alias("context_ids"))
 
 
+@register(
+    "retrieve_context_texts",
+    _KNN_SQL
+    + """SELECT query_id, CAST(rank AS BIGINT) AS rank, concat('passage ', r.vec_id) AS page_content, concat('{"label":', label, '}') AS metadata
+FROM ranked r JOIN embeddings USING (vec_id) WHERE rank <= 5""",
+)
+def q_retrieve_context_texts(spark, sf_dir):
+    emb = fx.read_table(spark, sf_dir, "embeddings")
+    chunks = emb.select("vec_id", F.concat(F.lit("passage "), "vec_id").alias("text"), F.to_json(F.struct("label")).alias("metadata"))
+    lists = retrieval.contexts_for(_knn(spark, sf_dir), chunks)
+    ex = lists.select("query_id", F.posexplode("contexts").alias("i", "c"))
+    return ex.select("query_id", (F.col("i") + 1).cast("long").alias("rank"), "c.page_content", "c.metadata")
+
+
 # --- fixed values that must equal the reference's output -----------------
 # Prompt template of the example query pipeline.
 PROMPT_TEMPLATE = """
@@ -853,6 +1067,77 @@ def q_prompt_build(spark, sf_dir):
     return rec.select("record_id", build_prompt("contexts", "input", PROMPT_TEMPLATE).alias("prompt"))
 
 
+def _source_folder(spark, sf_dir) -> str:
+    """A folder of source files: every benchmark text in a file of its own, in a folder named by its item."""
+    root = scratch_path(spark, "sources")
+    texts = fx.read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"))
+    texts.repartition("item_id").write.partitionBy("item_id").text(root)
+    return root
+
+
+def _item(path: str):
+    return F.regexp_extract(path, r"/item_id=(\d+)/", 1).cast("long").alias("item_id")
+
+
+@register("source_documents", "SELECT item_id, text || chr(10) AS text FROM benchmark")
+def q_source_documents(spark, sf_dir):
+    """Whole source files; the folder is named twice, each file is one document."""
+    root = _source_folder(spark, sf_dir)
+    docs = sources.load_documents(spark, [f"{root}/*", f"{root}/item_id=*"])
+    return ingest.document_text(docs).select(_item("path"), "text")
+
+
+def _ingest_one(file_path: str, every: int) -> None:
+    item = int(file_path.split("/item_id=")[1].split("/")[0])
+    if item % every == 0:
+        raise ValueError(f"no text in {item}")
+
+
+@register(
+    "source_ingest",
+    "SELECT item_id, CASE WHEN item_id % 7 = 0 THEN concat('ValueError: no text in ', item_id) END AS error FROM benchmark",
+)
+def q_source_ingest(spark, sf_dir):
+    """A user's ingest function called for every source file, errors kept by file."""
+    root = _source_folder(spark, sf_dir)
+    done = pipe.ingest_sources(sources.list_sources(spark, [f"{root}/*", f"{root}/item_id=*"]), _ingest_one, {"every": 7, "unused": 1})
+    return done.select(_item("path"), "error")
+
+
+@register(
+    "store_export",
+    O.with_ctes(*O.FRAMES)
+    + "SELECT dataset, recipe, record_id, input, output, round(answer_relevance, 6) AS answer_relevance FROM run_frame WHERE recipe <> 'click'",
+)
+def q_store_export(spark, sf_dir):
+    """A store with one recipe reset, its records and scores written as JSON and read back."""
+    rec, fb = _store(spark, sf_dir)
+    root = scratch_path(spark, "export")
+    store = RunStore(spark, f"{root}/store")
+    with store.commit() as commit:
+        commit.write_records(rec.withColumn("error", F.lit(None).cast("string")))
+        commit.write_feedbacks(fb)
+    store.reset("click")
+    out = frames.run_frame(store.records(), store.feedbacks(), include_io=True, metrics=["answer_relevance"])
+    store.export_results(out.select("dataset", "recipe", "record_id", "input", "output", "answer_relevance"), f"{root}/json")
+    schema = "recipe string, record_id string, input string, output string, answer_relevance double, dataset string"
+    return spark.read.schema(schema).json(f"{root}/json")
+
+
+@register(
+    "store_compare",
+    f"SELECT * FROM ({_hist_sql("metric <> 'latency'", _SCORE_EDGES, 10)}) UNION ALL SELECT * FROM ({_hist_sql("metric = 'latency'", _LAT_EDGES, 50)})",
+)
+def q_store_compare(spark, sf_dir):
+    """The histogram report over what a store holds."""
+    rec, fb = _store(spark, sf_dir)
+    store = RunStore(spark, scratch_path(spark, "compare-store"))
+    with store.commit() as commit:
+        commit.write_records(rec.withColumn("error", F.lit(None).cast("string")))
+        commit.write_feedbacks(fb)
+    return stats.compare(store, None, "histogram-grid")
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -904,7 +1189,7 @@ def q_stream_evaluate(spark, sf_dir):
     src.write_records(rec.select("*", *[F.lit(None).alias(c) for c in ("metadata", "n_tokens", "start_time", "end_time", "error")]))
     store = RunStore(spark, f"{root}/store")
     q = streaming.evaluate_stream(
-        spark, src.path("records"), store, f"{root}/checkpoint", questions=fx.query_items(spark, sf_dir)
+        spark, src, store, f"{root}/checkpoint", questions=fx.query_items(spark, sf_dir)
     )
     q.awaitTermination()
     fb = store.feedbacks()
@@ -913,19 +1198,36 @@ def q_stream_evaluate(spark, sf_dir):
 
 @register(
     "stream_status",
-    O.with_ctes(*O.STORE) + "SELECT status, count(*) AS n FROM feedbacks GROUP BY status",
+    O.with_ctes(*O.STORE)
+    + """SELECT status, count(*) AS n FROM (
+  SELECT arg_max(status, last_ts) AS status FROM feedbacks GROUP BY recipe, dataset, record_id, name
+) GROUP BY status""",
 )
 def q_stream_status(spark, sf_dir):
+    """The stream first sees all groundedness feedback running, then every feedback as it ends."""
     root = scratch_path(spark, "stream-status")
     store = RunStore(spark, f"{root}/store")
-    # stage the feedback rows the status stream reads (Parquet fills the
-    # other store columns with nulls)
-    fb = fx.feedbacks(spark, sf_dir).select("recipe", "dataset", "record_id", "name", "status", "result", "last_ts")
-    store.write_feedbacks(fb.select("*", F.lit(None).cast("array<struct<reason:string,reasons:string,context:string,score:double>>").alias("calls")))
-    out = f"{root}/counts"
-    q = streaming.status_stream(spark, store.path("feedbacks"), out, f"{root}/checkpoint")
-    q.awaitTermination()
-    return spark.read.parquet(out).select("status", F.col("n").cast("long").alias("n"))
+    fb = fx.feedbacks(spark, sf_dir)
+    fb = fb.withColumn("calls", F.lit(None).cast(fb.schema["calls"].dataType))
+    early = fb.where(F.col("name") == "groundedness").withColumns(
+        {"status": F.lit("running"), "result": F.lit(None), "last_ts": F.col("last_ts") - F.expr("interval 1 hour")}
+    )
+    for feed in (early, fb):
+        store.write_feedbacks(feed)
+        streaming.status_stream(spark, store.path("feedbacks"), f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    return streaming.live_status(spark, f"{root}/counts")
+
+
+@register("retry_stored", _RETRY_SQL)
+def q_retry_stored(spark, sf_dir):
+    rec, fb = _store(spark, sf_dir)
+    store = RunStore(spark, scratch_path(spark, "retry-store"))
+    with store.commit() as commit:
+        commit.write_records(rec.withColumn("error", F.lit(None).cast("string")))
+        commit.write_feedbacks(fb)
+    now = store.feedbacks().select(F.max("last_ts")).first()[0]
+    streaming.retry_stored(store, F.lit(now).cast("timestamp_ntz"))
+    return store.feedbacks().select(*met.REC_KEYS, "name", "status", "result")
 
 
 # ---------------------------------------------------------------- pipelines
@@ -949,10 +1251,10 @@ def extractive_pipeline(k: str, chunk_size: str, **_):
 _RUN_SQL = _WORK_SQL + """,
 results AS (
   SELECT recipe AS pipeline_key, dataset, concat(recipe, ':', dataset, ':', pos) AS record_id, query AS input,
-    concat('k=', regexp_extract(recipe, '_k_([0-9]+)$', 1), ': ', query) AS output,
+    CASE WHEN query IS NOT NULL THEN concat('k=', regexp_extract(recipe, '_k_([0-9]+)$', 1), ': ', query) END AS output,
     concat('{"conv_id":', conv_id, ',"turn":', turn, '}') AS metadata,
     CAST(ceil(length(query) / CAST(regexp_extract(recipe, 'chunk_size_([0-9]+)', 1) AS DOUBLE)) AS BIGINT) AS n_contexts,
-    NULL::VARCHAR AS error
+    CASE WHEN query IS NULL THEN 'ValueError: no question' END AS error
   FROM remaining
 )
 """
@@ -968,26 +1270,79 @@ def _run_columns(rec: DataFrame) -> DataFrame:
     return rec.select("recipe", "dataset", "record_id", "input", "output", "metadata", n, "error")
 
 
-@register("run_pipeline", _RUN_SQL + "SELECT pipeline_key AS recipe, * EXCLUDE (pipeline_key) FROM results WHERE input IS NOT NULL")
+@register("run_pipeline", _RUN_SQL + "SELECT pipeline_key AS recipe, * EXCLUDE (pipeline_key) FROM results")
 def q_run_pipeline(spark, sf_dir):
-    return _run_columns(_run(spark, sf_dir).where(F.col("input").isNotNull()))
+    return _run_columns(_run(spark, sf_dir))
 
 
 @register(
     "run_store",
     _RUN_SQL
     + """SELECT p.recipe, r.* EXCLUDE (pipeline_key) FROM results r
-JOIN plan p ON p.step = 'query' AND p.pipeline_key = r.pipeline_key WHERE r.input IS NOT NULL""",
+JOIN plan p ON p.step = 'query' AND p.pipeline_key = r.pipeline_key""",
 )
 def q_run_store(spark, sf_dir):
     _, query = _plans(spark, sf_dir)
     store = RunStore(spark, scratch_path(spark, "run-store"))
     named = planning.fan_out(_run(spark, sf_dir), query)
-    store.write_records(named)
-    meta = F.lit("{}").alias("metadata")
-    store.write_runs(named.select("recipe", "dataset", meta).distinct())
+    with store.commit() as commit:
+        commit.write_records(named)
+        commit.write_runs(named.select("recipe", "dataset", F.lit("{}").alias("metadata")).distinct())
     mine = store.records().join(store.runs().select("recipe", "dataset"), ["recipe", "dataset"], "left_semi")
-    return _run_columns(mine.where(F.col("input").isNotNull()))
+    return _run_columns(mine)
+
+
+_RESUME_RECIPES = {"first": 1, "second": 2}
+
+
+class _Stopped(RunStore):
+    """A store whose writer is stopped when it would enter its n-th commit."""
+
+    def __init__(self, spark, root, n):
+        super().__init__(spark, root)
+        self.left = n
+
+    def _enter(self, commit):
+        self.left -= 1
+        if self.left == 0:
+            raise InterruptedError("stopped")
+        return super()._enter(commit)
+
+
+@register(
+    "run_resume",
+    O.with_ctes(O.QUERY_ITEMS)
+    + """, gt AS (SELECT dataset, query, arg_max(ground_truth, pos) AS gt FROM query_items GROUP BY dataset, query),
+e AS (
+  SELECT v.recipe, q.dataset, concat(v.recipe, ':', q.dataset, ':', q.pos) AS record_id, q.query AS input,
+    CASE WHEN q.query IS NOT NULL THEN concat('k=', v.k, ': ', q.query) END AS output,
+    coalesce(list_transform(range(0, length(q.query), 50), lambda i: {'page_content': substr(q.query, i + 1, 50)}), []) AS contexts,
+    gt.gt AS ground_truth
+  FROM query_items q CROSS JOIN (VALUES ('first', 1), ('second', 2)) v(recipe, k)
+  LEFT JOIN gt ON gt.dataset = q.dataset AND gt.query = q.query
+)
+"""
+    + " UNION ALL ".join(
+        f"SELECT e.recipe, e.dataset, e.record_id, '{m}' AS name, 'done' AS status, round({expr}, 6) AS result, 1::BIGINT AS n_rows, 1::BIGINT AS n_runs FROM e"
+        for m, (expr, _) in _MET_SQL.items()
+    ),
+)
+def q_run_resume(spark, sf_dir):
+    """An experiment over half the questions, stopped before its answers and then before its scores show; a run over all finishes both."""
+    questions = fx.query_items(spark, sf_dir)
+    recipes = [{"recipe": r, "k": k, "chunk_size": 50} for r, k in _RESUME_RECIPES.items()]
+    root = scratch_path(spark, "resume-store")
+    for stop in (1, 2):
+        try:
+            pipe.run_experiment(questions.where(F.col("pos") % 2 == 0), None, recipes, _Stopped(spark, root, stop), query_fn=extractive_pipeline)
+        except InterruptedError:
+            pass
+    store = RunStore(spark, root)
+    pipe.run_experiment(questions, None, recipes, store, query_fn=extractive_pipeline)
+    keys = [*met.REC_KEYS, "name", "status", F.round("result", 6).alias("result")]
+    rows = store.feedbacks().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    runs = store.runs().groupBy("recipe", "dataset").agg(F.count(F.lit(1)).alias("n_runs"))
+    return rows.join(runs, ["recipe", "dataset"], "left")
 
 
 @register("run_experiment")
