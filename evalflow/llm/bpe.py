@@ -26,7 +26,7 @@ tokens in the text are cut out first, as the tokenizers library does.
 ``encode`` gives ids, count and decoded text; null texts read as empty.
 Rows keep their other columns, nulls and repeats included. An empty table
 gives an empty one. What a worker remembers of words and arcs has a
-bound in bytes; words go with the task, arcs stay with the worker.
+bound in bytes.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ from evalflow.llm.shared import returning, small_batches
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes, about, that a worker keeps of words, and of arcs, before it starts anew.
-CACHE_BYTES = 48 << 20
+#: Bytes, about, that a worker keeps of words, and of arcs.
+WORD_BYTES, CACHE_BYTES = 112 << 20, 48 << 20
 #: What an arc takes there.
 ARC_BYTES = 130
 
@@ -114,10 +114,18 @@ class Automaton:
             own = ((self.token[to], self.depth[to]),) if self.token[to] >= 0 else ()
             self.ends[to] = own + self.ends[fail[to]]
         self.fail = fail
-        self.goto = dict(self.child)  # the transition table: also what fail links lead to, once met
-        self.most = 4 * len(self.goto)
-        self.arcs: dict[int, bool] = {}
-        self.forget()
+        # The transition table by node: also what fail links lead to, once met (at most four times as many entries).
+        self.goto: list[dict[int, int]] = [{} for _ in self.depth]
+        for edge, to in self.child.items():
+            self.goto[edge >> 8][edge & 255] = to
+        self.room = 3 * len(self.child)
+        self.arcs: list[dict[int, bool]] = [{} for _ in range(max(self.label) + 1)]  # by token
+        self.n_arcs = 0
+        self.listed = {i: f",{i}" for i in self.label}
+        # Words met lately, and those before them: a word met again moves on, so that common ones stay.
+        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.kept = 0
 
     def step(self, node: int, byte: int) -> int:
         """The longest suffix of the node's bytes and one more that begins a token; enters it in the table."""
@@ -129,16 +137,11 @@ class Automaton:
                 break
             node = self.fail[node]
             to = self.child.get(node << 8 | byte)
-        if len(self.goto) > self.most:
-            self.goto = dict(self.child)
-        self.goto[edge] = to
+        if self.room:
+            self.room -= 1
+            self.goto[edge >> 8][byte] = to
         return to
 
-    def forget(self) -> None:
-        """Drop the words."""
-        self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.kept = 0
-
     def canonical(self, word: bytes) -> tuple[int, ...]:
         """Merging from the bytes in rank order, for the vocabulary's own tokens: some are never reached."""
         tokens = [self.id[word[i : i + 1]] for i in range(len(word))]
@@ -162,9 +165,12 @@ class Automaton:
                 # takes up both only for a run of equal tokens, merged from the left: b's is later.
                 if rank is not None and rank < a_until and rank <= b_until:
                     open_ = False
-        if len(self.arcs) * ARC_BYTES > CACHE_BYTES:
-            self.arcs.clear()
-        self.arcs[x << 20 | y] = open_
+        if self.n_arcs * ARC_BYTES > CACHE_BYTES:
+            for known in self.arcs:
+                known.clear()
+            self.n_arcs = 0
+        self.arcs[x][y] = open_
+        self.n_arcs += 1
         return open_
 
     def chain(self, kept: dict[int, tuple], token: int, part: int) -> tuple[tuple[int, int], ...]:
@@ -183,38 +189,44 @@ class Automaton:
         whole = self.id.get(word)
         if whole is not None:
             return [whole]
-        goto, ends, arcs = self.goto, self.ends, self.arcs
+        goto, ends, arcs, label = self.goto, self.ends, self.arcs, self.label
         node, at = 0, 0
-        last, sizes = [-1], [0]  # the last token of each prefix, and its size
+        last = [-1]  # the last token of each prefix
         for byte in word:
             at += 1
-            to = goto.get(node << 8 | byte)
-            node = self.step(node, byte) if to is None else to
+            try:
+                node = goto[node][byte]
+            except KeyError:
+                node = self.step(node, byte)
             for token, size in ends[node]:
                 before = last[at - size]
                 if before < 0:
                     break
-                open_ = arcs.get(before << 20 | token)
-                if open_ or open_ is None and self.arc(before, token):
-                    break
+                try:
+                    if arcs[before][token]:
+                        break
+                except KeyError:
+                    if self.arc(before, token):
+                        break
             last.append(token)
-            sizes.append(size)
         out = []
         while at:
-            out.append(last[at])
-            at -= sizes[at]
+            token = last[at]
+            out.append(token)
+            at -= len(label[token])
         out.reverse()
         return out
 
     def word(self, word: str) -> tuple[int, str, bytes]:
         """Number of tokens, ids as text with a leading comma each, and the bytes that their arcs emit."""
-        ids = self.run(word.encode())
-        out = len(ids), "".join([f",{i}" for i in ids]), b"".join([self.label[i] for i in ids])
+        out = self.words.get(word) or self.older.get(word)
+        if out is None:
+            ids = self.run(word.encode())
+            out = len(ids), "".join([self.listed[i] for i in ids]), b"".join([self.label[i] for i in ids])
         if len(word) <= 64:
             self.kept += 400 + 3 * len(word) + len(out[1])
-            if self.kept > CACHE_BYTES:
-                self.words.clear()
-                self.kept = 0
+            if self.kept > WORD_BYTES // 2:
+                self.older, self.words, self.kept = self.words, {}, 0
             self.words[word] = out
         return out
 
@@ -273,7 +285,6 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
                     ids = pa.array([[int(i) for i in x[1].split(",")] if x[1] else [] for x in found], pa.list_(pa.int32()))
                     columns = [counts, ids, pa.array([x[2] for x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[f.name for f in schema.fields])
-        machine.forget()
 
     return rest.mapInArrow(returning(run), schema)
 
