@@ -12,14 +12,12 @@ feedbacks, not rows: a feedback whose status changes leaves its old count.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalflow.operators.metrics import REC_KEYS, evaluate
 from evalflow.session import materialize
@@ -161,33 +159,28 @@ def evaluate_stream(
     return writer.start()
 
 
-#: A record's feedbacks so far: name, status and time (microseconds) of each.
-_STATE = "names array<string>, statuses array<string>, times array<long>"
+#: State on the executors' disks, of bounded memory, instead of their heaps.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # counting the rows takes another lookup for each
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 _NO_TIME = -(1 << 62)
 
 
-def _status_changes(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """(status, n): -1 for the status that a feedback had, 1 for the one it has now."""
-    held = {n: (t, s) for n, s, t in zip(*state.get)} if state.exists else {}
-    now = dict(held)
-    for batch in batches:
-        for name, status, at in zip(batch["name"], batch["status"], batch["at"]):
-            seen = (int(at), status)
-            if name not in now or _later(seen) > _later(now[name]):
-                now[name] = seen
-    names = sorted(now, key=str)
-    state.update((names, [now[n][1] for n in names], [now[n][0] for n in names]))
-    out = []
-    for name, (_, status) in now.items():
-        if name in held and held[name][1] == status:
-            continue
-        out += [(status, 1)] + ([(held[name][1], -1)] if name in held else [])
-    yield pd.DataFrame(out, columns=["status", "n"])
-
-
-def _later(x: tuple[int, str | None]) -> tuple[int, bool, str]:
-    """Order of a feedback's rows: by time, then by status."""
-    return x[0], x[1] is not None, x[1] or ""
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """``conf`` for the queries started in the block; a stream keeps the settings it started with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def status_stream(
@@ -200,31 +193,28 @@ def status_stream(
 ) -> StreamingQuery:
     """Live counts of feedbacks per status, each by its latest row.
 
-    State is kept for each record (the status of its metrics); a trigger
-    gives out the changes alone, which are summed and added to the counts
-    before it. Every trigger writes ``out_path``/epoch=<number> anew, so a
-    replayed one gives the same counts; read them with ``live_status``.
+    The state holds each feedback's latest row (by time, then by status),
+    kept by Spark's own aggregation; a trigger updates what it brought and
+    counts the state anew. Every trigger writes ``out_path``/epoch=<number>
+    anew, so a replayed one gives the same counts; read them with
+    ``live_status``.
     """
     stream = spark.readStream.schema(FEEDBACKS).option("basePath", feedbacks_path)
     if files_per_trigger:
         stream = stream.option("maxFilesPerTrigger", files_per_trigger)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     at = F.coalesce(F.timestamp_diff("MICROSECOND", epoch, F.col("last_ts")), F.lit(_NO_TIME)).alias("at")
-    rows = stream.parquet(feedbacks_path).select(*REC_KEYS, "name", "status", at)
-    changes = rows.groupBy(*REC_KEYS).applyInPandasWithState(
-        _status_changes, "status string, n long", _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    rows = stream.parquet(feedbacks_path).select(*REC_KEYS, "name", F.struct(at, "status").alias("seen"))
+    latest = rows.groupBy(*REC_KEYS, "name").agg(F.max("seen").alias("last"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        counts = batch.groupBy("status").agg(F.sum("n").alias("n"))
-        if epoch_id:
-            before = spark.read.schema("status string, n long").parquet(f"{out_path}/epoch={epoch_id - 1}")
-            counts = before.unionByName(counts).groupBy("status").agg(F.sum("n").alias("n"))
+        counts = batch.groupBy(F.col("last.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")  # a row for each status
 
-    writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = latest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
-    return writer.start()
+    with _set(spark, _STATE_STORE):
+        return writer.start()
 
 
 def live_status(spark: SparkSession, out_path: str) -> DataFrame:
