@@ -3,22 +3,26 @@
 Both sides stay distributed. Chunks are dealt to clusters around at most
 ``CLUSTERS`` centres (found on a bounded sample), each with the angle that
 holds all its chunks; large clusters are cut into hash blocks of bounded
-size. No chunk of a cluster can be closer to a query than the cluster's
-angle allows. So every query first meets the clusters of highest bound that
-hold k chunks, and then, of the others, only those whose bound reaches the
-k-th best similarity found: on clustered vectors few, at worst all.
-
-A query block and a chunk block meet in one cogroup, where NumPy multiplies
-tiles of bounded size and keeps each query's first k of that chunk block in
-the final order (similarity desc, chunk id asc). The global top k lies in
-the union of the blocks' top k under that order, so the result is exact and
-ties cannot pile up. The final ``row_number() <= k`` is cut to k rows per
-query in each task before the shuffle (Spark's window group limit). Row
-counts, the sample and one row for each cluster reach the driver.
+size, small ones lie together in shards of that size. No chunk of a cluster
+can be closer to a query than the cluster's angle allows. So every query
+first meets the clusters of highest bound that hold k chunks, and then, of
+the others, only those whose bound reaches the k-th best similarity found:
+on clustered vectors few, at worst all.
+
+A query block and a shard meet in one cogroup; a query goes there once, with
+the clusters that it is to meet. NumPy multiplies tiles of bounded size and
+keeps each query's first k of that shard in the final order (similarity
+desc, chunk id asc). The global top k lies in the union of the shards' top k
+under that order, so the result is exact and ties cannot pile up. The final
+``row_number() <= k`` is cut to k rows per query in each task before the
+shuffle (Spark's window group limit). Row counts, the sample and one row for
+each cluster reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +33,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalflow.session import materialize
 
-# Bytes of vectors (doubles) in one block, and of similarities in one tile.
-BLOCK_BYTES = 64 << 20
-TILE_BYTES = 64 << 20
+# Bytes of vectors (doubles) in one block, and of similarities in one tile,
+# which is of so many queries.
+BLOCK_BYTES = 32 << 20
+TILE_BYTES = 8 << 20
+TILE_QUERIES = 256
 # Clusters at most, and vectors that the centre of each is drawn from.
 CLUSTERS = 1024
 SAMPLE = 8
@@ -54,50 +60,94 @@ def _vectors(col: pa.ChunkedArray) -> np.ndarray:
     return _unit_rows(flat.reshape(len(arr), -1))
 
 
-def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
-    """Per query row ``r``, the first k candidates by similarity, then column."""
+def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates are, per query row ``r``, the first k by similarity, then by ``c``."""
     o = np.lexsort((c, -s, r))
-    r, c, s = r[o], c[o], s[o]
+    r = r[o]
     start = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
     rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-    keep = rank < k
-    return r[keep], c[keep], s[keep]
+    return o[rank < k]
+
+
+def _wanted(lists: pa.ChunkedArray, names: np.ndarray) -> np.ndarray:
+    """Which of the clusters ``names`` (sorted) each query is to meet."""
+    lists = lists.combine_chunks()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    value = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(names, value), len(names) - 1)
+    held = names[at] == value
+    out = np.zeros((len(lists), len(names)), dtype=bool)
+    out[row[held], at[held]] = True
+    return out
+
+
+def _runs(used: np.ndarray, start: np.ndarray, stop: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Columns of the used clusters, neighbours together, at most ``width`` at a time."""
+    j = np.flatnonzero(used)
+    first = np.r_[True, j[1:] != j[:-1] + 1]
+    for lo, hi in zip(start[j[first]], stop[j[np.r_[first[1:], True]]]):
+        for a in range(lo, hi, width):
+            yield a, min(a + width, hi)
 
 
 def _block_topk(k: int, exclude_self: bool, schema: pa.Schema):
+    def usable(table: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
+        v = _vectors(table[name])
+        table = table.drop_columns([name])
+        fine = np.isfinite(v).all(axis=1)
+        return (table, v) if fine.all() else (table.filter(pa.array(fine)), v[fine])
+
     def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         if not queries.num_rows or not chunks.num_rows:
             return schema.empty_table()
-        # in id order, so that a column's number settles ties
-        chunks = chunks.take(pc.sort_indices(chunks["c"]))
-        q, c = _vectors(queries["qv"]), _vectors(chunks["cv"])
+        # queries of one neighbourhood and chunks of one cluster follow each other
+        queries, q = usable(queries.take(pc.sort_indices(queries["home"])), "qv")
+        chunks, c = usable(chunks.take(pc.sort_indices(chunks["cluster"])), "cv")
+        if not len(q) or not len(c):
+            return schema.empty_table()
+        # a chunk's place in the order of ids settles ties
+        place = np.empty(len(c), dtype="int64")
+        place[pc.sort_indices(chunks["c"]).to_numpy()] = np.arange(len(c))
+        cluster = chunks["cluster"].to_numpy()
+        names, start = np.unique(cluster, return_index=True)
+        stop = np.r_[start[1:], len(c)]
+        number = np.repeat(np.arange(len(names)), stop - start)
+        least = pc.fill_null(queries["least"], -np.inf).to_numpy().copy()
         same = np.full(len(c), -1)
         if exclude_self:
             at = pc.index_in(chunks["c"], value_set=queries["q"], skip_nulls=True)
             same = pc.fill_null(at, -1).to_numpy().astype("int64")
-        step = max(1, TILE_BYTES // (8 * len(c)))
         found = []
-        for a in range(0, len(q), step):
-            tile = q[a : a + step]
-            s = tile @ c.T
-            s[np.isnan(s)] = -np.inf
-            mine = np.flatnonzero((same >= a) & (same < a + len(tile)))
-            s[same[mine] - a, mine] = -np.inf
-            if len(c) > k:
-                least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
-                hit = s >= least[:, None] - SLACK
-            else:
-                hit = np.ones(s.shape, dtype=bool)
-            r, col = np.nonzero(hit & np.isfinite(s))
-            if len(r):
+        for a in range(0, len(q), TILE_QUERIES):
+            tile, beat = q[a : a + TILE_QUERIES], least[a : a + TILE_QUERIES]
+            wanted = _wanted(queries["clusters"].slice(a, len(tile)), names)
+            best = [np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)]
+            for lo, hi in _runs(wanted.any(axis=0), start, stop, max(1, TILE_BYTES // (8 * TILE_QUERIES))):
+                s = tile @ c[lo:hi].T
+                for j in number[lo] + np.flatnonzero(~wanted[:, number[lo] : number[hi - 1] + 1].all(axis=0)):
+                    s[~wanted[:, j], max(start[j], lo) - lo : min(stop[j], hi) - lo] = -np.inf
+                if exclude_self:
+                    mine = np.flatnonzero((same[lo:hi] >= a) & (same[lo:hi] < a + len(tile)))
+                    s[same[lo:hi][mine] - a, mine] = -np.inf
+                hit = s >= (beat - SLACK)[:, None]
+                many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+                if len(many):
+                    beat[many] = np.maximum(beat[many], np.partition(s[many], hi - lo - k, axis=1)[:, hi - lo - k])
+                    hit[many] = s[many] >= (beat[many] - SLACK)[:, None]
+                r, col = np.divmod(np.flatnonzero(hit), hi - lo)
+                fine = s[r, col] > -np.inf
+                r, col = r[fine], col[fine]
+                if not len(r):
+                    continue
+                col += lo
                 exact = np.empty(len(r))
                 for b in range(0, len(r), 1 << 16):
                     part = slice(b, b + (1 << 16))
                     exact[part] = np.einsum("ij,ij->i", tile[r[part]], c[col[part]])
-                r, col, exact = _first_k(r, col, exact, k)
-                found.append((r + a, col, exact))
-        if not found:
-            return schema.empty_table()
+                r, col, exact = (np.concatenate(x) for x in zip(best, (r, col, exact)))
+                keep = _first_k(r, place[col], exact, k)
+                best = [r[keep], col[keep], exact[keep]]
+            found.append((best[0] + a, best[1], best[2]))
         r, col, sims = (np.concatenate(x) for x in zip(*found))
         return pa.Table.from_arrays(
             [
@@ -146,8 +196,8 @@ def _by_length(vectors: pa.Array, run) -> None:
     size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     for dim in np.unique(size).tolist():
         rows = np.flatnonzero(size == dim)
-        for a in range(0, len(rows), 4096):
-            at = rows[a : a + 4096]
+        for a in range(0, len(rows), 1024):
+            at = rows[a : a + 1024]
             run(int(dim), at, _vectors(pa.chunked_array([vectors.take(pa.array(at))])))
 
 
@@ -172,22 +222,45 @@ def _dealt(chunks: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return chunks.select("c", "cv").mapInArrow(run, T.StructType([*chunks.select("c", "cv").schema.fields, *extra]))
 
 
+def _chain(centre: np.ndarray) -> list[int]:
+    """Clusters in an order in which neighbours are close."""
+    left, order = np.ones(len(centre), bool), [0]
+    for _ in range(len(centre) - 1):
+        left[order[-1]] = False
+        order.append(int(np.argmax(np.where(left, centre @ centre[order[-1]], -np.inf))))
+    return order
+
+
 class _Bounds:
-    """Per vector length: clusters, how many chunks and blocks each has, and the highest cosine it allows a query."""
+    """Per vector length: clusters, how many chunks and blocks each has, its first shard, and the highest cosine it allows a query."""
 
     def __init__(self, rows, centres: dict[int, np.ndarray], block_rows: int):
         self.of: dict[int, tuple] = {}
-        for dim in {r["dim"] for r in rows}:
+        self.shards = 0
+        for dim in sorted({r["dim"] for r in rows}):
             mine = sorted((r["cluster"], r["low"], r["n"]) for r in rows if r["dim"] == dim)
+            if dim in centres:
+                mine = [mine[i] for i in _chain(centres[dim][[m[0] for m in mine]])]
+            blocks = [-(-m[2] // block_rows) for m in mine]
+            shard, room = [], 0
+            for (_, _, n), b in zip(mine, blocks):
+                if n > room:
+                    room = block_rows if b == 1 else 0
+                    self.shards += b
+                room -= n if b == 1 else 0
+                shard.append(self.shards - b)
             cluster = np.array([m[0] for m in mine])
             self.of[dim] = (
-                cluster, np.clip([m[1] for m in mine], -1.0, 1.0), np.array([m[2] for m in mine]),
-                np.array([max(1, -(-m[2] // block_rows)) for m in mine]),
-                centres[dim][cluster] if dim in centres else None,
+                cluster, np.clip([m[1] for m in mine], -1.0, 1.0), np.array([m[2] for m in mine]), np.array(blocks),
+                centres[dim][cluster] if dim in centres else None, np.array(shard),
             )
 
+    def table(self) -> list[tuple[int, int, int, int]]:
+        """(dim, cluster, first shard, blocks) of every cluster."""
+        return [(int(dim), *map(int, x)) for dim, of in self.of.items() for x in zip(of[0], of[5], of[3])]
+
     def bound(self, dim: int, v: np.ndarray) -> np.ndarray:
-        _, low, _, _, centre = self.of[dim]
+        low, centre = self.of[dim][1], self.of[dim][4]
         if centre is None:
             return np.where(np.isfinite(v).all(axis=1, keepdims=True), 1.0, np.nan)
         s = np.clip(v @ centre.T, -1.0, 1.0)
@@ -195,24 +268,33 @@ class _Bounds:
         apart = s * low + np.sqrt(1 - s * s) * np.sqrt(1 - low * low)
         return np.where(s >= low, 1.0, apart) + (s - s)
 
-    def places(self, dim: int, chosen: np.ndarray) -> list[list[dict]]:
-        cluster, _, _, blocks, _ = self.of[dim]
-        return [[{"cluster": int(cluster[j]), "sub": b} for j in np.flatnonzero(row) for b in range(blocks[j])] for row in chosen]
+    def places(self, dim: int, chosen: np.ndarray) -> pa.ListArray:
+        """Per query the shards it goes to, each with the clusters to meet there."""
+        cluster, _, _, blocks, _, shard = self.of[dim]
+        of = np.repeat(np.arange(len(cluster)), blocks)  # a column for each block
+        to = np.repeat(shard, blocks) + np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        row, at = np.nonzero(chosen[:, of])
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[at[1:]] != to[at[:-1]])]) if len(row) else row
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)].astype("int32")), pa.array(cluster[of[at]].astype("int32")))
+        struct = pa.StructArray.from_arrays([pa.array(to[at[new]].astype("int32")), inner], names=["shard", "clusters"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(chosen) + 1)).astype("int32")), struct)
 
 
-_PLACES = T.ArrayType(T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("sub", T.IntegerType())]))
+_PLACES = T.ArrayType(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("clusters", T.ArrayType(T.IntegerType()))]))
 
 
-def _with_places(queries: DataFrame, bounds: _Bounds, need: int, least: str | None) -> DataFrame:
-    """``queries`` (q, qv, dim, qb) with the blocks to meet: first those of
-    highest bound that hold ``need`` chunks; with ``least``, a column of the
-    similarities to beat, all the others that may reach it."""
-    kind = pa.list_(pa.struct([("cluster", pa.int32()), ("sub", pa.int32())]))
+def _with_places(queries: DataFrame, bounds: _Bounds, need: int, later: bool) -> DataFrame:
+    """``queries`` (q, qv, dim, qb, least) with the shards to go to: first
+    for the clusters of highest bound that hold ``need`` chunks; ``later``
+    for all the others that may reach the similarity ``least``. ``home`` is
+    the cluster of highest bound, ``met`` the number of blocks to meet."""
+    names = ["q", "qv", "dim", "qb", "least"]
 
     def run(batches):
         for batch in batches:
-            out: list = [[] for _ in range(len(batch))]
-            beat = None if least is None else pc.fill_null(batch.column(batch.schema.get_field_index(least)), -2.0).to_numpy(zero_copy_only=False)
+            batch = batch.select(names)
+            beat = pc.fill_null(batch.column("least"), -2.0).to_numpy(zero_copy_only=False)
+            out = []
 
             def choose(dim, at, v):
                 if dim not in bounds.of:
@@ -223,18 +305,15 @@ def _with_places(queries: DataFrame, bounds: _Bounds, need: int, least: str | No
                 first = np.zeros(top.shape, bool)
                 np.put_along_axis(first, order, np.c_[np.zeros(len(at), "int64"), held[:, :-1]] < need, axis=1)
                 first &= np.isfinite(top)
-                chosen = first if beat is None else ~first & (top >= beat[at, None] - 1e-7)
-                for i, places in zip(at.tolist(), bounds.places(dim, chosen)):
-                    out[i] = places
+                chosen = ~first & (top >= beat[at, None] - 1e-7) if later else first
+                more = [pa.array(order[:, 0].astype("int32")), pa.array(chosen @ bounds.of[dim][3]), bounds.places(dim, chosen)]
+                out.append(pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, *more], names=[*names, "home", "met", "places"]))
 
-            _by_length(batch.column(batch.schema.get_field_index("qv")), choose)
-            names = ["q", "qv", "dim", "qb"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(out, kind)], names=[*names, "places"]
-            )
+            _by_length(batch.column("qv"), choose)
+            yield from out
 
-    fields = [queries.schema[n] for n in ("q", "qv", "dim", "qb")]
-    return queries.mapInArrow(run, T.StructType([*fields, T.StructField("places", _PLACES)]))
+    more = [T.StructField("home", T.IntegerType()), T.StructField("met", T.LongType()), T.StructField("places", _PLACES)]
+    return queries.mapInArrow(run, T.StructType([*(queries.schema[n] for n in names), *more]))
 
 
 def search(
@@ -256,24 +335,31 @@ def search(
     n_q, dim_q = q.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
     n_c, dim_c = c.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
     q_blocks = _blocks(n_q, dim_q, block_rows)
-    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * (dim_c or 1)))
+    given, block_rows = block_rows, block_rows or max(1, BLOCK_BYTES // (8 * (dim_c or 1)))
     n = min(CLUSTERS, int(np.ceil(np.sqrt(n_c))), max(1, SAMPLE_BYTES // (8 * SAMPLE * (dim_c or 1))))
     sample = [r["cv"] for r in c.orderBy(F.xxhash64("c")).limit(n * SAMPLE).select("cv").collect()]
     centres = _centres(sample, n)
     dealt = materialize(_dealt(c, centres), "retrieval-chunks")
     held = dealt.groupBy("dim", "cluster").agg(F.min("cosine").alias("low"), F.count(F.lit(1)).alias("n")).collect()
     bounds = _Bounds(held, centres, block_rows)
-    subs = {(dim, int(cl)): int(b) for dim, of in bounds.of.items() for cl, b in zip(of[0], of[3])}
     types = [q.schema["q"].dataType, c.schema["c"].dataType]
-    if not subs:
+    if not bounds.of:
         names = zip((query_id, chunk_id, "rank", "similarity"), (*types, T.IntegerType(), T.DoubleType()))
         return queries.sparkSession.createDataFrame([], T.StructType([T.StructField(*x) for x in names])), {"first": 0, "second": 0, "all": 0}
 
-    cut = [F.lit(x) for key, b in subs.items() if b > 1 for x in (f"{key[0]}:{key[1]}", b)]
-    parts = F.coalesce(F.create_map(*cut)[F.concat_ws(":", "dim", "cluster")], F.lit(1)) if cut else F.lit(1)
-    sub = F.pmod(F.xxhash64("c"), parts).cast("int")
-    right = dealt.select("c", "cv", "dim", "cluster", sub.alias("sub"))
+    spark = queries.sparkSession
+    width = spark.sparkContext.defaultParallelism
+    if given is None:  # enough meetings for every core, as long as a block has some tiles
+        q_blocks = max(q_blocks, min(-(-3 * width // bounds.shards), -(-n_q // (4 * TILE_QUERIES))))
+    table = spark.createDataFrame(bounds.table(), "dim int, cluster int, first int, blocks int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("blocks"))).cast("int").alias("shard")
+    right = dealt.join(F.broadcast(table), ["dim", "cluster"]).select("c", "cv", "dim", "cluster", shard)
     left = q.select("q", "qv", F.size("qv").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb"))
+    left = left.repartition(max(width, q_blocks), "q")
+    # few rows, much work on each: their bytes do not say how many tasks there
+    # are to be; more than there are meetings, so that few of these share one
+    meetings = q_blocks * bounds.shards
+    tasks = max(width, min(16 * width, 8 * meetings), meetings // 2)
     schema = T.StructType(
         [
             T.StructField("q", types[0]),
@@ -287,21 +373,22 @@ def search(
     def meet(placed: DataFrame, name: str) -> tuple[DataFrame, int]:
         """The first k of every query among its blocks, and the number of meetings."""
         placed = materialize(placed.where(F.size("places") > 0), f"{name}-places")
-        wanted = placed.select("dim", "qb", F.explode("places").alias("p")).groupBy("dim", "qb", "p.cluster", "p.sub").agg(F.count(F.lit(1)).alias("n"))
-        wanted = materialize(wanted, f"{name}-blocks")
-        keys = ["dim", "qb", "cluster", "sub"]
-        own = placed.select("q", "qv", "dim", "qb", F.explode("places").alias("p")).select("q", "qv", "dim", "qb", "p.cluster", "p.sub")
-        theirs = right.join(wanted.drop("n"), ["dim", "cluster", "sub"])
-        hits = own.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(run, schema)
+        keys = ["dim", "qb", "shard"]
+        own = placed.select("q", "qv", "dim", "qb", "least", "home", F.explode("places").alias("p"))
+        own = own.select("q", "qv", "dim", "qb", "least", "home", "p.shard", "p.clusters")
+        meetings = materialize(own.select(*keys).distinct(), f"{name}-blocks")
+        theirs = right.join(F.broadcast(meetings), ["dim", "shard"])
+        sides = [side.repartition(tasks, *keys).groupBy(*keys) for side in (own, theirs)]
+        hits = sides[0].cogroup(sides[1]).applyInArrow(run, schema)
         best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-        return materialize(best, name), wanted.agg(F.sum("n")).first()[0] or 0
+        return materialize(best, name), placed.agg(F.sum("met")).first()[0] or 0
 
-    first, met = meet(_with_places(left, bounds, k + exclude_self, None), "retrieval-first")
+    first, met = meet(_with_places(left.withColumn("least", F.lit(None).cast("double")), bounds, k + exclude_self, False), "retrieval-first")
     beat = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
     rest = left.join(beat, "q", "left")
-    second, more = meet(_with_places(rest, bounds, k + exclude_self, "least"), "retrieval-second")
+    second, more = meet(_with_places(rest, bounds, k + exclude_self, True), "retrieval-second")
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    counts = {"first": met, "second": more, "all": n_q * sum(subs.values())}
+    counts = {"first": met, "second": more, "all": n_q * sum(int(of[3].sum()) for of in bounds.of.values())}
     return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "rank", "similarity"), counts
 
 
@@ -322,7 +409,7 @@ def retrieve_topk(
     whose vector is null, empty, zero or not finite find nothing and are not
     found; vectors of different lengths never meet. ``exclude_self`` drops
     pairs with equal ids (a self-search of one table). Ties go to the smaller
-    chunk id. A block holds at most about ``block_rows`` rows (by default 64
+    chunk id. A block holds at most about ``block_rows`` rows (by default 32
     MB of vectors).
     """
     return search(queries, chunks, k, query_id, chunk_id, vec_col, block_rows, exclude_self)[0]

@@ -1,7 +1,11 @@
 """Steps that must not grow faster than their input."""
 
 import datetime as dt
+import tracemalloc
 
+import numpy as np
+
+from evalflow.operators import retrieval
 from evalflow.sources.store import FEEDBACKS, RunStore
 from evalflow.streaming import evaluate as streaming
 
@@ -20,3 +24,37 @@ def test_live_status_is_kept_by_spark_on_disk(spark, tmp_dir):
         assert any(name.startswith("rocksdb") for name in state["customMetrics"])
     assert {r["status"]: r["n"] for r in streaming.live_status(spark, f"{tmp_dir}/out").collect()} == {"running": 150, "done": 150}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_places_of_many_queries_take_little_memory():
+    rng = np.random.default_rng(1)
+    centres = {4: retrieval._unit_rows(rng.standard_normal((1024, 4)))}
+    rows = [{"dim": 4, "cluster": i, "low": 0.5, "n": 1 + i % 7 * 20} for i in range(1024)]
+    bounds = retrieval._Bounds(rows, centres, 100)
+    chosen = rng.random((512, 1024)) < 0.9
+    tracemalloc.start()
+    places = bounds.places(4, chosen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(places) == 512 and peak < 40e6
+
+
+def test_shards_hold_whole_clusters_or_blocks_of_one():
+    rows = [{"dim": 2, "cluster": i, "low": 0.9, "n": n} for i, n in enumerate((3, 250, 40, 60, 1, 100, 101))]
+    angle = np.arange(7) / 3
+    bounds = retrieval._Bounds(rows, {2: np.c_[np.cos(angle), np.sin(angle)]}, 100)
+    table = {cluster: (first, blocks) for _, cluster, first, blocks in bounds.table()}
+    held: dict[int, int] = {}
+    for r in rows:
+        first, blocks = table[r["cluster"]]
+        assert blocks == -(-r["n"] // 100)
+        for shard in range(first, first + blocks):
+            held[shard] = held.get(shard, 0) + r["n"] / blocks
+    assert sorted(held) == list(range(bounds.shards)) and max(held.values()) <= 100
+    chosen = np.zeros((2, 7), bool)
+    chosen[1] = True
+    nothing, every = bounds.places(2, chosen).to_pylist()
+    assert nothing == [] and sorted((p["shard"], c) for p in every for c in p["clusters"]) == sorted(
+        (shard, c) for c, (first, blocks) in table.items() for shard in range(first, first + blocks)
+    )
+    assert len({p["shard"] for p in every}) == len(every)
