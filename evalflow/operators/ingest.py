@@ -165,30 +165,58 @@ def word_count(c: Column) -> Column:
     return F.size(F.array_remove(F.split(c, _BLANK, -1), ""))
 
 
-def _cut_pieces(pieces: Column, size: int, separator: str) -> Column:
-    """Pieces of more than ``size`` words cut after every separator, others as they are."""
-    pattern = f"(?s).*?{re.escape(separator)}|.+" if separator else "(?s)."
-    cut = lambda p: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))
-    return F.flatten(F.transform(pieces, lambda p: F.when(word_count(p) <= size, F.array(p)).otherwise(cut(p))))
+#: Any of them but the space.
+_ODD_BLANK = _BLANK.replace(r"\x20", r"\x1f")[:-1]
+
+
+def _counted(text: Column) -> Column:
+    return F.struct(text.alias("p"), word_count(text).alias("n"))
 
 
-def _chunk_bounds(lengths: Column, size: int, overlap: int) -> Column:
+def _cut_pieces(pieces: Column, size: int, separator: str) -> Column:
+    """Pieces (p, n words) of more than ``size`` words cut after every separator, others as they are."""
+    if len(separator) == 1:
+        one = re.escape(separator)
+        pattern = f"[^{one}]*+{one}|[^{one}]++"
+    else:
+        pattern = f"(?s).*?{re.escape(separator)}|.+" if separator else "(?s)."
+
+    def cut(piece: Column) -> Column:
+        parts = F.regexp_extract_all(piece["p"], F.lit(pattern), F.lit(0))
+        counted = F.transform(parts, _counted)
+        if separator != " ":
+            # one that the separator does not cut keeps its count
+            return F.when(F.instr(piece["p"], separator) == 0, F.array(piece)).otherwise(counted) if separator else counted
+        # without other blanks, a part is one word or the space alone
+        one = F.transform(parts, lambda p: F.struct(p.alias("p"), (p != " ").cast("int").alias("n")))
+        return F.when(piece["p"].rlike(_ODD_BLANK), counted).otherwise(one)
+
+    some = F.exists(pieces, lambda x: x["n"] > size)
+    return F.when(some, F.flatten(F.transform(pieces, lambda x: F.when(x["n"] <= size, F.array(x)).otherwise(cut(x))))).otherwise(pieces)
+
+
+def _between(column: str, first: Column, stop: Column) -> Column:
+    """Elements [first, stop) of an array column, read one by one: ``slice`` would go through the whole array each time."""
+    taken = F.transform(F.sequence(first, stop - 1), lambda j: F.get(F.col(column), j))
+    return F.when(first < stop, taken).otherwise(F.slice(F.col(column), 1, 0))
+
+
+def _chunk_bounds(lengths: str, size: int, overlap: int) -> Column:
     """(first, stop) piece of every chunk: a fold over the pieces' lengths.
 
-    The state holds the open chunk's first piece, its lengths and their sum.
-    A piece that does not fit closes the chunk; the next starts with the
-    longest tail whose sum is at most ``overlap`` and leaves room for it.
+    The state holds the number of the next piece, the open chunk's first
+    piece and the sum of its lengths. A piece that does not fit closes the
+    chunk; the next starts with the longest tail whose sum is at most
+    ``overlap`` and leaves room for it.
     """
-    ints, bounds = "array<int>", "array<struct<first:int,stop:int>>"
+    bounds = "array<struct<first:int,stop:int>>"
     zero = F.lit(0)
-    start = F.struct(
-        zero.alias("i"), zero.alias("first"), zero.alias("sum"), F.array().cast(ints).alias("open"), F.array().cast(bounds).alias("done")
-    )
+    start = F.struct(zero.alias("i"), zero.alias("first"), zero.alias("sum"), F.array().cast(bounds).alias("done"))
 
     def tail(state: Column, n: Column) -> Column:
         """Length and sum of the tail that the next chunk takes over."""
         room = F.least(F.lit(overlap), F.lit(size) - n)
-        rest = F.reverse(F.slice(state["open"], F.lit(2), F.size(state["open"])))
+        rest = F.reverse(_between(lengths, state["first"] + 1, state["i"]))
         begin = F.struct(zero.alias("k"), zero.alias("sum"), F.lit(True).alias("fits"))
 
         def take(t: Column, x: Column) -> Column:
@@ -201,17 +229,13 @@ def _chunk_bounds(lengths: Column, size: int, overlap: int) -> Column:
 
     def step(state: Column, n: Column) -> Column:
         def closed(t: Column) -> Column:
-            kept = F.slice(state["open"], F.size(state["open"]) - t["k"] + 1, t["k"])
             own = F.struct(state["first"].alias("first"), state["i"].alias("stop"))
             return F.struct(
                 (state["i"] + 1).alias("i"), (state["i"] - t["k"]).alias("first"), (t["sum"] + n).alias("sum"),
-                F.concat(kept, F.array(n)).alias("open"), F.concat(state["done"], F.array(own)).alias("done"),
+                F.concat(state["done"], F.array(own)).alias("done"),
             )
 
-        longer = F.struct(
-            (state["i"] + 1).alias("i"), state["first"].alias("first"), (state["sum"] + n).alias("sum"),
-            F.concat(state["open"], F.array(n)).alias("open"), state["done"].alias("done"),
-        )
+        longer = F.struct((state["i"] + 1).alias("i"), state["first"].alias("first"), (state["sum"] + n).alias("sum"), state["done"].alias("done"))
         full = (state["i"] > state["first"]) & (state["sum"] + n > size)
         # the tail is worked out once: as the only element of an array that is mapped
         return F.when(full, F.get(F.transform(F.array(tail(state, n)), closed), 0)).otherwise(longer)
@@ -237,12 +261,14 @@ def chunk_recursive(
     """
     overlap = default_overlap(size) if overlap is None else overlap
     if length is word_length:
-        pieces = F.when(F.col(text_col) != "", F.array(text_col)).otherwise(F.array().cast("array<string>"))
-        base = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), pieces.alias("_p"))
+        # counted once when cut; nothing below counts a piece again
+        base = docs.where(F.col(text_col) != "").select(F.col(id_col).alias("doc_id"), F.array(_counted(F.col(text_col))).alias("_p"))
         for separator in SEPARATORS:
             base = base.withColumn("_p", _cut_pieces(F.col("_p"), size, separator))
-        base = base.withColumn("_b", _chunk_bounds(F.transform("_p", word_count), size, overlap))
-        text = lambda b: F.btrim(F.array_join(F.slice("_p", b["first"] + 1, b["stop"] - b["first"]), ""), F.lit(BLANKS))
+        # mapped, not taken as fields: Spark would take those anew for every element read
+        base = base.select("doc_id", F.transform("_p", lambda x: x["p"]).alias("_p"), F.transform("_p", lambda x: x["n"]).alias("_n"))
+        base = base.select("doc_id", "_p", _chunk_bounds("_n", size, overlap).alias("_b"))
+        text = lambda b: F.btrim(F.array_join(_between("_p", b["first"], b["stop"]), ""), F.lit(BLANKS))
         chunks = F.array_remove(F.transform("_b", text), "")
         rows = base.select("doc_id", F.posexplode(chunks).alias("chunk_id", "text"))
         return rows.select("doc_id", "chunk_id", word_count(F.col("text")).alias("n_tokens"), "text")

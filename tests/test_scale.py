@@ -1,11 +1,13 @@
 """Steps that must not grow faster than their input."""
 
 import datetime as dt
+import re
+import time
 import tracemalloc
 
 import numpy as np
 
-from evalflow.operators import retrieval
+from evalflow.operators import ingest, retrieval
 from evalflow.sources.store import FEEDBACKS, RunStore
 from evalflow.streaming import evaluate as streaming
 
@@ -58,3 +60,32 @@ def test_shards_hold_whole_clusters_or_blocks_of_one():
         (shard, c) for c, (first, blocks) in table.items() for shard in range(first, first + blocks)
     )
     assert len({p["shard"] for p in every}) == len(every)
+
+
+def test_recursive_chunks_of_a_long_text_take_time_by_its_length(spark):
+    def seconds(n):
+        words = [f"w{i}" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        began = time.monotonic()
+        rows = ingest.chunk_recursive(docs, 100).selectExpr("count(*)", "max(n_tokens)", "max_by(text, chunk_id)").first()
+        spent = time.monotonic() - began
+        assert rows[:2] == (1 + -(-(n - 100) // 75), 100) and rows[2].endswith(f" w{n - 1}")
+        return spent
+
+    seconds(1_000)
+    # ten times the words; going through all of them for every chunk would take a hundred times as long
+    assert seconds(100_000) < 25 * max(seconds(10_000), 0.4)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = ingest.chunk_recursive(docs, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"slice\([^,()]+, \(", plan)
+
+
+def test_recursive_chunks_by_blanks_and_separators(spark):
+    texts = ["a\tb c d  e\n\nf", " \n\n ", "x " * 130, "p\tq " * 90, "\n".join(["l m"] * 80) + "\n\n" + "t\x1fu" * 60, "v " * 120, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((100, 25), (7, 2), (1, 0)):
+        got = {}
+        for r in ingest.chunk_recursive(docs, size, overlap).orderBy("doc_id", "chunk_id").collect():
+            got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["text"]))
+        for i, text in enumerate(texts):
+            assert got.get(i, []) == [(ingest.word_length(c), c) for c in ingest.split_recursive(text or "", size, overlap)]
