@@ -105,20 +105,21 @@ class Commit:
         self.store, self.id = store, f"c{uuid.uuid4().hex}"
         self.replaced: list[dict] = []
 
-    def _append(self, df: DataFrame, table: str, schema: T.StructType | None = None, buckets: int | None = None) -> None:
+    def _append(self, df: DataFrame, table: str, schema: T.StructType | None = None, buckets: int | None = None, lie: bool = False) -> None:
         if schema is not None:
             df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         parts = PARTS[table]
-        # rows of a partition meet in as few tasks as their size asks for: few files, no hot task
-        packed = df.hint("rebalance", *parts).withColumn("commit", F.lit(self.id))
+        # rows of a partition meet in as few tasks as their size asks for: few
+        # files, no hot task; unless they ``lie`` together as read from files
+        packed = (df if lie else df.hint("rebalance", *parts)).withColumn("commit", F.lit(self.id))
         path = self.store.path(table) if buckets is None else self.store.bucket_path(buckets)
         packed.write.mode("append").partitionBy(*parts, "commit").parquet(path)
 
     def write_records(self, df: DataFrame) -> None:
         self._append(df, "records", RECORDS)
 
-    def write_feedbacks(self, df: DataFrame) -> None:
-        self._append(df, "feedbacks", FEEDBACKS)
+    def write_feedbacks(self, df: DataFrame, lie: bool = False) -> None:
+        self._append(df, "feedbacks", FEEDBACKS, lie=lie)
 
     def write_runs(self, df: DataFrame) -> None:
         self._append(df, "runs", RUNS)
@@ -249,10 +250,16 @@ class RunStore:
         with self.commit() as c:
             c.write_runs(df)
 
-    def replace_feedbacks(self, df: DataFrame, partitions: Sequence[tuple[str | None, str | None]]) -> None:
-        """The whole new content of the feedback partitions (dataset, recipe) named, in one step."""
+    def replace_feedbacks(
+        self, df: DataFrame, partitions: Sequence[tuple[str | None, str | None]], untouched: DataFrame | None = None
+    ) -> None:
+        """The whole new content of the feedback partitions (dataset, recipe)
+        named, in one step. ``untouched`` are rows of it as ``feedbacks()``
+        reads them: they are written from where they lie, without a shuffle."""
         with self.commit() as c:
             c.write_feedbacks(df)
+            if untouched is not None:
+                c.write_feedbacks(untouched, lie=True)
             for dataset, recipe in partitions:
                 c.replace("feedbacks", dataset=dataset, recipe=recipe)
 

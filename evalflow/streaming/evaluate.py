@@ -64,15 +64,25 @@ def retry_scored(
     record with a due metric once; its output is written before use, as
     judge calls are neither free nor repeatable.
     """
+    untouched, rest = _retried(records, feedbacks, now, scorer, failed_after, running_after)
+    return untouched.unionByName(rest)
+
+
+def _retried(
+    records: DataFrame, feedbacks: DataFrame, now: Column, scorer: Callable[[DataFrame], DataFrame], failed_after: int, running_after: int
+) -> tuple[DataFrame, DataFrame]:
+    """``retry_scored`` in two parts: rows that are not due, read and filtered
+    alone, and all others. Only due rows and their records are shuffled."""
     keys = [*REC_KEYS, "name"]
-    due = retry_pending(feedbacks, now, failed_after, running_after)
-    todo = _matching(records, due, REC_KEYS, "left_semi")
-    fresh = _matching(scorer(todo), due, keys, "left_semi")
+    is_due = _due(now, failed_after, running_after)
+    due = feedbacks.where(is_due)
+    # a row for each record with its due names: scored rows meet it where the scorer left them
+    names = due.groupBy(F.struct(*REC_KEYS).alias("_other")).agg(F.collect_set(F.struct("name")).alias("_names"))
+    key = F.struct(*REC_KEYS) == F.col("_other")
+    todo = records.join(names, key, "left_semi")
+    fresh = scorer(todo).join(names, key).where(F.array_contains("_names", F.struct("name")))
     fresh = materialize(fresh.select(*[F.col(c).cast(feedbacks.schema[c].dataType) for c in feedbacks.columns]), "retry")
-    marked = feedbacks.withColumn("_due", _due(now, failed_after, running_after))
-    again = fresh.select(F.struct(*keys).alias("_again")).distinct()
-    kept = marked.join(again, (F.struct(*keys) == F.col("_again")) & F.col("_due"), "left_anti").drop("_due")
-    return kept.unionByName(fresh)
+    return feedbacks.where(~is_due), _matching(due, fresh, keys, "left_anti").unionByName(fresh)
 
 
 def retry_stored(
@@ -94,8 +104,8 @@ def retry_stored(
     partitions = [(r["dataset"], r["recipe"]) for r in touched.collect()]  # one for each dataset of a recipe
     if partitions:
         own = reduce(lambda a, b: a | b, [F.col("dataset").eqNullSafe(d) & F.col("recipe").eqNullSafe(r) for d, r in partitions])
-        fresh = retry_scored(store.records().where(own), feedbacks.where(own), now, scorer, failed_after, running_after)
-        store.replace_feedbacks(fresh, partitions)
+        untouched, rest = _retried(store.records().where(own), feedbacks.where(own), now, scorer, failed_after, running_after)
+        store.replace_feedbacks(rest, partitions, untouched)
     return len(partitions)
 
 

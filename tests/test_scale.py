@@ -6,9 +6,10 @@ import time
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from evalflow.operators import ingest, retrieval
-from evalflow.sources.store import FEEDBACKS, RunStore
+from evalflow.operators import ingest, metrics, retrieval
+from evalflow.sources.store import FEEDBACKS, RECORDS, RunStore
 from evalflow.streaming import evaluate as streaming
 
 
@@ -89,3 +90,27 @@ def test_recursive_chunks_by_blanks_and_separators(spark):
             got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["text"]))
         for i, text in enumerate(texts):
             assert got.get(i, []) == [(ingest.word_length(c), c) for c in ingest.split_recursive(text or "", size, overlap)]
+
+
+def test_retry_shuffles_only_what_is_due(spark, tmp_dir):
+    store, t0 = RunStore(spark, f"{tmp_dir}/s"), dt.datetime(2024, 1, 1)
+    status = lambda i: "failed" if i % 10 == 0 else "done"
+    records = [(str(i), "q", "q", None, [("q", None)], None, None, None, None, "d", "r") for i in range(200)]
+    rows = [(str(i), "answer_relevance", status(i), None, None, t0, "d", "r") for i in range(200)]
+    with store.commit() as commit:
+        commit.write_records(spark.createDataFrame(records, RECORDS))
+        commit.write_feedbacks(spark.createDataFrame(rows, FEEDBACKS))
+    packed = []
+
+    class Watched(RunStore):
+        def replace_feedbacks(self, df, *rest):
+            packed.append(df.count())
+            super().replace_feedbacks(df, *rest)
+
+    now = F.lit(t0 + dt.timedelta(hours=1)).cast("timestamp_ntz")
+    scorer = lambda df: metrics.evaluate(df, last_ts=now)
+    assert streaming.retry_stored(Watched(spark, f"{tmp_dir}/s"), now, scorer) == 1
+    assert packed == [20]  # of 200 rows, those dealt to the partition's files anew
+    got = {r["record_id"]: (r["status"], r["result"]) for r in store.feedbacks().collect()}
+    assert got == {str(i): ("done", 1.0 if i % 10 == 0 else None) for i in range(200)}
+    assert store.feedbacks().count() == 200
