@@ -32,14 +32,13 @@ bound in bytes.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evalflow.llm.shared import returning, small_batches
+from evalflow.llm.shared import kept_by_worker, returning, small_batches
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -252,9 +251,9 @@ class Automaton:
         return b"".join(self.label.get(i, b"") for i in ids).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def automaton(path: str) -> Automaton:
-    """One automaton for each worker process and file."""
+    """One automaton for each worker process, that of the last file."""
     return Automaton(path)
 
 
@@ -286,7 +285,7 @@ def encode(documents: DataFrame, path: str, digest: bool = False) -> DataFrame:
                     columns = [counts, ids, pa.array([x[2] for x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[f.name for f in schema.fields])
 
-    return rest.mapInArrow(returning(run), schema)
+    return rest.mapInArrow(returning(run, automaton), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -300,4 +299,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [machine.decode(x or []) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(returning(run, automaton), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -57,24 +58,47 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def returning(run):
-    """``run`` over batches, after which its worker gives back the memory it no longer uses.
+#: Functions whose last result a worker keeps between its tasks, see ``kept_by_worker``.
+_KEPT: list = []
 
-    Workers outlive their tasks and serve later stages; what Arrow and the
-    allocator hold free would count against those.
+
+def kept_by_worker(make):
+    """``make``, of which a worker keeps the last result for its next tasks, until a run that does not name it lets it go (``returning``)."""
+    kept = lru_cache(maxsize=1)(make)
+    _KEPT.append(kept)
+    return kept
+
+
+def give_back(*own) -> None:
+    """Lets go what the worker keeps but for ``own``, and gives back what Arrow and the allocator hold free."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for kept in _KEPT:
+        if kept not in own:
+            kept.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
+
+
+def returning(run, *own):
+    """``run`` over batches, before and after which its worker gives back the memory that it does not use.
+
+    Workers outlive their tasks and serve later stages; what they hold of
+    one stage would count against the others. ``own`` are the functions
+    ``kept_by_worker`` that ``run`` calls.
     """
 
     def wrapped(batches):
-        import ctypes
-
-        import pyarrow as pa
+        from evalflow.llm import shared
 
+        shared.give_back(*own)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another allocator than glibc's
-            pass
+        shared.give_back(*own)
 
     return wrapped
 

@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import components, in_filter, key_filter, small_batches, step
+from evalflow.llm.shared import components, in_filter, key_filter, returning, small_batches, step
 from evalflow.llm.textbatch import Words, blocks, mix, shingle_sets, signed
 
 SHINGLE, PERCENT = 4, 85
@@ -162,7 +162,7 @@ def classes(documents: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b), lists], names=["doc_id", "n", "a", "b", "sketch"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, a long, b long, sketch array<long>")
+    return documents.select("doc_id", "text").mapInArrow(returning(run), f"doc_id {id_type}, n long, a long, b long, sketch array<long>")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +241,7 @@ def signature_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
                     owner = np.repeat(np.array([x for x, _ in owners], _U), [c for _, c in owners])
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(signed(owner))], names=["sig", "a"])
 
-    return documents.select("text").mapInArrow(run, "sig long, a long")
+    return documents.select("text").mapInArrow(returning(run), "sig long, a long")
 
 
 def packed_texts(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def packed_texts(documents: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                         names=["a", "b", "n", "z"],
                     )
 
-    return documents.select("text").mapInArrow(run, "a long, b long, n long, z binary")
+    return documents.select("text").mapInArrow(returning(run), "a long, b long, n long, z binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     id_type = texts.schema["rep"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return joined.mapInArrow(returning(run), f"a {id_type}, b {id_type}")
 
 
 def settled(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
