@@ -38,9 +38,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.repeated_spans(table(spark, sf_dir, "documents"))
+    found = suffix.repeated_spans(table(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared_words")
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,13 @@ Equal texts are one text: identified by a 64-bit hash and length, read once
 per task, and removed throughout if they reach the window. Anchors, runs
 and windows are compared by 64-bit hashes (a window's within its length).
 
+Passages shorter than the window may be of interest too: ``shared_words``
+counts, without removing any, the words of passages that texts share, from
+winnowed word strings (of every ``PASSAGE`` consecutive words, the strings
+of ``STRING`` words with the smallest hash). Every passage of ``PASSAGE``
+words that two texts share has a string that both select; no string is
+found in passages of fewer than ``STRING`` words.
+
 Null texts read as empty; texts shorter than the window keep all bytes.
 Every input row gives one output row, null ids and repeated rows included.
 An empty table gives an empty one.
@@ -36,8 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.llm.shared import in_filter, key_filter, small_batches
-from evalflow.llm.textbatch import blocks, prefix_hash, signed, span_hash
+from evalflow.llm.shared import in_filter, key_filter, returning, small_batches, step
+from evalflow.llm.textbatch import Words, blocks, hash_sums, prefix_hash, signed, span_hash
 from evalflow.session import materialize
 
 WINDOW = 400
@@ -46,7 +53,11 @@ ANCHOR = 200
 BUCKET = 1 << 20
 #: Texts merged at a time before the last pass.
 BATCH = 500
+#: Words of a passage, and of the strings by which passages are told.
+PASSAGE, STRING = 50, 40
 
+#: A word, as ``textbatch.SPACED`` parts them.
+WORD = r"[^\x20\x09-\x0D]+"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -225,13 +236,61 @@ def covered_spans(n: int, first: np.ndarray, size: np.ndarray, window: int) -> t
     return edge[::2], edge[1::2]
 
 
-def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept_sha256), a row for each row of ``documents``.
+def winnowed(words: Words, passage: int, string: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every ``passage`` consecutive words of a row the strings of smallest hash: hash, row and first word in the row."""
+    width, count = passage - string + 1, len(words.hash)
+    if count < passage:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(count - string + 1)
+    value = span_hash(hash_sums(words.hash), at, at + string)
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    inside = row[: count - passage + 1] == row[passage - 1 :]
+    least = np.where(inside, sliding_min(value, width), np.uint64(0))
+    # A string is selected if it is the least of some passage: of the passages around it, if the greatest least is its own.
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(~sliding_min(~np.concatenate((edge, least, edge)), width) == value)
+    return value[chosen], row[chosen], chosen - words.first[row[chosen]]
+
+
+def passage_strings(documents: DataFrame, passage: int, string: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(h, k, n, first): the texts' selected strings, of those that may be among ``wanted`` (h); equal texts once for each task."""
+    long_enough = _keyed(documents).where(F.col("n") >= 2 * passage - 1).select("k", "n", "text")
+    maybe = None if wanted is None else documents.sparkSession.sparkContext.broadcast(key_filter(wanted, "h"))
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            k, n = (np.asarray(batch.column(j)) for j in (0, 1))
+            new = np.array([x not in seen and not seen.add(x) for x in zip(k.tolist(), n.tolist())], bool)
+            for start, data, offsets in blocks(batch.column(2)):
+                value, row, first = winnowed(Words(data, offsets), passage, string)
+                h, row = signed(value), row + start
+                keep = new[row] if maybe is None else new[row] & in_filter(maybe.value, h)
+                row = row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(k[row]), pa.array(n[row]), pa.array(first[keep].astype(np.int64))], names=["h", "k", "n", "first"])
+
+    return long_enough.mapInArrow(returning(run), "h long, k long, n long, first long")
+
+
+def shared_words(documents: DataFrame, passage: int = PASSAGE, string: int = STRING) -> DataFrame:
+    """(k, n, shared): of texts that share selected strings with other texts, the number of words that these strings cover."""
+    found = passage_strings(documents, passage, string).groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    often = step(found.where("low <> high").select("h"), "suffix-strings")
+    places = passage_strings(documents, passage, string, often).join(often, "h").groupBy("k", "n").agg(F.array_sort(F.collect_set("first")).alias("at"))
+    gaps = F.zip_with(F.slice("at", F.lit(2), F.size("at")), F.slice("at", F.lit(1), F.size("at") - 1), lambda x, y: F.least(x - y, F.lit(string).cast("long")))
+    return step(places.select("k", "n", F.aggregate(gaps, F.lit(string).cast("long"), lambda t, x: t + x).alias("shared")), "suffix-shared")
+
+
+def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept_sha256), a row for each row of ``documents``; with ``passage``, n_shared_words too.
 
     spans: maximal byte ranges (start, end) covered by windows that also
-    start elsewhere; kept_sha256: of the bytes outside them.
+    start elsewhere; kept_sha256: of the bytes outside them. n_shared_words:
+    words of passages of so many that another row's text holds
+    (``shared_words``); of a text that another row repeats, all.
     """
     spark = small_batches(documents).sparkSession
+    shared = shared_words(documents, passage) if passage else None
     all_runs = anchored_runs(documents, window, anchor)
     # Counts are written before they are joined back: a very common anchor or run is then split like any skewed join key.
     often = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -277,19 +336,24 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     parts = texts.select("k", "n", "z", "twins").join(answers, "k", "left")
     spans = parts.mapInArrow(cut, "k long, n long, spans array<struct<start:long,end:long>>, kept string")
 
-    rows = _keyed(documents).select("doc_id", "k", "n", F.sha2("text", 256).alias("own"))
-    copies = rows.where(F.col("n") >= window).groupBy("k", "n").agg(F.count("*").alias("c")).where("c > 1").select("k", "n", F.lit(True).alias("copied"))
+    n_words = [F.when(F.col("n") >= 2 * passage - 1, F.regexp_count("text", F.lit(WORD))).otherwise(0).alias("n_words")] if passage else []
+    rows = _keyed(documents).select("doc_id", "k", "n", F.sha2("text", 256).alias("own"), *n_words)
+    least = min(window, 2 * passage - 1) if passage else window
+    copies = rows.where(F.col("n") >= least).groupBy("k", "n").agg(F.count("*").alias("c")).where("c > 1").select("k", "n", F.lit(True).alias("copied"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return (
-        rows.join(copies, ["k", "n"], "left")
-        .join(spans, ["k", "n"], "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_bytes"),
-            F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-            F.when(F.col("copied"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "own")).alias("kept_sha256"),
-        )
+    gone = F.col("copied") & (F.col("n") >= window)
+    joined = rows.join(copies, ["k", "n"], "left").join(spans, ["k", "n"], "left")
+    more = []
+    if passage:
+        joined = joined.join(shared, ["k", "n"], "left")
+        more = [F.when(F.col("copied") & (F.col("n_words") >= passage), F.col("n_words")).otherwise(F.coalesce("shared", F.lit(0))).cast("long").alias("n_shared_words")]
+    return joined.select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        F.when(gone, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "own")).alias("kept_sha256"),
+        *more,
     )
 
 

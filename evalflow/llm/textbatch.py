@@ -52,6 +52,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums like those of ``prefix_hash``, of hashes."""
+    out = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes [start, end) for arrays of positions."""
     return mix((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
