@@ -5,16 +5,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalflow.functions.text import SPACE_SPLIT, words
+from evalflow.functions.text import SPACE_SPLIT, word_parts, words
 
 # --- fixed values that must equal the reference's output -----------------
 # Chunk overlap rule: a quarter of the chunk size, at most 64.
@@ -295,22 +297,48 @@ def chunk_recursive(
 
 
 def _bucket_sums(dim: int):
-    """Arrow UDF: per row, sum the signs of its tokens per bucket. Input is
-    ``array<bigint>`` of token hashes; the bucket is the hash modulo ``dim``
-    and the sign its bit 32, so one hash per token gives both. One
-    ``bincount`` per Arrow batch does the scatter-add for every row at once."""
+    """Arrow UDF: per row, sum the signs of its distinct words per bucket.
+    Input is the text of ASCII rows and ``array<string>`` of the others, whose
+    letters and case depend on Unicode; a word's bucket is its hash modulo
+    ``dim`` and the sign the hash's bit 32. A batch hashes each of its words
+    once, and one ``bincount`` does the scatter-add for every row at once."""
+    lower = np.zeros(256, "uint8")  # 0: between words
+    for ch in b"abcdefghijklmnopqrstuvwxyz0123456789":
+        lower[ch] = lower[ord(chr(ch).upper())] = ch
+
+    def ascii_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, "int32")[texts.offset : texts.offset + len(texts) + 1]
+        data = lower[np.frombuffer(data or b"", "uint8")[offsets[0] : offsets[-1]]]
+        begin = offsets[:-1] - offsets[0]
+        inside = data != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        at = begin[begin < len(data)]
+        first[at] = inside[at]
+        first = np.flatnonzero(first)
+        ends = np.r_[np.cumsum(inside, dtype="int32")[first] - 1, np.count_nonzero(inside)].astype("int32")
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data[inside]))
+        return np.searchsorted(begin, first, "right") - 1, words
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def sums(hashes: pa.Array) -> pa.Array:
-        if isinstance(hashes, pa.ChunkedArray):
-            hashes = hashes.combine_chunks()
-        n = len(hashes)
-        offsets = hashes.offsets.to_numpy()
-        start, stop = offsets[0], offsets[-1]
-        h = hashes.values.slice(start, stop - start).to_numpy(zero_copy_only=False).astype("int64")
-        rows = np.repeat(np.arange(n), np.diff(offsets))
-        sign = 1.0 - 2.0 * ((h >> 32) & 1)
-        flat = np.bincount(rows * dim + np.mod(h, dim), weights=sign, minlength=n * dim)
+    def sums(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        texts, parts = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (texts, parts))
+        n = len(texts)
+        row, words = ascii_words(texts)
+        row = np.r_[row, np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))]
+        coded = pa.concat_arrays([words, parts.flatten().cast(pa.string())]).dictionary_encode()
+        words = coded.dictionary
+        known = max(1, len(words))
+        # each word once a row
+        found = np.sort(row * known + coded.indices.to_numpy(zero_copy_only=False))
+        row, word = np.divmod(found[np.r_[True, found[1:] != found[:-1]][: len(found)]], known)
+        # the first 60 bits of each word's md5
+        digests = b"".join([md5(w).digest()[:8] for w in words.cast(pa.binary()).to_pylist()])
+        h = (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype("int64")
+        weight = np.where(pc.equal(words, "").to_numpy(zero_copy_only=False), 0.0, 1.0 - 2.0 * ((h >> 32) & 1))
+        flat = np.bincount(row * dim + np.mod(h, dim)[word], weights=weight[word], minlength=n * dim)
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, n * dim + 1, dim, dtype="int32")), pa.array(flat.astype("float32"))
         )
@@ -321,13 +349,13 @@ def _bucket_sums(dim: int):
 def hashing_embedding(c: str | Column, dim: int = 64) -> Column:
     """Signed feature-hashing embedding of the word tokens (counts per
     bucket; cosine similarity normalises, so no L2 step is stored).
-    Tokenising and hashing stay JVM-side (the first 60 bits of each token's
-    md5, so that other engines can reproduce the vectors); only the per-row
-    scatter-add runs in NumPy, vectorised over a whole Arrow batch."""
-    from evalflow.functions.text import tokens
-
-    hashed = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
-    return _bucket_sums(dim)(F.transform(tokens(c), hashed))
+    Tokenising stays JVM-side but for texts in ASCII, where it does not
+    depend on Unicode tables. The distinct words of a row, their hashes (the
+    first 60 bits of each word's md5, so that other engines can reproduce the
+    vectors) and the scatter-add are worked out over a whole Arrow batch."""
+    text = F.col(c) if isinstance(c, str) else c
+    plain = F.octet_length(text) == F.length(text)
+    return _bucket_sums(dim)(F.when(plain, text), F.when(~plain, word_parts(text)))
 
 
 def embed(

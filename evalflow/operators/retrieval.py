@@ -10,10 +10,12 @@ the others, only those whose bound reaches the k-th best similarity found:
 on clustered vectors few, at worst all.
 
 A query block and a shard meet in one cogroup; a query goes there once, with
-the clusters that it is to meet. NumPy multiplies tiles of bounded size and
-keeps each query's first k of that shard in the final order (similarity
-desc, chunk id asc). The global top k lies in the union of the shards' top k
-under that order, so the result is exact and ties cannot pile up. The final
+the clusters that it is to meet. NumPy multiplies tiles of bounded size in
+single precision; what may reach a query's k-th best, by the bound of that
+product's error, is multiplied again in double precision, and each query
+keeps its first k of that shard in the final order (similarity desc, chunk
+id asc). The global top k lies in the union of the shards' top k under that
+order, so the result is exact and ties cannot pile up. The final
 ``row_number() <= k`` is cut to k rows per query in each task before the
 shuffle (Spark's window group limit). Row counts, the sample and one row for
 each cluster reach the driver.
@@ -33,25 +35,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalflow.session import materialize
 
-# Bytes of vectors (doubles) in one block, and of similarities in one tile,
-# which is of so many queries.
+# Bytes of vectors (doubles) in one block, and of similarities (singles) in
+# one tile, which is of so many queries.
 BLOCK_BYTES = 32 << 20
-TILE_BYTES = 8 << 20
-TILE_QUERIES = 256
+TILE_BYTES = 2 << 20
+TILE_QUERIES = 1024
 # Clusters at most, and vectors that the centre of each is drawn from.
 CLUSTERS = 1024
 SAMPLE = 8
 # Bytes of that sample.
 SAMPLE_BYTES = 64 << 20
-# Similarities are summed in another order in the tiles than in the exact
-# pass over the candidates; the tiles keep this much more than the k-th best.
-SLACK = 1e-9
+# Candidates of a tile that are ranked together with those found before.
+PENDING = 1 << 14
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, m / n, np.nan)
+    with np.errstate(invalid="ignore"):
+        return m / np.where(n > 0, n, np.nan)
 
 
 def _vectors(col: pa.ChunkedArray) -> np.ndarray:
@@ -60,23 +61,32 @@ def _vectors(col: pa.ChunkedArray) -> np.ndarray:
     return _unit_rows(flat.reshape(len(arr), -1))
 
 
-def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    """Which candidates are, per query row ``r``, the first k by similarity, then by ``c``."""
+def _slack(dim: int) -> float:
+    """How far a product of two unit vectors in single precision may be from that in double precision."""
+    return (dim + 16) * 2.0**-24
+
+
+def _first_k(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates that are, per query row ``r``, the first k by similarity, then by ``c``; in that order."""
     o = np.lexsort((c, -s, r))
     r = r[o]
-    start = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][: len(r)])
     rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-    return o[rank < k]
+    o = o[rank < k]
+    return r[rank < k], c[o], s[o]
 
 
 def _wanted(lists: pa.ChunkedArray, names: np.ndarray) -> np.ndarray:
-    """Which of the clusters ``names`` (sorted) each query is to meet."""
+    """Which of the clusters ``names`` (sorted) each query is to meet; an empty list stands for all."""
     lists = lists.combine_chunks()
-    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), size)
+    out = np.repeat((size == 0)[:, None], len(names), axis=1)
     value = lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(value):
+        return out
     at = np.minimum(np.searchsorted(names, value), len(names) - 1)
     held = names[at] == value
-    out = np.zeros((len(lists), len(names)), dtype=bool)
     out[row[held], at[held]] = True
     return out
 
@@ -90,10 +100,67 @@ def _runs(used: np.ndarray, start: np.ndarray, stop: np.ndarray, width: int) ->
             yield a, min(a + width, hi)
 
 
+def _tile_topk(q: np.ndarray, c: np.ndarray, singles: np.ndarray, wanted: np.ndarray, cluster: np.ndarray, runs, same: np.ndarray, place: np.ndarray, least: np.ndarray, k: int):
+    """(query row, place, similarity) of the first k chunks of each query.
+
+    ``runs`` are the columns to multiply; ``cluster`` has the column of
+    ``wanted`` of each chunk, ``same`` the query row it must not meet.
+    ``least`` is a similarity that k chunks of each query are known to reach.
+    """
+    slack = _slack(q.shape[1])
+    q4 = q.astype("float32")
+    beat = (least - slack).astype("float32")
+    every = bool(wanted.all())
+    room = np.empty(0, "float32")
+    best = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    pending = [best]
+
+    def allowed(r: np.ndarray, col: np.ndarray) -> np.ndarray:
+        fine = same[col] != r
+        return fine if every else fine & wanted[r, cluster[col]]
+
+    for n, (lo, hi) in enumerate(runs, 1):
+        if len(room) < len(q) * (hi - lo):
+            room = np.empty(len(q) * (hi - lo), "float32")
+        s = np.matmul(q4, singles[lo:hi].T, out=room[: len(q) * (hi - lo)].reshape(len(q), -1))
+        may = s.max(axis=1) >= beat
+        if not every:
+            may &= wanted[:, cluster[lo] : cluster[hi - 1] + 1].any(axis=1)
+        rows = np.flatnonzero(may)
+        if len(rows):
+            s = s if len(rows) == len(s) else s[rows]
+            hit = s >= beat[rows, None]
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
+            if len(many) and hi - lo > k:
+                # raise the mark first: most of these are not among the first k
+                top = np.where(allowed(rows[many, None], np.arange(lo, hi)[None]), s[many], np.float32(-np.inf))
+                kth = np.partition(top, hi - lo - k, axis=1)[:, hi - lo - k]
+                beat[rows[many]] = np.maximum(beat[rows[many]], kth - np.float32(2 * slack))
+                hit[many] = top >= beat[rows[many], None]
+            r, col = np.divmod(np.flatnonzero(hit), hi - lo)
+            r, col = rows[r], col + lo
+            fine = allowed(r, col)
+            r, col = r[fine], col[fine]
+            exact = np.empty(len(r))
+            for b in range(0, len(r), 1 << 16):
+                part = slice(b, b + (1 << 16))
+                exact[part] = np.einsum("ij,ij->i", q[r[part]], c[col[part]])
+            pending.append((r, place[col], exact))
+        if sum(len(x[0]) for x in pending) - len(best[0]) >= PENDING or n % 64 == 0:
+            best = _first_k(*(np.concatenate(x) for x in zip(*pending)), k)
+            pending = [best]
+            last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True][: len(best[0])])
+            full = last[np.bincount(best[0], minlength=len(q))[best[0][last]] == k]
+            at = best[0][full]
+            beat[at] = np.maximum(beat[at], (best[2][full] - slack).astype("float32"))
+    return _first_k(*(np.concatenate(x) for x in zip(*pending)), k)
+
+
 def _block_topk(k: int, exclude_self: bool, schema: pa.Schema):
-    def usable(table: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
-        v = _vectors(table[name])
-        table = table.drop_columns([name])
+    def usable(table: pa.Table, name: str, by: str) -> tuple[pa.Table, np.ndarray]:
+        order = pc.sort_indices(table[by])
+        v = _vectors(table[name])[order.to_numpy()]
+        table = table.drop_columns([name]).take(order)
         fine = np.isfinite(v).all(axis=1)
         return (table, v) if fine.all() else (table.filter(pa.array(fine)), v[fine])
 
@@ -101,53 +168,33 @@ def _block_topk(k: int, exclude_self: bool, schema: pa.Schema):
         if not queries.num_rows or not chunks.num_rows:
             return schema.empty_table()
         # queries of one neighbourhood and chunks of one cluster follow each other
-        queries, q = usable(queries.take(pc.sort_indices(queries["home"])), "qv")
-        chunks, c = usable(chunks.take(pc.sort_indices(chunks["cluster"])), "cv")
+        queries, q = usable(queries, "qv", "home")
+        chunks, c = usable(chunks, "cv", "cluster")
         if not len(q) or not len(c):
             return schema.empty_table()
         # a chunk's place in the order of ids settles ties
+        order = pc.sort_indices(chunks["c"]).to_numpy()
         place = np.empty(len(c), dtype="int64")
-        place[pc.sort_indices(chunks["c"]).to_numpy()] = np.arange(len(c))
-        cluster = chunks["cluster"].to_numpy()
-        names, start = np.unique(cluster, return_index=True)
+        place[order] = np.arange(len(c))
+        names, start = np.unique(chunks["cluster"].to_numpy(), return_index=True)
         stop = np.r_[start[1:], len(c)]
         number = np.repeat(np.arange(len(names)), stop - start)
-        least = pc.fill_null(queries["least"], -np.inf).to_numpy().copy()
+        least = pc.fill_null(queries["least"], -np.inf).to_numpy()
         same = np.full(len(c), -1)
         if exclude_self:
             at = pc.index_in(chunks["c"], value_set=queries["q"], skip_nulls=True)
             same = pc.fill_null(at, -1).to_numpy().astype("int64")
+        singles = c.astype("float32")
         found = []
-        for a in range(0, len(q), TILE_QUERIES):
-            tile, beat = q[a : a + TILE_QUERIES], least[a : a + TILE_QUERIES]
+        # at first, queries meet few clusters, and the fewer the fewer of them are in a tile
+        size = TILE_QUERIES if np.isfinite(least).all() else TILE_QUERIES // 8
+        for a in range(0, len(q), size):
+            tile = q[a : a + size]
             wanted = _wanted(queries["clusters"].slice(a, len(tile)), names)
-            best = [np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)]
-            for lo, hi in _runs(wanted.any(axis=0), start, stop, max(1, TILE_BYTES // (8 * TILE_QUERIES))):
-                s = tile @ c[lo:hi].T
-                for j in number[lo] + np.flatnonzero(~wanted[:, number[lo] : number[hi - 1] + 1].all(axis=0)):
-                    s[~wanted[:, j], max(start[j], lo) - lo : min(stop[j], hi) - lo] = -np.inf
-                if exclude_self:
-                    mine = np.flatnonzero((same[lo:hi] >= a) & (same[lo:hi] < a + len(tile)))
-                    s[same[lo:hi][mine] - a, mine] = -np.inf
-                hit = s >= (beat - SLACK)[:, None]
-                many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
-                if len(many):
-                    beat[many] = np.maximum(beat[many], np.partition(s[many], hi - lo - k, axis=1)[:, hi - lo - k])
-                    hit[many] = s[many] >= (beat[many] - SLACK)[:, None]
-                r, col = np.divmod(np.flatnonzero(hit), hi - lo)
-                fine = s[r, col] > -np.inf
-                r, col = r[fine], col[fine]
-                if not len(r):
-                    continue
-                col += lo
-                exact = np.empty(len(r))
-                for b in range(0, len(r), 1 << 16):
-                    part = slice(b, b + (1 << 16))
-                    exact[part] = np.einsum("ij,ij->i", tile[r[part]], c[col[part]])
-                r, col, exact = (np.concatenate(x) for x in zip(best, (r, col, exact)))
-                keep = _first_k(r, place[col], exact, k)
-                best = [r[keep], col[keep], exact[keep]]
-            found.append((best[0] + a, best[1], best[2]))
+            runs = _runs(wanted.any(axis=0), start, stop, max(1, TILE_BYTES // (4 * TILE_QUERIES)))
+            own = np.where((same >= a) & (same < a + len(tile)), same - a, -1) if exclude_self else same
+            r, at, s = _tile_topk(tile, c, singles, wanted, number, runs, own, place, least[a : a + len(tile)], k)
+            found.append((r + a, order[at], s))
         r, col, sims = (np.concatenate(x) for x in zip(*found))
         return pa.Table.from_arrays(
             [
@@ -202,21 +249,23 @@ def _by_length(vectors: pa.Array, run) -> None:
 
 
 def _dealt(chunks: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """``chunks`` (c, cv) with dim, cluster (-1: of a length without centres) and the cosine to the centre."""
+    """``chunks`` (c, cv) with dim, cluster (-1: of a length without centres) and the cosine to the centre, but not those that nothing can find."""
+    singles = {dim: m.astype("float32") for dim, m in centres.items()}
 
     def run(batches):
         for batch in batches:
-            cluster, cosine = np.full(len(batch), -1, "int32"), np.full(len(batch), -1.0)
+            fine, cluster, cosine = np.zeros(len(batch), bool), np.full(len(batch), -1, "int32"), np.full(len(batch), -1.0)
 
             def near(dim, at, v):
+                fine[at] = np.isfinite(v).all(axis=1)
                 if dim in centres:
-                    s = np.nan_to_num(v @ centres[dim].T, nan=-1.0)
-                    cluster[at] = np.argmax(s, axis=1)
-                    cosine[at] = s[np.arange(len(at)), cluster[at]]
+                    v = np.nan_to_num(v)
+                    cluster[at] = np.argmax(v.astype("float32") @ singles[dim].T, axis=1)
+                    cosine[at] = np.einsum("ij,ij->i", v, centres[dim][cluster[at]])
 
             _by_length(batch.column(1), near)
             dim = pc.list_value_length(batch.column(1)).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, dim, pa.array(cluster), pa.array(cosine)], names=["c", "cv", "dim", "cluster", "cosine"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, dim, pa.array(cluster), pa.array(cosine)], names=["c", "cv", "dim", "cluster", "cosine"]).filter(pa.array(fine))
 
     extra = [T.StructField("dim", T.IntegerType()), T.StructField("cluster", T.IntegerType()), T.StructField("cosine", T.DoubleType())]
     return chunks.select("c", "cv").mapInArrow(run, T.StructType([*chunks.select("c", "cv").schema.fields, *extra]))
@@ -259,23 +308,31 @@ class _Bounds:
         """(dim, cluster, first shard, blocks) of every cluster."""
         return [(int(dim), *map(int, x)) for dim, of in self.of.items() for x in zip(of[0], of[5], of[3])]
 
-    def bound(self, dim: int, v: np.ndarray) -> np.ndarray:
+    def bound(self, dim: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest cosine that each cluster allows, and that to its centre."""
         low, centre = self.of[dim][1], self.of[dim][4]
         if centre is None:
-            return np.where(np.isfinite(v).all(axis=1, keepdims=True), 1.0, np.nan)
+            one = np.where(np.isfinite(v).all(axis=1, keepdims=True), 1.0, np.nan)
+            return one, one
         s = np.clip(v @ centre.T, -1.0, 1.0)
         # the angle between query and centre, less that of the cluster
         apart = s * low + np.sqrt(1 - s * s) * np.sqrt(1 - low * low)
-        return np.where(s >= low, 1.0, apart) + (s - s)
+        return np.where(s >= low, 1.0, apart) + (s - s), s
 
-    def places(self, dim: int, chosen: np.ndarray) -> pa.ListArray:
-        """Per query the shards it goes to, each with the clusters to meet there."""
+    def places(self, dim: int, chosen: np.ndarray, short: bool = False) -> pa.ListArray:
+        """Per query the shards it goes to, each with the clusters to meet there; if ``short``, with none instead of all."""
         cluster, _, _, blocks, _, shard = self.of[dim]
         of = np.repeat(np.arange(len(cluster)), blocks)  # a column for each block
         to = np.repeat(shard, blocks) + np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         row, at = np.nonzero(chosen[:, of])
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[at[1:]] != to[at[:-1]])]) if len(row) else row
-        inner = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)].astype("int32")), pa.array(cluster[of[at]].astype("int32")))
+        size = np.diff(np.r_[new, len(row)])
+        if short:
+            whole = size == np.bincount(to, minlength=self.shards)[to[at[new]]]
+            held, size = at[np.repeat(~whole, size)], np.where(whole, 0, size)
+        else:
+            held = at
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype("int32")), pa.array(cluster[of[held]].astype("int32")))
         struct = pa.StructArray.from_arrays([pa.array(to[at[new]].astype("int32")), inner], names=["shard", "clusters"])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(chosen) + 1)).astype("int32")), struct)
 
@@ -284,14 +341,17 @@ _PLACES = T.ArrayType(T.StructType([T.StructField("shard", T.IntegerType()), T.S
 
 
 def _with_places(queries: DataFrame, bounds: _Bounds, need: int, later: bool) -> DataFrame:
-    """``queries`` (q, qv, dim, qb, least) with the shards to go to: first
-    for the clusters of highest bound that hold ``need`` chunks; ``later``
-    for all the others that may reach the similarity ``least``. ``home`` is
-    the cluster of highest bound, ``met`` the number of blocks to meet."""
-    names = ["q", "qv", "dim", "qb", "least"]
+    """``queries`` (q, qv, dim, least, before) with the shards to go to:
+    first for the clusters of highest bound, then nearest centre, that hold
+    ``need`` chunks; ``later`` for all the others, which are not ``before``,
+    that may reach the similarity ``least``. ``home`` is the first of these
+    clusters, ``before`` the numbers of those met, ``met`` of the blocks to
+    meet."""
+    names = ["q", "qv", "dim", "least"]
 
     def run(batches):
         for batch in batches:
+            before = batch.column("before")
             batch = batch.select(names)
             beat = pc.fill_null(batch.column("least"), -2.0).to_numpy(zero_copy_only=False)
             out = []
@@ -299,21 +359,28 @@ def _with_places(queries: DataFrame, bounds: _Bounds, need: int, later: bool) ->
             def choose(dim, at, v):
                 if dim not in bounds.of:
                     return
-                top = bounds.bound(dim, v)
-                order = np.argsort(-top, axis=1, kind="stable")
-                held = np.cumsum(bounds.of[dim][2][order], axis=1)
+                top, near = bounds.bound(dim, v)
                 first = np.zeros(top.shape, bool)
-                np.put_along_axis(first, order, np.c_[np.zeros(len(at), "int64"), held[:, :-1]] < need, axis=1)
-                first &= np.isfinite(top)
-                chosen = ~first & (top >= beat[at, None] - 1e-7) if later else first
-                more = [pa.array(order[:, 0].astype("int32")), pa.array(chosen @ bounds.of[dim][3]), bounds.places(dim, chosen)]
-                out.append(pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, *more], names=[*names, "home", "met", "places"]))
+                if later:
+                    met = before.take(pa.array(at))
+                    first[np.repeat(np.arange(len(at)), pc.list_value_length(met).to_numpy(zero_copy_only=False)), met.flatten().to_numpy()] = True
+                    home, chosen = np.argmax(near, axis=1), ~first & (top >= beat[at, None] - 1e-7)
+                else:
+                    # equal bounds, such as those of clusters the query lies in, by the centre
+                    order = np.argsort(-np.where(top < 1, top, 2 + near), axis=1, kind="stable")
+                    held = np.cumsum(bounds.of[dim][2][order], axis=1)
+                    np.put_along_axis(first, order, np.c_[np.zeros(len(at), "int64"), held[:, :-1]] < need, axis=1)
+                    home, chosen = order[:, 0], first & np.isfinite(top)
+                row, col = np.nonzero(chosen if not later else first)
+                met = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(at) + 1)).astype("int32")), pa.array(col.astype("int32")))
+                more = [met, pa.array(home.astype("int32")), pa.array(chosen @ bounds.of[dim][3]), bounds.places(dim, chosen, short=True)]
+                out.append(pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, *more], names=[*names, "before", "home", "met", "places"]))
 
             _by_length(batch.column("qv"), choose)
             yield from out
 
-    more = [T.StructField("home", T.IntegerType()), T.StructField("met", T.LongType()), T.StructField("places", _PLACES)]
-    return queries.mapInArrow(run, T.StructType([*(queries.schema[n] for n in names), *more]))
+    more = [T.StructField("before", T.ArrayType(T.IntegerType())), T.StructField("home", T.IntegerType()), T.StructField("met", T.LongType()), T.StructField("places", _PLACES)]
+    return queries.select(*names, "before").mapInArrow(run, T.StructType([*(queries.schema[n] for n in names), *more]))
 
 
 def search(
@@ -329,9 +396,15 @@ def search(
     """``retrieve_topk``, and how many meetings of a query with a chunk block it took: ``first``, ``second``, and ``all`` there could be."""
     if block_rows is not None and block_rows < 1:
         raise ValueError("block_rows must be at least 1")
-    vec = F.col(vec_col).cast("array<double>")
-    q = queries.select(F.col(query_id).alias("q"), vec.alias("qv")).where(usable_vector(F.col("qv"))).dropDuplicates(["q"])
-    c = chunks.select(F.col(chunk_id).alias("c"), vec.alias("cv")).where(usable_vector(F.col("cv")))
+
+    def vec(df: DataFrame) -> Column:
+        """The vector as it is, if single precision holds it; Python makes doubles of it."""
+        single = df.schema[vec_col].dataType.simpleString() == "array<float>"
+        return F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
+
+    q = queries.select(F.col(query_id).alias("q"), vec(queries).alias("qv")).where(usable_vector(F.col("qv"))).dropDuplicates(["q"])
+    # their components are looked at where they are dealt
+    c = chunks.select(F.col(chunk_id).alias("c"), vec(chunks).alias("cv")).where(F.col("cv").isNotNull() & (F.size("cv") > 0))
     n_q, dim_q = q.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
     n_c, dim_c = c.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
     q_blocks = _blocks(n_q, dim_q, block_rows)
@@ -354,8 +427,8 @@ def search(
     table = spark.createDataFrame(bounds.table(), "dim int, cluster int, first int, blocks int")
     shard = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("blocks"))).cast("int").alias("shard")
     right = dealt.join(F.broadcast(table), ["dim", "cluster"]).select("c", "cv", "dim", "cluster", shard)
-    left = q.select("q", "qv", F.size("qv").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb"))
-    left = left.repartition(max(width, q_blocks), "q")
+    left = q.select("q", "qv", F.size("qv").alias("dim"))
+    left = left.repartition(max(width, q_blocks), "q").withColumns({"least": F.lit(None).cast("double"), "before": F.lit(None).cast("array<int>")})
     # few rows, much work on each: their bytes do not say how many tasks there
     # are to be; more than there are meetings, so that few of these share one
     meetings = q_blocks * bounds.shards
@@ -370,23 +443,28 @@ def search(
     run = _block_topk(k, exclude_self, to_arrow_schema(schema))
     order = Window.partitionBy("q").orderBy(F.col("similarity").desc(), F.col("c"))
 
-    def meet(placed: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """The first k of every query among its blocks, and the number of meetings."""
+    def meet(placed: DataFrame, name: str) -> tuple[DataFrame, int, DataFrame]:
+        """The first k of every query among its blocks, the number of meetings, and the queries with their places."""
         placed = materialize(placed.where(F.size("places") > 0), f"{name}-places")
         keys = ["dim", "qb", "shard"]
-        own = placed.select("q", "qv", "dim", "qb", "least", "home", F.explode("places").alias("p"))
-        own = own.select("q", "qv", "dim", "qb", "least", "home", "p.shard", "p.clusters")
-        meetings = materialize(own.select(*keys).distinct(), f"{name}-blocks")
+        own = placed.select("q", "qv", "dim", "least", "home", F.explode("places").alias("p"))
+        own = own.select("q", "qv", "dim", "least", "home", "p.shard", "p.clusters")
+        # a shard is copied once for each block of the queries that go there
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(-(-n_q // q_blocks))).alias("blocks")
+        load = materialize(own.groupBy("dim", "shard").agg(blocks), f"{name}-blocks")
+        own = own.join(F.broadcast(load), ["dim", "shard"]).withColumn("qb", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
+        meetings = load.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("qb"))
         theirs = right.join(F.broadcast(meetings), ["dim", "shard"])
         sides = [side.repartition(tasks, *keys).groupBy(*keys) for side in (own, theirs)]
         hits = sides[0].cogroup(sides[1]).applyInArrow(run, schema)
         best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-        return materialize(best, name), placed.agg(F.sum("met")).first()[0] or 0
+        return materialize(best, name, tidy=True), placed.agg(F.sum("met")).first()[0] or 0, placed
 
-    first, met = meet(_with_places(left.withColumn("least", F.lit(None).cast("double")), bounds, k + exclude_self, False), "retrieval-first")
+    first, met, asked = meet(_with_places(left, bounds, k + exclude_self, False), "retrieval-first")
     beat = first.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
-    rest = left.join(beat, "q", "left")
-    second, more = meet(_with_places(rest, bounds, k + exclude_self, True), "retrieval-second")
+    # a query meets none again of the clusters that it was dealt first
+    rest = asked.drop("least").join(beat, "q", "left")
+    second, more, _ = meet(_with_places(rest, bounds, k + exclude_self, True), "retrieval-second")
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     counts = {"first": met, "second": more, "all": n_q * sum(int(of[3].sum()) for of in bounds.of.values())}
     return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "rank", "similarity"), counts

@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
+from evalflow.functions.text import tokens
 from evalflow.operators import ingest, metrics, retrieval
 from evalflow.sources.store import FEEDBACKS, RECORDS, RunStore
 from evalflow.streaming import evaluate as streaming
@@ -114,3 +115,55 @@ def test_retry_shuffles_only_what_is_due(spark, tmp_dir):
     got = {r["record_id"]: (r["status"], r["result"]) for r in store.feedbacks().collect()}
     assert got == {str(i): ("done", 1.0 if i % 10 == 0 else None) for i in range(200)}
     assert store.feedbacks().count() == 200
+
+
+def test_words_of_a_batch_are_hashed_once(spark):
+    texts = ["Alpha beta-GAMMA 12", "  alpha\tBETA ", "ÉTÉ alpha ½", "", None, "--", "Straße alpha"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    plan = ingest.embed(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "array_distinct" not in plan  # not word by word in the JVM
+    hashed = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
+    rows = ingest.embed(df, dim=16).select("embedding", F.transform(tokens("text"), hashed).alias("h")).collect()
+    for r in rows:
+        want = np.zeros(16)
+        for h in r["h"]:
+            want[h % 16] += 1 - 2 * (h >> 32 & 1)
+        assert r["embedding"] == want.tolist()
+
+
+def test_tiles_multiply_in_single_precision_and_rank_in_double():
+    rng = np.random.default_rng(2)
+    q, c = (retrieval._unit_rows(rng.integers(-3, 4, (n, 16)).astype(float) + 1e-9 * rng.random((n, 16))) for n in (70, 900))
+    c[450:] = c[:450] * (1 + 1e-16)  # ties and near ties, which single precision cannot tell apart
+    c[300:450] = retrieval._unit_rows(c[:150] + 1e-9 * rng.random((150, 16)))
+    wanted, cluster = rng.random((70, 9)) < 0.8, np.repeat(np.arange(9), 100)
+    same, place = np.where(np.arange(900) < 70, np.arange(900), -1), rng.permutation(900)
+    exact = np.array([np.einsum("ij,ij->i", np.repeat(q[i : i + 1], 900, axis=0), c) for i in range(70)])
+    for least in (np.full(70, -np.inf), np.sort(exact, axis=1)[:, -40]):
+        runs = iter([(a, min(a + 128, 900)) for a in range(0, 900, 128)])
+        r, at, s = retrieval._tile_topk(q, c, c.astype("float32"), wanted, cluster, runs, same, place, least, 4)
+        got = list(zip(r.tolist(), at.tolist(), s.tolist()))
+        want = []
+        for i in range(70):
+            mine = [(-exact[i, j], place[j]) for j in range(900) if wanted[i, cluster[j]] and same[j] != i and exact[i, j] >= least[i]]
+            want += [(i, p, -x) for x, p in sorted(mine)[:4]]
+        assert got == want
+
+
+def test_a_shard_is_copied_for_the_queries_that_go_there(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = 5 * rng.standard_normal((6, 8))
+    chunks, queries = (centres[np.arange(n) % 6] + 0.01 * rng.standard_normal((n, 8)) for n in (240, 60))
+    frames = [
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, embedding array<float>")
+        for m, name in ((queries, "query_id"), (chunks, "vec_id"))
+    ]
+    written = {}
+    keep = retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name, **more: written.setdefault(name, keep(df, name, **more)))
+    hits, _ = retrieval.search(*frames, 3, block_rows=30)
+    # ten queries go to each cluster, so no shard needs a second block of them
+    assert {r["blocks"] for r in written["retrieval-first-blocks"].collect()} == {1}
+    unit = lambda m: retrieval._unit_rows(m.astype("float32").astype("float64"))
+    best = np.argsort(-(unit(queries) @ unit(chunks).T), axis=1)[:, 0]
+    assert [r["vec_id"] for r in hits.where("rank = 1").orderBy("query_id").collect()] == best.tolist()
